@@ -1,3 +1,10 @@
 """annalist: retrieval-corpus analytics as Spark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Helpers used inside tasks travel with the task, so that executors need no installation.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

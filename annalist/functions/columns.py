@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -28,6 +28,15 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once.
+
+    An expression mentioned inside a lambda is evaluated for every element; bound this
+    way it is a variable there.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_of(items: Column) -> Column:
     """First element, null for an empty array."""
     return F.get(items, F.lit(0))

@@ -73,7 +73,8 @@ def parse_length_range(hint: Column | str) -> Column:
     pair = r"([0-9]+)\s*[-–~至]\s*([0-9]+)"
     a, b = found(hint, pair, 1).cast("int"), found(hint, pair, 2).cast("int")
     one = found(hint, "([0-9]+)").cast("int")
-    low = F.coalesce(F.least(a, b), F.greatest(F.lit(50), one - 50), F.lit(200))
+    single = F.when(one.isNotNull(), F.greatest(F.lit(50), one - 50))
+    low = F.coalesce(F.least(a, b), single, F.lit(200))
     high = F.coalesce(F.greatest(a, b), one + 200, F.lit(500))
     return F.struct(low.alias("lo"), high.alias("hi"))
 

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, functions as F
 
 from . import lexicons as lx
-from .columns import all_matches, as_col, first_of, found, share, text_array, trimmed
+from .columns import all_matches, as_col, first_of, found, let, share, text_array, trimmed
 
 CJK = "一-龥"
 
@@ -194,11 +194,19 @@ def mention_match(
     text: Column | str,
     spellings: dict[str, list[str]] | None = None,
     any_trigram: bool = False,
+    flat_text: Column | None = None,
 ) -> Column:
-    """Is the name mentioned, from strict containment to prefix and trigram tests?"""
+    """Is the name mentioned, from strict containment to prefix and trigram tests?
+
+    Pass ``flat_text`` when many names are tested against one text.
+    """
     name, text = as_col(name), as_col(text)
     spellings = lx.PLACE_SPELLINGS if spellings is None else spellings
-    flat_name, flat_text = normalize_text(name), normalize_text(text)
+    if flat_text is None:
+        return let(
+            normalize_text(text), lambda flat: mention_match(name, text, spellings, any_trigram, flat)
+        )
+    flat_name = normalize_text(name)
     runs = all_matches(name, f"[{CJK}]{{2,}}")
     rule = flat_text.contains(flat_name)
     rule = rule | F.exists(runs, lambda run: text.contains(run))
@@ -251,11 +259,22 @@ def concept_preserved(concept: Column, text: Column, flat_text: Column) -> Colum
     )
 
 
-def grounded(fact: Column, source: Column, threshold: float = 0.6) -> Column:
-    """Is a fact supported by a source text: contained, overlapping, or half its words?"""
-    flat_fact, flat_source = normalize_text(fact), normalize_text(source)
-    fact_grams, source_grams = char_ngrams(flat_fact, 3), char_ngrams(flat_source, 3)
-    overlap = share(F.size(F.array_intersect(fact_grams, source_grams)), F.size(fact_grams), 0.0)
+def evidence_parts(source: Column) -> Column:
+    """What the grounding test needs of a source text: normalised, and its 3-grams."""
+    flat = normalize_text(source)
+    return F.struct(flat.alias("flat"), char_ngrams(flat, 3).alias("grams"))
+
+
+def grounded(fact: Column, source: Column, threshold: float = 0.6, parts: Column | None = None) -> Column:
+    """Is a fact supported by a source text: contained, overlapping, or half its words?
+
+    Pass ``parts`` when many facts are tested against one source.
+    """
+    if parts is None:
+        return let(evidence_parts(source), lambda p: grounded(fact, source, threshold, p))
+    flat_fact, flat_source = normalize_text(fact), parts["flat"]
+    fact_grams = char_ngrams(flat_fact, 3)
+    overlap = share(F.size(F.array_intersect(fact_grams, parts["grams"])), F.size(fact_grams), 0.0)
     words = all_matches(fact, f"[{CJK}]{{2,}}")
     present = F.size(F.filter(words, lambda w: source.contains(w)))
     return F.coalesce(
@@ -306,7 +325,8 @@ def decompose_facts(text: Column | str, terminators: str = "。！？.!?\n;；",
     )
     if not whole_if_none:
         return facts
-    return F.when((F.size(facts) == 0) & (trimmed(text) != ""), F.array(trimmed(text))).otherwise(facts)
+    whole = F.array(trimmed(text))
+    return let(facts, lambda kept: F.when((F.size(kept) == 0) & (trimmed(text) != ""), whole).otherwise(kept))
 
 
 def rule_supported(fact: Column, source: Column, stop_words: Sequence[str] = tuple(lx.FACT_STOP_WORDS)) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import as_col, trimmed
+from ..functions.columns import as_col, let, trimmed
 from .running import running_sums
 
 
@@ -60,12 +60,16 @@ def pack(lengths: Column, limit: int, joiner: int) -> Column:
 
 def slices(items: Column, starts: Column) -> Column:
     """Cut an array at the given zero-based starts."""
-    return F.transform(
-        starts,
-        lambda start, i: F.slice(
-            items, start + 1, F.coalesce(F.get(starts, i + 1), F.size(items)) - start
-        ),
-    )
+
+    def cut(both: Column) -> Column:
+        return F.transform(
+            both["at"],
+            lambda start, i: F.slice(
+                both["all"], start + 1, F.coalesce(F.get(both["at"], i + 1), F.size(both["all"])) - start
+            ),
+        )
+
+    return let(F.struct(items.alias("all"), starts.alias("at")), cut)
 
 
 def paragraph_texts(
@@ -80,8 +84,12 @@ def paragraph_texts(
     size, step = window_bounds(size, overlap)
     clean = trimmed(F.regexp_replace(as_col(text), r"\r\n?", "\n"))
     paragraphs = F.filter(F.transform(F.split(clean, paragraph_pattern), trimmed), lambda p: p != "")
-    starts = pack(F.transform(paragraphs, F.length), size, len(joiner))
-    packed = F.transform(slices(paragraphs, starts), lambda group: F.array_join(group, joiner))
+
+    def packed_texts(items: Column) -> Column:
+        starts = pack(F.transform(items, F.length), size, len(joiner))
+        return F.transform(slices(items, starts), lambda group: F.array_join(group, joiner))
+
+    packed = let(paragraphs, packed_texts)
     chunks = F.flatten(F.transform(packed, lambda chunk: window_texts(chunk, size, overlap)))
     return F.filter(chunks, lambda c: F.length(c) >= minimum)
 
@@ -113,9 +121,12 @@ def token_texts(text: Column | str, size: int = 1200, overlap: int = 100) -> Col
     """Windows of white-space tokens, joined by single blanks."""
     tokens = F.filter(F.split(as_col(text), r"\s+"), lambda t: t != "")
     step = size - overlap
-    return F.transform(
-        window_starts(F.size(tokens), size, step),
-        lambda start: F.array_join(F.slice(tokens, start + 1, F.lit(size)), " "),
+    return let(
+        tokens,
+        lambda ts: F.transform(
+            window_starts(F.size(ts), size, step),
+            lambda start: F.array_join(F.slice(ts, start + 1, F.lit(size)), " "),
+        ),
     )
 
 

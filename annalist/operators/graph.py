@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lexicons as lx
+from ..functions.columns import let
 from ..functions.records import extraction_records
 from ..session import cut_lineage
 from .chunking import token_chunks
@@ -33,14 +34,17 @@ def name_pairs(names: Column) -> Column:
     A unit is a window of bounded length, so this list is bounded as well; building it
     in the row avoids joining the mention table with itself.
     """
-    ordered = F.array_sort(F.array_distinct(names))
-    rest = lambda i: F.slice(ordered, i + 2, F.greatest(F.size(ordered) - i - 1, F.lit(0)))
-    return F.flatten(
-        F.transform(
-            ordered,
-            lambda a, i: F.transform(rest(i), lambda b: F.struct(a.alias("source"), b.alias("target"))),
+
+    def pairs(ordered: Column) -> Column:
+        rest = lambda i: F.slice(ordered, i + 2, F.greatest(F.size(ordered) - i - 1, F.lit(0)))
+        return F.flatten(
+            F.transform(
+                ordered,
+                lambda a, i: F.transform(rest(i), lambda b: F.struct(a.alias("source"), b.alias("target"))),
+            )
         )
-    )
+
+    return let(F.array_sort(F.array_distinct(names)), pairs)
 
 
 def cooccurrence(units: DataFrame, names: Column) -> DataFrame:

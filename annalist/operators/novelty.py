@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lexicons as lx
-from ..functions.columns import all_matches, any_term, as_col, text_array
+from ..functions.columns import all_matches, any_term, as_col, let, text_array
 from ..functions.text import (
-    CJK, grounded, keyword_set, localize_name, mention_match, names_match, normalize_text, truncate_at_boundary,
+    CJK, evidence_parts, grounded, keyword_set, localize_name, mention_match, names_match, normalize_text, truncate_at_boundary,
 )
 from .dedup import fuzzy_groups
 from .filters import significant_overlap
@@ -111,7 +111,10 @@ def evidence_text(entities: DataFrame, relationships: DataFrame, snippets: DataF
 
 def used_entities(produced: Column, available: Column, spellings: dict[str, list[str]] | None = None) -> Column:
     """Available names mentioned in the produced text, one per fuzzy group."""
-    used = F.filter(available, lambda n: mention_match(n, produced, spellings, any_trigram=True))
+    used = let(
+        normalize_text(produced),
+        lambda flat: F.filter(available, lambda n: mention_match(n, produced, spellings, True, flat)),
+    )
     return fuzzy_groups(used, spellings)
 
 
@@ -157,9 +160,9 @@ def fact_grounding(
     """``struct<grounded, unsupported>`` lists: matched by name or evidence; in neither nor the source."""
     facts, source, evidence, available = (as_col(c) for c in (facts, source, evidence, available))
 
-    def supported(f: Column) -> Column:
-        return F.exists(available, lambda n: names_match(f, n, spellings)) | grounded(f, evidence)
+    def supported(f: Column, parts: Column) -> Column:
+        return F.exists(available, lambda n: names_match(f, n, spellings)) | grounded(f, evidence, parts=parts)
 
-    ok = F.filter(facts, supported)
-    bad = F.filter(F.array_except(facts, ok), lambda f: ~source.contains(f))
-    return F.struct(ok.alias("grounded"), bad.alias("unsupported"))
+    ok = let(evidence_parts(evidence), lambda parts: F.filter(facts, lambda f: supported(f, parts)))
+    bad = lambda kept: F.filter(F.array_except(facts, kept), lambda f: ~source.contains(f))
+    return let(ok, lambda kept: F.struct(kept.alias("grounded"), bad(kept).alias("unsupported")))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lexicons as lx
-from ..functions.columns import as_col, all_matches, count_terms, share, text_array, trimmed
+from ..functions.columns import as_col, all_matches, count_terms, let, share, text_array, trimmed
 from ..functions.dates import years_in_range
 from ..functions.text import char_ngrams, concept_preserved, normalize_text, split_sentences
 
@@ -26,9 +26,11 @@ def fallback_concepts(source: Column | str, pattern: str = "[一-龥]{2,4}", k:
 def topic_coherence(produced: Column | str, concepts: Column | str) -> Column:
     """Share of source concepts preserved; 0.5 without concepts."""
     produced, concepts = as_col(produced), as_col(concepts)
-    flat = normalize_text(produced)
-    kept = F.filter(concepts, lambda c: concept_preserved(c, produced, flat))
-    return share(F.size(kept), F.size(concepts), 0.5)
+    kept = let(
+        normalize_text(produced),
+        lambda flat: F.size(F.filter(concepts, lambda c: concept_preserved(c, produced, flat))),
+    )
+    return share(kept, F.size(concepts), 0.5)
 
 
 def length_score(

@@ -84,10 +84,10 @@ def running_averages(
 ) -> DataFrame:
     """Average of all values up to and including each row; nulls do not count."""
     prepared = df.withColumn("_n", F.col(value).isNotNull().cast("long")).withColumn(
-        "_v", F.coalesce(F.col(value), F.lit(0.0))
+        "_v", F.coalesce(F.col(value), F.lit(0))
     )
     summed = running_sums(prepared, keys, order_cols, {"_rn": "_n", "_rv": "_v"})
-    return summed.withColumn(name, F.when(F.col("_rn") > 0, F.col("_rv") / F.col("_rn"))).drop(
+    return summed.withColumn(name, F.when(F.col("_rn") > 0, F.col("_rv").cast("double") / F.col("_rn"))).drop(
         "_n", "_v", "_rn", "_rv"
     )
 

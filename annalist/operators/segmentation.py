@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lexicons as lx
-from ..functions.columns import as_col, text_array, trimmed
+from ..functions.columns import as_col, let, text_array, trimmed
 from ..functions.dates import extract_years, split_reason, temporal_label, year_span
 from ..functions.text import lexicon_hits, regex_mentions, split_sentences
 from .chunking import slices
@@ -47,28 +47,33 @@ def split_oversized(block: Column, limit: int) -> Column:
             (acc["pos"] + 1).alias("pos"),
         )
 
-    starts = F.aggregate(F.transform(sentences, F.length), empty, step, lambda acc: acc["starts"])
-    packed = F.transform(slices(sentences, starts), lambda group: F.array_join(group, ""))
+    def packed(items: Column) -> Column:
+        starts = F.aggregate(F.transform(items, F.length), empty, step, lambda acc: acc["starts"])
+        return F.transform(slices(items, starts), lambda group: F.array_join(group, ""))
+
     pieces = F.transform(
         F.sequence(F.lit(0), F.greatest(F.lit(0), (F.length(block) - 1)), F.lit(limit)),
         lambda i: F.substring(block, i + 1, F.lit(limit)),
     )
     return (
-        F.when(F.length(block) <= limit, F.array(block))
-        .when(F.size(sentences) <= 1, pieces)
-        .otherwise(packed)
+        F.when(F.length(block) <= limit, F.array(block)).otherwise(
+            let(sentences, lambda items: F.when(F.size(items) <= 1, pieces).otherwise(packed(items)))
+        )
     )
 
 
 def merge_short(blocks: Column, minimum: int, limit: int, respect_years: bool = True, bounded: bool = True) -> Column:
     """Join short blocks with their successor unless it opens with a year."""
-    flags = F.transform(
-        blocks,
-        lambda b: F.struct(
-            F.length(b).alias("n"),
-            (b.rlike(lx.LEADING_YEAR_PATTERN) if respect_years else F.lit(False)).alias("year"),
-        ),
-    )
+
+    def flags(items: Column) -> Column:
+        return F.transform(
+            items,
+            lambda b: F.struct(
+                F.length(b).alias("n"),
+                (b.rlike(lx.LEADING_YEAR_PATTERN) if respect_years else F.lit(False)).alias("year"),
+            ),
+        )
+
     empty = F.struct(
         F.array().cast("array<int>").alias("starts"), F.lit(0).alias("used"), F.lit(0).alias("pos")
     )
@@ -82,8 +87,11 @@ def merge_short(blocks: Column, minimum: int, limit: int, respect_years: bool =
             (acc["pos"] + 1).alias("pos"),
         )
 
-    starts = F.aggregate(flags, empty, step, lambda acc: acc["starts"])
-    return F.transform(slices(blocks, starts), lambda group: F.array_join(group, "\n\n"))
+    def merged(items: Column) -> Column:
+        starts = F.aggregate(flags(items), empty, step, lambda acc: acc["starts"])
+        return F.transform(slices(items, starts), lambda group: F.array_join(group, "\n\n"))
+
+    return let(blocks, merged)
 
 
 def segment_texts(text: Column | str, minimum: int = 300, maximum: int = 800, block_pattern: str = r"\n\s*\n+") -> Column:

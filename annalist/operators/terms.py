@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import lexicons as lx
-from ..functions.columns import all_matches, as_col, text_array
+from ..functions.columns import all_matches, as_col, let, text_array
 from ..functions.text import lexicon_hits
 
 #: Runs of letters of the Latin scripts, or of Chinese characters.
@@ -78,15 +78,19 @@ def keywords(
 
 def bigrams(words: Column, joiner: str = "") -> Column:
     """Adjacent pairs of an array, joined."""
-    return F.transform(
-        F.slice(words, 2, F.greatest(F.size(words), F.lit(1))),
-        lambda w, i: F.concat(F.get(words, i), F.lit(joiner), w),
+    return let(
+        words,
+        lambda ws: F.transform(
+            F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))), lambda w, i: F.concat(F.get(ws, i), F.lit(joiner), w)
+        ),
     )
 
 
 def phrase_candidates(words: Column, joiner: str = "") -> Column:
     """Single words and adjacent pairs; nothing for fewer than two words."""
-    return F.when(F.size(words) >= 2, F.concat(words, bigrams(words, joiner))).otherwise(text_array([]))
+    return let(
+        words, lambda ws: F.when(F.size(ws) >= 2, F.concat(ws, bigrams(ws, joiner))).otherwise(text_array([]))
+    )
 
 
 def char_phrase_candidates(text: Column | str) -> Column:

@@ -26,6 +26,7 @@ def local_session(cpus: int | None = None, app: str = "annalist", **extra: str)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in {**DEFAULT_CONF, **extra}.items():
         builder = builder.config(key, value)

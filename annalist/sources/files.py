@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,7 +25,7 @@ def decode_bytes(content: bytes) -> str:
     return content.decode("utf-8", errors="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode(content: pd.Series) -> pd.Series:
     return content.map(decode_bytes)
 
@@ -202,6 +203,10 @@ def is_ready(tables: dict[str, DataFrame]) -> bool:
     return not tables["entities"].isEmpty()
 
 
+#: First character after optional white space.
+_FOLLOWER = re.compile(r"[ \t\r\n]*(.?)", re.DOTALL)
+
+
 def repair_quotes(text: str) -> str:
     """Replace quotes inside JSON strings that no structural character follows."""
     parts, inside, stray, i = [], False, 0, 0
@@ -215,8 +220,7 @@ def repair_quotes(text: str) -> str:
             if not inside:
                 inside, stray = True, 0
             else:
-                rest = text[i + 1 :].lstrip(" \t\r\n") if i + 1 < len(text) else ""
-                if rest[:1] in ("", ",", ":", "}", "]"):
+                if _FOLLOWER.match(text, i + 1).group(1) in ("", ",", ":", "}", "]"):
                     inside = False
                 else:
                     char = "“" if stray % 2 == 0 else "”"
@@ -229,7 +233,7 @@ def repair_quotes(text: str) -> str:
 def repair_json_quotes(df: DataFrame, text: str) -> DataFrame:
     """Texts with stray inner quotes made typographic, in Arrow batches."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def repair(values: pd.Series) -> pd.Series:
         return values.map(lambda v: repair_quotes(v) if v is not None else None)
 
