@@ -37,18 +37,22 @@ def document_frequencies(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def tfidf(df: DataFrame, doc_id: str, words: Column, n_documents: Column | int, k: int = 15) -> DataFrame:
+def tfidf(df: DataFrame, doc_id: str, words: Column, n_documents: Column | int, k: int = 15, frequencies: DataFrame | None = None) -> DataFrame:
     """Top terms per document by ``tf/len * ln((N+1)/(df+1))``, ties by term.
 
     The frequency table has one row per term, so a term held by every document skews
-    only the counts side, which adaptive execution splits.
+    only the counts side, which adaptive execution splits. ``frequencies(term, df)`` may
+    come from another corpus; terms it lacks then count as unseen.
     """
     n_documents = F.lit(n_documents) if isinstance(n_documents, int) else n_documents
     counts = term_counts(df, doc_id, words)
     lengths = df.select(doc_id, F.size(words).alias("_len"))
+    if frequencies is None:
+        joined = counts.join(document_frequencies(counts), "term")
+    else:
+        joined = counts.join(frequencies, "term", "left").fillna(0, ["df"])
     weighted = (
-        counts.join(document_frequencies(counts), "term")
-        .join(lengths, doc_id)
+        joined.join(lengths, doc_id)
         .withColumn("weight", F.col("tf") / F.col("_len") * F.ln((n_documents + 1) / (F.col("df") + 1)))
     )
     order = Window.partitionBy(doc_id).orderBy(F.desc(F.round("weight", 9)), "term")

@@ -170,14 +170,14 @@ def q_running_avg(spark: SparkSession, sf: str) -> DataFrame:
 @catalog.add("q_progress", """
 WITH p AS (SELECT o_orderkey, count(*) OVER w AS completed, (sum(o_totalprice::DECIMAL(18, 2)) OVER w)::DOUBLE AS elapsed, count(*) OVER () AS total
            FROM orders WINDOW w AS (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING))
-SELECT o_orderkey, completed, round(elapsed, 2) AS elapsed_total, round(elapsed / completed * (total - completed), 1) AS eta FROM p""")
+SELECT o_orderkey, completed, round(elapsed, 2) AS elapsed_total, round(elapsed / completed * (total - completed) / 1000000, 4) AS eta FROM p""")
 def q_progress(spark: SparkSession, sf: str) -> DataFrame:
     orders = load(spark, sf, "orders").select("o_orderkey", F.lit(1).cast("long").alias("one"), F.col("o_totalprice").cast("decimal(18,2)").alias("t"))
     total = orders.count()
     rows = running.progress(orders, ["o_orderkey"], "one", "t", F.lit(total))
     return rows.select(
         "o_orderkey", "completed", F.round(F.col("elapsed_total").cast("double"), 2).alias("elapsed_total"),
-        F.round(F.col("elapsed_total").cast("double") / F.col("completed") * (total - F.col("completed")), 1).alias("eta"),
+        F.round(F.col("elapsed_total").cast("double") / F.col("completed") * (total - F.col("completed")) / 1000000, 4).alias("eta"),
     )
 
 

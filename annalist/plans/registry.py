@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import chunks, text
+from . import chunks, measure, search, text
 from .shared import Catalog
 
 CATALOG = Catalog()
-for module in (text, chunks):
+for module in (text, chunks, search, measure):
     CATALOG.queries.update(module.catalog.queries)
     CATALOG.sql.update(module.catalog.sql)
