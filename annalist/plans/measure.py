@@ -262,18 +262,25 @@ def q_adaptive_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 TRANSITIONS = ["und", "and the", "que", "for", "der"]
 PATTERNS = ["[0-9]", "tion|keit", "[A-Z][a-z]{9,}", "ß|ç|ñ"]
-TRANSITION_SQL = " + ".join(f"contains({{0}}, '{w}')::INT" for w in TRANSITIONS)
-RICHNESS_SQL = " + ".join(f"regexp_matches({{0}}, '{p}')::INT" for p in PATTERNS)
+
+
+def transition_sql(text: str) -> str:
+    return " + ".join(f"contains({text}, '{w}')::INT" for w in TRANSITIONS)
+
+
+def richness_sql(text: str) -> str:
+    return " + ".join(f"regexp_matches({text}, '{p}')::INT" for p in PATTERNS)
+
 
 
 @catalog.add("q_transition", f"""
-WITH t AS (SELECT doc_id, {TRANSITION_SQL.format('text')} AS n FROM documents)
+WITH t AS (SELECT doc_id, {transition_sql('text')} AS n FROM documents)
 SELECT doc_id, (CASE WHEN n >= 2 THEN 1.0 WHEN n = 1 THEN 0.7 ELSE 0.4 END)::DOUBLE AS score FROM t""")
 def q_transition(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("doc_id", quality.transition_usage("text", TRANSITIONS).alias("score"))
 
 
-@catalog.add("q_richness", f"SELECT doc_id, (({RICHNESS_SQL.format('text')}) / 4.0)::DOUBLE AS score FROM documents")
+@catalog.add("q_richness", f"SELECT doc_id, (({richness_sql('text')}) / 4.0)::DOUBLE AS score FROM documents")
 def q_richness(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("doc_id", quality.descriptive_richness("text", PATTERNS).alias("score"))
 
@@ -364,7 +371,7 @@ def q_bigram_cosine(spark: SparkSession, sf: str) -> DataFrame:
 WITH {PAIRS_SQL},
 x AS (SELECT *, length(produced) AS n, len(list_intersect(list_distinct(string_split(source, '')), list_distinct(string_split(produced, '')))) AS shared,
       list_filter(regexp_extract_all(source, '[A-Z][a-z]{{2,}}'), lambda c, i: true) AS kw,
-      len(list_filter(string_split(produced, chr(10)), lambda p: trim(p) <> '')) AS np, {TRANSITION_SQL.format('produced')} AS nt FROM pairs),
+      len(list_filter(string_split(produced, chr(10)), lambda p: trim(p) <> '')) AS np, {transition_sql('produced')} AS nt FROM pairs),
 s AS (SELECT conv_id, turn,
   least(5.0 + least(len(list_filter(kw[1:5], lambda e: contains(produced, e))), 3) + contains(produced, 'ung')::INT + contains(produced, 'tion')::INT, 10.0) AS accuracy,
   least(5.0 + CASE WHEN shared > 10 THEN 2 WHEN shared > 5 THEN 1 ELSE 0 END + least(len(list_filter(kw, lambda e: contains(produced, e))), 3), 10.0) AS relevance,
@@ -426,10 +433,10 @@ def q_coverage(spark: SparkSession, sf: str) -> DataFrame:
 WITH {PAIRS_SQL}, {TOPIC_SQL},
 y AS (SELECT *, list_distinct(list_filter(list_transform(regexp_extract_all(produced, '[0-9]{{4}}'), lambda v: v::INT), lambda v: v BETWEEN 1000 AND 2100)) AS py,
       list_distinct(list_filter(list_transform(regexp_extract_all(source, '[0-9]{{4}}'), lambda v: v::INT), lambda v: v BETWEEN 1000 AND 2100)) AS sy,
-      length(produced) AS n, {TRANSITION_SQL.format('produced')} AS nt FROM pairs),
+      length(produced) AS n, {transition_sql('produced')} AS nt FROM pairs),
 m AS (SELECT y.conv_id, y.turn, CASE WHEN len(py) = 0 THEN 1.0 ELSE len(list_intersect(py, sy)) / len(py) END AS a, topic AS b,
       ({LENGTH_SQL.format(n='n', a=150, b=600, c=200, d=500)})::DOUBLE AS c, (CASE WHEN nt >= 2 THEN 1.0 WHEN nt = 1 THEN 0.7 ELSE 0.4 END)::DOUBLE AS d,
-      ({RICHNESS_SQL.format('produced')}) / 4.0::DOUBLE AS e FROM y JOIN topic USING (conv_id, turn))
+      ({richness_sql('produced')}) / 4.0::DOUBLE AS e FROM y JOIN topic USING (conv_id, turn))
 SELECT conv_id, turn, round((a * 1.0 + b * 1.5 + c * 0.8 + d * 0.8 + e * 0.8) / 4.9 * 10, 5) AS score FROM m""")
 def q_evaluate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.lexicons import METRIC_WEIGHTS
@@ -459,7 +466,7 @@ def q_rule_match(spark: SparkSession, sf: str) -> DataFrame:
 WITH f AS (SELECT user_id, event_type = 'click' AS rule, CASE event_type WHEN 'purchase' THEN 'SUPPORTED' WHEN 'error' THEN 'NOT_SUPPORTED' WHEN 'view' THEN 'UNSURE' END AS v FROM events),
 t AS (SELECT user_id, count(*) AS total_facts, count(*) FILTER (rule OR v IS NULL OR v = 'SUPPORTED') AS supported_facts FROM f GROUP BY 1)
 SELECT c_custkey, coalesce(total_facts, 0) AS total_facts, coalesce(supported_facts, 0) AS supported_facts, round(supported_facts / total_facts, 6) AS fact_score,
-  round(greatest(0.0, least(1.0, 0.8 - (coalesce(total_facts, 0) - coalesce(supported_facts, 0)) * 0.4 * 0.2 + 0.08)), 6) AS confidence
+  round(greatest(0.0, least(1.0, 0.8::DOUBLE - (coalesce(total_facts, 0) - coalesce(supported_facts, 0)) * 0.4::DOUBLE * 0.2::DOUBLE + 0.08::DOUBLE)), 6) AS confidence
 FROM customer LEFT JOIN t ON c_custkey = user_id""")
 def q_fact_support(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("event_type")
