@@ -65,6 +65,10 @@ def count_terms(text: Column, terms: Iterable[str]) -> Column:
     return total
 
 
+#: White space stripped from both ends of texts, the Chinese full-width blank included.
+BLANKS = " \t\n\r\u000b\u000c\u00a0\u3000"
+
+
 def trimmed(text: Column) -> Column:
-    """Strip every kind of white space at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Strip white space at both ends."""
+    return F.btrim(text, F.lit(BLANKS))

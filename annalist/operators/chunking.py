@@ -112,7 +112,8 @@ def chunk_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", carr
     offsets = running_sums(counts, [], [doc_id], {"_before": "_n"}, inclusive=False)
     return (
         listed.join(offsets.select(doc_id, "_before"), doc_id)
-        .select(doc_id, *carry, "_before", F.posexplode("_chunks").alias("_pos", "text"))
+        .select(doc_id, *carry, "_before", F.posexplode_outer("_chunks").alias("_pos", "text"))
+        .where(F.col("text").isNotNull())
         .select(doc_id, (F.col("_before") + F.col("_pos")).alias("chunk_index"), "text", *carry)
     )
 

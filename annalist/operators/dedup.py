@@ -44,6 +44,7 @@ def greedy_dedup(
     candidates, and only for groups still short of ``k`` names drop what the kept names
     exclude and read on. Each round settles a group or adds names to it.
     """
+    df = cut_lineage(df)
     ranked = df.select(
         F.col(group).alias("_g"), F.lower(F.col(name)).alias("_name"),
         F.struct((-F.col(score)).alias("neg"), F.col(tie).alias("tie")).alias("_at"),

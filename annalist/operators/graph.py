@@ -96,9 +96,11 @@ def connected_components(edges: DataFrame, source: str = "source", target: str =
     known nearby, so long chains shrink geometrically. Each round is cut by a reliable
     checkpoint; the loop ends when the edge set no longer changes.
     """
-    links = edges.select(F.greatest(source, target).alias("u"), F.least(source, target).alias("v"))
-    loops = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
-    links = cut_lineage(links.where(F.col("u") != F.col("v")).distinct())
+    given = cut_lineage(
+        edges.select(F.greatest(source, target).alias("u"), F.least(source, target).alias("v")).distinct()
+    )
+    nodes = given.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    links = given.where(F.col("u") != F.col("v"))
     seen = None
     for _ in range(max_rounds):
         links = cut_lineage(_small_star(_large_star(links)))
@@ -109,7 +111,6 @@ def connected_components(edges: DataFrame, source: str = "source", target: str =
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    nodes = loops.distinct()
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 

@@ -1,114 +1,130 @@
-"""Substring joins as equi-joins on character grams.
-
-``text contains term`` has no join key of its own, so each term is represented by one
-anchor gram: a piece of fixed length that any containing text must also hold. Texts are
-exploded into their grams, matched on the anchor, and the candidates verified. Terms
-are tiered by length; below the longest gram length of three the gram is the term.
+"""Substring joins: which texts contain which terms.
+
+``text contains term`` has no join key of its own. A term list of checked size is turned
+into one automaton that every task runs over its texts in a single pass. Longer lists
+become an equi-join on character grams: each term is represented by one anchor gram, a
+piece of fixed length that any containing text must also hold; texts are exploded into
+their grams, matched on the anchor, and the candidates verified. Terms are tiered by
+length; below the shortest full gram length of three the gram is the term.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
+
+try:
+    import ahocorasick
+except ImportError:  # the gram join needs nothing but Spark
+    ahocorasick = None
+
 #: Gram lengths, longest first; a term uses the longest one it can fill.
 GRAM_LENGTHS = (12, 6, 3, 2, 1)
+#: Largest term list, in terms and characters, that is sent to every task.
+MAX_LISTED_TERMS, MAX_LISTED_CHARS = 100_000, 16_000_000
 #: Beyond this many terms the anchors are shuffled instead of broadcast.
-MAX_BROADCAST_TERMS = 200_000
+MAX_BROADCAST_TERMS = 1_000_000
 #: Share of texts read to find out which grams are common.
 STATISTICS_FRACTION = 0.02
 
 
-def grams(text: Column, n: int) -> Column:
-    """Distinct character windows of length n, in one linear pass."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-
-
-def fits(terms: DataFrame, limit: int) -> bool:
-    """Is the table at most ``limit`` rows? Reads no more than needed to know."""
-    return terms.limit(limit + 1).count() <= limit
+def grams(text: Column, lengths: list[int]) -> Column:
+    """Distinct character windows of the given lengths, each in one linear pass."""
+    windows = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
+    return F.array_distinct(F.concat(*windows) if len(windows) > 1 else windows[0])
 
 
 def contains_join(
-    texts: DataFrame,
-    terms: DataFrame,
-    text_id: str,
-    text_col: str,
-    term_col: str,
-    max_broadcast_terms: int = MAX_BROADCAST_TERMS,
+    texts: DataFrame, terms: DataFrame, text_id: str, text_col: str, term_col: str,
+    max_listed: int = MAX_LISTED_TERMS, max_broadcast: int = MAX_BROADCAST_TERMS,
 ) -> DataFrame:
     """Pairs ``(text_id, term)`` where the text contains the non-empty term.
 
-    ``text_id`` must be unique. Nothing is dropped: every pair is found whatever the
-    frequency of its grams, common anchors only cost verification.
+    ``text_id`` must be unique. Every pair is found, whatever the number of terms and
+    however common they are.
     """
-    distinct_terms = (
-        terms.select(F.col(term_col).alias("_term")).where(F.length("_term") > 0).distinct()
-    )
     length = F.length("_term")
     tier = F.lit(None).cast("int")
     for n in reversed(GRAM_LENGTHS):
         tier = F.when(length >= n, F.lit(n)).otherwise(tier)
-    tiered = distinct_terms.withColumn("_n", tier)
-    tiers = sorted(row["_n"] for row in tiered.select("_n").distinct().collect())
-    broadcastable = fits(tiered, max_broadcast_terms)
-
+    tiered = terms.select(F.col(term_col).alias("_term")).where(F.length("_term") > 0).distinct()
+    # Both the size check and the match read the terms: compute them once.
+    tiered = cut_lineage(tiered.withColumn("_n", tier))
+    sizes = tiered.groupBy("_n").agg(F.count("*").alias("terms"), F.sum(length).alias("chars")).collect()
+    n_terms, n_chars = sum(r["terms"] for r in sizes), sum(r["chars"] for r in sizes)
     narrow = texts.select(F.col(text_id).alias("_id"), F.col(text_col).alias("_text"))
-    parts = []
-    for n in tiers:
-        anchors = choose_anchors(narrow, tiered.where(F.col("_n") == n), n)
-        if broadcastable:
-            parts.append(_match_in_place(narrow, anchors, n))
-        else:
-            parts.append(_match_by_shuffle(narrow, anchors, n))
-    if not parts:
-        return narrow.join(distinct_terms, F.lit(False)).select(
-            F.col("_id").alias(text_id), F.col("_term").alias(term_col)
-        )
-    matched = parts[0]
-    for part in parts[1:]:
-        matched = matched.unionByName(part)
+    lengths = sorted(r["_n"] for r in sizes)
+    if not sizes:
+        matched = narrow.where(F.lit(False)).select("_id", F.lit("").alias("_term"))
+    elif ahocorasick is not None and n_terms <= max_listed and n_chars <= MAX_LISTED_CHARS:
+        matched = _match_by_automaton(narrow, [r["_term"] for r in tiered.select("_term").collect()])
+    elif n_terms <= max_broadcast:
+        matched = _match_in_place(narrow, choose_anchors(narrow, tiered, lengths), lengths)
+    else:
+        matched = _match_by_shuffle(narrow, choose_anchors(narrow, tiered, lengths), lengths)
     return matched.select(F.col("_id").alias(text_id), F.col("_term").alias(term_col))
 
 
-def choose_anchors(texts: DataFrame, terms: DataFrame, n: int) -> DataFrame:
-    """The gram of each term that a sample of the texts holds least often.
+def _match_by_automaton(texts: DataFrame, terms: list[str]) -> DataFrame:
+    """One pass over each text finds all terms; nothing is shuffled."""
+    listed = texts.sparkSession.sparkContext.broadcast(sorted(terms))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for term in listed.value:
+            automaton.add_word(term, term)
+        automaton.make_automaton()
+        for batch in batches:
+            ids, found = [], []
+            for key, text in zip(batch["_id"], batch["_text"]):
+                if text:
+                    hits = {term for _, term in automaton.iter(text)}
+                    ids.extend([key] * len(hits))
+                    found.extend(hits)
+            yield pd.DataFrame({"_id": pd.Series(ids, dtype=batch["_id"].dtype), "_term": pd.Series(found, dtype="object")})
+
+    kind = texts.schema["_id"].dataType.simpleString()
+    return texts.mapInPandas(scan, f"_id {kind}, _term string")
+
+
+def choose_anchors(texts: DataFrame, terms: DataFrame, lengths: list[int]) -> DataFrame:
+    """The gram of each term ``(_term, _n)`` that a sample of the texts holds least often.
 
     The sample only decides how many candidates are verified, never the result.
     """
-    exploded = terms.select("_term", F.explode(grams(F.col("_term"), n)).alias("_gram"))
-    if n < 3:
+    own = F.lit(None).cast("array<string>")
+    for n in lengths:
+        own = F.when(F.col("_n") == n, grams(F.col("_term"), [n])).otherwise(own)
+    exploded = terms.select("_term", F.explode(own).alias("_gram"))
+    if max(lengths) < 3:
         return exploded
-    wanted = exploded.select("_gram").distinct()
     seen = (
         texts.sample(STATISTICS_FRACTION, seed=7)
-        .select(F.explode(grams(F.col("_text"), n)).alias("_gram"))
-        .join(wanted, "_gram", "left_semi")
+        .select(F.explode(grams(F.col("_text"), lengths)).alias("_gram"))
+        .join(exploded.select("_gram").distinct(), "_gram", "left_semi")
         .groupBy("_gram")
         .agg(F.count("*").alias("_seen"))
     )
-    ranked = exploded.join(seen, "_gram", "left").select(
-        "_term", F.struct(F.coalesce("_seen", F.lit(0)).alias("seen"), F.xxhash64("_gram").alias("h"), F.col("_gram").alias("gram")).alias("_rank")
-    )
+    rank = F.struct(F.coalesce("_seen", F.lit(0)).alias("seen"), F.xxhash64("_gram").alias("hash"), F.col("_gram").alias("gram"))
+    ranked = exploded.join(seen, "_gram", "left").select("_term", rank.alias("_rank"))
     return ranked.groupBy("_term").agg(F.min("_rank")["gram"].alias("_gram"))
 
 
-def _match_in_place(texts: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
-    """Probe a broadcast anchor table while scanning the texts: no shuffle at all."""
-    exploded = texts.select("_id", "_text", F.explode(grams(F.col("_text"), n)).alias("_gram"))
+def _match_in_place(texts: DataFrame, anchors: DataFrame, lengths: list[int]) -> DataFrame:
+    """Probe a broadcast anchor table while scanning the texts: one pass, no shuffle."""
+    exploded = texts.select("_id", "_text", F.explode(grams(F.col("_text"), lengths)).alias("_gram"))
     pairs = exploded.join(F.broadcast(anchors), "_gram")
     return pairs.where(F.contains("_text", "_term")).select("_id", "_term")
 
 
-def _match_by_shuffle(texts: DataFrame, anchors: DataFrame, n: int) -> DataFrame:
+def _match_by_shuffle(texts: DataFrame, anchors: DataFrame, lengths: list[int]) -> DataFrame:
     """Shuffle narrow (id, gram) rows to the anchors, then fetch candidate texts."""
-    exploded = texts.select("_id", F.explode(grams(F.col("_text"), n)).alias("_gram"))
+    exploded = texts.select("_id", F.explode(grams(F.col("_text"), lengths)).alias("_gram"))
     candidates = exploded.join(anchors, "_gram").select("_id", "_term")
     return (
         candidates.join(texts, "_id").where(F.contains("_text", "_term")).select("_id", "_term")
     )
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Cache a result that several branches read; spills to disk."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

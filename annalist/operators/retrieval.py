@@ -57,9 +57,11 @@ def search_entities(
     scored = scored.where("year_hit").select(
         "query_id", row_id, (F.col("score") + 15 + _bonus(25)).alias("score")
     )
-    named = scored.join(pool.select(row_id, "title", "type", "description"), row_id)
+    named = scored.join(pool.select(row_id, "title"), row_id)
     best = greedy_dedup(named, "query_id", "title", "score", row_id, min(k, 10))
-    return best.select("query_id", "rank", row_id, "title", "type", "description", "score")
+    return best.join(pool.select(row_id, "type", "description"), row_id).select(
+        "query_id", "rank", row_id, "title", "type", "description", "score"
+    )
 
 
 def search_relationships(

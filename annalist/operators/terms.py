@@ -34,7 +34,8 @@ def term_counts(df: DataFrame, doc_id: str, words: Column) -> DataFrame:
 
 
 def document_frequencies(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("term").agg(F.count("*").alias("df"))
+    # Counting by ``tf`` makes both uses of the counts one shared exchange.
+    return counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def tfidf(df: DataFrame, doc_id: str, words: Column, n_documents: Column | int, k: int = 15, frequencies: DataFrame | None = None) -> DataFrame:
@@ -45,15 +46,20 @@ def tfidf(df: DataFrame, doc_id: str, words: Column, n_documents: Column | int,
     come from another corpus; terms it lacks then count as unseen.
     """
     n_documents = F.lit(n_documents) if isinstance(n_documents, int) else n_documents
-    counts = term_counts(df, doc_id, words)
-    lengths = df.select(doc_id, F.size(words).alias("_len"))
+    # The outer form keeps the optimizer from repeating the word split in a size filter.
+    exploded = (
+        df.select(doc_id, words.alias("_w"))
+        .select(doc_id, F.size("_w").alias("_len"), F.explode_outer("_w").alias("term"))
+        .where(F.col("term").isNotNull())
+    )
+    # The length depends on the document alone; as a key it needs neither a join nor a merge.
+    counts = exploded.groupBy(doc_id, "term", "_len").agg(F.count("*").alias("tf"))
     if frequencies is None:
         joined = counts.join(document_frequencies(counts), "term")
     else:
         joined = counts.join(frequencies, "term", "left").fillna(0, ["df"])
-    weighted = (
-        joined.join(lengths, doc_id)
-        .withColumn("weight", F.col("tf") / F.col("_len") * F.ln((n_documents + 1) / (F.col("df") + 1)))
+    weighted = joined.withColumn(
+        "weight", F.col("tf") / F.col("_len") * F.ln((n_documents + 1) / (F.col("df") + 1))
     )
     order = Window.partitionBy(doc_id).orderBy(F.desc(F.round("weight", 9)), "term")
     return (

@@ -73,11 +73,11 @@ def q_edge_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 COMPONENT_SQL = """
-both AS (SELECT source AS a, target AS b FROM {edges} UNION SELECT target, source FROM {edges}),
+links AS (SELECT source AS a, target AS b FROM {edges} UNION SELECT target, source FROM {edges}),
 cc(node, comp) USING KEY (node) AS (
-  SELECT a, a FROM both GROUP BY a
+  SELECT a, a FROM links GROUP BY a
   UNION
-  SELECT u.node, min(v.comp) FROM recurring.cc u JOIN both e ON e.a = u.node JOIN cc v ON v.node = e.b WHERE v.comp < u.comp GROUP BY u.node)
+  SELECT u.node, min(v.comp) FROM recurring.cc u JOIN links e ON e.a = u.node JOIN cc v ON v.node = e.b WHERE v.comp < u.comp GROUP BY u.node)
 SELECT node, comp AS component FROM cc"""
 
 

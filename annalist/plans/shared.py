@@ -56,7 +56,8 @@ chronicle AS (
 
 
 def chronicle(spark: SparkSession, sf: str) -> DataFrame:
-    orders, customer = load(spark, sf, "orders"), load(spark, sf, "customer")
+    orders = spread(load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"))
+    customer = load(spark, sf, "customer")
     nation, region = load(spark, sf, "nation"), load(spark, sf, "region")
     joined = (
         orders.join(customer, orders.o_custkey == customer.c_custkey)
