@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import lexicons as lx
 from ..functions.columns import any_term, text_array, trimmed
+from ..session import cut_lineage
 from .dedup import dedup_key, greedy_dedup
 from .filters import drop_blocked, drop_stop_entities, long_enough
 from .matching import contains_join
@@ -26,7 +27,7 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, n
 def score_rows(rows: DataFrame, row_id: str, text: Column, terms: DataFrame, upper: bool) -> DataFrame:
     """Weighted term hits per (query, row) with one flag per kind of term."""
     fold = F.upper if upper else (lambda c: c)
-    keyed = terms.select("query_id", "weight", "kind", fold(F.col("term")).alias("_needle"))
+    keyed = cut_lineage(terms.select("query_id", "weight", "kind", fold(F.col("term")).alias("_needle")))
     searched = rows.select(F.col(row_id), fold(text).alias("_haystack"))
     hits = contains_join(searched, keyed, row_id, "_haystack", "_needle")
     return (

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import chunks, measure, network, search, text
+from . import chunks, ingest, measure, network, search, text
 from .shared import Catalog
 
 CATALOG = Catalog()
-for module in (text, chunks, search, measure, network):
+for module in (text, chunks, search, measure, network, ingest):
     CATALOG.queries.update(module.catalog.queries)
     CATALOG.sql.update(module.catalog.sql)

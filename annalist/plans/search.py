@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import text_array
 from ..operators import matching, novelty, ranking, retrieval, terms
-from ..sources.tables import load
+from ..sources.tables import load, spread
 from .shared import CHRONICLE_SQL, EXPANDED_SQL, NATION_QUERIES_SQL, Catalog, chronicle, documents, nation_queries, union_all
 
 catalog = Catalog()
@@ -203,7 +203,7 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionke
 
 
 def communities(spark: SparkSession, sf: str) -> DataFrame:
-    customer, nation, region = load(spark, sf, "customer"), load(spark, sf, "nation"), load(spark, sf, "region")
+    customer, nation, region = spread(load(spark, sf, "customer")), load(spark, sf, "nation"), load(spark, sf, "region")
     joined = customer.join(nation, customer.c_nationkey == nation.n_nationkey).join(region, nation.n_regionkey == region.r_regionkey)
     return joined.select(
         F.col("c_custkey").alias("community"), F.col("c_name").alias("title"),
@@ -237,7 +237,7 @@ base AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id OR
 
 
 def people(spark: SparkSession, sf: str) -> DataFrame:
-    customer, nation, region = load(spark, sf, "customer"), load(spark, sf, "nation"), load(spark, sf, "region")
+    customer, nation, region = spread(load(spark, sf, "customer")), load(spark, sf, "nation"), load(spark, sf, "region")
     kind = F.when(F.col("c_mktsegment") == "HOUSEHOLD", "PERSON").when(F.col("c_mktsegment") == "MACHINERY", "ORGANIZATION").otherwise("OTHER")
     places = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("title"), F.lit("GEO").alias("type"),
