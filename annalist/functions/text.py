@@ -299,13 +299,12 @@ def names_match(left: Column | str, right: Column | str, spellings: dict[str, li
         local_of = {s.lower(): local for local, names in spellings.items() for s in names}
         to_local = F.create_map(*[F.lit(x) for pair in local_of.items() for x in pair])
 
-        def locals_of(flat: Column, original: Column) -> Column:
+        def locals_of(flat: Column) -> Column:
             words = F.concat(F.array(flat), all_matches(flat, "[a-z]+"))
-            known = F.filter(F.transform(words, lambda w: to_local[w]), lambda w: w.isNotNull())
-            return F.concat(known, F.array(original))
+            return F.filter(F.transform(words, lambda w: to_local[w]), lambda w: w.isNotNull())
 
-        rule = rule | F.exists(locals_of(a, left), lambda x: right.contains(x) & (x != ""))
-        rule = rule | F.exists(locals_of(b, right), lambda x: left.contains(x) & (x != ""))
+        rule = rule | F.exists(locals_of(a), lambda x: right.contains(x) | x.contains(right))
+        rule = rule | F.exists(locals_of(b), lambda x: left.contains(x) | x.contains(left))
     return F.coalesce((left != "") & (right != "") & rule, F.lit(False))
 
 

@@ -36,7 +36,8 @@ def chapter_issues(
         if name not in chapters.columns:
             chapters = chapters.withColumn(name, F.lit(None).cast("double"))
     last = chapters.groupBy(doc_id).agg(F.max(idx).alias("_last"))
-    ratio = F.length(text) / F.greatest(F.col("target_chars"), F.lit(1))
+    target = F.col("target_chars")
+    ratio = F.when(target.isNotNull(), F.length(text) / F.greatest(target, F.lit(1)))
     checked = chapters.join(last, doc_id).select(
         doc_id, idx, *OPTIONAL,
         ratio.alias("_ratio"),

@@ -11,6 +11,7 @@ from ..operators.running import running_index
 EVENT_SCHEMA = (
     "title string, date string, location string, content string, keywords array<string>, source string"
 )
+EVENT_STRUCT = "title:string,date:string,location:string,content:string,keywords:array<string>,source:string"
 FIELDS = ("title", "date", "location", "content", "keywords", "source")
 
 
@@ -22,20 +23,19 @@ def _defaults(df: DataFrame) -> DataFrame:
 
 def read_events_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON arrays of events; missing values get defaults. Files that do not parse add nothing."""
-    raw = _raw_json(spark, path)
-    return _defaults(raw.where(F.col("_corrupt").isNull()).select(*FIELDS))
+    return _defaults(_json_files(spark, path).where("_valid").select(F.inline("_items")))
 
 
 def skipped_json(spark: SparkSession, path: str) -> DataFrame:
-    """Files that did not parse: ``(file, reason)``."""
-    raw = _raw_json(spark, path).where(F.col("_corrupt").isNotNull())
-    return raw.select("file", F.lit("invalid json").alias("reason")).distinct()
+    """Files that are not JSON arrays: ``(file, reason)``."""
+    return _json_files(spark, path).where("NOT _valid").select("file", F.lit("invalid json").alias("reason"))
 
 
-def _raw_json(spark: SparkSession, path: str) -> DataFrame:
-    reader = spark.read.schema(f"{EVENT_SCHEMA}, _corrupt string").option("multiLine", True)
-    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-    return reader.json(path).select("*", F.col("_metadata.file_name").alias("file"))
+def _json_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file: its items, and whether it is an array at all."""
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
+    valid = F.try_parse_json("value").isNotNull() & trimmed(F.col("value")).startswith("[")
+    return raw.select("file", valid.alias("_valid"), F.from_json("value", f"array<struct<{EVENT_STRUCT}>>").alias("_items"))
 
 
 def read_events_csv(spark: SparkSession, path: str) -> DataFrame:
