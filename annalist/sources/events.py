@@ -41,10 +41,10 @@ def _json_files(spark: SparkSession, path: str) -> DataFrame:
 def read_events_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header; defaults fill missing columns only, an empty cell stays empty."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    raw = reader.option("nullValue", "\u0001").option("emptyValue", "").csv(path)
+    raw = reader.csv(path)
     have = set(raw.columns)
     columns = [
-        (F.col(c) if c in have else F.lit(default)).alias(c) for c, default in lx.EVENT_DEFAULTS.items()
+        (F.coalesce(c, F.lit("")) if c in have else F.lit(default)).alias(c) for c, default in lx.EVENT_DEFAULTS.items()
     ]
     words = F.lit(None).cast("array<string>")
     if "keywords" in have:
