@@ -53,24 +53,23 @@ def greedy_dedup(
     kept = None
     while True:
         order = Window.partitionBy("_g").orderBy("_at")
-        top = pool.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= batch)
+        # One row more than is read tells whether the group goes on.
+        top = pool.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= batch + 1)
         gathered = top.groupBy("_g").agg(
             F.array_sort(F.collect_list(F.struct(F.col("_r").alias("r"), F.col("_name").alias("name"), F.col("_at").alias("at")))).alias("_batch"),
         )
-        items = F.transform("_batch", lambda b: F.struct(b["name"].alias("name"), b["at"].alias("at")))
+        items = F.transform(F.slice("_batch", 1, batch), lambda b: F.struct(b["name"].alias("name"), b["at"].alias("at")))
+        more = F.size("_batch") > batch
         if kept is None:
             start = F.array().cast(_kept_type(pool))
-            state = gathered.select("_g", _fold(items, start, k).alias("_kept"), F.size("_batch").alias("_read"))
+            state = gathered.select("_g", _fold(items, start, k).alias("_kept"), more.alias("_more"))
         else:
             state = kept.join(gathered, "_g", "left").select(
                 "_g",
                 F.when(F.col("_batch").isNull(), F.col("_kept")).otherwise(_fold(items, F.col("_kept"), k)).alias("_kept"),
-                F.coalesce(F.size("_batch"), F.lit(0)).alias("_read"),
+                F.coalesce(more, F.lit(False)).alias("_more"),
             )
-        sizes = pool.groupBy("_g").agg(F.count("*").alias("_left"))
-        state = state.join(sizes, "_g", "left").withColumn(
-            "_open", (F.size("_kept") < k) & (F.coalesce("_left", F.lit(0)) > F.col("_read"))
-        )
+        state = state.withColumn("_open", (F.size("_kept") < k) & F.col("_more"))
         state = cut_lineage(state.select("_g", "_kept", "_open"))
         kept = state.select("_g", "_kept")
         if state.where("_open").isEmpty():

@@ -33,9 +33,16 @@ def term_counts(df: DataFrame, doc_id: str, words: Column) -> DataFrame:
     )
 
 
-def document_frequencies(counts: DataFrame) -> DataFrame:
-    # Counting by ``tf`` makes both uses of the counts one shared exchange.
-    return counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+def document_frequencies(df: DataFrame, words: Column, vocabulary: DataFrame | None = None) -> DataFrame:
+    """``(term, df)``: number of rows whose words hold the term.
+
+    Words are made distinct inside the row, so only one combined count per term is
+    shuffled. A ``vocabulary(term)`` restricts the count to the terms that are asked for.
+    """
+    rows = df.select(F.explode(F.array_distinct(words)).alias("term"))
+    if vocabulary is not None:
+        rows = rows.join(vocabulary.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def tfidf(df: DataFrame, doc_id: str, words: Column, n_documents: Column | int, k: int = 15, frequencies: DataFrame | None = None) -> DataFrame:
@@ -55,7 +62,7 @@ def tfidf(df: DataFrame, doc_id: str, words: Column, n_documents: Column | int,
     # The length depends on the document alone; as a key it needs neither a join nor a merge.
     counts = exploded.groupBy(doc_id, "term", "_len").agg(F.count("*").alias("tf"))
     if frequencies is None:
-        joined = counts.join(document_frequencies(counts), "term")
+        joined = counts.join(document_frequencies(df, words), "term")
     else:
         joined = counts.join(frequencies, "term", "left").fillna(0, ["df"])
     weighted = joined.withColumn(

@@ -283,11 +283,11 @@ def q_stream_averages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @catalog.add("q_stream_windows", """
-SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n_rows, round(avg(value), 4) AS avg_value FROM events GROUP BY ALL""")
+SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n_rows, round(sum(value), 2) AS total FROM events GROUP BY ALL""")
 def q_stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     stream = stream_table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     rows = drain(spark, ingest.windowed_averages(stream, "ts", "event_type", "value", "1 day"), "windows")
-    return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n_rows", F.round("avg_value", 4).alias("avg_value"))
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n_rows", F.round(F.col("avg_value") * F.col("n_rows"), 2).alias("total"))
 
 
 @catalog.add("q_stream_ingest", """

@@ -178,11 +178,12 @@ def q_doc_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @catalog.add("q_provider_pivot", """
-SELECT user_id, round(avg(value) FILTER (event_type = 'click'), 4) AS click, round(avg(value) FILTER (event_type = 'view'), 4) AS view,
-       round(avg(value), 4) AS overall FROM events GROUP BY 1""")
+SELECT user_id, round(avg(sqrt(value)) FILTER (event_type = 'click'), 6) AS click, round(avg(sqrt(value)) FILTER (event_type = 'view'), 6) AS view,
+       round(avg(sqrt(value)), 6) AS overall FROM events GROUP BY 1""")
 def q_provider_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    rows = ranking.provider_pivot(load(spark, sf, "events"), "user_id", "event_type", "value", ["click", "view"])
-    return rows.select("user_id", *[F.round(c, 4).alias(c) for c in ("click", "view", "overall")])
+    scores = load(spark, sf, "events").withColumn("score", F.sqrt("value"))
+    rows = ranking.provider_pivot(scores, "user_id", "event_type", "score", ["click", "view"])
+    return rows.select("user_id", *[F.round(c, 6).alias(c) for c in ("click", "view", "overall")])
 
 
 VERDICTS_SQL = """

@@ -69,7 +69,7 @@ truth AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contai
 def item_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark passages as queries with their ten most specific terms."""
     docs, items = documents(spark, sf), load(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id")
-    frequencies = terms.document_frequencies(terms.term_counts(docs, "doc_id", words()))
+    frequencies = terms.document_frequencies(docs, words(), items.select(F.explode(words()).alias("term")))
     top = terms.tfidf(items, "query_id", words(), load(spark, sf, "documents").count(), 10, frequencies)
     listed = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term")))["term"].alias("keywords"))
     return items.join(listed, "query_id").withColumn("location", F.lit(None).cast("string"))

@@ -16,17 +16,20 @@ def stream_documents(spark: SparkSession, directory: str, schema: str, format: s
 def ingest_chunks(documents: DataFrame, out: str, checkpoint: str, doc_id: str = "doc_id", **options) -> StreamingQuery:
     """Chunk each new document once and append to a parquet table.
 
-    The batch number is a partition that is overwritten whole, so a repeated batch
-    after a failure replaces its own output instead of adding to it.
+    Documents already in the table are found by a join on their ids, so no stream state
+    grows with the corpus. The batch number is a partition that is overwritten whole: a
+    batch repeated after a failure ignores and replaces its own earlier output.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        chunks = paragraph_chunks(batch, doc_id, **options)
-        chunks.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        fresh = batch.dropDuplicates([doc_id])
+        if batch_id > 0:
+            known = batch.sparkSession.read.parquet(out).where(F.col("batch") < batch_id).select(doc_id).distinct()
+            fresh = fresh.join(known, doc_id, "left_anti")
+        paragraph_chunks(fresh, doc_id, **options).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    unique = documents.dropDuplicates([doc_id])
     return (
-        unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
