@@ -250,16 +250,20 @@ def adjacent_overlaps(chapters: DataFrame, doc_id: str, idx: str, text: str, n:
     (document, index), so a document with very many chapters spreads over all tasks,
     which a window per document would not do. ``ratio`` is null if either side is empty.
     """
-    sets = chapters.select(doc_id, F.col(idx).alias("_i"), char_ngrams(text, n).alias("_g"))
-    # One shuffle: each chapter also goes to its predecessor's key.
-    sent = sets.select(
+    texts = chapters.select(doc_id, F.col(idx).alias("_i"), F.regexp_replace(text, r"\s+", "").alias("_t"))
+    # One shuffle: each chapter also goes to its predecessor's key. Texts travel, not their
+    # grams, which are several times larger.
+    sent = texts.select(
         doc_id,
         F.explode(F.array(F.struct(F.col("_i").alias("at"), F.lit(0).alias("role")), F.struct((F.col("_i") - 1).alias("at"), F.lit(1).alias("role")))).alias("_s"),
-        "_g",
+        "_t",
     )
     met = sent.groupBy(doc_id, F.col("_s.at").alias(idx)).agg(
-        F.any_value(F.when(F.col("_s.role") == 0, F.col("_g")), True).alias("_a"),
-        F.any_value(F.when(F.col("_s.role") == 1, F.col("_g")), True).alias("_b"),
+        F.any_value(F.when(F.col("_s.role") == 0, F.col("_t")), True).alias("_ta"),
+        F.any_value(F.when(F.col("_s.role") == 1, F.col("_t")), True).alias("_tb"),
+    )
+    met = met.where(F.col("_ta").isNotNull() & F.col("_tb").isNotNull()).select(
+        doc_id, idx, char_ngrams("_ta", n).alias("_a"), char_ngrams("_tb", n).alias("_b")
     )
     common = F.array_intersect("_a", "_b")
     result = [
@@ -268,7 +272,7 @@ def adjacent_overlaps(chapters: DataFrame, doc_id: str, idx: str, text: str, n:
     ]
     if samples:
         result.append(F.slice(F.array_sort(common), 1, samples).alias("samples"))
-    return met.where(F.col("_a").isNotNull() & F.col("_b").isNotNull()).select(*result)
+    return met.select(*result)
 
 
 def repetition(chapters: DataFrame, doc_id: str, idx: str, text: str, n: int = 6) -> DataFrame:

