@@ -11,6 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Most ranges an order column is cut into.
+MAX_RANGES = 256
+
 
 def range_bounds(df: DataFrame, order_col: str, ranges: int) -> list:
     """At most ``ranges - 1`` cut points of the order column (one small aggregate)."""
@@ -22,11 +25,15 @@ def range_bounds(df: DataFrame, order_col: str, ranges: int) -> list:
 
 
 def range_of(value: Column, bounds: list) -> Column:
-    """Number of the range a value falls into."""
-    if not bounds:
-        return F.lit(0)
-    cuts = F.array(*[F.lit(b) for b in bounds])
-    return F.size(F.filter(cuts, lambda cut: cut < value))
+    """Number of the range a value falls into: how many bounds lie below it.
+
+    A balanced sum of comparisons rather than a lambda over an array: the range is a join
+    key, and the optimizer copies such keys to the other side of the join.
+    """
+    terms = [(value > F.lit(b)).cast("int") for b in bounds] or [F.lit(0)]
+    while len(terms) > 1:
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) // 2 * 2 :]
+    return F.coalesce(terms[0], F.lit(0))
 
 
 def running_sums(
@@ -42,7 +49,7 @@ def running_sums(
     ``order_cols[0]`` must be numeric or temporal; the remaining ones break ties.
     """
     keys = list(keys)
-    ranges = ranges or df.sparkSession.sparkContext.defaultParallelism
+    ranges = ranges or min(MAX_RANGES, df.sparkSession.sparkContext.defaultParallelism)
     bounds = range_bounds(df, order_cols[0], ranges)
     cut = df.withColumn("_range", range_of(F.col(order_cols[0]), bounds))
     inside = Window.partitionBy(*keys, "_range").orderBy(*order_cols)
