@@ -14,6 +14,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Long texts cross to Python in batches of moderate size.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Checkpoint files go when their table is no longer used.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
