@@ -239,3 +239,10 @@ def test_session_and_window_averages_on_a_table(spark):
     sessions = sorted(r["avg_v"] for r in ingest.session_averages(df, "ts", "k", "v").collect())
     windows = sorted(r["avg_v"] for r in ingest.windowed_averages(df, "ts", "k", "v").collect())
     assert sessions == [2.0, 5.0] and windows == [2.0, 5.0]
+
+
+def test_hashed_embedding_is_unit_length_and_stable(spark):
+    df = spark.createDataFrame([(1, "the same text"), (2, "The  same text"), (3, "other words")], "id int, text string")
+    rows = {r["id"]: np.array(r["embedding"]) for r in vectors.hashed_embedding(df, "text", 64).collect()}
+    assert all(abs(np.linalg.norm(v) - 1) < 1e-5 for v in rows.values())
+    assert np.allclose(rows[1], rows[2]) and not np.allclose(rows[1], rows[3])
