@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.shared import Catalog
 from ..sources.tables import load
-from . import topk, warc
+from . import topk, toxicity, warc
 from .common import shared_folder
 
 catalog = Catalog()
@@ -49,3 +49,21 @@ def op9_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The five best rows for every row whose id is divisible by 50, against all rows."""
     rows = load(spark, sf, "embeddings").select("vec_id", "embedding")
     return topk.exact_topk(rows.where(F.col("vec_id") % 50 == 0), rows, k=5)
+
+
+#: Rows of labelled documents that a classifier is fitted on, at most.
+LABELLED = 8000
+
+
+def severity_grades(labels: DataFrame) -> DataFrame:
+    """Grades of the two label columns: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
+    toxic = F.col("toxic").cast("int")
+    return labels.select("doc_id", (toxic + F.when((toxic == 1) & (F.col("quality") == 0), 1).otherwise(0)).alias("grade"))
+
+
+@catalog.add("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected severity of every document; grades learnt from the labelled ones."""
+    documents = load(spark, sf, "documents")
+    model = toxicity.fit(documents, severity_grades(load(spark, sf, "labels")), LABELLED)
+    return toxicity.score(documents.select("doc_id", "text"), model).select("doc_id", "expected_severity", "grade", "toxic")
