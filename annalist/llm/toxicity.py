@@ -67,7 +67,7 @@ def sample_graded(documents: DataFrame, grades: DataFrame, bound: int, id_col: s
 
 def fit(
     documents: DataFrame, grades: DataFrame, bound: int = 8000, id_col: str = "doc_id", text: str = "text",
-    min_documents: int = 5, max_share: float = 0.3, penalty: float = 0.003, rounds: int = 200,
+    min_documents: int = 5, max_share: float = 0.3, penalty: float = 0.003, rounds: int = 120,
 ) -> OrdinalModel:
     """Fit on at most ``bound`` graded documents.
 
@@ -78,7 +78,7 @@ def fit(
     return fit_sample(sample["words"].tolist(), sample["grade"].to_numpy(dtype=np.int64), min_documents, max_share, penalty, rounds)
 
 
-def fit_sample(words: list, grades: np.ndarray, min_documents: int = 5, max_share: float = 0.3, penalty: float = 0.003, rounds: int = 200) -> OrdinalModel:
+def fit_sample(words: list, grades: np.ndarray, min_documents: int = 5, max_share: float = 0.3, penalty: float = 0.003, rounds: int = 120) -> OrdinalModel:
     levels = sorted(set(grades.tolist()))
     if len(levels) < 2:
         return OrdinalModel(grades=levels or [0])
@@ -156,7 +156,7 @@ def _scorer(model: OrdinalModel):
     return score
 
 
-def score(documents: DataFrame, model: OrdinalModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
+def score(documents: DataFrame, model: OrdinalModel, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """All columns and rows, with ``expected_severity``, ``grade`` and ``toxic`` (expected severity reaches the threshold).
 
     Columns of these names are replaced.
