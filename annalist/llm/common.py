@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 
@@ -19,9 +20,19 @@ WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
 
 
-def moderate_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of one Arrow batch, so that a batch of long texts stays small."""
+#: The folder that holds this package.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bound the rows of one Arrow batch, so that a batch of long texts stays small, and let Python workers
+    find this package where it lies on their machine, too.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
 
 
 def words_of(text: str) -> list[str]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.shared import Catalog
 from ..sources.tables import load
-from . import topk, toxicity, warc
+from . import packing, topk, toxicity, warc
 from .common import shared_folder
 
 catalog = Catalog()
@@ -67,3 +67,16 @@ def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     documents = load(spark, sf, "documents")
     model = toxicity.fit(documents, severity_grades(load(spark, sf, "labels")), LABELLED)
     return toxicity.score(documents.select("doc_id", "text"), model).select("doc_id", "expected_severity", "grade", "toxic")
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@catalog.add("op7_packing")
+def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in windows of 2048 tokens."""
+    return packing.pack(load(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"), window=2048, end_id=1)

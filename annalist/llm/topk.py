@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import finite_vector
+from .common import finite_vector, prepare
 
 #: Sums of products below this are exact in double precision.
 EXACT = 2.0**53
@@ -34,6 +34,7 @@ def exact_topk(
             F.col(name).isNotNull() & finite_vector(F.col("_v"))
         )
 
+    prepare(queries.sparkSession, 10_000)
     left, right = usable(queries, "query_id"), usable(candidates, "vec_id")
     tiles = max(1, -(-left.count() // query_tile))
     shards = max(1, -(-right.count() // shard_rows))

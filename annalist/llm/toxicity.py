@@ -8,13 +8,15 @@ all documents where they lie.
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import moderate_batches
+from .common import prepare
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -49,50 +51,82 @@ class OrdinalModel:
         return float(self.grades[0] + (above * steps).sum()), int(self.grades[int(np.argmax(each))])
 
 
-def sample_graded(documents: DataFrame, grades: DataFrame, bound: int, id_col: str = "doc_id", text: str = "text") -> pd.DataFrame:
-    """At most ``bound`` graded documents in order of a hash of their ids, as ``(words, grade)`` on the driver.
+def sample_graded(documents: DataFrame, grades: DataFrame, bound: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """At most ``bound`` graded documents in order of a hash of their ids: ``(_id, words, grade)``.
 
     ``grades(id, grade)``: null ids and grades do not count; of repeated ids the highest grade holds.
     """
     chosen = (
         grades.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull())
-        .groupBy(F.col(id_col).alias("_id")).agg(F.max("grade").alias("grade"))
+        .groupBy(F.col(id_col).alias("_id")).agg(F.max("grade").cast("long").alias("grade"))
         .orderBy(F.xxhash64("_id"), "_id").limit(bound)
     )
     texts = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     words = F.regexp_extract_all(F.lower(F.coalesce("_text", F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1))
     # The chosen ids are bounded by the parameter, so they may travel to every task.
-    return texts.join(F.broadcast(chosen), "_id").select("_id", F.array_distinct(words).alias("words"), "grade").toPandas()
+    return texts.join(F.broadcast(chosen), "_id").select("_id", F.array_distinct(words).alias("words"), "grade")
 
 
 def fit(
     documents: DataFrame, grades: DataFrame, bound: int = 8000, id_col: str = "doc_id", text: str = "text",
     min_documents: int = 5, max_share: float = 0.3, penalty: float = 0.003, rounds: int = 120,
 ) -> OrdinalModel:
-    """Fit on at most ``bound`` graded documents.
+    """Fit on at most ``bound`` graded documents, in one task.
 
     Words in fewer than ``min_documents`` or in more than ``max_share`` of them are no features. Without graded
     documents, or with a single grade, the model says that grade (0 without any) for every text.
     """
-    sample = sample_graded(documents, grades, bound, id_col, text).sort_values("_id", kind="stable")
-    return fit_sample(sample["words"].tolist(), sample["grade"].to_numpy(dtype=np.int64), min_documents, max_share, penalty, rounds)
+    prepare(documents.sparkSession)
+
+    def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample, levels = FeatureRows(), []
+        for batch in batches:
+            levels += batch["grade"].tolist()
+            for words in batch["words"]:
+                sample.add(words)
+        model = fit_sample(sample, np.array(levels, dtype=np.int64), min_documents, max_share, penalty, rounds)
+        yield pd.DataFrame(
+            [("grade", "", float(g)) for g in model.grades] + [("threshold", "", t) for t in model.thresholds]
+            + [("weight", w, x) for w, x in model.weights.items()], columns=["kind", "name", "value"],
+        )
+
+    sample = sample_graded(documents, grades, bound, id_col, text).repartition(1).sortWithinPartitions("_id")
+    rows = sample.mapInPandas(train, "kind string, name string, value double").collect()
+    of = lambda kind: [r["value"] for r in rows if r["kind"] == kind]
+    return OrdinalModel(
+        {r["name"]: r["value"] for r in rows if r["kind"] == "weight"}, of("threshold"), [int(g) for g in of("grade")] or [0]
+    )
+
+
+class FeatureRows:
+    """Numbered features of documents, one after the other."""
+
+    def __init__(self, documents: list | None = None) -> None:
+        self.number: dict[str, int] = {}
+        self.columns, self.sizes = array("i"), array("i")
+        for words in documents or ():
+            self.add(words)
+
+    def add(self, words) -> None:
+        found = sorted(features(set(words)))
+        self.columns.extend([self.number.setdefault(f, len(self.number)) for f in found])
+        self.sizes.append(len(found))
 
 
-def fit_sample(words: list, grades: np.ndarray, min_documents: int = 5, max_share: float = 0.3, penalty: float = 0.003, rounds: int = 120) -> OrdinalModel:
+def fit_sample(sample: FeatureRows, grades: np.ndarray, min_documents: int = 5, max_share: float = 0.3, penalty: float = 0.003, rounds: int = 120) -> OrdinalModel:
     levels = sorted(set(grades.tolist()))
     if len(levels) < 2:
         return OrdinalModel(grades=levels or [0])
     n = len(grades)
     y = np.searchsorted(levels, grades)
-    present = [features(set(ws)) for ws in words]
-    number: dict[str, int] = {}
-    columns = np.array([number.setdefault(f, len(number)) for fs in present for f in sorted(fs)], dtype=np.int64)
-    rows = np.repeat(np.arange(n), [len(fs) for fs in present])
-    names, counts = np.array(list(number)), np.bincount(columns, minlength=len(number))
+    columns = np.frombuffer(sample.columns, dtype=np.int32) if sample.columns else np.zeros(0, np.int32)
+    counts = np.bincount(columns, minlength=len(sample.number))
     fit_for = (counts >= min_documents) & (counts <= max_share * n)
     kept = fit_for[columns]
-    rows, columns = rows[kept], (np.cumsum(fit_for) - 1)[columns[kept]]
-    names, share = names[fit_for], counts[fit_for] / n
+    rows = np.repeat(np.arange(n), np.array(sample.sizes))[kept]
+    columns = (np.cumsum(fit_for) - 1)[columns[kept]]
+    names = [name for name, i in sample.number.items() if fit_for[i]]
+    share = counts[fit_for] / n
     scale = 1.0 / np.sqrt(share * (1.0 - share))
     thresholds = np.array([np.log((y < k).mean() / (y >= k).mean()) for k in range(1, len(levels))])
     w = np.zeros(len(names))
@@ -156,12 +190,12 @@ def _scorer(model: OrdinalModel):
     return score
 
 
-def score(documents: DataFrame, model: OrdinalModel, text: str = "text", threshold: float = 0.3) -> DataFrame:
+def score(documents: DataFrame, model: OrdinalModel, text: str = "text", threshold: float = 0.4) -> DataFrame:
     """All columns and rows, with ``expected_severity``, ``grade`` and ``toxic`` (expected severity reaches the threshold).
 
     Columns of these names are replaced.
     """
-    moderate_batches(documents.sparkSession)
+    prepare(documents.sparkSession)
     scored = documents.withColumn("_severity", severity(model, F.col(text)))
     return scored.withColumns({
         "expected_severity": F.col("_severity.expected_severity"), "grade": F.col("_severity.grade"),

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import moderate_batches
+from .common import prepare
 
 #: Bytes of one chunk, and bytes after which a task begins another archive.
 CHUNK, ARCHIVE = 1 << 16, 1 << 30
@@ -55,7 +55,7 @@ def plan_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
 
 def write_archives(records: DataFrame, folder: str, chunk: int = CHUNK, archive_bytes: int = ARCHIVE) -> DataFrame:
     """Write ``(page_id, url, html, refers_to)`` below ``folder``; the manifest ``(archive, n_records)``."""
-    moderate_batches(records.sparkSession)
+    prepare(records.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -89,7 +89,7 @@ def read_archives(manifest: DataFrame, chunk: int = CHUNK, with_data: bool = Tru
     declared digest and length.
     """
     spark = manifest.sparkSession
-    moderate_batches(spark)
+    prepare(spark)
     files = max(1, manifest.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

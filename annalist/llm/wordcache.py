@@ -1,0 +1,67 @@
+"""Exact subword ids of whole texts, with one call of the tokenizer per distinct piece of text.
+
+A byte-level vocabulary splits texts before its merges, and a blank that is followed by another character always
+begins a new part. So a text may be cut at single blanks and the ids of its pieces joined. Texts with runs of
+white space that this does not cover are encoded whole.
+"""
+
+from __future__ import annotations
+
+from functools import lru_cache
+
+import numpy as np
+
+#: Pieces that one worker process remembers; a full table is emptied, which only costs time.
+REMEMBERED = 600_000
+
+
+class PieceCoder:
+    """Ids of texts as little-endian bytes of ``dtype``."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.known: dict[str, bytes | None] = {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.dtype).tobytes()
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.known) + len(pieces) > REMEMBERED:
+            self.known.clear()
+        fresh = sorted(pieces)
+        for piece, code in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
+            # A piece that is empty or goes on with white space may not be cut off.
+            self.known[piece] = None if piece == " " or piece[1:2].isspace() else self._bytes(code.ids)
+
+    def parts(self, text: str) -> list[str]:
+        first, *rest = text.split(" ")
+        return [first] * bool(first) + [" " + r for r in rest]
+
+    def encode(self, text: str | None) -> bytes:
+        """All ids of a text; null and empty texts have none."""
+        if not text:
+            return b""
+        parts = self.parts(text)
+        missing = set(parts) - self.known.keys()
+        if missing:
+            if len(missing) + len(self.known) > REMEMBERED:
+                missing = set(parts)
+            self._learn(missing)
+        codes = list(map(self.known.__getitem__, parts))
+        if None in codes:
+            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(codes)
+
+    def ids(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(self.encode(text), dtype=self.dtype)
+
+
+@lru_cache(maxsize=2)
+def coder(path: str) -> PieceCoder:
+    """One coder per worker process."""
+    return PieceCoder(path)
