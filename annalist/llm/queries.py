@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.shared import Catalog
 from ..sources.tables import load
-from . import packing, topk, toxicity, warc
+from . import packing, secret_scan, topk, toxicity, warc
+from ..session import cut_lineage
 from .common import shared_folder
 
 catalog = Catalog()
@@ -80,3 +81,15 @@ def vocabulary(name: str) -> str:
 def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in windows of 2048 tokens."""
     return packing.pack(load(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"), window=2048, end_id=1)
+
+
+#: Labelled findings that the forest is fitted on, at most.
+FINDINGS = 6000
+
+
+@catalog.add("op5_secrets")
+def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """Every candidate of every document with the forest's verdict."""
+    findings = cut_lineage(secret_scan.scan(load(spark, sf, "documents")))
+    model = secret_scan.fit(secret_scan.audited(findings), FINDINGS)
+    return secret_scan.classify(findings, model).select("doc_id", "start", "end", "kind", "score", "is_secret")
