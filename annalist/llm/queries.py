@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.shared import Catalog
 from ..sources.tables import load
-from . import packing, secret_scan, topk, toxicity, warc
+from . import html_tree, packing, secret_scan, topk, toxicity, warc
 from ..session import cut_lineage
 from .common import shared_folder
 
@@ -93,3 +93,9 @@ def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
     findings = cut_lineage(secret_scan.scan(load(spark, sf, "documents")))
     model = secret_scan.fit(secret_scan.audited(findings), FINDINGS)
     return secret_scan.classify(findings, model).select("doc_id", "start", "end", "kind", "score", "is_secret")
+
+
+@catalog.add("op6_html")
+def op6_html(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_tree.extract(load(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
