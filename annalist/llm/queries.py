@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.shared import Catalog
 from ..sources.tables import load
-from . import html_tree, packing, secret_scan, topk, toxicity, warc
+from . import html_tree, packing, secret_scan, sentencepiece_codec, topk, toxicity, warc
 from ..session import cut_lineage
 from .common import shared_folder
 
@@ -99,3 +99,10 @@ def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
 def op6_html(spark: SparkSession, sf: str) -> DataFrame:
     """Main text of all pages."""
     return html_tree.extract(load(spark, sf, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@catalog.add("op4_sentencepiece")
+def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of all documents, compared with the sentencepiece library and decoded again."""
+    coded = sentencepiece_codec.encode(load(spark, sf, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+    return coded.select("doc_id", "ids", "n_ids", "parity", "round_trip")
