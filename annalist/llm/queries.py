@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.shared import Catalog
 from ..sources.tables import load
-from . import html_tree, packing, secret_scan, sentencepiece_codec, topk, toxicity, warc
+from . import html_tree, minhash, packing, secret_scan, sentencepiece_codec, topk, toxicity, warc
 from ..session import cut_lineage
 from .common import shared_folder
 
@@ -106,3 +106,29 @@ def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of all documents, compared with the sentencepiece library and decoded again."""
     coded = sentencepiece_codec.encode(load(spark, sf, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
     return coded.select("doc_id", "ids", "n_ids", "parity", "round_trip")
+
+
+@catalog.add("op3_minhash", """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+), shingled AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), sets AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM shingled
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
+  FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs WHERE 100 * common >= 85 * (na + nb - common)
+), reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen
+), components AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept
+FROM shingled JOIN components ON node = doc_id
+""")
+def op3_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate classes of all documents at a Jaccard similarity of 0.85."""
+    return minhash.near_duplicates(load(spark, sf, "documents"), percent=85)
