@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import prepare, shared_folder
-from .wordcache import coder
+from .subwords import coder
 
 #: Parameters of BM25.
 K1, B = 1.2, 0.75
@@ -53,12 +53,13 @@ def tokenize(documents: DataFrame, tokenizer: str, window: int, end_id: int, doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(tokenizer)
         frequencies = np.zeros(max(code.size, end_id + 1), dtype=np.int32)
-        end = np.array([end_id], dtype=code.dtype).tobytes()
+        end = np.array([end_id], dtype=code.dtype)
         total = 0
         for batch in batches:
             rows = []
-            for key, body in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.frombuffer(code.encode(body) + end, dtype=code.dtype)
+            bodies = code.encode(batch.column("text").to_pylist())
+            for key, body in zip(batch.column("doc_id").to_pylist(), bodies):
+                ids = np.concatenate([body, end])
                 total += len(ids)
                 frequencies[np.unique(ids)] += 1
                 cut = len(ids) - len(ids) % window

@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import prepare
-from .wordcache import REMEMBERED
+
+#: Words that one worker process remembers; a full table is emptied, which only costs time.
+REMEMBERED = 600_000
 
 #: The marker that stands for a blank.
 MARK = "▁"
@@ -173,10 +175,11 @@ class Codec:
             return self._whole(texts)
         words = [t.split(" ") for t in texts]
         direct = [i for i, ws in enumerate(words) if "" in ws]
-        missing = set().union(*words) - self.known.keys() - {""}
+        every = set().union(*words) - {""}
+        missing = [w for w in every if w not in self.known]
         if len(missing) + len(self.known) > REMEMBERED:
             self.known.clear()
-            missing = set().union(*words) - {""}
+            missing = every
         fresh = sorted(missing)
         self.known.update(zip(fresh, (ids.tobytes() for ids in self._whole(fresh))))
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), dtype=np.int32) if "" not in ws else None for ws in words]
