@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.shared import Catalog
 from ..sources.tables import load
-from . import html_tree, minhash, packing, secret_scan, sentencepiece_codec, topk, toxicity, warc
+from . import cover_tree, html_tree, minhash, packing, secret_scan, sentencepiece_codec, topk, toxicity, warc
 from ..session import cut_lineage
 from .common import shared_folder
 
@@ -132,3 +132,23 @@ FROM shingled JOIN components ON node = doc_id
 def op3_minhash(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate classes of all documents at a Jaccard similarity of 0.85."""
     return minhash.near_duplicates(load(spark, sf, "documents"), percent=85)
+
+
+@catalog.add("op2_cover_tree", """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a, usable b
+  WHERE a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM embeddings
+  UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen
+), components AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, component_id = vec_id AS kept
+FROM embeddings JOIN components ON node = vec_id
+""")
+def op2_cover_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate vectors at a cosine of 0.9."""
+    return cover_tree.near_vectors(load(spark, sf, "embeddings"), cosine=0.9)
