@@ -52,7 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _word_hashes() -> dict[str, int]:
+def _word_hashes() -> dict[bytes, int]:
     return {}
 
 
@@ -66,7 +66,7 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     if None in found:
         if len(known) > REMEMBERED:
             known.clear()
-        known.update((w, xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))) for w in set(words) - known.keys())
+        known.update((w, xxhash.xxh64_intdigest(w)) for w in set(words) - known.keys())
         found = list(map(known.__getitem__, words))
     h = np.array(found, dtype=np.uint64)
     n = min(width, len(h))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.shared import Catalog
 from ..sources.tables import load
-from . import cover_tree, html_tree, minhash, packing, secret_scan, sentencepiece_codec, topk, toxicity, warc
+from . import cover_tree, html_tree, lm, minhash, packing, secret_scan, sentencepiece_codec, topk, toxicity, warc
 from ..session import cut_lineage
 from .common import shared_folder
 
@@ -152,3 +152,9 @@ FROM embeddings JOIN components ON node = vec_id
 def op2_cover_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate vectors at a cosine of 0.9."""
     return cover_tree.near_vectors(load(spark, sf, "embeddings"), cosine=0.9)
+
+
+@catalog.add("op10_lm")
+def op10_lm(spark: SparkSession, sf: str) -> DataFrame:
+    """Base and attention-model scores of all documents."""
+    return lm.score(load(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
