@@ -66,8 +66,9 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     if None in found:
         if len(known) > REMEMBERED:
             known.clear()
-        known.update((w, xxhash.xxh64_intdigest(w)) for w in set(words) - known.keys())
-        found = list(map(known.__getitem__, words))
+        for i, word in enumerate(words):
+            if found[i] is None:
+                found[i] = known[word] = xxhash.xxh64_intdigest(word)
     h = np.array(found, dtype=np.uint64)
     n = min(width, len(h))
     with np.errstate(over="ignore"):
@@ -77,14 +78,15 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(mix(rolled))
 
 
-_SEEDS = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_FACTORS = mix(np.arange(1, SLOTS + 1, dtype=np.uint64)) | np.uint64(1)
+_SHIFTS = mix(np.arange(101, SLOTS + 101, dtype=np.uint64))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """The low 16 bits of the smallest hash under each seed."""
+    """16 bits of the smallest of the hashes under each of the linear maps; the hashes are scrambled already."""
     out = np.empty(SLOTS, dtype=np.uint16)
-    for slot, seed in enumerate(_SEEDS):
-        out[slot] = int(mix(hashes ^ seed).min()) & 0xFFFF
+    for slot in range(SLOTS):
+        out[slot] = int((hashes * _FACTORS[slot] + _SHIFTS[slot]).min()) >> 20 & 0xFFFF
     return out
 
 
