@@ -220,8 +220,8 @@ def fit(labelled: DataFrame, bound: int = 6000) -> SecretModel:
     halves = [usable.where(F.col("label") == k).orderBy("_h", "doc_id", "start", "value").limit(bound // 2) for k in (0, 1)]
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches))
-        rows = rows.sort_values(["_h", "label", "value"], kind="stable") if len(rows) else rows
+        parts = list(batches)
+        rows = pd.concat(parts).sort_values(["_h", "label", "value"], kind="stable") if parts else pd.DataFrame()
         model = fit_rows(rows)
         yield pd.DataFrame({"model": [pickle.dumps((model.words, model.transitions, model.trees))]})
 
