@@ -13,15 +13,17 @@ from ..functions.text import decompose_facts, rule_supported
 
 
 def fact_rows(
-    df: DataFrame, unit_id: str, produced: str, source: str, cap: int = 12, terminators: str = "。！？.!?\n;；",
+    df: DataFrame, unit_id: str, produced: str, source: str, cap: int | None = None, terminators: str = "。！？.!?\n;；",
     facts: str = lx.VERIFIABLE_PATTERN, narrative: str = lx.PURE_NARRATIVE_PATTERN,
     stop_words: Sequence[str] = tuple(lx.FACT_STOP_WORDS),
 ) -> DataFrame:
-    """Checkable facts ``(unit_id, position, fact, rule_supported)`` of each text, at most ``cap``.
+    """Checkable facts ``(unit_id, position, fact, rule_supported)`` of each text; the first ``cap`` if it is given.
 
-    The cap bounds what a judge is asked; facts the source already supports need no judge.
+    A cap bounds what a judge is asked; facts the source already supports need no judge.
     """
-    listed = F.slice(decompose_facts(F.col(produced), terminators), 1, cap)
+    listed = decompose_facts(F.col(produced), terminators)
+    if cap is not None:
+        listed = F.slice(listed, 1, cap)
     checked = F.filter(listed, lambda f: verifiable_sentence(f, facts, narrative))
     exploded = df.select(unit_id, F.col(source).alias("_source"), F.posexplode(checked).alias("position", "fact"))
     return exploded.select(

@@ -77,20 +77,22 @@ def remove_verified(findings: DataFrame, verified: DataFrame, keys: Sequence[str
     from .matching import contains_join
 
     keys = list(keys)
-    scoped = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])
-    f = findings.select(F.xxhash64(*keys, text).alias("_fid"), scoped.alias("_key"), F.col(text).alias("_f"))
+    # JSON keeps null and empty keys apart; the wide digest stands for the finding itself.
+    scoped = F.to_json(F.struct(*keys))
+    identity = F.sha2(F.to_json(F.struct(*keys, F.col(text).alias("_text"))), 256)
+    f = findings.select(identity.alias("_fid"), scoped.alias("_key"), F.col(text).alias("_f"))
     f = f.dropDuplicates(["_fid"])
     v = verified.select(scoped.alias("_key"), F.col(fact).alias("_v")).where(F.col("_v") != "").distinct()
     holds = contains_join(f.select("_fid", "_f"), v, "_fid", "_f", "_v")
     hit_a = f.join(holds, "_fid").join(v, ["_key", "_v"], "left_semi").select("_fid")
-    vid = v.withColumn("_vid", F.xxhash64("_key", "_v"))
+    vid = v.withColumn("_vid", F.sha2(F.to_json(F.struct("_key", "_v")), 256))
     inside = contains_join(vid.select("_vid", "_v"), f, "_vid", "_v", "_f")
     hit_b = (
         inside.join(vid.select("_vid", "_key"), "_vid").join(f, ["_key", "_f"]).select("_fid")
     )
     hits = hit_a.unionByName(hit_b).distinct()
     return (
-        findings.withColumn("_fid", F.xxhash64(*keys, text))
+        findings.withColumn("_fid", identity)
         .join(hits, "_fid", "left_anti")
         .drop("_fid")
     )

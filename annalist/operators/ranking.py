@@ -62,10 +62,11 @@ def judged_results(results: DataFrame, answers: DataFrame, key: str = "name") ->
 
 
 def ranking_metrics(results: DataFrame, truth: DataFrame, key: str = "name", cuts: Sequence[int] = CUTS,
-                    variants: dict[str, list[str]] | None = None) -> DataFrame:
-    """Precision, recall, F1, hit@k and MRR per query of the truth table.
+                    variants: dict[str, list[str]] | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """Precision, recall, F1, hit@k and MRR per query.
 
-    Names are compared by one canonical id each, in rank order.
+    ``queries(query_id)`` names the queries to report, so that those without truth count as zero; without it, the
+    queries of either table are reported. Names are compared by one canonical id each, in rank order.
     """
     expected = truth.select("query_id", canonical_name(key, variants).alias("_id")).distinct()
     ranked = (
@@ -80,7 +81,10 @@ def ranking_metrics(results: DataFrame, truth: DataFrame, key: str = "name", cut
         F.min(F.when(F.col("_hit"), F.col("rank"))).alias("_first"),
     )
     sizes = expected.groupBy("query_id").agg(F.count("*").alias("n_truth"))
-    joined = sizes.join(found, "query_id", "left").fillna(0, ["n_retrieved", "n_hits"])
+    if queries is None:
+        queries = truth.select("query_id").unionByName(results.select("query_id"))
+    asked = queries.select("query_id").distinct()
+    joined = asked.join(sizes, "query_id", "left").join(found, "query_id", "left").fillna(0, ["n_truth", "n_retrieved", "n_hits"])
     precision = share(F.col("n_hits"), F.col("n_retrieved"), 0.0)
     recall = share(F.col("n_hits"), F.col("n_truth"), 0.0)
     scored = joined.withColumn("precision", precision).withColumn("recall", recall)

@@ -59,7 +59,7 @@ def search_entities(
         "query_id", row_id, (F.col("score") + 15 + _bonus(25)).alias("score")
     )
     named = scored.join(pool.select(row_id, "title"), row_id)
-    best = greedy_dedup(named, "query_id", "title", "score", row_id, min(k, 10))
+    best = greedy_dedup(named, "query_id", "title", "score", row_id, k)
     return best.join(pool.select(row_id, "type", "description"), row_id).select(
         "query_id", "rank", row_id, "title", "type", "description", "score"
     )
@@ -84,7 +84,7 @@ def search_relationships(
         ["query_id", "_ends"],
         [-F.col("score"), row_id],
     )
-    ranked = top_k(unique, ["query_id"], [F.desc("score"), F.col(row_id)], min(k, 8))
+    ranked = top_k(unique, ["query_id"], [F.desc("score"), F.col(row_id)], k)
     return ranked.select("query_id", "rank", row_id, "source", "target", "description", "weight", "score")
 
 
@@ -92,19 +92,19 @@ def search_text_units(
     queries: DataFrame, units: DataFrame, k: int = 8, row_id: str = "id",
     blocklist: Sequence[str] = tuple(lx.TEXT_BLOCKLIST),
     nearby: Sequence[str] = tuple(lx.NEARBY_CITIES), regions: Sequence[str] = tuple(lx.REGIONS),
-    aliases: dict[str, str] | None = None,
+    aliases: dict[str, str] | None = None, n_exact: int = 5, n_near: int = 3, head: int = 300, min_chars: int = 50,
 ) -> DataFrame:
-    """Texts dated near the query's year and set in or near its place; five exact, three near.
+    """Texts dated near the query's year and set in or near its place: ``n_exact`` of that year, ``n_near`` of its neighbours.
 
-    The text itself is read once; the checks on its head and its places travel as two
+    A keyword is a topic here even if it names the place or the year. The text itself is read once; the checks on its head and its places travel as two
     narrow columns.
     """
-    pool = long_enough(drop_blocked(units, "text", blocklist), "text", 50)
+    pool = long_enough(drop_blocked(units, "text", blocklist), "text", min_chars)
     aliases = lx.REGION_PLACE_ALIASES if aliases is None else aliases
-    terms = expand_terms(queries, 35, aliases, alias_is_place=False)
+    terms = expand_terms(queries, 35, aliases, alias_is_place=False, always_topics=True)
     scored = score_rows(pool, row_id, F.col("text"), terms, upper=False)
     head_years = F.regexp_extract_all(
-        F.left("text", F.lit(300)), F.lit(r"(?=([0-9]{4})[\s年])"), F.lit(1)
+        F.left("text", F.lit(head)), F.lit(r"(?=([0-9]{4})[\s年])"), F.lit(1)
     )
     checks = pool.select(
         row_id,
@@ -131,8 +131,10 @@ def search_text_units(
         )
     )
     order = [F.desc("score"), F.desc("topic_hit"), F.col(row_id)]
-    strata = top_k(eligible, ["query_id", "exact"], order, 5, "_in").where(F.col("exact") | (F.col("_in") <= 3))
-    ranked = top_k(strata, ["query_id"], [F.desc("exact"), F.col("_in")], min(k, 8))
+    strata = top_k(eligible, ["query_id", "exact"], order, max(n_exact, n_near), "_in").where(
+        F.col("_in") <= F.when(F.col("exact"), n_exact).otherwise(n_near)
+    )
+    ranked = top_k(strata, ["query_id"], [F.desc("exact"), F.col("_in")], k)
     return ranked.select("query_id", "rank", row_id, "exact", "score")
 
 
@@ -145,7 +147,7 @@ def search_communities(queries: DataFrame, communities: DataFrame, k: int = 3, r
     terms = terms.withColumn("weight", F.lit(1)).withColumn("kind", F.lit("term"))
     text = F.concat_ws(GAP, F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
     scored = score_rows(communities, row_id, text, terms, upper=False)
-    ranked = top_k(scored.select("query_id", row_id, "score"), ["query_id"], [F.desc("score"), F.col(row_id)], min(k, 3))
+    ranked = top_k(scored.select("query_id", row_id, "score"), ["query_id"], [F.desc("score"), F.col(row_id)], k)
     return ranked.join(communities.select(row_id, "title", "summary"), row_id).select(
         "query_id", "rank", row_id, "title", "summary", "score"
     )
@@ -153,13 +155,14 @@ def search_communities(queries: DataFrame, communities: DataFrame, k: int = 3, r
 
 def retrieve(
     queries: DataFrame, entities: DataFrame, relationships: DataFrame, units: DataFrame, communities: DataFrame, k: int = 10,
+    k_relationships: int = 8, k_units: int = 8, k_communities: int = 3,
 ) -> dict[str, DataFrame]:
     """The four result tables of a batch of queries."""
     return {
         "entities": search_entities(queries, entities, k),
-        "relationships": search_relationships(queries, relationships, k),
-        "text_units": search_text_units(queries, units, k),
-        "communities": search_communities(queries, communities, k),
+        "relationships": search_relationships(queries, relationships, k_relationships),
+        "text_units": search_text_units(queries, units, k_units),
+        "communities": search_communities(queries, communities, k_communities),
     }
 
 
@@ -219,7 +222,7 @@ def keyword_only(
         .agg(F.sum("score").alias("score"))
     )
     ranked = top_k(scored, ["query_id"], [F.desc("score"), F.col(row_id)], k)
-    named = entities.select(row_id, "title", "type", F.left("description", F.lit(100)).alias("description"))
+    named = entities.select(row_id, "title", "type", "description")
     return ranked.join(named, row_id).select("query_id", "rank", row_id, "title", "type", "description", "score")
 
 
@@ -267,14 +270,17 @@ def community_first(
     members = top_k(members, [community], [F.col(row_id)], k, "_order")
     matched = communities_with_keywords(queries, communities, community, content)
     listed = matched.join(members, community).groupBy("query_id", "title").agg(
-        F.min(F.struct(F.lit(0).alias("stage"), F.col(community).cast("long").alias("first"), F.col(row_id).cast("long").alias("second"))).alias("_at"),
+        F.min(F.struct(F.lit(0).alias("stage"), F.col(community).alias("first"), F.col(row_id).alias("second"), F.lit(0).cast("long").alias("third"))).alias("_at"),
         F.min_by(F.col(row_id), F.struct(community, row_id)).alias(row_id),
     )
     listed = listed.select("query_id", "title", row_id, F.lit(1.0).alias("score"), F.lit("community").alias("origin"), "_at")
     base = keyword_only(queries, entities, k, row_id, aliases)
     keyword = base.select(
         "query_id", "title", row_id, F.col("score").cast("double").alias("score"), F.lit("keyword").alias("origin"),
-        F.struct(F.lit(1).alias("stage"), F.col("rank").cast("long").alias("first"), F.lit(0).cast("long").alias("second")).alias("_at"),
+        F.struct(
+            F.lit(1).alias("stage"), F.lit(None).cast(communities.schema[community].dataType).alias("first"),
+            F.lit(None).cast(entities.schema[row_id].dataType).alias("second"), F.col("rank").cast("long").alias("third"),
+        ).alias("_at"),
     )
     fresh = keyword.join(listed.select("query_id", "title"), ["query_id", "title"], "left_anti")
     ranked = top_k(listed.unionByName(fresh), ["query_id"], [F.col("_at")], k)

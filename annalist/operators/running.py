@@ -11,29 +11,41 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Most ranges an order column is cut into.
-MAX_RANGES = 256
+#: Rows of one range of the order, about.
+RANGE_ROWS = 250_000
+#: Rows of the sample for each range that cut points are taken from.
+SAMPLE_ROWS = 32
+#: Parts that the rows of one key are dealt into where a limit is applied.
+SALTS = 64
 
 
-def range_bounds(df: DataFrame, order_col: str, ranges: int) -> list:
-    """At most ``ranges - 1`` cut points of the order column (one small aggregate)."""
+def range_bounds(df: DataFrame, order_cols: Sequence[str], ranges: int) -> list:
+    """At most ``ranges - 1`` cut points: every n-th row of a sorted sample of the order columns.
+
+    The sample holds the rows with the smallest hashes, so it is the same each time.
+    """
     if ranges <= 1:
         return []
-    shares = [i / ranges for i in range(1, ranges)]
-    row = df.agg(F.percentile_approx(F.col(order_col), shares, 10_000).alias("cuts")).first()
-    return sorted(set(row["cuts"] or []))
+    rows = df.select(*order_cols)
+    sample = rows.orderBy(F.xxhash64(*order_cols)).limit(ranges * SAMPLE_ROWS).orderBy(*order_cols).collect()
+    cuts = [tuple(sample[i]) for i in range(SAMPLE_ROWS, len(sample), SAMPLE_ROWS)]
+    return list(dict.fromkeys(cuts))
 
 
-def range_of(value: Column, bounds: list) -> Column:
-    """Number of the range a value falls into: how many bounds lie below it.
+def range_of(df: DataFrame, order_cols: Sequence[str], bounds: list) -> Column:
+    """Number of the range a row falls into: how many bounds lie below it, by binary search in a literal array."""
+    if not bounds:
+        return F.lit(0)
+    kinds = {c: df.schema[c].dataType for c in order_cols}
+    row = F.struct(*[F.col(c).alias(c) for c in order_cols])
+    table = F.array(*[F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order_cols, b)]) for b in bounds])
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
 
-    A balanced sum of comparisons rather than a lambda over an array: the range is a join
-    key, and the optimizer copies such keys to the other side of the join.
-    """
-    terms = [(value > F.lit(b)).cast("int") for b in bounds] or [F.lit(0)]
-    while len(terms) > 1:
-        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) // 2 * 2 :]
-    return F.coalesce(terms[0], F.lit(0))
+    def search(at: Column, step: Column) -> Column:
+        ahead = at + step
+        return F.when((ahead <= len(bounds)) & (row > F.get(table, ahead - 1)), ahead).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), search)
 
 
 def running_sums(
@@ -46,13 +58,16 @@ def running_sums(
 ) -> DataFrame:
     """Add running sums per key; ``sums`` maps new columns to the columns they add up.
 
-    ``order_cols[0]`` must be numeric or temporal; the remaining ones break ties.
+    Keys and order columns may be of any sortable type, and a null key is a key. Rows that tie in all order
+    columns are ordered by a hash of the row, so a key with a single order value is split, too.
     """
     keys = list(keys)
-    ranges = ranges or min(MAX_RANGES, df.sparkSession.sparkContext.defaultParallelism)
-    bounds = range_bounds(df, order_cols[0], ranges)
-    cut = df.withColumn("_range", range_of(F.col(order_cols[0]), bounds))
-    inside = Window.partitionBy(*keys, "_range").orderBy(*order_cols)
+    ranges = ranges or -(-df.count() // RANGE_ROWS)
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    tied = df.withColumn("_tie", F.xxhash64(*hashed))
+    order = [*order_cols, "_tie"]
+    cut = tied.withColumn("_range", range_of(tied, order, range_bounds(tied, order, ranges)))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
     inside = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     before = (
         Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,7 +87,11 @@ def running_sums(
         "*",
         *[F.coalesce(F.sum(source).over(inside), F.lit(0)).alias(f"_local_{name}") for name, source in sums.items()],
     )
-    joined = local.join(carried, [*keys, "_range"], "left")
+    named = carried.select(*[F.col(c).alias(f"_k_{c}") for c in [*keys, "_range"]], *[f"_carry_{name}" for name in sums])
+    same = F.lit(True)
+    for c in [*keys, "_range"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    joined = local.join(named, same, "left")
     plain = [c for c in df.columns if c not in sums]
     return joined.select(
         *plain,
@@ -113,11 +132,15 @@ def within_budget(
 ) -> DataFrame:
     """Leading rows of each key whose lengths, plus one for each joint, fit the budget.
 
-    Every row costs at least one, so no more than ``budget + 1`` rows of a key can ever
-    fit; that limit is applied map-side, before the sum is taken.
+    Every row costs at least one, so no more than ``budget + 1`` rows of a key can ever fit. The limit is applied
+    in salted parts of a key first, so one task never sorts a whole hot key.
     """
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    part = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
+    salted = Window.partitionBy(*keys, "_salt").orderBy(*order)
     window = Window.partitionBy(*keys).orderBy(*order)
-    cut = df.withColumn("_row", F.row_number().over(window)).where(F.col("_row") <= budget + 1)
+    some = df.withColumn("_salt", part).withColumn("_row", F.row_number().over(salted)).where(F.col("_row") <= budget + 1)
+    cut = some.drop("_salt").withColumn("_row", F.row_number().over(window)).where(F.col("_row") <= budget + 1)
     running = Window.partitionBy(*keys).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
     summed = cut.withColumn(name, F.sum((length + 1).cast("long")).over(running) - 1)
     return summed.where(F.col(name) <= budget).drop("_row")

@@ -176,12 +176,12 @@ def translate_alias(term: Column | str, aliases: dict[str, str] | None = None) -
 
 def expand_terms(
     queries: DataFrame, place_weight: int = 20, aliases: dict[str, str] | None = None,
-    alias_is_place: bool = True, n_keywords: int = 5,
+    alias_is_place: bool = True, n_keywords: int = 5, always_topics: bool = False,
 ) -> DataFrame:
     """Weighted search terms ``(query_id, term, weight, kind)`` of each query.
 
     Year 30, neighbour years 10, place and its alias ``place_weight``, topics 15. A
-    topic that repeats the year or the place counts as that kind.
+    topic that repeats the year or the place counts as that kind, unless ``always_topics``.
     """
     aliases = lx.ENTITY_PLACE_ALIASES if aliases is None else aliases
     year, place = F.col("year"), F.col("location")
@@ -200,6 +200,8 @@ def expand_terms(
     same_place = [place, *([alias] if alias_is_place else [])]
 
     def topic_kind(k: Column) -> Column:
+        if always_topics:
+            return F.lit("topic")
         is_place = F.lit(False)
         for other in same_place:
             is_place = is_place | F.coalesce(

@@ -20,7 +20,7 @@ def vector_topk(
     """Best k vectors per query: ``(query_id, rank, vec_id, score)``, exact.
 
     Both sides are cut into blocks; every block pair meets in one bounded group where
-    one matrix product scores it and only k rows per query leave. Nothing is broadcast,
+    one matrix product scores it and only k rows per query leave. Ids may be of any type. Nothing is broadcast,
     so either side may grow. ``cosine`` ranks descending, ``l2`` (squared) ascending.
     """
     k = max(1, int(k))
@@ -34,20 +34,22 @@ def vector_topk(
         return df.select(
             F.pmod(F.xxhash64(key), F.lit(own)).cast("int").alias(own_name),
             F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(other_name),
-            F.col(key).cast("long").alias("_id"),
+            F.col(key).alias("_id"),
             F.col(values).cast("array<float>").alias("_v"),
         )
 
+    kind = lambda df, key: df.schema[key].dataType.simpleString()
     left = blocked(queries, query_id, query_vector, query_blocks, vector_blocks, "_qb", "_vb")
     right = blocked(vectors, vector_id, vector, vector_blocks, query_blocks, "_vb", "_qb")
 
     def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64"), "s": pd.Series(dtype="float64")})
+        empty = pd.DataFrame({"q": q["_id"].iloc[:0], "v": v["_id"].iloc[:0], "s": pd.Series(dtype="float64")})
         if q.empty or v.empty:
             return empty
         a = np.stack(q["_v"].to_numpy()).astype(np.float64)
         b = np.stack(v["_v"].to_numpy()).astype(np.float64)
         qid, vid = q["_id"].to_numpy(), v["_id"].to_numpy()
+        place = np.unique(vid, return_inverse=True)[1]
         if metric == "cosine":
             a, b = _unit(a), _unit(b)
         frames = []
@@ -59,9 +61,8 @@ def vector_topk(
                 score = -np.maximum((part**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * part @ b.T, 0.0)
             if skip_same_id:
                 score[ids[:, None] == vid[None, :]] = -np.inf
-            rounded = np.round(score, 6)
             for row in range(len(part)):
-                order = np.lexsort((vid, -rounded[row]))[:k]
+                order = np.lexsort((place, -score[row]))[:k]
                 order = order[np.isfinite(score[row, order])]
                 frames.append((np.repeat(ids[row], len(order)), vid[order], score[row, order]))
         if not frames:
@@ -70,9 +71,9 @@ def vector_topk(
         return pd.DataFrame({"q": q_out, "v": v_out, "s": s_out if metric == "cosine" else -s_out})
 
     cells = left.groupBy("_qb", "_vb").cogroup(right.groupBy("_qb", "_vb"))
-    scored = cells.applyInPandas(best, "q long, v long, s double")
+    scored = cells.applyInPandas(best, f"q {kind(queries, query_id)}, v {kind(vectors, vector_id)}, s double")
     direction = F.desc if metric == "cosine" else F.asc
-    ranked = top_k(scored, ["q"], [direction(F.round("s", 6)), F.col("v")], k)
+    ranked = top_k(scored, ["q"], [direction("s"), F.col("v")], k)
     return ranked.select(
         F.col("q").alias(query_id), "rank", F.col("v").alias(vector_id), F.col("s").alias("score")
     )

@@ -110,8 +110,9 @@ WITH {ITEM_TERMS_SQL},
 g AS (SELECT item_id, count(*) AS n_truth FROM truth GROUP BY 1),
 m AS (SELECT r.item_id, count(*) AS n_retrieved, count(t.doc_id) AS n_hits, min(CASE WHEN t.doc_id IS NOT NULL THEN r.rank END) AS first
       FROM ranked r LEFT JOIN truth t USING (item_id, doc_id) GROUP BY 1),
-j AS (SELECT g.item_id, coalesce(n_retrieved, 0) AS n_retrieved, n_truth, coalesce(n_hits, 0) AS n_hits, first FROM g LEFT JOIN m USING (item_id)),
-p AS (SELECT *, CASE WHEN n_retrieved > 0 THEN n_hits / n_retrieved ELSE 0.0 END AS p, n_hits / n_truth AS r FROM j)
+j AS (SELECT b.item_id, coalesce(n_retrieved, 0) AS n_retrieved, coalesce(n_truth, 0) AS n_truth, coalesce(n_hits, 0) AS n_hits, first
+      FROM (SELECT DISTINCT item_id FROM benchmark) b LEFT JOIN g USING (item_id) LEFT JOIN m USING (item_id)),
+p AS (SELECT *, CASE WHEN n_retrieved > 0 THEN n_hits / n_retrieved ELSE 0.0 END AS p, CASE WHEN n_truth > 0 THEN n_hits / n_truth ELSE 0.0 END AS r FROM j)
 SELECT item_id, n_retrieved, n_truth, n_hits, round(p, 6) AS precision, round(r, 6) AS recall,
        round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1,
        coalesce(first <= 3, false) AS hit_3, coalesce(first <= 5, false) AS hit_5, coalesce(first <= 10, false) AS hit_10,
@@ -119,7 +120,7 @@ SELECT item_id, n_retrieved, n_truth, n_hits, round(p, 6) AS precision, round(r,
 def q_ranking_metrics(spark: SparkSession, sf: str) -> DataFrame:
     results = item_results(spark, sf).select("query_id", "rank", F.col("id").cast("string").alias("name"))
     truth = item_truth(spark, sf).select("query_id", F.col("doc_id").cast("string").alias("name"))
-    rows = ranking.ranking_metrics(results, truth, variants={})
+    rows = ranking.ranking_metrics(results, truth, variants={}, queries=load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id")))
     return rows.select(
         F.col("query_id").alias("item_id"), "n_retrieved", "n_truth", "n_hits",
         *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "hit_3", "hit_5", "hit_10", F.round("mrr", 6).alias("mrr"),
@@ -177,8 +178,10 @@ def q_search_relationships(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "source", "target", F.col("score").cast("long").alias("score"))
 
 
-@catalog.add("q_search_text_units", f"""
-WITH {NATION_QUERIES_SQL}, {CHRONICLE_SQL}, {EXPANDED_SQL.format(place=35, same_place='k = location')},
+#: A keyword is a topic in text search, even if it names the place or the year.
+TOPICS_SQL = EXPANDED_SQL.format(place=35, same_place="k = location").replace(
+    "CASE WHEN k = year THEN 'year' WHEN k = location THEN 'place' ELSE 'topic' END", "'topic'")
+SEARCH_UNITS_SQL = """
 rows AS (SELECT event_id AS id, content AS txt FROM chronicle WHERE length(content) >= 50 AND NOT contains(content, '1-URGENT')),
 hits AS (SELECT e.query_id, r.id, sum(e.weight) AS s, bool_or(kind = 'topic') AS t FROM expanded e JOIN rows r ON contains(r.txt, e.term) GROUP BY ALL),
 c AS (SELECT h.query_id, h.id, h.t, regexp_matches(left(r.txt, 300), q.year || '[\\s年]') AS exact, contains(r.txt, q.location) AS here, h.s
@@ -189,10 +192,26 @@ c AS (SELECT h.query_id, h.id, h.t, regexp_matches(left(r.txt, 300), q.year || '
 k AS (SELECT query_id, id, exact, t, s + CASE WHEN exact THEN 30 ELSE 0 END + CASE WHEN here THEN 20 ELSE 0 END + CASE WHEN t THEN 30 ELSE 15 END AS score FROM c),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id, exact ORDER BY score DESC, t DESC, id) AS i FROM k)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, i) AS rank, id, exact, score::BIGINT AS score
-FROM n WHERE i <= CASE WHEN exact THEN 5 ELSE 3 END""")
+FROM n WHERE i <= CASE WHEN exact THEN {exact} ELSE {near} END"""
+
+
+@catalog.add("q_search_text_units", f"WITH {NATION_QUERIES_SQL}, {CHRONICLE_SQL}, {TOPICS_SQL}, {SEARCH_UNITS_SQL.format(exact=5, near=3)}")
 def q_search_text_units(spark: SparkSession, sf: str) -> DataFrame:
+    return found_units(spark, sf, nation_queries(spark, sf))
+
+
+@catalog.add("q_search_many_text_units", f"""WITH {NATION_QUERIES_SQL.replace('queries AS', 'plain AS')},
+queries AS (SELECT query_id, year, location, [location, year, keywords[2]] AS keywords, text FROM plain),
+{CHRONICLE_SQL}, {TOPICS_SQL}, {SEARCH_UNITS_SQL.format(exact=15, near=10)}""")
+def q_search_many_text_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Keywords that repeat the place and the year, and more rows than by default."""
+    keywords = F.array("location", "year", F.get("keywords", F.lit(1)))
+    return found_units(spark, sf, nation_queries(spark, sf).withColumn("keywords", keywords), k=25, n_exact=15, n_near=10)
+
+
+def found_units(spark: SparkSession, sf: str, queries: DataFrame, **limits: int) -> DataFrame:
     units = chronicle(spark, sf).select(F.col("event_id").alias("id"), F.col("content").alias("text"))
-    rows = retrieval.search_text_units(nation_queries(spark, sf), units, blocklist=["1-URGENT"], nearby=["NATION_3"], regions=["ASIA"])
+    rows = retrieval.search_text_units(queries, units, blocklist=["1-URGENT"], nearby=["NATION_3"], regions=["ASIA"], **limits)
     return rows.withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.col("score").cast("long"))
 
 
