@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import prepare
 
 #: Words that one worker process remembers; a full table is emptied, which only costs time.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 #: The marker that stands for a blank.
 MARK = "▁"
@@ -165,6 +165,7 @@ class Codec:
             and not self.model.remove_extra_whitespaces and all(kind != USER_DEFINED for *_, kind in self.model.pieces)
         )
         self.known: dict[str, bytes] = {}
+        self.lossy: set[str] = set()  # known words that decoding does not give back
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -181,12 +182,27 @@ class Codec:
             self.known.clear()
             missing = every
         fresh = sorted(missing)
-        self.known.update(zip(fresh, (ids.tobytes() for ids in self._whole(fresh))))
+        coded = self._whole(fresh)
+        self.known.update(zip(fresh, (ids.tobytes() for ids in coded)))
+        back = self.decode(coded)
+        self.lossy -= set(fresh)
+        self.lossy |= {w for w, b in zip(fresh, back) if w != b}
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), dtype=np.int32) if "" not in ws else None for ws in words]
         for i, ids in zip(direct, self._whole([texts[i] for i in direct])):
             out[i] = ids
         return out
 
+    def round_trips(self, texts: list[str], ids: list) -> list[bool]:
+        """Whether decoding the ids of each text gives it back.
+
+        Words that were encoded apart are decoded apart, too: blanks between them decode to blanks, and no bytes of a
+        character go from one word to the next.
+        """
+        words = [t.split(" ") for t in texts]
+        apart = [self.by_words and "" not in ws for ws in words]
+        whole = iter(self.decode([i for i, a in zip(ids, apart) if not a]))
+        return [self.lossy.isdisjoint(ws) if a else next(whole) == t for t, ws, a in zip(texts, words, apart)]
+
     def decode(self, ids: list) -> list[str]:
         return self.tokenizer.decode_batch([list(map(int, i)) if not isinstance(i, np.ndarray) else i.tolist() for i in ids], skip_special_tokens=False)
 
@@ -220,7 +236,7 @@ def encode(documents: DataFrame, model_path: str, text: str = "text", verify: bo
         bodies = [t or "" for t in texts.to_pylist()]
         ids = code.encode(bodies)
         parity = [np.array_equal(a, b) for a, b in zip(ids, code.reference(bodies))] if verify else [None] * len(ids)
-        back = [a == b for a, b in zip(code.decode(ids), bodies)]
+        back = code.round_trips(bodies, ids)
         gone = texts.is_null().to_pylist()
         keep = lambda values, type_: pa.array([None if g else v for g, v in zip(gone, values)], type_)
         parts = [keep(ids, kind[0].type), keep(parity, pa.bool_()), keep(back, pa.bool_())]

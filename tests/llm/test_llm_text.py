@@ -163,7 +163,11 @@ def test_sentencepiece_pipelines():
     codec = sentencepiece_codec.Codec(vocabulary("piece_bpe_32k.model"), 1)
     texts = ["", " ", "  a  b ", "<s> </s> <unk> <0x41>", "日本語 😀 é é", "a\x00b", "\n\n\t", "▁x ▁ y", "aaa" * 900]
     assert [i.tolist() for i in codec.encode(texts)] == codec.reference(texts)
+    ids = codec.encode(texts)
+    truth = [a == b for a, b in zip(codec.decode(ids), texts)]
+    assert codec.round_trips(texts, ids) == truth and False in truth
     codec.by_words = False
+    assert codec.round_trips(texts, ids) == truth
     assert [i.tolist() for i in codec.encode(texts)] == codec.reference(texts)
 
 
