@@ -10,7 +10,7 @@ from ..functions.records import extraction_records
 from ..session import cut_lineage
 from .chunking import token_chunks
 from .retrieval import top_k
-from .running import running_index, within_budget
+from .running import within_budget
 
 
 def text_units(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 1200, overlap: int = 100) -> DataFrame:
@@ -89,7 +89,7 @@ def degrees(edges: DataFrame, source: str = "source", target: str = "target") ->
     return ends.distinct().groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def connected_components(edges: DataFrame, source: str = "source", target: str = "target", max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """``(node, component)`` with the smallest node as the component's name.
 
     Alternating large and small stars: every round links nodes to the smallest node
@@ -102,14 +102,12 @@ def connected_components(edges: DataFrame, source: str = "source", target: str =
     nodes = given.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     links = given.where(F.col("u") != F.col("v"))
     seen = None
-    for _ in range(max_rounds):
+    while True:
         links = cut_lineage(_small_star(_large_star(links)))
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -130,26 +128,34 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def communities(edges: DataFrame, max_size: int = 10) -> DataFrame:
-    """``(node, component, community)`` with at most ``max_size`` nodes per community.
+    """``(node, component, community)``: connected groups of at most ``max_size`` nodes, by their strongest ties.
 
-    Components that are too large are cut along their strongest ties: nodes are ordered
-    by the neighbour they are most strongly tied to, then numbered and cut. This is a
-    deterministic stand-in for hierarchical clustering.
+    Every node begins as its own group. In each round a group names the neighbour it is most strongly tied to, among
+    those it fits with in size; two groups that name each other merge. Merged groups are tied, so each
+    community is connected. Rounds end when nothing merges. A deterministic stand-in for hierarchical clustering.
     """
-    ends = edges.select(F.explode(F.array(
-        F.struct(F.col("source").alias("node"), F.col("target").alias("other"), F.col("weight").alias("w")),
-        F.struct(F.col("target").alias("node"), F.col("source").alias("other"), F.col("weight").alias("w")),
-    )).alias("e")).select("e.*")
-    leaders = ends.groupBy("node").agg(
-        F.min_by("other", F.struct(-F.col("w"), F.col("other"))).alias("_leader")
-    )
-    members = connected_components(edges).join(leaders, "node", "left").withColumn(
-        "_hash", F.xxhash64(F.least("node", F.coalesce("_leader", "node")))
-    )
-    numbered = running_index(members, ["_hash", "_leader", "node"], "_pos", ["component"])
-    return numbered.select(
-        "node", "component",
-        F.concat_ws("#", F.col("component").cast("string"), F.floor(F.col("_pos") / max_size).cast("string")).alias("community"),
+    ties = edges.select(F.greatest("source", "target").alias("a"), F.least("source", "target").alias("b"), "weight")
+    ties = cut_lineage(ties.where("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("w")))
+    components = cut_lineage(connected_components(edges))
+    groups = components.select("node", F.col("node").alias("group"))
+    while True:
+        sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
+        named = ties.join(groups.select(F.col("node").alias("a"), F.col("group").alias("ga")), "a").join(
+            groups.select(F.col("node").alias("b"), F.col("group").alias("gb")), "b").where("ga <> gb")
+        between = named.groupBy(F.greatest("ga", "gb").alias("ga"), F.least("ga", "gb").alias("gb")).agg(F.sum("w").alias("w"))
+        fitting = between.join(sizes.select(F.col("group").alias("ga"), F.col("n").alias("na")), "ga").join(
+            sizes.select(F.col("group").alias("gb"), F.col("n").alias("nb")), "gb").where(F.col("na") + F.col("nb") <= max_size)
+        # Equal ties are settled by a hash of the pair, the same from both sides, so that long rows of them merge at once.
+        strength = F.struct(-F.col("w"), F.xxhash64("ga", "gb"), "ga", "gb")
+        both = fitting.withColumn("_s", strength).select("_s", F.explode(F.array("ga", "gb")).alias("group"))
+        choice = both.groupBy("group").agg(F.min("_s").alias("_s"))
+        merges = cut_lineage(choice.groupBy("_s.ga", "_s.gb").agg(F.count("*").alias("_n")).where("_n = 2").select("ga", "gb"))
+        if not merges.head(1):
+            break
+        groups = cut_lineage(groups.join(merges.withColumnRenamed("ga", "group"), "group", "left").select(
+            "node", F.coalesce("gb", "group").alias("group")))
+    return components.join(groups, "node").select(
+        "node", "component", F.concat_ws("#", F.col("component").cast("string"), F.col("group").cast("string")).alias("community")
     )
 
 

@@ -39,9 +39,33 @@ def _json_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_events_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header; defaults fill missing columns only, an empty cell stays empty."""
+    """CSV with headers; defaults fill missing columns only, an empty cell stays empty.
+
+    Files may name different columns, or the same ones in another order: those of one header are read together.
+    """
+    parts = [_csv_of_header(spark, files) for files in _files_by_header(spark, path).values()]
+    whole = parts[0] if parts else spark.createDataFrame([], EVENT_SCHEMA)
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def _files_by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files by their first line; only the first block of each file is looked at."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    heads = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    found: dict[str, list[str]] = {}
+    for row in heads.orderBy("header", "file").collect():
+        found.setdefault(row["header"].strip("\ufeff\r "), []).append(row["file"])
+    return found
+
+
+def _csv_of_header(spark: SparkSession, files: list[str]) -> DataFrame:
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    raw = reader.csv(path)
+    raw = reader.csv(files)
     have = set(raw.columns)
     columns = [
         (F.coalesce(c, F.lit("")) if c in have else F.lit(default)).alias(c) for c, default in lx.EVENT_DEFAULTS.items()

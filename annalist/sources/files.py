@@ -3,68 +3,48 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import lexicons as lx
-from ..functions.columns import trimmed
+from ..functions.columns import let, trimmed
 from ..functions.text import record_to_text, stringify
 
 
-def decode_bytes(content: bytes) -> str:
-    """Text of a file in one of the expected encodings; the last resort drops bad bytes."""
-    for encoding in ("utf-8-sig", "utf-8", "gb18030"):
-        try:
-            return content.decode(encoding)
-        except UnicodeDecodeError:
-            continue
-    return content.decode("utf-8", errors="ignore")
+def read_text_any_encoding(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, text)`` of each file, read once. Valid UTF-8 stays in the JVM, only other bytes go to Python."""
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    as_text = F.col("content").cast("string")
+    valid = F.is_valid_utf8(as_text)
+    other = _from_gb18030(F.when(~valid, F.col("content")))
+    return raw.select("path", F.when(valid, F.regexp_replace(as_text, "^\ufeff", "")).otherwise(other).alias("text"))
 
 
 @F.pandas_udf(T.StringType())
-def _decode(content: pd.Series) -> pd.Series:
-    return content.map(decode_bytes)
+def _from_gb18030(content: pd.Series) -> pd.Series:
+    return content.map(decode_bytes, na_action="ignore")
 
 
-def read_text_any_encoding(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, text)`` of each file. Valid UTF-8 stays in the JVM, only the rest is decoded in Python."""
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    as_text = F.col("content").cast("string")
-    plain = raw.where(F.is_valid_utf8(as_text)).select("path", F.regexp_replace(as_text, "^﻿", "").alias("text"))
-    other = raw.where(~F.is_valid_utf8(as_text)).select("path", _decode("content").alias("text"))
-    return plain.unionByName(other)
-
-
-def _records(node: object, fields: frozenset) -> Iterator[dict]:
-    if isinstance(node, list):
-        for item in node:
-            yield from _records(item, fields)
-    elif isinstance(node, dict):
-        if fields & node.keys():
-            yield node
-        else:
-            for value in node.values():
-                if isinstance(value, (list, dict)):
-                    yield from _records(value, fields)
-
-
-def _flat_texts(node: object, fields: frozenset, depth: int) -> Iterator[str]:
-    if depth < 0:
-        return
-    if isinstance(node, dict):
-        for key, value in node.items():
-            if isinstance(value, str):
-                if key in fields:
-                    yield value
-            elif isinstance(value, (dict, list)):
-                yield from _flat_texts(value, fields, depth - 1)
-    elif isinstance(node, list):
-        for item in node:
-            yield from _flat_texts(item, fields, depth - 1)
+def decode_bytes(content: bytes) -> str:
+    """Bytes that are no UTF-8: GB 18030, or what is left of UTF-8 without the bad bytes."""
+    text = content.decode("gb18030", errors="replace")
+    return text if "\ufffd" not in text else content.decode("utf-8", errors="ignore")
+
+
+def nested_items(root: object) -> Iterator[tuple[int, str | None, object]]:
+    """All values of a JSON tree in document order, as ``(depth, key, value)``; items of lists have no key.
+
+    A caller that does not want what lies below an object empties it.
+    """
+    waiting = [(0, None, root)]
+    while waiting:
+        depth, key, value = waiting.pop()
+        yield depth, key, value
+        below = value.items() if isinstance(value, dict) else ((None, v) for v in value) if isinstance(value, list) else ()
+        waiting += [(depth + 1, k, v) for k, v in list(below)[::-1]]
 
 
 def _parse(text: str) -> object:
@@ -82,14 +62,17 @@ def records_from_json(files: DataFrame, fields: dict[str, str] | None = None) ->
     """
     names = frozenset(fields or lx.RECORD_FIELDS)
 
+    def outermost(text: str) -> Iterator[str]:
+        for _, _, value in nested_items(_parse(text)):
+            if isinstance(value, dict) and names & value.keys():
+                yield json.dumps(value, ensure_ascii=False)
+                value.clear()  # records inside a record are part of it
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                (path, i, json.dumps(record, ensure_ascii=False))
-                for path, text in zip(batch["path"], batch["text"])
-                for i, record in enumerate(_records(_parse(text), names))
-            ]
-            yield pd.DataFrame(rows, columns=["path", "record_index", "json"])
+            found = batch.assign(json=[list(outermost(t)) for t in batch["text"]])[["path", "json"]]
+            found = found[found["json"].map(len) > 0].explode("json")
+            yield found.assign(record_index=found.groupby(level=0).cumcount().astype("int32"))[["path", "record_index", "json"]]
 
     walked = files.select("path", "text").mapInPandas(walk, "path string, record_index int, json string")
     return walked.select("path", "record_index", F.parse_json("json").alias("record"))
@@ -125,13 +108,17 @@ def flatten_json_text(files: DataFrame, fields: list[str] | None = None, max_dep
     """All descriptive strings of a JSON text joined by blank lines: ``(path, n_texts, text)``."""
     names = frozenset(fields or lx.FLAT_TEXT_FIELDS)
 
+    def strings(text: str) -> list[str]:
+        # A string lies one level below the object that holds it.
+        return [
+            value for depth, key, value in nested_items(_parse(text))
+            if isinstance(value, str) and key in names and depth <= max_depth + 1
+        ]
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for path, text in zip(batch["path"], batch["text"]):
-                found = list(_flat_texts(_parse(text), names, max_depth))
-                rows.append((path, len(found), "\n\n".join(found)))
-            yield pd.DataFrame(rows, columns=["path", "n_texts", "text"])
+            found = batch["text"].map(strings)
+            yield pd.DataFrame({"path": batch["path"], "n_texts": found.map(len).astype("int32"), "text": found.map("\n\n".join)})
 
     return files.select("path", "text").mapInPandas(walk, "path string, n_texts int, text string")
 
@@ -203,38 +190,41 @@ def is_ready(tables: dict[str, DataFrame]) -> bool:
     return not tables["entities"].isEmpty()
 
 
-#: First character after optional white space.
-_FOLLOWER = re.compile(r"[ \t\r\n]*(.?)", re.DOTALL)
+#: Stand for an escaped backslash and an escaped quote while quotes are judged; not characters of any text.
+ESCAPES = {"\\\\\\\\": "\ufdd0", '\\\\"': "\ufdd1"}
 
 
-def repair_quotes(text: str) -> str:
-    """Replace quotes inside JSON strings that no structural character follows."""
-    parts, inside, stray, i = [], False, 0, 0
-    while i < len(text):
-        char = text[i]
-        if inside and char == "\\":
-            parts.append(text[i : i + 2])
-            i += 2
-            continue
-        if char == '"':
-            if not inside:
-                inside, stray = True, 0
-            else:
-                if _FOLLOWER.match(text, i + 1).group(1) in ("", ",", ":", "}", "]"):
-                    inside = False
-                else:
-                    char = "“" if stray % 2 == 0 else "”"
-                    stray += 1
-        parts.append(char)
-        i += 1
-    return "".join(parts)
-
+def repaired_quotes(text: Column) -> Column:
+    """A JSON text whose stray quotes, those inside strings that no structural character follows, are typographic.
 
-def repair_json_quotes(df: DataFrame, text: str) -> DataFrame:
-    """Texts with stray inner quotes made typographic, in Arrow batches."""
+    Each quote gets a flag, whether structure or the end follows it. Written as a row of flags, a literal is any quote,
+    then quotes that close nothing, then one that closes: a regular language, so no state is carried along.
+    """
+    held = text
+    for pattern, stand_in in ESCAPES.items():
+        held = F.regexp_replace(held, pattern, stand_in)
+
+    def with_pieces(pieces: Column) -> Column:
+        after = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+        last = F.size(pieces) - 2
+        structure = lambda p, i: p.rlike(r"\A[ \t\r\n]*[,:}\]]") | ((i == last) & (F.btrim(p, F.lit(" \t\r\n")) == ""))
+        flags = F.array_join(F.transform(after, lambda p, i: F.when(structure(p, i), "1").otherwise("0")), "")
+        literals = F.regexp_extract_all(flags, F.lit("(.0*1?)"), F.lit(1))
+        closed = lambda g: (F.length(g) > 1) & g.endswith("1")
+        # Of n stray quotes, the odd ones open and the even ones close.
+        stray = lambda g: F.lpad(F.lit(""), F.length(g) - F.when(closed(g), 2).otherwise(1), F.lit("“”"))
+        marks = F.array_join(F.transform(literals, lambda g: F.concat(F.lit('"'), stray(g), F.when(closed(g), '"').otherwise(""))), "")
+        return let(marks, lambda m: F.concat(
+            F.get(pieces, F.lit(0)),
+            F.array_join(F.transform(after, lambda p, i: F.concat(F.substring(m, i + 1, F.lit(1)), p)), ""),
+        ))
+
+    mended = let(F.split(held, '"', -1), with_pieces)
+    for original, stand_in in (("\\\\", "\ufdd0"), ('\\"', "\ufdd1")):
+        mended = F.replace(mended, F.lit(stand_in), F.lit(original))
+    return mended
 
-    @F.pandas_udf(T.StringType())
-    def repair(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: repair_quotes(v) if v is not None else None)
 
-    return df.withColumn(text, repair(F.col(text)))
+def repair_json_quotes(df: DataFrame, text: str) -> DataFrame:
+    """Texts with stray inner quotes made typographic."""
+    return df.withColumn(text, repaired_quotes(F.col(text)))

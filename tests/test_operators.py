@@ -85,6 +85,10 @@ def test_communities_are_small_and_within_components(spark):
     rows = graph.communities(df, 10).toPandas()
     assert rows.groupby("community").size().max() <= 10 and (rows.groupby("community").component.nunique() == 1).all()
     assert len(rows) == rows.node.nunique()
+    group = dict(zip(rows.node, rows.community))
+    inner = [(a, b) for a, b, _ in edges if a != b and group[a] == group[b]]
+    lowest = roots(inner + [(n, n) for n in rows.node])
+    assert all(len({lowest[n] for n in members}) == 1 for members in rows.groupby("community").node.apply(list))
     again = graph.communities(df.repartition(3), 10).toPandas()
     assert set(zip(rows.node, rows.community)) == set(zip(again.node, again.community))
 
@@ -246,3 +250,29 @@ def test_hashed_embedding_is_unit_length_and_stable(spark):
     rows = {r["id"]: np.array(r["embedding"]) for r in vectors.hashed_embedding(df, "text", 64).collect()}
     assert all(abs(np.linalg.norm(v) - 1) < 1e-5 for v in rows.values())
     assert np.allclose(rows[1], rows[2]) and not np.allclose(rows[1], rows[3])
+
+
+def test_a_chain_falls_into_connected_communities(spark):
+    df = spark.createDataFrame([(i, i + 1, 1) for i in range(61)], "source long, target long, weight int")
+    rows = graph.communities(df, 10).toPandas()
+    for nodes in rows.groupby("community").node.apply(sorted):
+        assert nodes == list(range(nodes[0], nodes[-1] + 1)) and len(nodes) <= 10
+    assert rows.community.nunique() < 25
+
+
+def test_running_sums_of_ties_null_keys_and_strings(spark):
+    rows = [(None if i % 2 else "k", "same", f"o{i:03}", 1) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, o string, t string, v int")
+    tied = running.running_sums(df, ["k"], ["o"], {"s": "v"}, ranges=8).toPandas()
+    assert all(sorted(g) == list(range(1, 251)) for _, g in tied.groupby(tied.k.fillna("-")).s)
+    cuts = running.range_bounds(df.withColumn("_tie", F.xxhash64("t")), ["o", "_tie"], 8)
+    assert len(cuts) == 7
+    strings = running.running_index(df, ["t"], "n", ["k"]).toPandas().sort_values("t")
+    assert strings[strings.k.isna()].n.tolist() == list(range(250))
+
+
+def test_budget_limit_of_a_hot_key_is_salted(spark):
+    df = spark.createDataFrame([("hot", i, "x" * (i % 3 + 1)) for i in range(3000)], "k string, i int, t string")
+    plan = running.within_budget(df, ["k"], [F.col("i")], F.length("t"), 8000)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("_salt") > 0
+    assert plan.count() == 2667 and running.within_budget(df, ["k"], [F.col("i")], F.length("t"), 5).count() == 2

@@ -79,9 +79,12 @@ def test_merge_numbers_documents(spark):
 
 @pytest.mark.parametrize("broken, fixed", [
     ('{"a": "x "y" z"}', '{"a": "x “y” z"}'), ('{"a": "q\\"q", "b": 1}', '{"a": "q\\"q", "b": 1}'), ('["a" , "b"]', '["a" , "b"]'),
+    ('{"a": "one "two" three "four" x", "b": ""q""}', '{"a": "one “two” three “four” x", "b": "“q”"}'), ('{"a": "x\\\\", "b": "y"}', '{"a": "x\\\\", "b": "y"}'),
+    ("no quotes", "no quotes"), ('"', '"'), (None, None),
 ])
-def test_repair_quotes(broken, fixed):
-    assert files.repair_quotes(broken) == fixed
+def test_repair_quotes(spark, broken, fixed):
+    df = spark.createDataFrame([(broken,)], "t string")
+    assert files.repair_json_quotes(df, "t").first()["t"] == fixed
 
 
 def test_writers(spark, tmp_path):
@@ -136,3 +139,11 @@ def test_jobs_and_resume(spark):
     done = jobs.where("seg = 1 AND mode = 'hybrid'")
     assert benchmark.resume_jobs(jobs, done, ["seg", "mode"]).count() == 3
     assert benchmark.retrieval_modes("keyword", False) == [("keyword", "graph:keyword")]
+
+
+def test_csv_files_with_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("title,date,content\nA,1980年,x\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text('date,content,title,keywords\n1990年,"y, z",B,"k, l"\n', encoding="utf-8")
+    rows = {r["title"]: r for r in events.read_events_csv(spark, f"{tmp_path}/*.csv").collect()}
+    assert (rows["A"]["date"], rows["A"]["content"], rows["A"]["keywords"]) == ("1980年", "x", None)
+    assert (rows["B"]["date"], rows["B"]["content"], rows["B"]["keywords"]) == ("1990年", "y, z", ["k", "l"])
