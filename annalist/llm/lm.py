@@ -23,10 +23,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 from .common import prepare, shared_folder, words_of
-from .subwords import coder
+from .subwords import coder, pieces_of
 
 #: Frequent words that every task knows, at most.
-FREQUENT = 200_000
+FREQUENT = 100_000
 #: Words that a task counts before it hands them on.
 COUNTED = 400_000
 #: Training documents that the attention model sees, at most, and windows of each of its steps.
@@ -36,7 +36,7 @@ SAMPLE_DOCS, STEPS, STEP_WINDOWS = 1500, 400, 96
 GROUPS, MEMBERS = 32, 32
 CLASSES = GROUPS * MEMBERS
 #: Width of the model and of its hidden layer; window and overlap.
-WIDTH, HIDDEN, WINDOW, OVERLAP = 16, 32, 64, 16
+WIDTH, HIDDEN, WINDOW, OVERLAP = 16, 24, 32, 6
 SMOOTHING = 0.1
 
 
@@ -89,7 +89,7 @@ def subword_counts(words: DataFrame, tokenizer: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], schema=schema)
 
     rows = words.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(coder(tokenizer).size, dtype=np.float64)
+    counts = np.zeros(len(pieces_of(tokenizer)), dtype=np.float64)
     counts[rows["id"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.float64)
     return counts
 
@@ -131,9 +131,11 @@ def make_classes(counts: np.ndarray, pieces: list[str]) -> Classes:
 def _mask(n: int, first: int) -> np.ndarray:
     """Added to scores: no position attends to later ones."""
     later = np.arange(n)[None, :] > np.arange(first, n)[:, None]
-    return np.where(later, np.float32(-1e9), np.float32(0))
+    return np.where(later, np.float32(-1e9), np.float32(0)).astype(np.float32)
 
 
+#: Scores of attention are cut here, so that their exponentials stay finite.
+LARGEST = np.float32(40)
 #: Parts of the model that are trained.
 TRAINED = ("e", "p", "q", "k", "v", "o", "h", "g", "u", "m")
 
@@ -169,24 +171,29 @@ class Attention:
                    w(WIDTH, HIDDEN), w(HIDDEN, WIDTH) * 0.5, w(WIDTH, GROUPS) * 0.1, w(GROUPS, WIDTH, MEMBERS) * 0.1,
                    np.log(joint.sum(axis=2)).astype(np.float32), np.log(joint).astype(np.float32))
 
-    def hidden(self, x: np.ndarray, first: int = 0) -> dict[str, np.ndarray]:
+    def hidden(self, x: np.ndarray, first: int = 0, train: bool = False) -> dict[str, np.ndarray]:
         """States after each position from ``first`` on; ``x``: classes, one row per window."""
         a = self.e[x] + self.p[: x.shape[1]]
         tail = a[:, first:]
         q, k, v = tail @ (self.q * np.float32(1 / np.sqrt(WIDTH))), a @ self.k, a @ self.v
         s = q @ k.transpose(0, 2, 1)
+        if np.einsum("nti,nti->nt", q, q).max() * np.einsum("nti,nti->nt", k, k).max() > LARGEST**2:
+            np.minimum(s, LARGEST, out=s)
         s += _mask(x.shape[1], first)
-        s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        c = s @ v
+        if train:
+            s /= s.sum(axis=2, keepdims=True)
+            c = s @ v
+        else:  # dividing the few sums of values is cheaper than dividing the many weights
+            c = s @ v
+            c /= s.sum(axis=2, keepdims=True)
         r = tail + c @ self.o
         z = np.maximum(r @ self.h, 0)
         return dict(a=a, q=q, k=k, v=v, s=s, c=c, r=r, z=z, y=(r + z @ self.g).reshape(-1, WIDTH))
 
     def gradients(self, x: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the real positions, and its gradients."""
-        f = self.hidden(x)
+        f = self.hidden(x, train=True)
         n, t = x.shape
         y, before, wanted = f["y"], x.ravel(), target.ravel()
         weight = (real.ravel() / max(1, real.sum())).astype(np.float32)
@@ -244,20 +251,22 @@ class Attention:
         gain -= top
         logits -= top
         np.exp(logits, out=logits)
-        some = logits[:, : GROUPS // 2].sum(axis=1)
-        every = np.log(some + logits[:, GROUPS // 2 :].sum(axis=1))
+        halves = logits @ np.repeat(np.eye(2, dtype=y.dtype), GROUPS // 2, axis=0)
+        some, every = halves[:, 0], np.log(halves.sum(axis=1))
         gain -= every
         order = np.argsort(group, kind="stable")
         edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        sorted_y = y[order]
+        logits = np.empty((len(order), MEMBERS), dtype=y.dtype)
         for i in range(GROUPS):
-            rows = order[edges[i] : edges[i + 1]]
-            if len(rows):
-                logits = y[rows] @ self.m[i]
-                logits += self.bm[before[rows], i]
-                hit = logits[np.arange(len(rows)), member[rows]]
-                top = logits.max()
-                np.exp(logits - top, out=logits)
-                gain[rows] += hit - top - np.log(logits.sum(axis=1))
+            part = slice(edges[i], edges[i + 1])
+            np.matmul(sorted_y[part], self.m[i], out=logits[part])
+        logits += self.bm.reshape(-1, MEMBERS)[(before * GROUPS + group)[order]]
+        hit = logits[at, member[order]]
+        top = logits.max()
+        logits -= top
+        np.exp(logits, out=logits)
+        gain[order] += hit - top - np.log(logits @ np.ones(MEMBERS, dtype=y.dtype))
         return gain, np.log(some) - every
 
 
@@ -299,7 +308,7 @@ def train(texts: list[np.ndarray], classes: Classes, steps: int = STEPS, seed: i
 
 
 #: Windows of one matrix product, and the weight of the word counts in the mixture.
-BATCH_WINDOWS, WORD_WEIGHT = 128, 0.2
+BATCH_WINDOWS, WORD_WEIGHT = 256, 0.2
 
 
 def score_texts(model: Attention, classes: Classes, texts: list[np.ndarray], words: list[np.ndarray]) -> np.ndarray:
@@ -337,9 +346,12 @@ def score_texts(model: Attention, classes: Classes, texts: list[np.ndarray], wor
 def _attention_logs(model, classes: Classes, source, target, ends, sizes) -> tuple[np.ndarray, np.ndarray]:
     """Per position, the log probability of its class and of any class that begins a word."""
     gain, begins = np.zeros(len(target)), np.zeros(len(target))
-    plan = [(ends[i] - sizes[i] + s, ends[i], first) for i in range(len(ends)) for s, first in windows(int(sizes[i]))]
-    for first in (0, OVERLAP):
-        mine = np.array(sorted(((s, e) for s, e, f in plan if f == first), key=lambda w: min(WINDOW, w[1] - w[0])), dtype=np.int64).reshape(-1, 2)
+    begin, step = ends - sizes, WINDOW - OVERLAP
+    more = np.maximum(0, -(-(sizes - WINDOW) // step))  # windows after the first of each text
+    nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+    later = np.stack([np.repeat(begin, more) + nth * step, np.repeat(ends, more)], axis=1)
+    for first, mine in ((0, np.stack([begin, ends], axis=1)), (OVERLAP, later)):
+        mine = mine[np.argsort(np.minimum(WINDOW, mine[:, 1] - mine[:, 0]), kind="stable")]
         for at in range(0, len(mine), BATCH_WINDOWS):
             start, end = mine[at : at + BATCH_WINDOWS].T
             width = int(min(WINDOW, (end - start).max()))
@@ -354,9 +366,7 @@ def _attention_logs(model, classes: Classes, source, target, ends, sizes) -> tup
 
 def fit_attention(training: DataFrame, counts: np.ndarray, tokenizer: str, bound: int = SAMPLE_DOCS) -> tuple[Attention, Classes]:
     """The model after at most ``bound`` documents ``(doc_id, text)``, in order of a hash of their ids."""
-    code = coder(tokenizer)
-    by_id = {i: p for p, i in code.tokenizer.get_vocab().items()}
-    classes = make_classes(counts, [by_id.get(i, "") for i in range(code.size)])
+    classes = make_classes(counts, pieces_of(tokenizer))
     prepare(training.sparkSession)
     chosen = training.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     # At most ``bound`` ids.
@@ -394,9 +404,9 @@ def score(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     n, v = n_words + n_ends, n_distinct + (n_ends > 0)
     below = np.log10(n + SMOOTHING * (v + 1))
     # The most frequent words, a bounded number.
-    frequent = {bytes(r["word"]): r["c"] for r in counted.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()}
+    frequent = counted.orderBy(F.desc("c"), "word").limit(FREQUENT).toPandas()
     model, classes = fit_attention(training, subword_counts(counted, tokenizer), tokenizer)
-    logs = {w: float(np.log10(c + SMOOTHING) - below) for w, c in frequent.items()}
+    logs = dict(zip(map(bytes, frequent["word"]), (np.log10(frequent["c"].to_numpy(dtype=np.float64) + SMOOTHING) - below).tolist()))
     end_log = float(np.log10(n_ends + SMOOTHING) - below)
     prepare(spark)
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import prepare, shared_folder
-from .subwords import coder
+from .subwords import coder, id_type, pieces_of
 
 #: Parameters of BM25.
 K1, B = 1.2, 0.75
@@ -109,11 +109,11 @@ def pack(
     tokens = spark.read.schema(TOKENS).parquet(folder)
     rows = tokens.where("NOT is_total").drop("is_total", "frequencies")
     n = rows.count()
-    size = max(coder(tokenizer).size, end_id + 1)
+    size = max(len(pieces_of(tokenizer)), end_id + 1)
     corpus = corpus_statistics(tokens, n, size)
     parts = max(1, min(n, -(-int(corpus.mean_length * n) // partition_tokens)))
     shards = rows.repartitionByRange(parts, "signature", "doc_id").sortWithinPartitions("signature", "doc_id", "n_ids")
-    dtype = coder(tokenizer).dtype
+    dtype = id_type(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequences = _Numbers(TaskContext.get().partitionId() << 40)

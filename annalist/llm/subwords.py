@@ -35,8 +35,7 @@ class SubwordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.size = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.size, self.dtype = len(pieces_of(path)), id_type(path)
         with open(path, encoding="utf-8") as file:
             self.ranked = self._ranked(json.load(file))
 
@@ -68,6 +67,20 @@ class SubwordCoder:
         return [np.array(ids, dtype=self.dtype) for ids in found]
 
 
+@lru_cache(maxsize=2)
+def pieces_of(path: str) -> list[str]:
+    """The pieces of a vocabulary file by id, without loading a tokenizer."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    known = {i: p for p, i in told["model"]["vocab"].items()} | {t["id"]: t["content"] for t in told.get("added_tokens", ())}
+    return [known.get(i, "") for i in range(max(known) + 1)]
+
+
+def id_type(path: str) -> np.dtype:
+    """The narrowest type of the ids of a vocabulary file."""
+    return np.dtype("<u2") if len(pieces_of(path)) <= 1 << 16 else np.dtype("<u4")
+
+
 @lru_cache(maxsize=2)
 def coder(path: str) -> SubwordCoder:
     """One coder per worker process."""
