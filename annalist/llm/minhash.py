@@ -25,7 +25,7 @@ from .common import prepare, shared_folder, words_of
 
 WIDTH = 5
 SLOTS, CHUNK_SLOTS = 28, 4
-#: At a similarity of 0.85 more slots differ in about one pair of 80 000.
+#: At a similarity of 0.85 more slots differ in about one pair of 70 000.
 MAX_DISTANCE = 13
 CHUNK_ERRORS = MAX_DISTANCE // (SLOTS // CHUNK_SLOTS)
 #: Rows of a block of a bucket, and of a cluster.
