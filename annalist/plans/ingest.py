@@ -149,12 +149,12 @@ def q_fuzzy_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 @catalog.add("q_rule_entities", f"""
 WITH {CHRONICLE_SQL}
-SELECT event_id, '老王|张德明队长|赵小军|' || CASE segment WHEN 'BUILDING' THEN '父亲|' ELSE '' END || '北京|联想' AS names FROM chronicle""")
+SELECT event_id, '老王|张德明队长|张德明|赵小军|' || CASE segment WHEN 'BUILDING' THEN '父亲|' ELSE '' END || '北京|联想' AS names FROM chronicle""")
 def q_rule_entities(spark: SparkSession, sf: str) -> DataFrame:
     # 德明 appears only inside a full name, which its own rule reports as 张德明.
     extra = F.when(F.col("segment") == "BUILDING", "，父亲").otherwise("")
     text = F.concat(F.lit("联想在北京，老王、张德明队长和赵小军"), extra, F.lit("。"), "content")
-    names = F.filter(tx.rule_entities(text), lambda n: n != "张德明")
+    names = tx.rule_entities(text)
     return chronicle(spark, sf).select("event_id", F.array_join(names, "|").alias("names"))
 
 
