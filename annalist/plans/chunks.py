@@ -53,6 +53,15 @@ def q_chunk_index(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "chunk_index", F.length("text").cast("long").alias("n"))
 
 
+@catalog.add("q_chunk_index_of_names", f"""WITH RECURSIVE {PACKED_SQL}
+SELECT 'doc ' || doc_id::VARCHAR AS doc_id, row_number() OVER (ORDER BY 'doc ' || doc_id::VARCHAR, chunk_index) - 1 AS chunk_index, length(text)::BIGINT AS n FROM k""")
+def q_chunk_index_of_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents named by strings, as files are."""
+    named = documents(spark, sf).withColumn("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
+    rows = chunking.chunk_corpus(named, paragraph_pattern="\n", joiner="\n")
+    return rows.select("doc_id", "chunk_index", F.length("text").cast("long").alias("n"))
+
+
 TOKENS_SQL = "list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')"
 UNITS_SQL = f"""
 SELECT doc_id, i AS unit_index, array_to_string(t[(i * {{step}} + 1):(i * {{step}} + {{size}})], ' ') AS text FROM
@@ -168,6 +177,19 @@ def q_running_avg(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", "event_type", F.round(F.col("running_avg") / 7, 6).alias("scaled_avg"))
 
 
+@catalog.add("q_running_avg_null_labels", """
+WITH e AS (SELECT event_id, nullif(event_type, (SELECT min(event_type) FROM events)) AS label, value, event_id::VARCHAR AS name FROM events)
+SELECT event_id, coalesce(label, 'none') AS label, round((sum(value::DECIMAL(18, 2)) OVER w)::DOUBLE / count(value) OVER w / 7, 6) AS scaled_avg FROM e
+WINDOW w AS (PARTITION BY label ORDER BY name ROWS UNBOUNDED PRECEDING)""")
+def q_running_avg_null_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without a label have averages of their own; the order is that of a string."""
+    events = load(spark, sf, "events").select("event_id", "event_type", F.col("event_id").cast("string").alias("name"), F.col("value").cast("decimal(18,2)").alias("value"))
+    least = events.agg(F.min("event_type").alias("least"))
+    labelled = events.join(F.broadcast(least)).select("event_id", F.expr("nullif(event_type, least)").alias("label"), "name", "value")
+    rows = running.running_averages(labelled, ["label"], ["name"], "value")
+    return rows.select("event_id", F.coalesce("label", F.lit("none")).alias("label"), F.round(F.col("running_avg") / 7, 6).alias("scaled_avg"))
+
+
 @catalog.add("q_progress", """
 WITH p AS (SELECT o_orderkey, count(*) OVER w AS completed, (sum(o_totalprice::DECIMAL(18, 2)) OVER w)::DOUBLE AS elapsed, count(*) OVER () AS total
            FROM orders WINDOW w AS (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING))

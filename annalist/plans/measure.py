@@ -40,6 +40,19 @@ def q_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return nearest(spark, sf).withColumn("score", F.round("score", 5))
 
 
+@catalog.add("q_vector_l2_of_names", """
+WITH v AS (SELECT 'v' || vec_id::VARCHAR AS name, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT a.name AS query, b.name, list_sum(list_transform(range(1, 65), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))) AS d
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY d, name) AS rank, name, round(d, 5) AS score FROM s QUALIFY rank <= 5""")
+def q_vector_l2_of_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors named by strings, as text units are."""
+    table = load(spark, sf, "embeddings").withColumn("name", F.concat(F.lit("v"), F.col("vec_id").cast("string")))
+    queries = table.select(F.col("name").alias("query"), F.col("embedding").alias("query_vector"))
+    rows = vectors.vector_topk(queries, table, 5, "l2", query_id="query", vector_id="name", skip_same_id=True)
+    return rows.withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 5))
+
+
 def nearest(spark: SparkSession, sf: str) -> DataFrame:
     table = embeddings(spark, sf)
     rows = vectors.vector_topk(queries_of(table), table, 10, skip_same_id=True)
