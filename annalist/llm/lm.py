@@ -1,10 +1,10 @@
 """Language-model scores of texts: smoothed word counts as a base, and a causal self-attention model on subword ids.
 
 Word counts cover all training documents. The most frequent words, a bounded number, are looked up in every task; only
-the rest of a document's words is joined with the counts. The attention model is trained in numpy, in one task, on
-a bounded sample of training documents; it predicts the class of the next subword, and a subword has its share of the
-counts of its class, which cover all training documents too. Long texts are cut into overlapping windows, in
-which each subword is scored once, with masked attention over a batch of windows.
+the rest of a document's words is joined with the counts. The attention model predicts the class of the next subword, and
+a subword has its share of the counts of its class. Its tables of neighbouring classes are counted, and its weights
+trained, on all training documents: shards are trained in numpy in parallel, and parameters averaged after each round. Long
+texts are cut into overlapping windows, in which each subword is scored once, with masked attention over a batch of windows.
 """
 
 from __future__ import annotations
@@ -29,8 +29,12 @@ from .subwords import coder, pieces_of
 FREQUENT = 100_000
 #: Words that a task counts before it hands them on.
 COUNTED = 400_000
-#: Training documents that the attention model sees, at most, and windows of each of its steps.
-SAMPLE_DOCS, STEPS, STEP_WINDOWS = 1500, 400, 96
+#: Steps of the attention model, at least (small tables are passed several times), and windows of each of its steps.
+STEPS, STEP_WINDOWS = 400, 96
+#: Windows that a task trains on between two averages, about, and averages of one pass, at most.
+SHARD_WINDOWS, ROUNDS = 9600, 8
+#: Windows of a row of class streams: longer texts are dealt out in pieces.
+PIECE_WINDOWS = 64
 #: Classes of subwords lie in groups; half of the groups hold subwords that begin a word. In either half all classes but
 #: those of the last group hold one frequent subword each, the last group the others by their letters, and the end.
 GROUPS, MEMBERS = 32, 32
@@ -279,32 +283,45 @@ def windows(n: int) -> list[tuple[int, int]]:
 
 
 def train(texts: list[np.ndarray], classes: Classes, steps: int = STEPS, seed: int = 5) -> Attention:
-    """Adam on random windows of the given id sequences; the table starts from counts of neighbouring classes."""
+    """The model after the given id sequences alone; the tables start from counts of neighbouring classes."""
     streams = [classes.of[np.concatenate([[classes.end], ids, [classes.end]])] for ids in texts]
     pairs = np.zeros(CLASSES * CLASSES)
     for s in streams:
         np.add.at(pairs, s[:-1] * CLASSES + s[1:], 1.0)
     model = Attention.fresh(pairs.reshape(CLASSES, CLASSES))
-    starts = np.array([(i, w) for i, s in enumerate(streams) for w in range(0, max(1, len(s) - 1), WINDOW - OVERLAP)])
-    if not len(starts):
-        return model
+    improve(model, streams, steps, seed=seed)
+    return model
+
+
+def improve(model: Attention, streams: list[np.ndarray], steps: int, begin: float = 0.0, end: float = 1.0, seed: int = 5) -> None:
+    """Adam on the windows of class sequences, each window once before any comes again.
+
+    ``begin`` and ``end``: the part of the whole training that these steps are; the pace falls over the whole.
+    """
+    cut = [s[w : w + WINDOW + 1] for s in streams for w in range(0, len(s) - 1, WINDOW)]
+    if not cut:
+        return
+    sizes = np.array([len(c) - 1 for c in cut])
+    table = np.zeros((len(cut), WINDOW + 1), dtype=np.int16)
+    for row, c in zip(table, cut):
+        row[: len(c)] = c
     random = np.random.default_rng(seed)
     moments = {k: [np.zeros_like(getattr(model, k)) for _ in range(2)] for k in TRAINED}
+    order = np.zeros(0, dtype=np.int64)
     for step in range(1, steps + 1):
-        chosen = starts[random.integers(0, len(starts), STEP_WINDOWS)]
-        x = np.full((STEP_WINDOWS, WINDOW), classes.of[classes.end])
-        y, real = x.copy(), np.zeros(x.shape, dtype=bool)
-        for row, (i, w) in enumerate(chosen):
-            piece = streams[i][w : w + WINDOW + 1]
-            x[row, : len(piece) - 1], y[row, : len(piece) - 1], real[row, : len(piece) - 1] = piece[:-1], piece[1:], True
-        _, gradients = model.gradients(x, y, real)
-        pace = 0.01 * min(1.0, step / 20) * (1 - 0.9 * step / steps)
+        while len(order) < STEP_WINDOWS:
+            order = np.concatenate([order, random.permutation(len(cut))])
+        chosen, order = order[:STEP_WINDOWS], order[STEP_WINDOWS:]
+        width = int(sizes[chosen].max())
+        both = table[chosen, : width + 1].astype(np.int64)
+        real = np.arange(width) < sizes[chosen][:, None]
+        _, gradients = model.gradients(both[:, :-1], both[:, 1:], real)
+        pace = 0.01 * min(1.0, step / 20) * (1 - 0.9 * (begin + (end - begin) * step / steps))
         for k, d in gradients.items():
             m, s = moments[k]
             m += 0.1 * (d - m)
             s += 0.01 * (d * d - s)
             getattr(model, k)[...] -= pace * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-    return model
 
 
 #: Windows of one matrix product, and the weight of the word counts in the mixture.
@@ -320,6 +337,19 @@ def score_texts(model: Attention, classes: Classes, texts: list[np.ndarray], wor
     """
     if not texts:
         return np.zeros(0)
+    spelled, first_word = spell_texts(model, classes, texts)
+    counted = np.concatenate(words) * np.log(10)
+    if len(spelled) != len(counted):
+        raise ValueError("a word without a beginning")
+    return np.add.reduceat(mixture(counted, spelled), first_word) / np.log(10)
+
+
+def mixture(counted: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+    return np.logaddexp(np.log(WORD_WEIGHT) + counted, np.log(1 - WORD_WEIGHT) + spelled)
+
+
+def spell_texts(model: Attention, classes: Classes, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What the attention model gives each word and end, as natural logarithms in one row, and where each text begins."""
     sizes = np.array([len(ids) + 1 for ids in texts], dtype=np.int64)
     ends = np.cumsum(sizes)
     ids = np.full(int(ends[-1]), classes.end, dtype=np.int64)
@@ -332,15 +362,12 @@ def score_texts(model: Attention, classes: Classes, texts: list[np.ndarray], wor
     gain, begins = _attention_logs(model, classes, source, target, ends, sizes)
     gain += classes.log_share[ids]
     starts = np.flatnonzero(classes.begins[ids])
-    counted = np.concatenate(words) * np.log(10)
-    if len(starts) != len(counted) or starts[0] != 0:
+    if starts[0] != 0:
         raise ValueError("a word without a beginning")
     spelled = np.add.reduceat(gain, starts) - begins[starts]
     last = ids[starts] == classes.end
     spelled[:-1][~last[:-1]] += begins[starts[1:]][~last[:-1]]
-    mixed = np.logaddexp(np.log(WORD_WEIGHT) + counted, np.log(1 - WORD_WEIGHT) + spelled)
-    first_word = np.searchsorted(starts, ends - sizes)
-    return np.add.reduceat(mixed, first_word) / np.log(10)
+    return spelled, np.searchsorted(starts, ends - sizes)
 
 
 def _attention_logs(model, classes: Classes, source, target, ends, sizes) -> tuple[np.ndarray, np.ndarray]:
@@ -364,22 +391,121 @@ def _attention_logs(model, classes: Classes, source, target, ends, sizes) -> tup
     return gain, begins
 
 
-def fit_attention(training: DataFrame, counts: np.ndarray, tokenizer: str, bound: int = SAMPLE_DOCS) -> tuple[Attention, Classes]:
-    """The model after at most ``bound`` documents ``(doc_id, text)``, in order of a hash of their ids."""
-    classes = make_classes(counts, pieces_of(tokenizer))
+def class_streams(training: DataFrame, classes: Classes, tokenizer: str) -> DataFrame:
+    """``(key long, piece long, stream binary)``: the classes of each text between two ends, two bytes each.
+
+    The pieces of a text overlap in one class, so that each pair of neighbours lies in one piece.
+    """
     prepare(training.sparkSession)
-    chosen = training.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    # At most ``bound`` ids.
-    sample = training.join(F.broadcast(chosen), "doc_id").repartition(1).sortWithinPartitions("doc_id")
+    schema = pa.schema([("key", pa.int64()), ("piece", pa.int64()), ("stream", pa.binary())])
+    step = PIECE_WINDOWS * WINDOW
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: list[np.ndarray] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids += coder(tokenizer).encode([model_text(words_of(t or "")) for t in batch["text"]])
-        yield pd.DataFrame({"model": [pickle.dumps(list(vars(train(ids, classes)).values()))]})
+            rows = []
+            ids = coder(tokenizer).encode([model_text(words_of(t or "")) for t in batch.column("text").to_pylist()])
+            for key, found in zip(batch.column("key").to_pylist(), ids):
+                stream = classes.of[np.concatenate([[classes.end], found, [classes.end]]).astype(np.int64)].astype(np.int16)
+                rows += [(key, at // step, stream[at : at + step + 1].tobytes()) for at in range(0, len(stream) - 1, step)]
+            columns = list(zip(*rows)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return training.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "key long, piece long, stream binary")
+
 
-    rows = sample.select("doc_id", "text").mapInPandas(run, "model binary").collect()
-    return (Attention(*pickle.loads(bytes(rows[0]["model"]))) if rows else train([], classes)), classes
+def class_pairs(streams: DataFrame) -> np.ndarray:
+    """Counts of neighbouring classes; tasks add up, and one row per pair reaches the driver."""
+    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+        for batch in batches:
+            parts = [np.frombuffer(x, dtype=np.int16).astype(np.int64) for x in batch.column("stream").to_pylist()]
+            if parts:
+                total += np.bincount(np.concatenate([p[:-1] * CLASSES + p[1:] for p in parts]), minlength=len(total))
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], schema=schema)
+
+    rows = streams.select("stream").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    pairs = np.zeros(CLASSES * CLASSES)
+    pairs[rows["pair"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.float64)
+    return pairs.reshape(CLASSES, CLASSES)
+
+
+def train_round(streams: DataFrame, model: Attention, shards: int, passes: int, begin: float, end: float) -> Attention:
+    """The average of copies of the model, each trained on one ``shard`` of ``streams(shard, key, piece, stream)``,
+    weighted by windows. What reaches the driver is summed in a bounded number of groups before.
+    """
+    # The session's context must not travel with the functions.
+    start = list(vars(model).values())
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def trained(shard: int, held: list[bytes]) -> pd.DataFrame:
+            copy = Attention(*(x.copy() for x in start))
+            parts = [np.frombuffer(x, dtype=np.int16).astype(np.int64) for x in held]
+            n = sum(-(-(len(x) - 1) // WINDOW) for x in parts)
+            improve(copy, parts, -(-passes * n // STEP_WINDOWS), begin, end, seed=5 + shard)
+            weights = np.concatenate([getattr(copy, k).ravel() for k in TRAINED]).astype(np.float64) * n
+            return pd.DataFrame({"shard": [shard], "n": [n], "weights": [weights.tobytes()]})
+
+        current, held = None, []
+        for batch in batches:
+            for shard, stream in zip(batch["shard"].tolist(), batch["stream"]):
+                if shard != current and held:
+                    yield trained(current, held)
+                    held = []
+                current = shard
+                held.append(stream)
+        if held:
+            yield trained(current, held)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total = 0, None
+        for batch in batches:
+            for more, weights in zip(batch["n"].tolist(), batch["weights"]):
+                weights = np.frombuffer(weights, dtype=np.float64)
+                n, total = n + more, weights.copy() if total is None else total + weights
+        if n:
+            yield pd.DataFrame({"n": [n], "weights": [total.tobytes()]})
+
+    dealt = streams.repartition(2 * shards, "shard").sortWithinPartitions("shard", "key", "piece", "stream")
+    copies = dealt.select("shard", "stream").mapInPandas(learn, "shard long, n long, weights binary")
+    groups = copies.withColumn("group", F.pmod("shard", F.lit(16))).repartition(16, "group").sortWithinPartitions("shard")
+    rows = sorted((r["n"], bytes(r["weights"])) for r in groups.mapInPandas(add, "n long, weights binary").collect())
+    if rows:
+        mean = sum(np.frombuffer(w, dtype=np.float64) for _, w in rows) / sum(n for n, _ in rows)
+        at = 0
+        for k in TRAINED:
+            part = getattr(model, k)
+            part[...] = mean[at : at + part.size].reshape(part.shape)
+            at += part.size
+    return model
+
+
+def fit_attention(training: DataFrame, counts: np.ndarray, tokenizer: str) -> tuple[Attention, Classes]:
+    """The model after all documents ``(doc_id, text)``.
+
+    One pass over all windows, more while that makes fewer than ``STEPS`` steps. Rounds and shards are dealt by
+    hashes of ids and texts; the number of shards grows with the windows.
+    """
+    spark = training.sparkSession
+    classes = make_classes(counts, pieces_of(tokenizer))
+    folder = shared_folder(spark, "streams")
+    class_streams(training, classes, tokenizer).write.option("compression", "zstd").parquet(folder)
+    streams = spark.read.schema("key long, piece long, stream binary").parquet(folder)
+    model = Attention.fresh(class_pairs(streams))
+    n = streams.agg(F.coalesce(F.sum(F.ceil((F.length("stream") / 2 - 1) / WINDOW)), F.lit(0)).cast("long")).first()[0]
+    if not n:
+        return model, classes
+    cells = -(-n // SHARD_WINDOWS)
+    rounds = min(ROUNDS, cells)
+    shards = -(-cells // rounds)
+    passes = -(-STEPS * STEP_WINDOWS // n)
+    cell = F.pmod(F.xxhash64("key", "piece"), F.lit(rounds * shards))
+    for i in range(rounds):
+        mine = streams.withColumn("shard", cell - i * shards).where(F.col("shard").between(0, shards - 1))
+        model = train_round(mine, model, shards, passes, i / rounds, (i + 1) / rounds)
+    return model, classes
 
 
 _SCORED = pa.schema([

@@ -277,3 +277,28 @@ def test_lm_learns(small_model):
     untrained = lm.score_texts(lm.train([], classes), classes, ids, nothing)
     assert (lm.score_texts(model, classes, ids, nothing) > untrained).all()
     assert lm.score_texts(model, classes, [], []).size == 0
+
+
+def test_lm_learns_from_all_documents(spark, monkeypatch):
+    coder = SubwordCoder(vocabulary("byte_bpe_50k.json"))
+    random = np.random.default_rng(4)
+    texts = [" ".join(random.choice(["red", "green", "blue", "cat", "dog", f"n{i}"], int(random.integers(1, 12)))) for i in range(2000)] + ["long tail " * 4000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    ids = coder.encode([lm.model_text(words_of(t)) for t in texts])
+    counts = np.bincount(np.concatenate(ids), minlength=coder.size).astype(float)
+    monkeypatch.setattr(lm, "STEPS", 5)
+    monkeypatch.setattr(lm, "SHARD_WINDOWS", 150, raising=False)
+    monkeypatch.setattr(lm, "ROUNDS", 3, raising=False)
+    model, classes = lm.fit_attention(df, counts, vocabulary("byte_bpe_50k.json"))
+    pairs = np.zeros((lm.CLASSES, lm.CLASSES))
+    for t in ids:
+        stream = classes.of[np.concatenate([[classes.end], t, [classes.end]])]
+        np.add.at(pairs, (stream[:-1], stream[1:]), 1)
+    start = lm.Attention.fresh(pairs)
+    assert np.allclose(model.bu, start.bu) and np.allclose(model.bm, start.bm)
+    # Every class that occurs has moved.
+    assert (model.e != start.e).any(axis=1)[pairs.sum(axis=1) > 0].all()
+    nothing = [np.full(sum(classes.begins[i] for i in t) + 1, -np.inf) for t in ids]
+    assert lm.score_texts(model, classes, ids, nothing).sum() > lm.score_texts(start, classes, ids, nothing).sum()
+    again, _ = lm.fit_attention(df.repartition(7), counts, vocabulary("byte_bpe_50k.json"))
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(vars(model).values(), vars(again).values()))
