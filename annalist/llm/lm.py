@@ -40,7 +40,7 @@ PIECE_WINDOWS = 64
 GROUPS, MEMBERS = 32, 32
 CLASSES = GROUPS * MEMBERS
 #: Width of the model and of its hidden layer; window and overlap.
-WIDTH, HIDDEN, WINDOW, OVERLAP = 16, 24, 32, 6
+WIDTH, HIDDEN, WINDOW, OVERLAP = 16, 32, 64, 16
 SMOOTHING = 0.1
 
 
@@ -510,15 +510,16 @@ def fit_attention(training: DataFrame, counts: np.ndarray, tokenizer: str) -> tu
 
 _SCORED = pa.schema([
     ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()),
-    ("score", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
+    ("score", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("spelled", pa.list_(pa.float64()))]))),
 ])
-SCORED = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<struct<word:binary,n:bigint>>"
+SCORED = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<struct<word:binary,spelled:array<double>>>"
 
 
 def score(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per row.
 
     Learnt from the documents that are not held out; words and the end of each text are the tokens of the base.
+    Every counted word has its counted share in the mixture: that of rare words is joined, as is their base.
     Null and empty texts have one token, their end. A row without an id is scored and not learnt from.
     """
     spark = documents.sparkSession
@@ -540,19 +541,29 @@ def score(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
         number = TaskContext.get().partitionId() << 40
         code = coder(tokenizer)
         for batch in batches:
-            out, texts, shares = [], [], []
-            for key, body in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                words = words_of(body or "")
-                found = list(map(logs.get, words))
-                rare = Counter(w for w, x in zip(words, found) if x is None) if None in found else {}
-                known = len(words) - sum(rare.values())
-                base = sum(x for x in found if x is not None) + end_log
-                out.append([number, key, len(words) + 1, known + (n_ends > 0), base, None, [{"word": w, "n": k} for w, k in rare.items()]])
-                texts.append(model_text(words))
-                shares.append(np.array([-np.inf if x is None else x for x in found] + [end_log]))
+            bodies = [words_of(t or "") for t in batch.column("text").to_pylist()]
+            if not bodies:
+                continue
+            out = []
+            spelled, first_word = spell_texts(model, classes, code.encode([model_text(words) for words in bodies]))
+            if len(spelled) != sum(map(len, bodies)) + len(bodies):
+                raise ValueError("a word without a beginning")
+            for key, words, at in zip(batch.column("doc_id").to_pylist(), bodies, first_word.tolist()):
+                found = [*map(logs.get, words), end_log]
+                mine = spelled[at : at + len(found)]
+                rare: dict[bytes, list[float]] = {}
+                if None in found:
+                    for w, x, y in zip(words, found, mine.tolist()):
+                        if x is None:
+                            rare.setdefault(w, []).append(y)
+                    counted = np.array(found, dtype=np.float64)  # None becomes NaN
+                    met = ~np.isnan(counted)
+                    counted, mine = counted[met], mine[met]
+                else:
+                    counted = np.array(found)
+                score = float(mixture(counted * np.log(10), mine).sum() / np.log(10))
+                out.append([number, key, len(found), len(counted) - 1 + (n_ends > 0), float(counted.sum()), score, [{"word": w, "spelled": x} for w, x in rare.items()]])
                 number += 1
-            for row, s in zip(out, score_texts(model, classes, code.encode(texts), shares)):
-                row[5] = float(s)
             columns = list(zip(*out)) or [()] * len(_SCORED)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCORED)], schema=_SCORED)
 
@@ -560,12 +571,22 @@ def score(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     rows.mapInArrow(run, SCORED).write.option("compression", "zstd").parquet(folder)
     scored = spark.read.schema(SCORED).parquet(folder)
     rare = scored.select("row", F.inline("rare")).join(counted, "word", "left")
-    c = F.coalesce("c", F.lit(0))
+    c, n_met = F.coalesce("c", F.lit(0)), F.size("spelled")
+    share = F.log10(c + SMOOTHING) - F.lit(float(below))
+
+    def mixed(spelled: Column) -> Column:
+        """What ``mixture`` gives for one word; words that were never counted have no share."""
+        x, y = share * float(np.log(10)) + float(np.log(WORD_WEIGHT)), spelled + float(np.log(1 - WORD_WEIGHT))
+        both = F.greatest(x, y) + F.log1p(F.exp(-F.abs(x - y)))
+        return F.when(c > 0, both).otherwise(y) / float(np.log(10))
+
     sums = rare.groupBy("row").agg(
-        F.sum(F.col("n") * (F.log10(c + SMOOTHING) - F.lit(float(below)))).alias("_base"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("_known")
+        F.sum(n_met * share).alias("_base"), F.sum(F.when(c > 0, n_met).otherwise(0)).alias("_known"),
+        F.sum(F.aggregate("spelled", F.lit(0.0), lambda a, x: a + mixed(x))).alias("_score"),
     )
     return scored.drop("rare").join(sums, "row", "left").select(
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(True)).alias("held_out"), "n_tokens",
         (F.col("known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"),
     )

@@ -302,3 +302,19 @@ def test_lm_learns_from_all_documents(spark, monkeypatch):
     assert lm.score_texts(model, classes, ids, nothing).sum() > lm.score_texts(start, classes, ids, nothing).sum()
     again, _ = lm.fit_attention(df.repartition(7), counts, vocabulary("byte_bpe_50k.json"))
     assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(vars(model).values(), vars(again).values()))
+
+
+def test_lm_rare_words_have_their_share(documents, monkeypatch):
+    df, _ = documents
+    monkeypatch.setattr(lm, "STEPS", 5)
+    scores = []
+    for frequent in (lm.FREQUENT, 20, 0):
+        monkeypatch.setattr(lm, "FREQUENT", frequent)
+        scores.append(sorted((str(r["doc_id"]), r["n_known"], r["base_score"], r["score"]) for r in lm.score(df, vocabulary("byte_bpe_50k.json")).collect()))
+    for other in scores[1:]:
+        for a, b in zip(scores[0], other):
+            assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-3)
+
+
+def test_lm_windows_keep_their_context():
+    assert lm.WINDOW >= 64 and lm.OVERLAP >= 16
