@@ -24,9 +24,9 @@ from ..session import cut_lineage
 from .common import prepare, shared_folder, words_of
 
 WIDTH = 5
-SLOTS, CHUNK_SLOTS = 28, 4
-#: At a similarity of 0.85 more slots differ in about one pair of 70 000.
-MAX_DISTANCE = 13
+SLOTS, CHUNK_SLOTS = 44, 4
+#: At a similarity of 0.80 more slots differ in about one pair of 118 000.
+MAX_DISTANCE = 21
 CHUNK_ERRORS = MAX_DISTANCE // (SLOTS // CHUNK_SLOTS)
 #: Rows of a block of a bucket, and of a cluster.
 BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 512
@@ -273,7 +273,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """``(doc_id, n_shingles, component_id, kept)``, one row per row.
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their sets of ``WIDTH``-word shingles; signatures
-    and distance are laid out for 85 percent and more. Texts without words (and null texts) are linked with nothing.
+    and distance are laid out for 80 percent and more. Texts without words (and null texts) are linked with nothing.
     ``component_id`` is the smallest id reachable. Rows with the same id count as one document; a row without an
     id has neither component nor verdict. Other columns are ignored.
     """

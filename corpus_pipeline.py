@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near duplicates; rows without an id stay."""
-    verdicts = cut_lineage(minhash.near_duplicates(docs, percent=85).select("doc_id", "kept"))
+    verdicts = cut_lineage(minhash.near_duplicates(docs, percent=80).select("doc_id", "kept"))
     removed = verdicts.where("NOT kept").select("doc_id").distinct()
     kept = docs.join(removed, "doc_id", "left_anti")
     if verdicts.where("kept").groupBy("doc_id").count().where("count > 1").head(1):

@@ -67,3 +67,30 @@ def test_repeated_rows_leave_one(spark):
 def test_run_on_the_given_tables(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "minhash", "secrets", "packing"]
+
+
+def test_copies_from_080_on_are_dropped(spark):
+    random = np.random.default_rng(3)
+    word = lambda: "".join(random.choice(list("abcdefgh"), 6))
+    texts = {}
+    for group in range(12):
+        base = [word() for _ in range(450)]
+        for copy, changed in enumerate((0, 8, 9, 11)):
+            words = list(base)
+            for k in range(changed):
+                words[k * (450 // max(1, changed)) + 10] = word()
+            texts[group * 10 + copy] = " ".join(words)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    share = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    expected = set()
+    for group in range(0, 120, 10):
+        reached, waiting = {group}, [group]
+        while waiting:
+            i = waiting.pop()
+            new = {j for j in range(group, group + 4) if j not in reached and share(i, j) >= 0.8}
+            reached |= new
+            waiting += new
+        expected |= {group} | ({*range(group, group + 4)} - reached)
+        assert all(0.8 <= share(group, group + c) < 0.85 for c in (1, 2)) and share(group, group + 3) < 0.8
+    docs = spark.createDataFrame([(i, t, "x", "s", 1) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_copies(spark, docs, "").collect()} == expected
