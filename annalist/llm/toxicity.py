@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
 from .common import prepare
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -52,45 +53,61 @@ class OrdinalModel:
 
 
 def sample_graded(documents: DataFrame, grades: DataFrame, bound: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """At most ``bound`` graded documents in order of a hash of their ids: ``(_id, words, grade)``.
+    """At most ``bound`` distinct graded texts: ``(_id, words, grade, weight)``.
 
-    ``grades(id, grade)``: null ids and grades do not count; of repeated ids the highest grade holds.
+    ``grades(id, grade)``: null ids and grades do not count; of repeated ids and of copies the highest grade holds, and a
+    text is there once. Each grade has an equal part of the bound, and what rarer grades leave of theirs, in order
+    of a hash; ``weight`` is the number of texts of the grade over those chosen.
     """
-    chosen = (
+    graded = (
         grades.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull())
         .groupBy(F.col(id_col).alias("_id")).agg(F.max("grade").cast("long").alias("grade"))
-        .orderBy(F.xxhash64("_id"), "_id").limit(bound)
     )
-    texts = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    words = F.regexp_extract_all(F.lower(F.coalesce("_text", F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1))
-    # The chosen ids are bounded by the parameter, so they may travel to every task.
-    return texts.join(F.broadcast(chosen), "_id").select("_id", F.array_distinct(words).alias("words"), "grade")
+    texts = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(text, F.lit("")).alias("_text"))
+    digest = [F.xxhash64("_text").alias("_a"), F.xxhash64(F.reverse("_text"), F.length("_text")).alias("_b")]
+    distinct = cut_lineage(
+        texts.select("_id", *digest).join(graded, "_id").groupBy("_a", "_b").agg(F.max("grade").alias("grade"), F.min("_id").alias("_id"))
+    )
+    sizes = sorted((n, g) for g, n in distinct.groupBy("grade").count().collect())
+    chosen, left = distinct.limit(0).withColumn("weight", F.lit(1.0)), bound
+    for i, (n, grade) in enumerate(sizes):
+        mine = min(n, left // (len(sizes) - i))
+        left -= mine
+        if mine:
+            part = distinct.where(F.col("grade") == grade).orderBy(F.xxhash64("_a", "_b"), "_a", "_b").limit(mine)
+            chosen = chosen.unionByName(part.withColumn("weight", F.lit(n / mine)))
+    words = F.regexp_extract_all(F.lower("_text"), F.lit(r"(\p{L}+)"), F.lit(1))
+    # The chosen texts are bounded by the parameter, so their ids and digests may travel to every task.
+    found = texts.select("*", *digest).join(F.broadcast(chosen), ["_id", "_a", "_b"]).dropDuplicates(["_a", "_b"])
+    return found.select("_id", "_a", F.array_distinct(words).alias("words"), "grade", "weight")
 
 
 def fit(
     documents: DataFrame, grades: DataFrame, bound: int = 8000, id_col: str = "doc_id", text: str = "text",
-    min_documents: int = 5, max_share: float = 0.3, penalty: float = 0.003, rounds: int = 120,
+    min_documents: int = 5, max_share: float = 1.0, penalty: float = 0.003, rounds: int = 120,
 ) -> OrdinalModel:
-    """Fit on at most ``bound`` graded documents, in one task.
+    """Fit on at most ``bound`` distinct graded texts, in one task.
 
-    Words in fewer than ``min_documents`` or in more than ``max_share`` of them are no features. Without graded
+    Words in fewer than ``min_documents``, in more than ``max_share`` or in all of them are no features; near copies
+    may share most of their words, so that by default the penalty decides. Without graded
     documents, or with a single grade, the model says that grade (0 without any) for every text.
     """
     prepare(documents.sparkSession)
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sample, levels = FeatureRows(), []
+        sample, levels, weights = FeatureRows(), [], []
         for batch in batches:
             levels += batch["grade"].tolist()
+            weights += batch["weight"].tolist()
             for words in batch["words"]:
                 sample.add(words)
-        model = fit_sample(sample, np.array(levels, dtype=np.int64), min_documents, max_share, penalty, rounds)
+        model = fit_sample(sample, np.array(levels, dtype=np.int64), min_documents, max_share, penalty, rounds, np.array(weights))
         yield pd.DataFrame(
             [("grade", "", float(g)) for g in model.grades] + [("threshold", "", t) for t in model.thresholds]
             + [("weight", w, x) for w, x in model.weights.items()], columns=["kind", "name", "value"],
         )
 
-    sample = sample_graded(documents, grades, bound, id_col, text).repartition(1).sortWithinPartitions("_id")
+    sample = sample_graded(documents, grades, bound, id_col, text).repartition(1).sortWithinPartitions("_id", "_a")
     rows = sample.mapInPandas(train, "kind string, name string, value double").collect()
     of = lambda kind: [r["value"] for r in rows if r["kind"] == kind]
     return OrdinalModel(
@@ -113,22 +130,24 @@ class FeatureRows:
         self.sizes.append(len(found))
 
 
-def fit_sample(sample: FeatureRows, grades: np.ndarray, min_documents: int = 5, max_share: float = 0.3, penalty: float = 0.003, rounds: int = 120) -> OrdinalModel:
+def fit_sample(sample: FeatureRows, grades: np.ndarray, min_documents: int = 5, max_share: float = 1.0, penalty: float = 0.003, rounds: int = 120, weights: np.ndarray | None = None) -> OrdinalModel:
+    """``weights``: of the documents, 1 by default; thresholds and losses are those of the weighted sample."""
     levels = sorted(set(grades.tolist()))
     if len(levels) < 2:
         return OrdinalModel(grades=levels or [0])
     n = len(grades)
     y = np.searchsorted(levels, grades)
+    heavy = np.ones(n) if weights is None else weights * (n / weights.sum())
     columns = np.frombuffer(sample.columns, dtype=np.int32) if sample.columns else np.zeros(0, np.int32)
     counts = np.bincount(columns, minlength=len(sample.number))
-    fit_for = (counts >= min_documents) & (counts <= max_share * n)
+    fit_for = (counts >= min_documents) & (counts <= max_share * n) & (counts < n)
     kept = fit_for[columns]
     rows = np.repeat(np.arange(n), np.array(sample.sizes))[kept]
     columns = (np.cumsum(fit_for) - 1)[columns[kept]]
     names = [name for name, i in sample.number.items() if fit_for[i]]
     share = counts[fit_for] / n
     scale = 1.0 / np.sqrt(share * (1.0 - share))
-    thresholds = np.array([np.log((y < k).mean() / (y >= k).mean()) for k in range(1, len(levels))])
+    thresholds = np.array([np.log(heavy[y < k].sum() / heavy[y >= k].sum()) for k in range(1, len(levels))])
     w = np.zeros(len(names))
     values = scale[columns]
 
@@ -141,13 +160,13 @@ def fit_sample(sample: FeatureRows, grades: np.ndarray, min_documents: int = 5,
         z = latent(v)
         with np.errstate(over="ignore"):
             low, high = (1.0 / (1.0 + np.exp(edges[y + i] - z)) for i in (0, 1))
-        slope = -(1.0 - high - low) / n
+        slope = -(1.0 - high - low) * heavy / n
         inside = np.maximum(low - high, 1e-12)
-        dlow, dhigh = low * (1 - low) / inside, high * (1 - high) / inside
+        dlow, dhigh = heavy * low * (1 - low) / inside, heavy * high * (1 - high) / inside
         per_cut = np.array([dlow[y == k].sum() - dhigh[y == k - 1].sum() for k in range(1, len(levels))]) / n
         return np.bincount(columns, weights=values * slope[rows], minlength=len(names)), per_cut
 
-    step = _safe_step(rows, columns, values, n, len(names))
+    step = _safe_step(rows, columns, values, n, len(names), heavy)
     seen_w, seen_t, momentum = w, thresholds, 1.0
     for _ in range(rounds):
         gw, gt = gradients(seen_w, seen_t)
@@ -163,13 +182,13 @@ def fit_sample(sample: FeatureRows, grades: np.ndarray, min_documents: int = 5,
     )
 
 
-def _safe_step(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int, width: int) -> float:
+def _safe_step(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n: int, width: int, heavy: np.ndarray) -> float:
     """One over a bound of the curvature: half the largest squared singular value over n, by power iteration."""
     v = np.ones(max(1, width)) / np.sqrt(max(1, width))
     largest = 1.0
     for _ in range(20):
         z = np.bincount(rows, weights=values * v[columns], minlength=n)
-        v = np.bincount(columns, weights=values * z[rows], minlength=width)
+        v = np.bincount(columns, weights=values * (heavy * z)[rows], minlength=width)
         largest = float(np.linalg.norm(v))
         if largest == 0:
             return 1.0

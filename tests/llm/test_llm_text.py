@@ -45,6 +45,22 @@ def test_toxicity_table(spark):
     assert found[102]["toxic"] and not found[100]["toxic"] and found[100]["expected_severity"] == found[101]["expected_severity"]
 
 
+def test_toxic_copies_do_not_hide_their_words(spark):
+    random = np.random.default_rng(5)
+    calm = lambda: " ".join(random.choice([f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)], 12))
+    copies = [(i, "scum idiot " + calm() if i == 0 else None) for i in range(200)]
+    copies = [(i, copies[0][1] + (f" t{chr(97 + i % 26)}" if i % 2 else "")) for i, _ in copies]
+    others = [(i, ("scum " if i % 10 == 0 else "") + calm()) for i in range(200, 600)]
+    df = spark.createDataFrame(copies + others, "doc_id long, text string")
+    grades = df.selectExpr("doc_id", "CASE WHEN text LIKE 'scum%' THEN 1 ELSE 0 END AS grade")
+    for bound in (8000, 120):  # a bound with fewer toxic rows than clean ones keeps both grades
+        found = {r["doc_id"]: r["toxic"] for r in toxicity.score(df, toxicity.fit(df, grades, bound)).collect()}
+        assert all(found[i] for i, t in copies) and all(found[i] == t.startswith("scum") for i, t in others)
+    sample = toxicity.sample_graded(df, grades, 120).groupBy("grade").agg({"weight": "sum", "_id": "count"}).collect()
+    # 14 different copies and 40 others are toxic, fewer than half of the bound.
+    assert sorted((r["grade"], r["count(_id)"], round(r["sum(weight)"])) for r in sample) == [(0, 66, 360), (1, 54, 54)]
+
+
 def test_toxicity_without_labels(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, grade int")
