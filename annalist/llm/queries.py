@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.shared import Catalog
 from ..sources.tables import load
-from . import cover_tree, html_tree, lm, minhash, packing, secret_scan, sentencepiece_codec, topk, toxicity, warc
+from . import cover_tree, decontamination, html_tree, lm, minhash, packing, secret_scan, sentencepiece_codec, topk, toxicity, warc
 from ..session import cut_lineage
 from .common import shared_folder
 
@@ -158,3 +158,36 @@ def op2_cover_tree(spark: SparkSession, sf: str) -> DataFrame:
 def op10_lm(spark: SparkSession, sf: str) -> DataFrame:
     """Base and attention-model scores of all documents."""
     return lm.score(load(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@catalog.add("op12_decontamination", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents
+), i AS (
+  SELECT item_id::VARCHAR AS item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark WHERE item_id IS NOT NULL
+), cuts AS (
+  SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS s FROM i WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + 9], ' ') AS win FROM cuts
+), spots AS (
+  SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n
+), hits AS (
+  SELECT r, s, p.n, item_id FROM (SELECT r, s, n, array_to_string(w[s:s + n - 1], ' ') AS win FROM spots) p JOIN windows USING (win)
+), places AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT r, s, n FROM hits)) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)
+""")
+def op12_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of every document that lie inside benchmark windows of ten words."""
+    rows = decontamination.contamination(load(spark, sf, "documents"), load(spark, sf, "benchmark"), size=10)
+    return rows.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
+    )
