@@ -18,9 +18,14 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows of one Arrow batch, so that a batch of long texts stays small, and let Python workers
-    find this package where it lies on their machine, too.
+    find this package.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    make_known(spark)
+
+
+def make_known(spark: SparkSession) -> None:
+    """Let Python workers find this package where it lies on their machine, too."""
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:

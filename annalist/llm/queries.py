@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.shared import Catalog
 from ..sources.tables import load
-from . import cover_tree, decontamination, html_tree, lm, minhash, packing, secret_scan, sentencepiece_codec, topk, toxicity, warc
+from . import cover_tree, decontamination, html_tree, lm, merkle, minhash, packing, secret_scan, sentencepiece_codec, topk, toxicity, warc
 from ..session import cut_lineage
 from .common import shared_folder
 
@@ -191,3 +191,60 @@ def op12_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@catalog.add("op11_merkle", """
+WITH RECURSIVE fields AS (
+  SELECT *, coalesce(lang, '') AS g, lang IS NULL AS missing,
+         concat(CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END,
+                CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+                CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END,
+                CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END) AS head,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM documents
+), hashed AS (
+  SELECT doc_id, g, missing, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+         sha256(head || CASE WHEN low IS NULL THEN '-' ELSE strlen(low) || ':' || low END) AS changed FROM fields
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY missing, g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY missing, g) AS n FROM hashed
+), nodes AS (
+  SELECT missing, g, 0 AS lvl, i, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT missing, g, lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 7) // 8) FROM nodes WHERE n > 1 GROUP BY missing, g, lvl, i // 8
+), tops AS (
+  SELECT missing, g, lvl AS height, h AS subroot, row_number() OVER (ORDER BY NOT missing, encode(g)) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+), crown AS (
+  SELECT 0 AS lvl, i, subroot AS h, n FROM tops
+  UNION ALL
+  SELECT lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 7) // 8) FROM crown WHERE n > 1 GROUP BY lvl, i // 8
+), sides AS (
+  SELECT missing, g, lvl, i, coalesce(string_agg(h, '') OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (b ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM nodes WHERE n > 1 WINDOW b AS (PARTITION BY missing, g, lvl, i // 8 ORDER BY i)
+), crown_sides AS (
+  SELECT lvl, i, coalesce(string_agg(h, '') OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (b ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM crown WHERE n > 1 WINDOW b AS (PARTITION BY lvl, i // 8 ORDER BY i)
+), docs AS (
+  SELECT row_number() OVER () AS d, doc_id, missing, g, leaves.i, leaf, subroot, tops.i AS top, height,
+         CASE WHEN crc % 3 = 0 THEN changed ELSE leaf END AS start
+  FROM (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+          lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+          lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc FROM leaves) leaves
+       JOIN tops USING (missing, g)
+), steps AS (
+  SELECT d, lvl AS k, l, r FROM docs JOIN sides s ON s.missing = docs.missing AND s.g = docs.g AND s.i = docs.i // (8 ** lvl)::BIGINT
+  UNION ALL
+  SELECT d, height + lvl, l, r FROM docs JOIN crown_sides s ON s.i = docs.top // (8 ** lvl)::BIGINT
+), fold AS (
+  SELECT d, 0 AS k, start AS h FROM docs
+  UNION ALL
+  SELECT fold.d, fold.k + 1, sha256(l || h || r) FROM fold JOIN steps ON steps.d = fold.d AND steps.k = fold.k
+), proofs AS (SELECT d, string_agg(l || r, '' ORDER BY k) AS p FROM steps GROUP BY d)
+SELECT doc_id, leaf, subroot, (SELECT h FROM crown WHERE n = 1) AS root, sha256(coalesce(p, '')) AS proof_sha256,
+       h AS folded_root, h = (SELECT h FROM crown WHERE n = 1) AS verified
+FROM docs JOIN (SELECT d, arg_max(h, k) AS h FROM fold GROUP BY d) USING (d) LEFT JOIN proofs USING (d)
+""")
+def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's leaf and proof in the manifest, and whether its possibly tampered row still gives the root."""
+    return merkle.verify(merkle.tampered_leaves(load(spark, sf, "documents")))
