@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.shared import Catalog
 from ..sources.tables import load
-from . import cover_tree, decontamination, html_tree, lm, merkle, minhash, packing, secret_scan, sentencepiece_codec, topk, toxicity, warc
+from . import cover_tree, decontamination, html_tree, lm, merkle, minhash, packing, phrases, secret_scan, sentencepiece_codec, topk, toxicity, warc
 from ..session import cut_lineage
 from .common import shared_folder
 
@@ -248,3 +248,38 @@ FROM docs JOIN (SELECT d, arg_max(h, k) AS h FROM fold GROUP BY d) USING (d) LEF
 def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's leaf and proof in the manifest, and whether its possibly tampered row still gives the root."""
     return merkle.verify(merkle.tampered_leaves(load(spark, sf, "documents")))
+
+
+@catalog.add("op13_phrases", r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM words, (VALUES (1), (2), (3), (4)) t(k) WHERE len(w) >= k
+), counts AS (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k >= 2 AND f >= 30
+), cuts AS (
+  SELECT lang, phrase, a, size, w, unnest(range(1, size)) AS k FROM candidates
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), parts AS (
+  SELECT lang, a, array_to_string(w[s:s + m - 1], ' ') AS phrase FROM (
+    SELECT lang, a, w, size, m, unnest(range(1, size - m + 2)) AS s FROM candidates, (VALUES (2), (3)) t(m) WHERE m < size)
+), held AS (SELECT lang, phrase, max(a) AS longer FROM parts GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM lowest LEFT JOIN held USING (lang, phrase) JOIN totals USING (lang)
+WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a QUALIFY rank <= 2000
+""")
+def op13_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """The collocations of each language, phrases of up to four words that occur 30 times or more."""
+    return phrases.collocations(load(spark, sf, "documents"), least=30, longest=4, limit=2000)
