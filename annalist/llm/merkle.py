@@ -196,6 +196,7 @@ class Tree:
 
     def met(self, nodes: DataFrame, paths: DataFrame):
         """Nodes grouped by subtree, with the row that holds the path above it."""
+        paths = paths.select(*[F.col(c).alias(c) for c in paths.columns])  # both sides may come from the same table
         return nodes.withColumn("block", self.cut.block()).groupBy("group", "block").cogroup(paths.groupBy("group", "block"))
 
 
