@@ -127,38 +127,6 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
 
 
-def communities(edges: DataFrame, max_size: int = 10) -> DataFrame:
-    """``(node, component, community)``: connected groups of at most ``max_size`` nodes, by their strongest ties.
-
-    Every node begins as its own group. In each round a group names the neighbour it is most strongly tied to, among
-    those it fits with in size; two groups that name each other merge. Merged groups are tied, so each
-    community is connected. Rounds end when nothing merges. A deterministic stand-in for hierarchical clustering.
-    """
-    ties = edges.select(F.greatest("source", "target").alias("a"), F.least("source", "target").alias("b"), "weight")
-    ties = cut_lineage(ties.where("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("w")))
-    components = cut_lineage(connected_components(edges))
-    groups = components.select("node", F.col("node").alias("group"))
-    while True:
-        sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
-        named = ties.join(groups.select(F.col("node").alias("a"), F.col("group").alias("ga")), "a").join(
-            groups.select(F.col("node").alias("b"), F.col("group").alias("gb")), "b").where("ga <> gb")
-        between = named.groupBy(F.greatest("ga", "gb").alias("ga"), F.least("ga", "gb").alias("gb")).agg(F.sum("w").alias("w"))
-        fitting = between.join(sizes.select(F.col("group").alias("ga"), F.col("n").alias("na")), "ga").join(
-            sizes.select(F.col("group").alias("gb"), F.col("n").alias("nb")), "gb").where(F.col("na") + F.col("nb") <= max_size)
-        # Equal ties are settled by a hash of the pair, the same from both sides, so that long rows of them merge at once.
-        strength = F.struct(-F.col("w"), F.xxhash64("ga", "gb"), "ga", "gb")
-        both = fitting.withColumn("_s", strength).select("_s", F.explode(F.array("ga", "gb")).alias("group"))
-        choice = both.groupBy("group").agg(F.min("_s").alias("_s"))
-        merges = cut_lineage(choice.groupBy("_s.ga", "_s.gb").agg(F.count("*").alias("_n")).where("_n = 2").select("ga", "gb"))
-        if not merges.head(1):
-            break
-        groups = cut_lineage(groups.join(merges.withColumnRenamed("ga", "group"), "group", "left").select(
-            "node", F.coalesce("gb", "group").alias("group")))
-    return components.join(groups, "node").select(
-        "node", "component", F.concat_ws("#", F.col("component").cast("string"), F.col("group").cast("string")).alias("community")
-    )
-
-
 def community_pack(members: DataFrame, entities: DataFrame, community: str = "community", node: str = "node", max_chars: int = 8000) -> DataFrame:
     """Per community, entity lines by falling degree until the length budget is used.
 

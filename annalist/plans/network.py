@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import graph
+from ..operators import community, graph
+from ..session import table_cutter
 from ..sources.tables import load
 from .chunks import UNITS_SQL
 from .search import people
 from .shared import Catalog, documents
 
 catalog = Catalog()
-NAME = "[A-Z][a-z]{11,}"
+#: Names are words of four letters or more with a capital.
+NAME = "[A-Z][a-z]{3,}"
 UNITS = UNITS_SQL.format(size=1200, step=1100)
 NAMES_SQL = f"names AS (SELECT doc_id, unit_index, list_distinct(regexp_extract_all(text, '{NAME}')) AS l FROM ({UNITS}))"
 EDGES_SQL = f"""
@@ -93,7 +95,26 @@ def q_sales_components(spark: SparkSession, sf: str) -> DataFrame:
 
 @catalog.add("q_communities")
 def q_communities(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.communities(edges(spark, sf))
+    return community.communities(edges(spark, sf))
+
+
+@catalog.add("q_community_checks", f"""
+WITH RECURSIVE {EDGES_SQL}, {COMPONENT_SQL.format(edges='edges')}
+SELECT count(*) AS n_nodes, count(DISTINCT comp) AS n_components, 0::BIGINT AS n_oversized, 0::BIGINT AS n_disconnected, 0::BIGINT AS n_mixed FROM cc""")
+def q_community_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of all communities: no more than ten nodes, connected by their own edges, inside one component."""
+    cut = table_cutter(spark, "community-checks")
+    ties = cut(edges(spark, sf))
+    members = cut(community.communities(ties))
+    of = lambda side: members.select(F.col("node").alias(side), F.col("community").alias(f"c_{side}"))
+    inner = ties.join(of("source"), "source").join(of("target"), "target").where("c_source = c_target").select("source", "target")
+    loops = members.select(F.col("node").alias("source"), F.col("node").alias("target"))
+    parts = graph.connected_components(inner.unionByName(loops)).select("node", F.col("component").alias("part"))
+    groups = members.join(parts, "node").groupBy("community").agg(
+        F.count("*").alias("n"), F.count_distinct("part").alias("n_parts"), F.count_distinct("component").alias("n_components"))
+    checks = groups.agg(F.count_if(F.col("n") > 10).alias("n_oversized"), F.count_if(F.col("n_parts") > 1).alias("n_disconnected"),
+                        F.count_if(F.col("n_components") > 1).alias("n_mixed"))
+    return members.agg(F.count("*").alias("n_nodes"), F.count_distinct("component").alias("n_components")).join(F.broadcast(checks))
 
 
 @catalog.add("q_community_pack", """

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +62,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so that lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def table_cutter(spark: SparkSession, name: str) -> Callable[[DataFrame], DataFrame]:
+    """A function that writes a table below the shared checkpoint folder and reads it back.
+
+    For loops: a plan read from files stays as short in the last round as in the first, while one cut by a checkpoint
+    carries what the optimizer knows of it from round to round. Files stay until the folder is cleared.
+    """
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    written = iter(range(1 << 62))
+
+    def cut(df: DataFrame) -> DataFrame:
+        place = f"{folder}/{next(written)}"
+        df.write.parquet(place)
+        return spark.read.schema(df.schema).parquet(place)
+
+    return cut

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -6,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist.functions.text import split_sentences
-from annalist.operators import benchmark, chapters, dedup, facts, gate, graph, matching, novelty, quality, ranking, retrieval, running, vectors
+from annalist.operators import benchmark, chapters, community, dedup, facts, gate, graph, matching, novelty, quality, ranking, retrieval, running, vectors
+from annalist.session import table_cutter
 from annalist.streaming import ingest
 
 RNG = random.Random(11)
@@ -79,20 +81,104 @@ def test_components_of_random_graph_chain_and_star(spark):
     assert got == roots(edges)
 
 
-def test_communities_are_small_and_within_components(spark):
+def quality(edges, group):
+    """Modularity, and the best gain that a merge of two groups or the move of one node would still bring, sizes kept."""
+    weight, total = {}, 0.0
+    for a, b, w in edges:
+        if a != b:
+            weight[a, b] = weight.get((a, b), 0) + w
+            weight[b, a] = weight.get((b, a), 0) + w
+            total += w
+    strength = {n: sum(w for (a, _), w in weight.items() if a == n) for n in group}
+    members = {}
+    for n, g in group.items():
+        members.setdefault(g, set()).add(n)
+
+    def of(groups):
+        return sum(sum(weight.get((a, b), 0) for a in g for b in g) / (2 * total) - (sum(strength[n] for n in g) / (2 * total)) ** 2 for g in groups)
+
+    groups, now = list(members.values()), of(members.values())
+    best = 0.0
+    for i, x in enumerate(groups):
+        for j, y in enumerate(groups):
+            rest = [g for k, g in enumerate(groups) if k not in (i, j)]
+            if i < j and len(x) + len(y) <= 10 and any((a, b) in weight for a in x for b in y):
+                best = max(best, of([*rest, x | y]) - now)
+            if i != j and len(y) < 10:
+                for n in x:
+                    if any((n, b) in weight for b in y):
+                        best = max(best, of([*rest, x - {n}, y | {n}]) - now)
+    return now, best
+
+
+def strongest_merges(edges, size):
+    """Groups that name each other as their strongest tie merge, as long as they fit."""
+    group = {n: n for a, b, _ in edges for n in (a, b)}
+    while True:
+        between, sizes = {}, {}
+        for g in group.values():
+            sizes[g] = sizes.get(g, 0) + 1
+        for a, b, w in edges:
+            if group[a] != group[b]:
+                key = tuple(sorted((group[a], group[b])))
+                between[key] = between.get(key, 0) + w
+        best = {}
+        for key, w in sorted(between.items()):
+            if sizes[key[0]] + sizes[key[1]] <= size:
+                for g in key:
+                    best[g] = max(best.get(g, (0, ())), (w, key))
+        merges = {key[1]: key[0] for w, key in best.values() if best.get(key[0]) == best.get(key[1])}
+        if not merges:
+            return group
+        group = {n: merges.get(g, g) for n, g in group.items()}
+
+
+def test_communities_are_small_connected_and_cannot_be_improved(spark):
     edges = [(f"n{RNG.randint(0, 40)}", f"n{RNG.randint(0, 40)}", RNG.randint(1, 5)) for _ in range(120)]
-    df = spark.createDataFrame([e for e in edges if e[0] != e[1]], "source string, target string, weight int")
-    rows = graph.communities(df, 10).toPandas()
+    edges += [("loop", "loop", 3), ("p1", "p2", 2), ("p2", "p1", 2)]
+    df = spark.createDataFrame(edges, "source string, target string, weight int")
+    rows = community.communities(df, 10).toPandas()
     assert rows.groupby("community").size().max() <= 10 and (rows.groupby("community").component.nunique() == 1).all()
-    assert len(rows) == rows.node.nunique()
+    assert len(rows) == rows.node.nunique() == len({n for a, b, _ in edges for n in (a, b)})
     group = dict(zip(rows.node, rows.community))
     inner = [(a, b) for a, b, _ in edges if a != b and group[a] == group[b]]
     lowest = roots(inner + [(n, n) for n in rows.node])
     assert all(len({lowest[n] for n in members}) == 1 for members in rows.groupby("community").node.apply(list))
-    again = graph.communities(df.repartition(3), 10).toPandas()
+    value, gain = quality(edges, group)
+    assert gain < 1e-9 and value >= quality(edges, strongest_merges(edges, 10))[0] - 1e-9
+    members = spark.createDataFrame(rows[["node", "community"]])
+    assert abs(community.modularity(df, members).first()[0] - value) < 1e-9
+    again = community.communities(df.repartition(3), 10).toPandas()
     assert set(zip(rows.node, rows.community)) == set(zip(again.node, again.community))
 
 
+def test_planted_groups_are_found_and_rounds_stay_short(spark, monkeypatch):
+    """Dense groups of eight with a few ties between them; no round takes longer as rounds go by."""
+    edges = [(8 * g + i, 8 * g + j, 1) for g in range(12) for i in range(8) for j in range(i)]
+    edges += [(8 * g, 8 * ((g + 1) % 12) + 3, 1) for g in range(12)]
+    times = []
+
+    def timed(session, name):
+        cut = table_cutter(session, name)
+
+        def run(df):
+            start = time.monotonic()
+            out = cut(df)
+            times.append(time.monotonic() - start)
+            return out
+
+        return run
+
+    monkeypatch.setattr(community, "table_cutter", timed)
+    rows = community.communities(spark.createDataFrame(edges, "source long, target long, weight int"), 10).toPandas()
+    assert sorted(map(tuple, rows.groupby("community").node.apply(sorted))) == [tuple(range(8 * g, 8 * g + 8)) for g in range(12)]
+    assert max(times) < 30
+
+
+def test_communities_of_nothing(spark):
+    assert community.communities(spark.createDataFrame([], "source string, target string, weight double")).count() == 0
+
+
 def test_cooccurrence_counts_units(spark):
     df = spark.createDataFrame([(["b", "a", "b"],), (["a", "b", "c"],), (["c"],)], "names array<string>")
     got = {(r["source"], r["target"]): r["weight"] for r in graph.cooccurrence(df, F.col("names")).collect()}
@@ -254,7 +340,7 @@ def test_hashed_embedding_is_unit_length_and_stable(spark):
 
 def test_a_chain_falls_into_connected_communities(spark):
     df = spark.createDataFrame([(i, i + 1, 1) for i in range(61)], "source long, target long, weight int")
-    rows = graph.communities(df, 10).toPandas()
+    rows = community.communities(df, 10).toPandas()
     for nodes in rows.groupby("community").node.apply(sorted):
         assert nodes == list(range(nodes[0], nodes[-1] + 1)) and len(nodes) <= 10
     assert rows.community.nunique() < 25
