@@ -288,6 +288,14 @@ def grounded(fact: Column, source: Column, threshold: float = 0.6, parts: Column
     )
 
 
+def local_names(flat: Column, spellings: dict[str, list[str]]) -> Column:
+    """Local names of the places that a cleaned name, or a Latin word of it, is a spelling of."""
+    local_of = {s.lower(): local for local, names in spellings.items() for s in names}
+    to_local = F.create_map(*[F.lit(x) for pair in local_of.items() for x in pair])
+    words = F.concat(F.array(flat), all_matches(flat, "[a-z]+"))
+    return F.filter(F.transform(words, lambda w: to_local[w]), lambda w: w.isNotNull())
+
+
 def names_match(left: Column | str, right: Column | str, spellings: dict[str, list[str]] | None = None) -> Column:
     """Two entity names denote one thing: equal, nested, spelled differently, same start."""
     left, right = as_col(left), as_col(right)
@@ -296,15 +304,8 @@ def names_match(left: Column | str, right: Column | str, spellings: dict[str, li
     rule = a.contains(b) | b.contains(a)
     rule = rule | ((F.length(a) >= 4) & (F.length(b) >= 4) & (F.left(a, F.lit(4)) == F.left(b, F.lit(4))))
     if spellings:
-        local_of = {s.lower(): local for local, names in spellings.items() for s in names}
-        to_local = F.create_map(*[F.lit(x) for pair in local_of.items() for x in pair])
-
-        def locals_of(flat: Column) -> Column:
-            words = F.concat(F.array(flat), all_matches(flat, "[a-z]+"))
-            return F.filter(F.transform(words, lambda w: to_local[w]), lambda w: w.isNotNull())
-
-        rule = rule | F.exists(locals_of(a), lambda x: right.contains(x) | x.contains(right))
-        rule = rule | F.exists(locals_of(b), lambda x: left.contains(x) | x.contains(left))
+        rule = rule | F.exists(local_names(a, spellings), lambda x: right.contains(x) | x.contains(right))
+        rule = rule | F.exists(local_names(b, spellings), lambda x: left.contains(x) | x.contains(left))
     return F.coalesce((left != "") & (right != "") & rule, F.lit(False))
 
 

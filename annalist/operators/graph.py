@@ -10,7 +10,7 @@ from ..functions.records import extraction_records
 from ..session import cut_lineage
 from .chunking import token_chunks
 from .retrieval import top_k
-from .running import within_budget
+from .running import leading_rows, within_budget
 
 
 def text_units(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 1200, overlap: int = 100) -> DataFrame:
@@ -127,17 +127,35 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct()
 
 
-def community_pack(members: DataFrame, entities: DataFrame, community: str = "community", node: str = "node", max_chars: int = 8000) -> DataFrame:
-    """Per community, entity lines by falling degree until the length budget is used.
+def inner_relationships(members: DataFrame, relationships: DataFrame, community: str = "community", node: str = "node") -> DataFrame:
+    """Relationships with both ends in one community, with that community."""
+    of = lambda side: members.select(F.col(node).alias(side), F.col(community).alias(f"_of_{side}"))
+    joined = relationships.join(of("source"), "source").join(of("target"), "target").where("_of_source = _of_target")
+    return joined.withColumnRenamed("_of_source", community).drop("_of_target")
 
-    ``entities(node, degree, line)``.
+
+def community_pack(
+    members: DataFrame, entities: DataFrame, relationships: DataFrame | None = None, community: str = "community", node: str = "node",
+    max_chars: int = 8000,
+) -> DataFrame:
+    """Per community, lines on its entities by falling degree and on its inner relationships by falling weight.
+
+    ``entities(node, degree, line)``, ``relationships(source, target, weight, line)``. Both kinds take turns, rank by rank,
+    until the one length budget is used; the pack then lists entities first. A line costs one character more for its end.
     """
-    lines = members.select(community, node).join(entities, node)
-    within = within_budget(lines, [community], [F.desc("degree"), F.col(node)], F.length("line"), max_chars, "_used")
+    entity_lines = members.select(community, node).join(entities, node).select(
+        community, "line", F.lit(0).alias("kind"), F.col("degree").cast("double").alias("_w"), F.col(node).alias("_node"))
+    ranked = leading_rows(entity_lines, [community], [F.desc("_w"), F.col("_node")], max_chars + 1).select(community, "line", "kind", "rank")
+    if relationships is not None:
+        inner = inner_relationships(members, relationships, community, node)
+        rows = leading_rows(inner, [community], [F.desc("weight"), F.col("source"), F.col("target")], max_chars + 1)
+        ranked = ranked.unionByName(rows.select(community, "line", F.lit(1).alias("kind"), "rank"))
+    within = within_budget(ranked, [community], [F.col("rank"), F.col("kind")], F.length("line"), max_chars, "_used")
     return within.groupBy(community).agg(
-        F.count("*").alias("n_lines"), F.max("_used").alias("_chars"),
-        F.array_join(F.array_sort(F.collect_list(F.struct("_used", "line")))["line"], "\n").alias("pack"),
-    ).select(community, "n_lines", F.col("_chars").alias("n_chars"), "pack")
+        F.count_if(F.col("kind") == 0).alias("n_entities"), F.count_if(F.col("kind") == 1).alias("n_relationships"),
+        F.count("*").alias("n_lines"), F.max("_used").alias("n_chars"),
+        F.array_join(F.array_sort(F.collect_list(F.struct("kind", "_used", "line")))["line"], "\n").alias("pack"),
+    )
 
 
 def points_reduce(points: DataFrame, max_chars: int = 8000) -> DataFrame:

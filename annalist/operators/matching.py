@@ -1,96 +1,100 @@
 """Substring joins: which texts contain which terms.
 
-``text contains term`` has no join key of its own. A term list of checked size is turned
-into one automaton that every task runs over its texts in a single pass. Longer lists
-become an equi-join on character grams: each term is represented by one anchor gram, a
-piece of fixed length that any containing text must also hold; texts are exploded into
-their grams, matched on the anchor, and the candidates verified. Terms are tiered by
-length; below the shortest full gram length of three the gram is the term.
+``text contains term`` has no join key of its own. It becomes an equi-join on character grams: each term is filed under
+one anchor, that of its grams which the texts hold least often, and any text that contains the term holds the anchor,
+too. Texts are cut into the grams at all their places, met with the anchors, and the candidates verified. Terms
+are tiered by length. The anchors are broadcast while their size, which is
+measured, allows it, and shuffled beyond; there is no other difference.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 
-try:
-    import ahocorasick
-except ImportError:  # the gram join needs nothing but Spark
-    ahocorasick = None
-
-#: Gram lengths, longest first; a term uses the longest one it can fill.
-GRAM_LENGTHS = (12, 6, 3, 2, 1)
-#: Largest term list, in terms and characters, that is sent to every task.
-MAX_LISTED_TERMS, MAX_LISTED_CHARS = 100_000, 16_000_000
-#: Beyond this many terms the anchors are shuffled instead of broadcast.
-MAX_BROADCAST_TERMS = 1_000_000
+#: Length of a term from which on it uses grams of a length, longest first. Fewer lengths mean fewer places to look at.
+TIERS = {24: 12, 4: 4, 2: 2, 1: 1}
+#: Terms shorter than this are looked for in the surroundings of their anchor, others in the whole text.
+MARGIN = 24
+#: The tier of long terms with words between blanks: any text that contains the term has these words between blanks, too.
+WORDS = 0
+#: Beyond this many bytes of terms the anchors are shuffled instead of broadcast.
+MAX_BROADCAST_BYTES = 32 << 20
 #: Share of texts read to find out which grams are common.
 STATISTICS_FRACTION = 0.02
+#: Characters of the pieces that places are counted in: finding a character walks from the start of its piece.
+PIECE, LONG_PIECE = 64, 2048
 
 
 def grams(text: Column, lengths: list[int]) -> Column:
-    """Distinct character windows of the given lengths, each in one linear pass."""
+    """Distinct character windows of the given lengths of a short text."""
     windows = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]
     return F.array_distinct(F.concat(*windows) if len(windows) > 1 else windows[0])
 
 
+def places(texts: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
+    """``(*keep, _piece, _gram)`` for every place of ``_text`` and every length, compiled into one pass; ``_piece`` is what
+    surrounds the place.
+
+    Texts are cut into pieces in two steps, so that the work stays in proportion to the text.
+    """
+    cut = texts.select(*keep, F.col("_text").alias("_piece"), F.lit(0).alias("_skip"), F.length("_text").alias("_own"))
+    for size in (LONG_PIECE, PIECE):
+        starts = F.sequence(F.lit(1), F.greatest(F.col("_own"), F.lit(1)), F.lit(size))
+        cut = cut.select(*keep, "_piece", "_skip", "_own", F.explode(starts).alias("_at"))
+        begin = F.greatest(F.col("_skip") + F.col("_at") - MARGIN, F.lit(1))
+        cut = cut.select(
+            *keep, F.substring(F.col("_piece"), begin, F.lit(size + 2 * MARGIN)).alias("_piece"),
+            (F.col("_skip") + F.col("_at") - begin).alias("_skip"), F.least(F.col("_own") - F.col("_at") + 1, F.lit(size)).alias("_own"))
+    cut = cut.select(*keep, "_piece", F.explode(F.sequence(F.col("_skip") + 1, F.col("_skip") + F.greatest(F.col("_own"), F.lit(1)))).alias("_at"))
+    found = [F.substring(F.col("_piece"), F.col("_at"), F.lit(n)) for n in lengths]
+    return cut.select(*keep, "_piece", (F.explode(F.array(*found)) if len(found) > 1 else found[0]).alias("_gram"))
+
+
+def inner_words(term: Column) -> Column:
+    """Words of a term with blanks of the term on both sides."""
+    parts = F.split(term, " ")
+    return F.array_remove(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), "")
+
+
+def anchor_places(texts: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
+    """``places`` of the given lengths, with the words between blanks where the tier of words is among them."""
+    chars = [n for n in lengths if n != WORDS]
+    parts = [places(texts, chars, keep)] if chars else []
+    if WORDS in lengths:
+        parts.append(texts.select(*keep, F.lit("").alias("_piece"), F.explode(F.split("_text", " ")).alias("_gram")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def contains_join(
-    texts: DataFrame, terms: DataFrame, text_id: str, text_col: str, term_col: str,
-    max_listed: int = MAX_LISTED_TERMS, max_broadcast: int = MAX_BROADCAST_TERMS,
+    texts: DataFrame, terms: DataFrame, text_id: str, text_col: str, term_col: str, max_broadcast: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    """Pairs ``(text_id, term)`` where the text contains the non-empty term.
+    """Distinct pairs ``(text_id, term)`` where the text contains the non-empty term.
 
     ``text_id`` must be unique. Every pair is found, whatever the number of terms and
     however common they are.
     """
     length = F.length("_term")
     tier = F.lit(None).cast("int")
-    for n in reversed(GRAM_LENGTHS):
-        tier = F.when(length >= n, F.lit(n)).otherwise(tier)
+    for least, n in reversed(TIERS.items()):
+        tier = F.when(length >= least, F.lit(n)).otherwise(tier)
+    tier = F.when((length > MARGIN) & (F.size(inner_words(F.col("_term"))) > 0), F.lit(WORDS)).otherwise(tier)
     tiered = terms.select(F.col(term_col).alias("_term")).where(F.length("_term") > 0).distinct()
     # Both the size check and the match read the terms: compute them once.
     tiered = cut_lineage(tiered.withColumn("_n", tier))
-    sizes = tiered.groupBy("_n").agg(F.count("*").alias("terms"), F.sum(length).alias("chars")).collect()
-    n_terms, n_chars = sum(r["terms"] for r in sizes), sum(r["chars"] for r in sizes)
-    narrow = texts.select(F.col(text_id).alias("_id"), F.col(text_col).alias("_text"))
+    sizes = tiered.groupBy("_n").agg(F.sum(F.octet_length("_term") + 64).alias("bytes")).collect()
+    narrow = texts.select(F.col(text_id).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
     lengths = sorted(r["_n"] for r in sizes)
     if not sizes:
         matched = narrow.where(F.lit(False)).select("_id", F.lit("").alias("_term"))
-    elif ahocorasick is not None and n_terms <= max_listed and n_chars <= MAX_LISTED_CHARS:
-        matched = _match_by_automaton(narrow, [r["_term"] for r in tiered.select("_term").collect()])
-    elif n_terms <= max_broadcast:
+    elif sum(r["bytes"] for r in sizes) <= max_broadcast:
         matched = _match_in_place(narrow, choose_anchors(narrow, tiered, lengths), lengths)
     else:
         matched = _match_by_shuffle(narrow, choose_anchors(narrow, tiered, lengths), lengths)
     return matched.select(F.col("_id").alias(text_id), F.col("_term").alias(term_col))
 
 
-def _match_by_automaton(texts: DataFrame, terms: list[str]) -> DataFrame:
-    """One pass over each text finds all terms; nothing is shuffled."""
-    listed = texts.sparkSession.sparkContext.broadcast(sorted(terms))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for term in listed.value:
-            automaton.add_word(term, term)
-        automaton.make_automaton()
-        for batch in batches:
-            ids, found = [], []
-            for key, text in zip(batch["_id"], batch["_text"]):
-                if text:
-                    hits = {term for _, term in automaton.iter(text)}
-                    ids.extend([key] * len(hits))
-                    found.extend(hits)
-            yield pd.DataFrame({"_id": pd.Series(ids, dtype=batch["_id"].dtype), "_term": pd.Series(found, dtype="object")})
-
-    kind = texts.schema["_id"].dataType.simpleString()
-    return texts.mapInPandas(scan, f"_id {kind}, _term string")
-
-
 def choose_anchors(texts: DataFrame, terms: DataFrame, lengths: list[int]) -> DataFrame:
     """The gram of each term ``(_term, _n)`` that a sample of the texts holds least often.
 
@@ -98,13 +102,13 @@ def choose_anchors(texts: DataFrame, terms: DataFrame, lengths: list[int]) -> Da
     """
     own = F.lit(None).cast("array<string>")
     for n in lengths:
-        own = F.when(F.col("_n") == n, grams(F.col("_term"), [n])).otherwise(own)
+        pieces = inner_words(F.col("_term")) if n == WORDS else grams(F.col("_term"), [n])
+        own = F.when(F.col("_n") == n, pieces).otherwise(own)
     exploded = terms.select("_term", F.explode(own).alias("_gram"))
-    if max(lengths) < 3:
+    if WORDS not in lengths and max(lengths) < 3:
         return exploded
     seen = (
-        texts.sample(STATISTICS_FRACTION, seed=7)
-        .select(F.explode(grams(F.col("_text"), lengths)).alias("_gram"))
+        anchor_places(texts.sample(STATISTICS_FRACTION, seed=7), lengths, [])
         .join(exploded.select("_gram").distinct(), "_gram", "left_semi")
         .groupBy("_gram")
         .agg(F.count("*").alias("_seen"))
@@ -115,16 +119,15 @@ def choose_anchors(texts: DataFrame, terms: DataFrame, lengths: list[int]) -> Da
 
 
 def _match_in_place(texts: DataFrame, anchors: DataFrame, lengths: list[int]) -> DataFrame:
-    """Probe a broadcast anchor table while scanning the texts: one pass, no shuffle."""
-    exploded = texts.select("_id", "_text", F.explode(grams(F.col("_text"), lengths)).alias("_gram"))
-    pairs = exploded.join(F.broadcast(anchors), "_gram")
-    return pairs.where(F.contains("_text", "_term")).select("_id", "_term")
+    """Probe a broadcast anchor table at every place of the texts; only what is found is shuffled."""
+    met = anchor_places(texts.withColumn("_whole", F.col("_text")), lengths, ["_id", "_whole"]).join(F.broadcast(anchors), "_gram")
+    near = F.length("_term") <= MARGIN
+    return met.where((near & F.contains("_piece", "_term")) | (~near & F.contains("_whole", "_term"))).select("_id", "_term").distinct()
 
 
 def _match_by_shuffle(texts: DataFrame, anchors: DataFrame, lengths: list[int]) -> DataFrame:
     """Shuffle narrow (id, gram) rows to the anchors, then fetch candidate texts."""
-    exploded = texts.select("_id", F.explode(grams(F.col("_text"), lengths)).alias("_gram"))
-    candidates = exploded.join(anchors, "_gram").select("_id", "_term")
+    candidates = anchor_places(texts, lengths, ["_id"]).select("_id", "_gram").distinct().join(anchors, "_gram").select("_id", "_term").distinct()
     return (
         candidates.join(texts, "_id").where(F.contains("_text", "_term")).select("_id", "_term")
     )

@@ -127,6 +127,15 @@ def progress(df: DataFrame, order_cols: Sequence[str], done: str, elapsed: str,
     )
 
 
+def leading_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int, name: str = "rank") -> DataFrame:
+    """First rows of each key with their rank. Salted parts of a key are limited first, so no task sorts a whole hot key."""
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    salted = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    some = df.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")).withColumn(name, F.row_number().over(salted))
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return some.where(F.col(name) <= limit).drop("_salt").withColumn(name, F.row_number().over(window)).where(F.col(name) <= limit)
+
+
 def within_budget(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], length: Column, budget: int, name: str = "used_chars"
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from ..functions.columns import text_array
-from ..operators import benchmark, facts, gate, novelty, quality, ranking, retrieval, terms, vectors
+from ..operators import benchmark, facts, fuzzy, gate, novelty, quality, ranking, retrieval, terms, vectors
 from ..sources import sinks
 from ..sources.tables import load
 from .shared import ENDS, Catalog, conversations, documents
@@ -524,6 +524,25 @@ def q_fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("a", "b", "p_type", tx.names_match("a", "b", {}).alias("is_match"), tx.names_match("a", "p_type", {}).alias("type_match"))
 
 
+NAMES_SQL = """
+l AS (SELECT DISTINCT CASE n_name WHEN 'CHINA' THEN '中国' ELSE n_name END AS a FROM nation UNION SELECT r_name FROM region UNION SELECT p_name FROM part WHERE p_size = 7),
+r AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}')) AS b FROM documents UNION SELECT n_name || ' market' FROM nation UNION SELECT p_type || '!' FROM part)"""
+
+
+@catalog.add("q_fuzzy_join", f"""
+WITH {NAMES_SQL}, x AS (SELECT a, b, lower(regexp_replace(a, '[^一-龥a-zA-Z0-9]', '', 'g')) AS fa, lower(regexp_replace(b, '[^一-龥a-zA-Z0-9]', '', 'g')) AS fb FROM l, r)
+SELECT a AS left_name, b AS right_name FROM x WHERE contains(fa, fb) OR contains(fb, fa) OR (length(fa) >= 4 AND length(fb) >= 4 AND left(fa, 4) = left(fb, 4))
+   OR (a = '中国' AND (fb = 'china' OR fb = 'prc'  OR fb LIKE 'chinamarket%'))""")
+def q_fuzzy_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of nations, regions and parts against capitalised words, markets and part types."""
+    nation, part = load(spark, sf, "nation"), load(spark, sf, "part")
+    left = nation.select(F.when(F.col("n_name") == "CHINA", "中国").otherwise(F.col("n_name")).alias("name"))
+    left = left.unionByName(load(spark, sf, "region").select(F.col("r_name").alias("name"))).unionByName(part.where("p_size = 7").select(F.col("p_name").alias("name")))
+    right = documents(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,}"), F.lit(0))).alias("name"))
+    right = right.unionByName(nation.select(F.concat("n_name", F.lit(" market")).alias("name"))).unionByName(part.select(F.concat("p_type", F.lit("!")).alias("name")))
+    return fuzzy.fuzzy_pairs(left, right, spellings={"中国": ["china", "prc", "chinamarket"]})
+
+
 # --- gate --------------------------------------------------------------------
 
 CHAPTERS_SQL = "ch AS (SELECT conv_id, turn, text, 300 AS target_chars, (length(text) % 100) / 10.0::DOUBLE AS score, CASE role WHEN 'user' THEN (length(text) % 10) / 10.0::DOUBLE END AS fact_score FROM conversations)"

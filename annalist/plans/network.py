@@ -119,15 +119,27 @@ def q_community_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 @catalog.add("q_community_pack", """
 WITH d AS (SELECT o_custkey, count(*) AS degree FROM orders GROUP BY 1),
-l AS (SELECT c_nationkey AS community, c_custkey AS node, degree, c_name || ': ' || c_mktsegment AS line FROM customer JOIN d ON c_custkey = o_custkey),
-s AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY community ORDER BY degree DESC, node ROWS UNBOUNDED PRECEDING) - 1 AS used FROM l)
-SELECT community, count(*) AS n_lines, max(used)::BIGINT AS n_chars, string_agg(line, chr(10) ORDER BY used) AS pack FROM s WHERE used <= 1000 GROUP BY 1""")
+l AS (SELECT c_nationkey AS community, c_custkey AS node, c_name || ': ' || c_mktsegment AS line, 0 AS kind,
+             row_number() OVER (PARTITION BY c_nationkey ORDER BY degree DESC, c_custkey) AS rank FROM customer JOIN d ON c_custkey = o_custkey),
+e AS (SELECT a.o_custkey AS source, b.o_custkey AS target, count(*) AS weight FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 GROUP BY ALL),
+r AS (SELECT s.c_nationkey AS community, s.c_name || ' -> ' || t.c_name AS line, 1 AS kind,
+             row_number() OVER (PARTITION BY s.c_nationkey ORDER BY weight DESC, source, target) AS rank
+      FROM e JOIN customer s ON s.c_custkey = source JOIN customer t ON t.c_custkey = target AND t.c_nationkey = s.c_nationkey),
+u AS (SELECT community, line, kind, rank FROM l UNION ALL SELECT * FROM r),
+s AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY community ORDER BY rank, kind ROWS UNBOUNDED PRECEDING) - 1 AS used FROM u)
+SELECT community, count(*) FILTER (kind = 0) AS n_entities, count(*) FILTER (kind = 1) AS n_relationships, count(*) AS n_lines, max(used)::BIGINT AS n_chars,
+       string_agg(line, chr(10) ORDER BY kind, used) AS pack FROM s WHERE used <= 1000 GROUP BY 1""")
 def q_community_pack(spark: SparkSession, sf: str) -> DataFrame:
-    customer = load(spark, sf, "customer")
-    degree = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("node")).agg(F.count("*").alias("degree"))
+    """Customers of each nation, and which of them followed one another with their orders."""
+    customer, orders = load(spark, sf, "customer"), load(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    degree = orders.groupBy(F.col("o_custkey").alias("node")).agg(F.count("*").alias("degree"))
     members = customer.select(F.col("c_nationkey").alias("community"), F.col("c_custkey").alias("node"))
     lines = customer.select(F.col("c_custkey").alias("node"), F.concat_ws(": ", "c_name", "c_mktsegment").alias("line")).join(degree, "node")
-    return graph.community_pack(members, lines, max_chars=1000)
+    after = orders.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("target"))
+    pairs = orders.join(after, "o_orderkey").groupBy(F.col("o_custkey").alias("source"), "target").agg(F.count("*").alias("weight"))
+    named = lambda side: customer.select(F.col("c_custkey").alias(side), F.col("c_name").alias(f"_{side}"))
+    told = pairs.join(named("source"), "source").join(named("target"), "target").withColumn("line", F.concat_ws(" -> ", "_source", "_target"))
+    return graph.community_pack(members, lines, told.select("source", "target", "weight", "line"), max_chars=1000)
 
 
 @catalog.add("q_entity_merge", """
