@@ -300,3 +300,58 @@ def q_stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     )
     query.awaitTermination()
     return spark.read.parquet(f"{out}/table").groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+
+
+# Three arrivals of events: those before the 21st without every tenth, those after it, then the ones left out and some again.
+ARRIVALS_SQL = """
+arrivals AS (
+  SELECT *, 1 AS arrival FROM events WHERE ts < TIMESTAMP '2024-01-21' AND event_id % 10 <> 3
+  UNION ALL SELECT *, 2 FROM events WHERE ts >= TIMESTAMP '2024-01-21'
+  UNION ALL SELECT *, 3 FROM events WHERE ts < TIMESTAMP '2024-01-21' AND (event_id % 10 = 3 OR event_id % 7 = 0)),
+marks AS (SELECT date_trunc('millisecond', max(ts) FILTER (arrival = 1)) - INTERVAL 1 DAY AS first, date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY AS last FROM arrivals),
+-- Rows of the last arrival that are behind the watermark of the first are dropped, and so is what has come before.
+taken AS (SELECT DISTINCT event_id, ts, user_id, event_type, value FROM arrivals, marks WHERE arrival < 3 OR ts > first)"""
+
+
+def arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream of events in three batches; late and repeated rows come with the last, when the watermark of the first holds."""
+    events = load(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder, late = scratch(spark, "arrivals"), F.col("event_id") % 10 == 3
+    early = F.col("ts") < F.expr("timestamp'2024-01-21'")
+    events.where(early & ~late).coalesce(1).write.parquet(f"{folder}/1")
+    events.where(~early).coalesce(1).write.parquet(f"{folder}/2")
+    events.where(early & (late | (F.col("event_id") % 7 == 0))).coalesce(1).write.parquet(f"{folder}/3")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+
+
+def settled(spark: SparkSession, result: DataFrame, name: str) -> DataFrame:
+    """All rows that a stream has appended after its present input."""
+    out = scratch(spark, name)
+    ingest.append_results(result, f"{out}/rows", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").drop("batch")
+
+
+@catalog.add("q_stream_late", f"""
+WITH {ARRIVALS_SQL}
+SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n_rows, round(sum(value), 2) AS total
+FROM taken, marks GROUP BY 1, 2, last, time_bucket(INTERVAL 1 DAY, ts) HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= last""")
+def q_stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily averages of events that count once, late ones up to a day, written when a day is settled."""
+    once = ingest.first_arrivals(arrivals(spark, sf), ["event_id"], "ts", "1 day")
+    rows = settled(spark, ingest.windowed_averages(once, "ts", "event_type", "value", "1 day", late=None), "late")
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n_rows", F.round(F.col("avg_value") * F.col("n_rows"), 2).alias("total"))
+
+
+@catalog.add("q_stream_sessions", f"""
+WITH {ARRIVALS_SQL},
+marked AS (SELECT *, coalesce(ts >= lag(ts) OVER u + INTERVAL 2 HOUR, true)::INT AS fresh FROM taken WINDOW u AS (PARTITION BY user_id ORDER BY ts)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM marked),
+sessions AS (SELECT user_id, min(ts) AS begin, max(ts) + INTERVAL 2 HOUR AS finish, count(*) AS n_rows, sum(value) AS total FROM numbered GROUP BY user_id, session)
+SELECT user_id, strftime(begin, '%Y-%m-%d %H:%M:%S') AS begin, strftime(finish, '%Y-%m-%d %H:%M:%S') AS finish, n_rows, round(total, 2) AS total
+FROM sessions, marks WHERE finish <= last""")
+def q_stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of users that end after two hours without an event, written when they are settled."""
+    once = ingest.first_arrivals(arrivals(spark, sf), ["event_id"], "ts", "1 day")
+    rows = settled(spark, ingest.session_averages(once, "ts", "user_id", "value", "2 hours", late=None), "sessions")
+    shown = lambda c: F.date_format(f"session.{c}", "yyyy-MM-dd HH:mm:ss")
+    return rows.select("user_id", shown("start").alias("begin"), shown("end").alias("finish"), "n_rows", F.round(F.col("avg_value") * F.col("n_rows"), 2).alias("total"))
