@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from ..functions.columns import text_array
-from ..operators import benchmark, facts, fuzzy, gate, novelty, quality, ranking, retrieval, terms, vectors
+from ..operators import benchmark, cells, facts, fuzzy, gate, novelty, quality, ranking, retrieval, terms, vectors
+from ..session import ensure_checkpoint_dir
 from ..sources import sinks
 from ..sources.tables import load
 from .shared import ENDS, Catalog, conversations, documents
@@ -69,6 +72,29 @@ def q_vector_l2(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 5))
 
 
+@catalog.add("q_vector_tables", """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, CASE vec_id % 3 WHEN 0 THEN 'entity' WHEN 1 THEN 'community' ELSE 'text_unit' END AS kind FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.kind, b.vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))) AS d
+      FROM v a JOIN v b ON a.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY d, id) AS rank FROM s)
+SELECT query_id, kind, rank, id, round(d, 5) AS distance, round(1 - d, 5) AS similarity, coalesce(source, '') AS title,
+       CASE kind WHEN 'community' THEN left(coalesce(text, ''), 1000) ELSE coalesce(text, '') END AS text
+FROM k LEFT JOIN documents ON doc_id = id WHERE rank <= CASE kind WHEN 'community' THEN 5 ELSE 10 END""")
+def q_vector_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Every twentieth vector against three stored tables: entities, communities and text units with their texts."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/cells-{uuid.uuid4().hex}"
+    table = load(spark, sf, "embeddings").select("vec_id", "embedding")
+    texts = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text")
+    stores, shown = {}, {}
+    for number, kind in enumerate(("entity", "community", "text_unit")):
+        stores[kind] = cells.store_cells(table.where(F.col("vec_id") % 3 == number), f"{folder}/{kind}", "vec_id", "embedding")
+        shown[kind] = texts
+    queries = table.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    rows = cells.search_tables(queries, stores, shown)
+    return rows.withColumn("rank", F.col("rank").cast("long")).withColumn("distance", F.round("distance", 5)).withColumn("similarity", F.round("similarity", 5))
+
+
 @catalog.add("q_hits_lookup", """
 SELECT l_orderkey, l_partkey + 1 AS id, coalesce(p_name, '未知实体') AS title, coalesce(p_type, 'unknown') AS type, coalesce(p_brand, '') AS description,
        round(l_discount, 6) AS distance, round(1 - l_discount, 6) AS similarity FROM lineitem LEFT JOIN part ON p_partkey = l_partkey + 1""")
