@@ -130,7 +130,7 @@ def weighted_score(metrics: DataFrame, weights: DataFrame, unit: str = "unit_id"
     """``10 * sum(normalised * weight) / sum(weight)`` per unit over long metric rows."""
     weight = F.coalesce("weight", F.lit(1.0))
     normalised = F.when(F.col("max_value") == 0, 0.0).otherwise(F.col("value") / F.col("max_value"))
-    joined = metrics.join(F.broadcast(weights.select("name", "weight")), "name", "left")
+    joined = metrics.join(weights.select("name", "weight"), "name", "left")
     return joined.groupBy(unit).agg((F.sum(normalised * weight) / F.sum(weight) * 10).alias("score"))
 
 

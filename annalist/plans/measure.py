@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from ..functions.columns import text_array
-from ..operators import benchmark, cells, facts, fuzzy, gate, novelty, quality, ranking, retrieval, terms, vectors
+from ..operators import benchmark, cells, evaluation, facts, fuzzy, gate, novelty, quality, ranking, retrieval, terms, vectors
 from ..session import ensure_checkpoint_dir
 from ..sources import sinks
 from ..sources.tables import load
@@ -469,23 +469,77 @@ def q_coverage(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# What is retrieved for a turn is the turn after it: up to 15 of its names that the source lacks.
+NOVEL_NAMES_SQL = f"""
+{PAIRS_SQL},
+ev AS (SELECT p.conv_id, p.turn, source, produced, coalesce(c.text, '') AS evidence FROM pairs p LEFT JOIN conversations c ON c.conv_id = p.conv_id AND c.turn = p.turn + 1),
+ordered AS (SELECT *, regexp_extract_all(evidence, '[A-Z][a-z]{{3,}}') AS al, regexp_extract_all(produced, '[A-Z][a-z]{{4,}}') AS fl FROM ev),
+listed AS (SELECT *, list_filter(list_filter(al, lambda x, i: list_position(al, x) = i), lambda x: NOT contains(source, x))[1:15] AS names,
+           list_filter(fl, lambda x, i: list_position(fl, x) = i)[1:30] AS facts, upper(regexp_replace(produced, '[^一-龥a-zA-Z0-9]', '', 'g')) AS flat,
+           upper(regexp_replace(evidence, '[^一-龥a-zA-Z0-9]', '', 'g')) AS evflat FROM ordered),
+av AS (SELECT conv_id, turn, flat, unnest(range(1, len(names) + 1)) AS rank, unnest(names) AS name FROM listed),
+mn AS (SELECT conv_id, turn, rank, lower(name) AS name, name AS shown FROM av
+       WHERE len(list_filter(range(1, length(name) - 1), lambda i: contains(flat, upper(substr(name, i::INT, 3))))) > 0),
+tie AS (SELECT a.conv_id, a.turn, a.rank AS later, b.rank AS earlier FROM mn a JOIN mn b ON a.conv_id = b.conv_id AND a.turn = b.turn AND b.rank < a.rank
+        WHERE contains(a.name, b.name) OR contains(b.name, a.name) OR left(a.name, 4) = left(b.name, 4)),
+roots AS (SELECT conv_id, turn, rank FROM mn WHERE NOT EXISTS (SELECT 1 FROM tie WHERE tie.conv_id = mn.conv_id AND tie.turn = mn.turn AND later = mn.rank)),
+reach AS (SELECT conv_id, turn, rank, rank AS root FROM roots UNION SELECT t.conv_id, t.turn, t.later, r.root FROM reach r JOIN tie t ON t.conv_id = r.conv_id AND t.turn = r.turn AND t.earlier = r.rank),
+leaders AS (SELECT conv_id, turn, rank, min(root) AS leader FROM reach GROUP BY ALL),
+us AS (SELECT conv_id, turn, count(DISTINCT leader) AS n_used, string_agg(CASE WHEN leader = rank THEN shown END, ',' ORDER BY rank) AS used FROM leaders JOIN mn USING (conv_id, turn, rank) GROUP BY 1, 2),
+fc AS (SELECT conv_id, turn, source, evflat, unnest(range(1, len(facts) + 1)) AS position, unnest(facts) AS fact FROM listed),
+fg AS (SELECT *, EXISTS (SELECT 1 FROM av WHERE av.conv_id = fc.conv_id AND av.turn = fc.turn AND (contains(lower(name), lower(fact)) OR contains(lower(fact), lower(name)) OR left(lower(name), 4) = left(lower(fact), 4)))
+       OR contains(evflat, upper(fact)) OR len(list_filter(list_distinct(list_transform(range(1, length(fact) - 1), lambda i: upper(substr(fact, i::INT, 3)))), lambda g: contains(evflat, g)))
+          / len(list_distinct(list_transform(range(1, length(fact) - 1), lambda i: upper(substr(fact, i::INT, 3))))) >= 0.6 AS g FROM fc),
+fs AS (SELECT conv_id, turn, count(*) AS n_facts, count(*) FILTER (g) AS n_grounded, count(*) FILTER (NOT g AND NOT contains(source, fact)) AS n_unsupported FROM fg GROUP BY 1, 2),
+analysis AS (SELECT conv_id, turn, len(names) AS n_available, coalesce(n_used, 0) AS n_used, coalesce(used, '') AS used, coalesce(n_facts, 0) AS n_facts,
+             coalesce(n_grounded, 0) AS n_grounded, coalesce(n_unsupported, 0) AS n_unsupported FROM listed LEFT JOIN us USING (conv_id, turn) LEFT JOIN fs USING (conv_id, turn))"""
+
+
+def novel_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs with evidence, names offered to them, and facts they state."""
+    unit = F.struct("conv_id", "turn").alias("unit")
+    after = load(spark, sf, "conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("evidence"))
+    rows = pairs(spark, sf).join(after, ["conv_id", "turn"], "left").select(unit, "source", "produced", F.coalesce("evidence", F.lit("")).alias("evidence"))
+    distinct = lambda text, pattern: F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    names = F.slice(F.filter(distinct("evidence", "[A-Z][a-z]{3,}"), lambda n: ~F.col("source").contains(n)), 1, 15)
+    available = rows.select("unit", F.posexplode(names).alias("rank", "name")).withColumn("rank", F.col("rank") + 1)
+    return rows, available, rows.select("unit", F.posexplode(F.slice(distinct("produced", "[A-Z][a-z]{4,}"), 1, 30)).alias("position", "fact"))
+
+
+@catalog.add("q_novel_analysis", f"""
+WITH RECURSIVE {NOVEL_NAMES_SQL}
+SELECT conv_id, turn, n_available, n_used, used, n_facts, n_grounded, n_unsupported FROM analysis""")
+def q_novel_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    """How each turn uses the names of what was retrieved for it, and how far its own are supported."""
+    rows = evaluation.novel_analysis(*novel_tables(spark, sf), spellings={})
+    return rows.select("unit.conv_id", "unit.turn", "n_available", "n_used", F.array_join("used", ",").alias("used"), "n_facts", "n_grounded", "n_unsupported")
+
+
 @catalog.add("q_evaluate_pairs", f"""
-WITH {PAIRS_SQL}, {TOPIC_SQL},
+WITH RECURSIVE {NOVEL_NAMES_SQL}, {TOPIC_SQL},
 y AS (SELECT *, list_distinct(list_filter(list_transform(regexp_extract_all(produced, '[0-9]{{4}}'), lambda v: v::INT), lambda v: v BETWEEN 1000 AND 2100)) AS py,
       list_distinct(list_filter(list_transform(regexp_extract_all(source, '[0-9]{{4}}'), lambda v: v::INT), lambda v: v BETWEEN 1000 AND 2100)) AS sy,
       length(produced) AS n, {transition_sql('produced')} AS nt FROM pairs),
 m AS (SELECT y.conv_id, y.turn, CASE WHEN len(py) = 0 THEN 1.0 ELSE len(list_intersect(py, sy)) / len(py) END AS a, topic AS b,
       ({LENGTH_SQL.format(n='n', a=150, b=600, c=200, d=500)})::DOUBLE AS c, (CASE WHEN nt >= 2 THEN 1.0 WHEN nt = 1 THEN 0.7 ELSE 0.4 END)::DOUBLE AS d,
-      ({richness_sql('produced')}) / 4.0::DOUBLE AS e FROM y JOIN topic USING (conv_id, turn))
-SELECT conv_id, turn, round((a * 1.0 + b * 1.5 + c * 0.8 + d * 0.8 + e * 0.8) / 4.9 * 10, 5) AS score FROM m""")
+      ({richness_sql('produced')}) / 4.0::DOUBLE AS e, (CASE WHEN n_used >= 4 THEN 1.0 WHEN n_used = 3 THEN 0.8 WHEN n_used = 2 THEN 0.7 WHEN n_used = 1 THEN 0.5 ELSE 0.0 END)::DOUBLE AS f,
+      1 - CASE WHEN n_facts = 0 THEN 0.0 ELSE n_unsupported / n_facts END AS g, (CASE WHEN n_used >= 3 THEN 1.0 WHEN n_used = 2 THEN 0.7 WHEN n_used = 1 THEN 0.4 ELSE 0.0 END)::DOUBLE AS h,
+      CASE WHEN n_facts = 0 THEN 1.0 ELSE n_grounded / n_facts END AS i FROM y JOIN topic USING (conv_id, turn) JOIN analysis USING (conv_id, turn))
+SELECT conv_id, turn, round(f, 6) AS utilization, round(g, 6) AS hallucination, round(h, 6) AS information_gain, round(i, 6) AS grounding, 9::BIGINT AS n_metrics,
+       round((a * 1.0 + b * 1.5 + c * 0.8 + d * 0.8 + e * 0.8 + f * 2.0 + g * 2.0) / 8.9 * 10, 5) AS score FROM m""")
 def q_evaluate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.lexicons import METRIC_WEIGHTS
 
-    rows = pairs(spark, sf).withColumn("unit", F.struct("conv_id", "turn"))
+    rows, available, stated = novel_tables(spark, sf)
     rows = rows.withColumn("concepts", quality.fallback_concepts("source", CONCEPT))
-    metrics = quality.evaluate_pairs(rows, "unit", "source", "produced", F.col("concepts"), transitions=TRANSITIONS, richness=PATTERNS)
     weights = spark.createDataFrame(list(METRIC_WEIGHTS.items()), "name string, weight double")
-    return ranking.weighted_score(metrics, weights, "unit").select("unit.conv_id", "unit.turn", F.round("score", 5).alias("score"))
+    metrics, score = evaluation.evaluate(rows, available, stated, F.col("concepts"), weights, spellings={}, transitions=TRANSITIONS, richness=PATTERNS)
+    of = lambda name: F.round(F.max(F.when(F.col("name") == name, F.col("value"))), 6)
+    wide = metrics.groupBy("unit").agg(
+        of("rag_utilization").alias("utilization"), of("hallucination").alias("hallucination"), of("information_gain").alias("information_gain"),
+        of("expansion_grounding").alias("grounding"), F.count("*").alias("n_metrics"))
+    return wide.join(score, "unit").select(
+        "unit.conv_id", "unit.turn", "utilization", "hallucination", "information_gain", "grounding", "n_metrics", F.round("score", 5).alias("score"))
 
 
 # --- facts -------------------------------------------------------------------

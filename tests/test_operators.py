@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist.functions.text import split_sentences
-from annalist.operators import benchmark, chapters, community, dedup, facts, gate, graph, matching, novelty, quality, ranking, retrieval, running, vectors
+from annalist.operators import benchmark, chapters, community, dedup, evaluation, facts, gate, graph, matching, novelty, quality, ranking, retrieval, running, vectors
 from annalist.session import table_cutter
 from annalist.streaming import ingest
 
@@ -362,3 +363,46 @@ def test_budget_limit_of_a_hot_key_is_salted(spark):
     plan = running.within_budget(df, ["k"], [F.col("i")], F.length("t"), 8000)
     assert plan._jdf.queryExecution().executedPlan().toString().count("_salt") > 0
     assert plan.count() == 2667 and running.within_budget(df, ["k"], [F.col("i")], F.length("t"), 5).count() == 2
+
+
+def greedy_groups(names, match):
+    """Groups in the order of names; each joins the first that has a match."""
+    groups = []
+    for n in names:
+        home = next((g for g in groups if any(match(n, m) for m in g)), None)
+        if home is None:
+            groups.append([n])
+        else:
+            home.append(n)
+    return groups
+
+
+def test_greedy_grouping_over_tables_equals_the_loop(spark):
+    flat = lambda n: re.sub("[^a-zA-Z0-9]", "", n).lower()
+    match = lambda a, b: flat(a) in flat(b) or flat(b) in flat(a) or (len(flat(a)) >= 4 <= len(flat(b)) and flat(a)[:4] == flat(b)[:4])
+    rng = random.Random(3)
+    units = {u: list(dict.fromkeys("".join(rng.choice("abC") for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(0, 14)))) for u in range(30)}
+    rows = [(u, i + 1, n) for u, names in units.items() for i, n in enumerate(names)]
+    out = evaluation.fuzzy_group_rows(spark.createDataFrame(rows, "unit int, rank int, name string").repartition(3), "unit", "rank", "name", {}).collect()
+    got = {u: {} for u in units}
+    for r in out:
+        got[r["unit"]].setdefault((r["leader"], r["representative"]), []).append((r["rank"], r["name"]))
+    for u, names in units.items():
+        expected = {(names.index(g[0]) + 1, g[0]): [(names.index(n) + 1, n) for n in g] for g in greedy_groups(names, match)}
+        assert {k: sorted(v) for k, v in got[u].items()} == expected
+
+
+def test_evaluation_of_pairs_without_names_or_facts(spark):
+    unit = "unit int, source string, produced string, evidence string"
+    pairs = spark.createDataFrame([(1, "old town", "Peking and Harbor and Wrong", "harbor of PEKING"), (2, "x", "y", None)], unit)
+    names = spark.createDataFrame([(1, 1, "Peking"), (1, 2, "Peking City"), (1, 3, "北京"), (1, 4, None)], "unit int, rank int, name string")
+    facts = spark.createDataFrame([(1, 0, "Peking"), (1, 1, "Harbor"), (1, 2, "Wrong"), (1, 3, "town")], "unit int, position int, fact string")
+    rows = {r["unit"]: r for r in evaluation.novel_analysis(pairs, names, facts).collect()}
+    assert (rows[1]["n_available"], rows[1]["n_used"], rows[1]["used"]) == (3, 1, ["北京"])
+    assert (rows[1]["n_facts"], rows[1]["n_grounded"], rows[1]["n_unsupported"]) == (4, 2, 1)
+    assert list(rows[2])[1:] == [0, 0, [], 0, 0, 0]
+    weights = spark.createDataFrame([("rag_utilization", 2.0)], "name string, weight double")
+    metrics, score = evaluation.evaluate(pairs, names, facts, F.array(F.lit("town")), weights)
+    named = {(r["unit"], r["name"]): r["value"] for r in metrics.collect()}
+    assert len(named) == 18 and named[1, "hallucination"] == 0.75 and named[2, "hallucination"] == 1.0 and named[1, "rag_utilization"] == 0.5
+    assert score.count() == 2
