@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from .retrieval import STRATEGIES
-
 PLAIN_VECTOR_MODE = "plain_vector_rag"
 
 
@@ -28,12 +26,3 @@ def jobs(segments: DataFrame, modes: Sequence[tuple[str, str]]) -> DataFrame:
 def resume_jobs(all_jobs: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Jobs without a recorded result."""
     return all_jobs.join(done.select(*keys).distinct(), list(keys), "left_anti")
-
-
-def run_strategies(queries: DataFrame, entities: DataFrame, names: Sequence[str], k: int = 10, **options) -> DataFrame:
-    """Ranked results of several registered strategies, labelled."""
-    result = None
-    for name in names:
-        rows = STRATEGIES[name](queries, entities, k, **options).select("query_id", "rank", "title", F.lit(name).alias("strategy"))
-        result = rows if result is None else result.unionByName(rows)
-    return result

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -24,14 +24,24 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, n
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
 
 
-def score_rows(rows: DataFrame, row_id: str, text: Column, terms: DataFrame, upper: bool) -> DataFrame:
-    """Weighted term hits per (query, row) with one flag per kind of term."""
+def score_rows(rows: DataFrame, row_id: str, text: Column, terms: DataFrame, upper: bool, must: str | None = None) -> DataFrame:
+    """Weighted term hits per (query, row) with one flag per kind of term.
+
+    ``must``: a kind without which a row does not count. Its hits are found first, and the other terms are looked up for
+    these pairs of query and row alone.
+    """
     fold = F.upper if upper else (lambda c: c)
     keyed = cut_lineage(terms.select("query_id", "weight", "kind", fold(F.col("term")).alias("_needle")))
     searched = rows.select(F.col(row_id), fold(text).alias("_haystack"))
     hits = contains_join(searched, keyed, row_id, "_haystack", "_needle")
+    if must is None:
+        found = hits.join(keyed, "_needle")
+    else:
+        hits = cut_lineage(hits)
+        pairs = hits.join(keyed.where(F.col("kind") == must), "_needle").select("query_id", row_id).distinct()
+        found = pairs.join(keyed, "query_id").join(hits, [row_id, "_needle"], "left_semi")
     return (
-        hits.join(keyed, "_needle")
+        found
         .groupBy("query_id", row_id)
         .agg(
             F.sum("weight").alias("score"),
@@ -54,7 +64,7 @@ def search_entities(
     """Entities naming the query's year, scored by year, place and topics, near-duplicates removed."""
     pool = drop_stop_entities(entities, "title", stop)
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
-    scored = score_rows(pool, row_id, text, expand_terms(queries, 20, aliases), upper=True)
+    scored = score_rows(pool, row_id, text, expand_terms(queries, 20, aliases), upper=True, must="year")
     scored = scored.where("year_hit").select(
         "query_id", row_id, (F.col("score") + 15 + _bonus(25)).alias("score")
     )
@@ -74,7 +84,7 @@ def search_relationships(
     pool = drop_blocked(relationships, text, blocklist, upper=True)
     aliases = lx.REGION_PLACE_ALIASES if aliases is None else aliases
     terms = expand_terms(queries, 20, aliases, alias_is_place=False)
-    scored = score_rows(pool, row_id, text, terms, upper=True)
+    scored = score_rows(pool, row_id, text, terms, upper=True, must="year")
     scored = scored.where("year_hit").select(
         "query_id", row_id, (F.col("score") + 15 + _bonus(25)).alias("score")
     )
@@ -228,9 +238,13 @@ def keyword_only(
 
 def entity_first(queries: DataFrame, entities: DataFrame, k: int = 10, row_id: str = "id",
                  persons: Sequence[str] = tuple(lx.PERSON_TYPES), organisations: Sequence[str] = tuple(lx.ORGANISATION_TYPES),
-                 aliases: dict[str, str] | None = None) -> DataFrame:
-    """Keyword results with persons first, organisations second, order kept inside."""
-    base = keyword_only(queries, entities, 2 * k, row_id, aliases).withColumnRenamed("rank", "_base")
+                 aliases: dict[str, str] | None = None, base: DataFrame | None = None) -> DataFrame:
+    """Keyword results with persons first, organisations second, order kept inside.
+
+    ``base``: the keyword results, if they are known already, with 2k or more of each query.
+    """
+    base = keyword_only(queries, entities, 2 * k, row_id, aliases) if base is None else base.where(F.col("rank") <= 2 * k)
+    base = base.withColumnRenamed("rank", "_base")
     stratum = F.when(F.col("type").isin(list(persons)), 0).when(F.col("type").isin(list(organisations)), 1).otherwise(2)
     ranked = top_k(base.withColumn("_stratum", stratum), ["query_id"], [F.col("_stratum"), F.col("_base")], k)
     return ranked.select("query_id", "rank", row_id, "title", "type", "description", "score")
@@ -259,6 +273,7 @@ def communities_with_keywords(queries: DataFrame, communities: DataFrame, commun
 def community_first(
     queries: DataFrame, entities: DataFrame, communities: DataFrame, k: int = 10, row_id: str = "id",
     community: str = "community", content: str = "full_content", aliases: dict[str, str] | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Entities of matching communities in order, then keyword results not yet listed.
 
@@ -274,7 +289,7 @@ def community_first(
         F.min_by(F.col(row_id), F.struct(community, row_id)).alias(row_id),
     )
     listed = listed.select("query_id", "title", row_id, F.lit(1.0).alias("score"), F.lit("community").alias("origin"), "_at")
-    base = keyword_only(queries, entities, k, row_id, aliases)
+    base = keyword_only(queries, entities, k, row_id, aliases) if base is None else base.where(F.col("rank") <= k)
     keyword = base.select(
         "query_id", "title", row_id, F.col("score").cast("double").alias("score"), F.lit("keyword").alias("origin"),
         F.struct(
@@ -290,9 +305,10 @@ def community_first(
 def hybrid_keyword(
     queries: DataFrame, entities: DataFrame, communities: DataFrame, k: int = 10, row_id: str = "id",
     community: str = "community", content: str = "full_content", n_communities: int = 3, aliases: dict[str, str] | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Keyword score plus rank bonus, plus half a point per keyword hit of three communities."""
-    base = keyword_only(queries, entities, k, row_id, aliases)
+    base = keyword_only(queries, entities, k, row_id, aliases) if base is None else base.where(F.col("rank") <= k)
     first = communities.orderBy(community).limit(n_communities)
     members = entities_in_communities(entities, first, row_id, community, content)
     matched = communities_with_keywords(queries, first, community, content)
@@ -401,15 +417,3 @@ def unused_terms(available: Column, used: Column, k: int = 8) -> Column:
     """Up to k available names not yet used; if all are used, the first k available."""
     rest = F.array_except(available, used)
     return F.when(F.size(rest) > 0, F.slice(rest, 1, k)).otherwise(F.slice(available, 1, k))
-
-
-#: Retrieval strategies by name: functions of (queries, entities, k).
-STRATEGIES: dict[str, Callable[..., DataFrame]] = {
-    "keyword_only": keyword_only,
-    "entity_first": entity_first,
-}
-
-
-def register_strategy(name: str, strategy: Callable[..., DataFrame]) -> None:
-    """Make a strategy available to benchmark runs."""
-    STRATEGIES[name] = strategy

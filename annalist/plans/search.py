@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import text_array
-from ..operators import matching, novelty, ranking, retrieval, terms
+from ..operators import cells, matching, novelty, ranking, retrieval, routing, terms
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import load, spread
 from .shared import CHRONICLE_SQL, EXPANDED_SQL, NATION_QUERIES_SQL, Catalog, chronicle, documents, nation_queries, union_all
 
@@ -358,6 +361,61 @@ def q_rerank(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _from(name: str) -> str:
+    return f"({catalog.sql[name]})"
+
+
+@catalog.add("q_strategies", f"""
+WITH {PEOPLE_SQL}, near AS ({DISTANCE_SQL}),
+v AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, title) AS rank, title, 1 - distance AS score FROM near QUALIFY rank <= 10)
+SELECT 'keyword_only' AS strategy, query_id, rank, title, round(score::DOUBLE, 6) AS score FROM {_from('q_keyword_only')} JOIN entities USING (id)
+UNION ALL SELECT 'entity_first', query_id, rank, title, round(score::DOUBLE, 6) FROM {_from('q_entity_first')} JOIN entities USING (id)
+UNION ALL SELECT 'community_first', query_id, rank, title, round(score, 6) FROM {_from('q_community_first')}
+UNION ALL SELECT 'hybrid_keyword', query_id, rank, title, score FROM {_from('q_hybrid_keyword')}
+UNION ALL SELECT 'vector_only', query_id, rank, title, round(score, 6) FROM v
+UNION ALL SELECT 'hybrid_vector', query_id, rank, title, score FROM {_from('q_hybrid_merge')}""")
+def q_strategies(spark: SparkSession, sf: str) -> DataFrame:
+    """All six strategies over one table of candidates."""
+    rows = routing.run_strategies(nation_queries(spark, sf), people(spark, sf), None, 10, communities(spark, sf), near_customers(spark, sf))
+    return rows.withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 6))
+
+
+@catalog.add("q_retrieve_modes", f"""
+WITH kw AS (
+  SELECT query_id, 'entity' AS kind, rank, id::VARCHAR AS id, score::DOUBLE AS score FROM {_from('q_search_entities')}
+  UNION ALL SELECT query_id, 'relationship', rank, id::VARCHAR, score::DOUBLE FROM {_from('q_search_relationships')}
+  UNION ALL SELECT query_id, 'text_unit', rank, id::VARCHAR, score::DOUBLE FROM {_from('q_search_text_units')}
+  UNION ALL SELECT query_id, 'community', rank, community::VARCHAR, score::DOUBLE FROM {_from('q_search_communities')}),
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT a.vec_id AS query_id, b.vec_id AS n, list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]))) AS d FROM e a JOIN e b ON a.vec_id < 25),
+ve AS (SELECT query_id, 'entity' AS kind, row_number() OVER (PARTITION BY query_id ORDER BY d, n) AS rank, (n + 1)::VARCHAR AS id, 1 - d AS score FROM d QUALIFY rank <= 10
+       UNION ALL SELECT query_id, 'community', row_number() OVER (PARTITION BY query_id ORDER BY d, n) AS r, n::VARCHAR, 1 - d FROM d WHERE n % 2 = 0 QUALIFY r <= 3),
+m AS (SELECT query_id, kind, id, coalesce(kw.score * 0.5::DOUBLE, 0) + coalesce(ve.score * 0.5::DOUBLE, 0) AS score
+      FROM kw FULL JOIN ve USING (query_id, kind, id)),
+h AS (SELECT query_id, kind, row_number() OVER (PARTITION BY query_id, kind ORDER BY round(score, 9) DESC, id) AS rank, id, score FROM m)
+SELECT query_id, 'keyword' AS mode, kind, rank, id, round(score, 5) AS score FROM kw WHERE query_id % 3 = 0
+UNION ALL SELECT query_id, 'vector', kind, rank, id, round(score, 5) FROM ve WHERE query_id % 3 = 1
+UNION ALL SELECT query_id, 'hybrid', kind, rank, id, round(score, 5) FROM h
+          WHERE query_id % 3 = 2 AND rank <= CASE kind WHEN 'entity' THEN 10 WHEN 'community' THEN 3 ELSE 8 END""")
+def q_retrieve_modes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations ask by keyword, by vector or, where they name no mode, by both."""
+    vectors = load(spark, sf, "embeddings").select("vec_id", "embedding")
+    key = F.col("query_id") % 3
+    queries = nation_queries(spark, sf).join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id", "left")
+    queries = queries.withColumn("mode", F.when(key == 0, "keyword").when(key == 1, "vector"))
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/modes-{uuid.uuid4().hex}"
+    stores = {
+        "entity": cells.store_cells(vectors.withColumn("id", F.col("vec_id") + 1), f"{folder}/entity", "id", "embedding"),
+        "community": cells.store_cells(vectors.where("vec_id % 2 = 0"), f"{folder}/community", "vec_id", "embedding"),
+    }
+    units = chronicle(spark, sf).select(F.col("event_id").alias("id"), F.col("content").alias("text"))
+    tables = {"entity": chronicle_entities(spark, sf), "relationship": chronicle_relationships(spark, sf), "text_unit": units, "community": communities(spark, sf)}
+    options = {"relationship": {"blocklist": ["furniture"]}, "text_unit": {"blocklist": ["1-URGENT"], "nearby": ["NATION_3"], "regions": ["ASIA"]}}
+    rows = routing.retrieve_by_mode(queries, tables, stores, options=options)
+    return rows.withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 5))
+
+
 # --- packing and novelty -----------------------------------------------------
 
 @catalog.add("q_context_pack", f"""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist.functions.text import split_sentences
-from annalist.operators import benchmark, chapters, community, dedup, evaluation, facts, gate, graph, matching, novelty, quality, ranking, retrieval, running, vectors
+from annalist.operators import cells, chapters, community, dedup, evaluation, facts, gate, graph, matching, novelty, quality, ranking, retrieval, routing, running, vectors
 from annalist.session import table_cutter
 from annalist.streaming import ingest
 
@@ -307,14 +307,40 @@ def test_strategies_run_side_by_side(spark):
         [(1, "SHENZHEN", "GEO", "a city"), (2, "袁庚", "人物", "蛇口"), (3, "Shekou port", "GEO", "x")],
         "id int, title string, type string, description string",
     )
-    rows = benchmark.run_strategies(queries, entities, ["keyword_only", "entity_first"], 5).collect()
+    rows = routing.run_strategies(queries, entities, k=5).collect()
     order = {s: [r["title"] for r in sorted(rows, key=lambda r: r["rank"]) if r["strategy"] == s] for s in ("keyword_only", "entity_first")}
     assert order == {"keyword_only": ["SHENZHEN", "袁庚", "Shekou port"], "entity_first": ["袁庚", "SHENZHEN", "Shekou port"]}
-    with_extra = dict(retrieval.STRATEGIES)
-    retrieval.register_strategy("first_only", lambda q, e, k, **o: retrieval.keyword_only(q, e, 1, **o))
-    assert benchmark.run_strategies(queries, entities, ["first_only"]).count() == 1
-    retrieval.STRATEGIES.clear()
-    retrieval.STRATEGIES.update(with_extra)
+    communities = spark.createDataFrame([(1, "蛇口 has Shekou port")], "community int, full_content string")
+    near = spark.createDataFrame([(1, "袁庚", 0.25), (1, "far", 0.9)], "query_id int, title string, distance double")
+    rows = routing.run_strategies(queries, entities, None, 5, communities, near).collect()
+    first = {r["strategy"]: r["title"] for r in rows if r["rank"] == 1}
+    assert first == {"keyword_only": "SHENZHEN", "entity_first": "袁庚", "community_first": "Shekou port", "hybrid_keyword": "SHENZHEN",
+                     "vector_only": "袁庚", "hybrid_vector": "SHENZHEN"}
+    with pytest.raises(ValueError):
+        routing.run_strategies(queries, entities, ["vector_only"])
+    with_extra = dict(routing.STRATEGIES)
+    routing.register_strategy("first_only", lambda q, e, k, base, **_: base.where("rank = 1"))
+    assert routing.run_strategies(queries, entities, ["first_only"]).count() == 1
+    routing.STRATEGIES.clear()
+    routing.STRATEGIES.update(with_extra)
+
+
+def test_modes_route_queries_and_build_only_what_is_asked(spark, tmp_path):
+    queries = spark.createDataFrame(
+        [(1, "keyword", "1980", "深圳", ["蛇口"], [0.0, 0.0]), (2, "vector", "1980", "深圳", ["蛇口"], [1.0, 0.0]), (3, None, "1980", "深圳", ["蛇口"], [0.0, 0.0])],
+        "query_id int, mode string, year string, location string, keywords array<string>, query_vector array<double>")
+    entities = spark.createDataFrame([("a", "特区", "EVENT", "1980 深圳 蛇口"), ("b", "other", "EVENT", "1980")], "id string, title string, type string, description string")
+    vectors = spark.createDataFrame([("a", [0.5, 0.0]), ("c", [1.0, 0.0])], "id string, vector array<double>")
+    store = cells.store_cells(vectors, str(tmp_path / "e"))
+    rows = routing.retrieve_by_mode(queries, {"entity": entities}, {"entity": store}).collect()
+    got = {q: [(r["mode"], r["id"], r["score"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (1, 2, 3)}
+    assert [x[:2] for x in got[1]] == [("keyword", "a"), ("keyword", "b")]
+    assert got[2] == [("vector", "c", 1.0), ("vector", "a", 0.75)]
+    assert [x[:2] for x in got[3]] == [("hybrid", "a"), ("hybrid", "b"), ("hybrid", "c")]
+    assert got[3][0][2] == 0.5 * got[1][0][2] + 0.5 * 0.75 and got[3][2][2] == 0.0
+    only = routing.retrieve_by_mode(queries.where("query_id = 2"), {"entity": entities}, {"entity": store})
+    assert "_needle" not in only._jdf.queryExecution().toString()
+    assert routing.retrieve_by_mode(queries.limit(0), {}, {}).count() == 0
 
 
 def test_judges_answers_become_grades(spark):
