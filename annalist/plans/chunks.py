@@ -96,12 +96,15 @@ def q_segment_validation(spark: SparkSession, sf: str) -> DataFrame:
     return segmentation.validate_segments(turns, "conv_id", 300, 400)
 
 
-@catalog.add("q_context_window", """
-WITH b AS (SELECT conv_id, turn, left(text, 60) AS b FROM conversations)
+@catalog.add("q_context_window", f"""
+WITH s AS (SELECT conv_id, turn, {trim_sql('text')} AS t, {SENTENCES_SQL} AS l FROM conversations),
+j AS (SELECT *, CASE WHEN length(l[1]) < 20 AND len(l) > 1 THEN l[1] || '. ' || l[2] ELSE l[1] END AS j FROM s),
+b AS (SELECT conv_id, turn, CASE WHEN len(l) = 0 THEN left(t, 60) WHEN length(j) > 60 THEN left(j, 60) || '…' ELSE j END AS b FROM j)
 SELECT conv_id, turn, coalesce(array_to_string(list(b) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '|'), '') AS previous
 FROM b""")
 def q_context_window(spark: SparkSession, sf: str) -> DataFrame:
-    turns = load(spark, sf, "conversations").select("conv_id", "turn", F.left("text", F.lit(60)).alias("brief"))
+    """Briefs of the whole texts of up to three turns before each turn."""
+    turns = load(spark, sf, "conversations").select("conv_id", "turn", tx.brief("text", 60, ENDS, ". ").alias("brief"))
     rows = chapters.previous_values(turns, "conv_id", "turn", "brief", 3)
     return rows.select("conv_id", "turn", F.array_join("previous", "|").alias("previous"))
 

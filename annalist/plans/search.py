@@ -13,6 +13,11 @@ from ..sources.tables import load, spread
 from .shared import CHRONICLE_SQL, EXPANDED_SQL, NATION_QUERIES_SQL, Catalog, chronicle, documents, nation_queries, union_all
 
 catalog = Catalog()
+
+
+def _from(name: str) -> str:
+    return f"({catalog.sql[name]})"
+
 WORD = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 
 
@@ -361,10 +366,6 @@ def q_rerank(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _from(name: str) -> str:
-    return f"({catalog.sql[name]})"
-
-
 @catalog.add("q_strategies", f"""
 WITH {PEOPLE_SQL}, near AS ({DISTANCE_SQL}),
 v AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, title) AS rank, title, 1 - distance AS score FROM near QUALIFY rank <= 10)
@@ -419,20 +420,25 @@ def q_retrieve_modes(spark: SparkSession, sf: str) -> DataFrame:
 # --- packing and novelty -----------------------------------------------------
 
 @catalog.add("q_context_pack", f"""
-WITH {NATION_QUERIES_SQL}, {PEOPLE_SQL}, {COMMUNITIES_SQL}, {KEYWORD_SQL},
-terms AS (SELECT query_id, unnest(list_concat([year, location], keywords)) AS term FROM queries),
-cs AS (SELECT query_id, community, count(*) AS score FROM terms JOIN communities ON contains(title, term) OR contains(summary, term) GROUP BY ALL),
-cr AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, community) AS rank, community FROM cs QUALIFY rank <= 3),
-b AS (SELECT query_id, 1 AS o, 'ENTITIES' || chr(10) || string_agg(base.rank::VARCHAR || '. ' || title || ': ' || left(description, 100), chr(10) ORDER BY base.rank) AS t
-      FROM base JOIN entities USING (id) WHERE base.rank <= 10 GROUP BY 1
-      UNION ALL SELECT query_id, 3, 'COMMUNITIES' || chr(10) || string_agg(cr.rank::VARCHAR || '. ' || title || ': ' || summary, chr(10) ORDER BY cr.rank)
-      FROM cr JOIN communities USING (community) GROUP BY 1)
-SELECT query_id, left(string_agg(t, chr(10) ORDER BY o), 600) AS context FROM b GROUP BY 1""")
+WITH {CHRONICLE_SQL}, {PEOPLE_SQL}, {COMMUNITIES_SQL},
+b AS (SELECT query_id, 0 AS o, 'UNITS' || chr(10) || string_agg(u.rank::VARCHAR || '. ' || content, chr(10) ORDER BY u.rank) AS t
+      FROM {_from('q_search_text_units')} u JOIN chronicle ON event_id = id WHERE u.rank <= 8 GROUP BY 1
+      UNION ALL SELECT query_id, 1, 'ENTITIES' || chr(10) || string_agg(k.rank::VARCHAR || '. ' || title || ': ' || left(description, 100), chr(10) ORDER BY k.rank)
+      FROM {_from('q_keyword_only')} k JOIN entities USING (id) GROUP BY 1
+      UNION ALL SELECT query_id, 2, 'RELATIONS' || chr(10) || string_agg(r.rank::VARCHAR || '. ' || source || ' -> ' || target || ': ' || date || ' ' || segment || ' ' || r_name, chr(10) ORDER BY r.rank)
+      FROM {_from('q_search_relationships')} r JOIN chronicle ON event_id = id GROUP BY 1
+      UNION ALL SELECT query_id, 3, 'COMMUNITIES' || chr(10) || string_agg(c.rank::VARCHAR || '. ' || title || ': ' || summary, chr(10) ORDER BY c.rank)
+      FROM {_from('q_search_communities')} c JOIN communities USING (community) GROUP BY 1)
+SELECT query_id, left(string_agg(t, chr(10) ORDER BY o), 3000) AS context FROM b GROUP BY 1""")
 def q_context_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """Units, entities, relationships and communities found for each nation, as one numbered text."""
     queries = nation_queries(spark, sf)
+    texts = chronicle(spark, sf).select(F.col("event_id").alias("id"), F.col("content").alias("text"))
+    units = found_units(spark, sf, queries).join(texts, "id")
     entities = retrieval.keyword_only(queries, people(spark, sf))
+    relationships = retrieval.search_relationships(queries, chronicle_relationships(spark, sf), blocklist=["furniture"])
     found = retrieval.search_communities(queries, communities(spark, sf))
-    return retrieval.context_pack(entities=entities, communities=found, max_chars=600, headers=("UNITS", "ENTITIES", "RELATIONS", "COMMUNITIES"))
+    return retrieval.context_pack(units, entities, relationships, found, 3000, headers=("UNITS", "ENTITIES", "RELATIONS", "COMMUNITIES"))
 
 
 @catalog.add("q_retrieval_meta", f"""
@@ -483,16 +489,38 @@ def q_novel_counts(spark: SparkSession, sf: str) -> DataFrame:
     return novelty.novel_counts(rows.withColumn("kind", F.when(F.col("is_novel"), "novel").otherwise("aligned")), ["novel", "aligned"])
 
 
+def mentioned_sql(name: str) -> str:
+    """The mention test of the novelty split on a row with ``flat`` and ``words`` of its query."""
+    flat = f"upper(regexp_replace({name}, '[^一-龥a-zA-Z0-9]', '', 'g'))"
+    words = f"list_transform(regexp_extract_all({name}, '[A-Za-z]{{3,}}'), lambda w: upper(w))"
+    return f"({name} <> '' AND (contains(flat, {flat}) OR list_has_any({words}, words) OR (length({flat}) >= 4 AND contains(flat, left({flat}, 4)))))"
+
+
 @catalog.add("q_evidence_text", f"""
-WITH {NATION_QUERIES_SQL}, {PEOPLE_SQL}, {KEYWORD_SQL}, {NOVEL_SQL}
-SELECT query_id, string_agg(title || ' ' || left(description, 100), ' ' ORDER BY rank) AS evidence FROM n WHERE is_novel GROUP BY 1""")
+WITH {NATION_QUERIES_SQL}, {PEOPLE_SQL}, {COMMUNITIES_SQL.replace('c_name AS title', 'c_name AS ctitle')}, {KEYWORD_SQL}, {NOVEL_SQL},
+b AS (SELECT c_nationkey::BIGINT AS query_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rank, c_name AS source,
+             CASE WHEN c_custkey % 3 = 0 THEN r_name ELSE c_mktsegment END AS target, 'balance ' || c_acctbal::VARCHAR AS description
+      FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey QUALIFY rank <= 8),
+r AS (SELECT b.* FROM b JOIN qn USING (query_id) WHERE NOT ({mentioned_sql('source')} OR {mentioned_sql('target')} OR len(list_filter(words, lambda w: contains(description, w))) > 0)),
+s AS (SELECT c.query_id, c.rank, left(full_content, 400) AS t FROM {_from('q_search_communities')} c JOIN communities USING (community) JOIN qn USING (query_id)
+      WHERE length(full_content) > 50 AND NOT len(list_filter(list_distinct(list_transform(regexp_extract_all(full_content, '[A-Za-z]{{3,}}'), lambda w: upper(w))), lambda w: contains(flat, w)))
+            / len(list_distinct(list_transform(regexp_extract_all(full_content, '[A-Za-z]{{3,}}'), lambda w: upper(w)))) > 0.8),
+u AS (SELECT query_id, 0 AS o, rank, title || ' ' || left(description, 100) AS t FROM n WHERE is_novel
+      UNION ALL SELECT query_id, 1, rank, source || ' ' || target || ' ' || description FROM r UNION ALL SELECT query_id, 2, rank, t FROM s)
+SELECT query_id, string_agg(t, ' ' ORDER BY o, rank) AS evidence FROM u GROUP BY 1""")
 def q_evidence_text(spark: SparkSession, sf: str) -> DataFrame:
+    """What entities, customers' relationships and communities add to each nation's query."""
     queries = nation_queries(spark, sf)
     entities = novelty.split_entities(queries, retrieval.keyword_only(queries, people(spark, sf)))
-    none = entities.where(F.lit(False))
-    relationships = none.select("query_id", "rank", F.lit("").alias("source"), F.lit("").alias("target"), "description", "is_novel")
-    snippets = none.select("query_id", F.lit("").alias("kind"), "rank", F.lit("").alias("snippet"))
-    return novelty.evidence_text(entities, relationships, snippets)
+    customer, nation, region = load(spark, sf, "customer"), load(spark, sf, "nation"), load(spark, sf, "region")
+    buyers = customer.join(nation, customer.c_nationkey == nation.n_nationkey).join(region, nation.n_regionkey == region.r_regionkey).select(
+        F.col("n_nationkey").cast("long").alias("query_id"), "c_custkey", F.col("c_name").alias("source"),
+        F.when(F.col("c_custkey") % 3 == 0, F.col("r_name")).otherwise(F.col("c_mktsegment")).alias("target"),
+        F.concat(F.lit("balance "), F.col("c_acctbal").cast("string")).alias("description"))
+    relationships = novelty.split_relationships(queries, retrieval.top_k(buyers, ["query_id"], [F.col("c_custkey")], 8))
+    told = communities(spark, sf).select("community", F.col("full_content").alias("content"))
+    found = retrieval.search_communities(queries, communities(spark, sf)).join(told, "community").select("query_id", "rank", F.col("content").alias("summary"))
+    return novelty.evidence_text(entities, relationships, novelty.novel_snippets(queries, found))
 
 
 @catalog.add("q_grounded", """
