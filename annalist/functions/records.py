@@ -58,6 +58,30 @@ def judge_scores(text: Column | str) -> Column:
     return F.coalesce(held, F.array().cast("array<struct<entity:string,score:double>>"))
 
 
+def unfenced(text: Column | str) -> Column:
+    """An answer without the code fence around it."""
+    return F.regexp_replace(trimmed(as_col(text)), r"(?s)^```[^\n]*\n(.*?)\n?```$", "$1")
+
+
+def batch_verdicts(text: Column | str) -> Column:
+    """``array<struct<position,content,verdict>>`` of an answer on many facts, verdicts as written or from a truth value.
+
+    The widest brace block is parsed, fenced or not; its ``results`` may hold items of any shape, and one that is no
+    object keeps its place without content. An answer that does not parse gives an empty array.
+    """
+    body = F.regexp_extract(unfenced(text), r"(?s)\{.*\}", 0)
+    items = F.try_variant_get(F.try_parse_json(F.when(body != "", body)), "$.results", "array<variant>")
+
+    def row(item: Column, place: Column) -> Column:
+        truth = F.lower(F.try_variant_get(item, "$.supported", "string"))
+        verdict = F.coalesce(
+            F.try_variant_get(item, "$.verdict", "string"), F.when(truth == "true", "SUPPORTED").when(truth == "false", "NOT_SUPPORTED"))
+        content = F.coalesce(trimmed(F.try_variant_get(item, "$.fact", "string")), F.lit(""))
+        return F.struct(place.alias("position"), content.alias("content"), F.coalesce(verdict, F.lit("UNSURE")).alias("verdict"))
+
+    return F.coalesce(F.transform(items, row), F.array().cast("array<struct<position:int,content:string,verdict:string>>"))
+
+
 def judged_score(scores: Column, name: Column) -> Column:
     """Score of a name: exact entry (last one wins), else the first nested entry, else 0."""
     exact = F.filter(scores, lambda s: s["entity"] == name)

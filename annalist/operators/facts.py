@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lexicons as lx
 from ..functions.columns import as_col, share
-from ..functions.records import normalize_verdict, verifiable_sentence
+from ..functions.records import batch_verdicts, normalize_verdict, verifiable_sentence
 from ..functions.text import decompose_facts, rule_supported
 
 
@@ -31,6 +31,11 @@ def fact_rows(
     )
 
 
+def verdict_rows(answers: DataFrame, unit_id: str, answer: str) -> DataFrame:
+    """``(unit_id, position, content, verdict)`` of answers that judge all facts of a unit at once."""
+    return answers.select(unit_id, F.inline(batch_verdicts(answer)))
+
+
 def attach_verdicts(facts: DataFrame, verdicts: DataFrame, unit_id: str) -> DataFrame:
     """Verdict of each fact: the first whose text contains it or lies in it, else by position.
 

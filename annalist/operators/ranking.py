@@ -152,6 +152,14 @@ def provider_pivot(scores: DataFrame, provider: str, dimension: str, value: str,
     return pivoted.join(overall, provider)
 
 
+def best_providers(pivoted: DataFrame, provider: str, dimensions: Sequence[str]) -> DataFrame:
+    """``(dimension, best, value)``: the provider with the highest mean in each dimension and overall; ties to the smaller name."""
+    named = [*dimensions, "overall"]
+    long = pivoted.select(provider, F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in named])))
+    best = F.min(F.struct((-F.col("value")).alias("loss"), F.col(provider).alias("best"), "value"))
+    return long.where("value IS NOT NULL").groupBy("dimension").agg(best.alias("_b")).select("dimension", "_b.best", "_b.value")
+
+
 def verdict_summary(verdicts: DataFrame, keys: Sequence[str], verdict: str = "verdict") -> DataFrame:
     """Supported, refuted and unsure facts per key with the supported share (null without facts)."""
     n = F.count("*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import text as tx
+from ..functions import sql, text as tx
 from ..operators import benchmark, chapters, chunking, dedup, quality, running, segmentation, terms
 from ..sources.tables import load
 from ..streaming import incremental
@@ -74,6 +74,18 @@ def q_token_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.token_chunks(documents(spark, sf), size=120, overlap=20).withColumn("unit_index", F.col("unit_index").cast("long"))
 
 
+@catalog.add("q_chunk_functions", f"""
+SELECT 'window' AS kind, doc_id, chunk_index, text FROM ({WINDOWS_SQL})
+UNION ALL SELECT 'token', doc_id, unit_index, text FROM ({UNITS_SQL.format(size=120, step=100)})""")
+def q_chunk_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Both chunkers as table functions of SQL."""
+    sql.register(spark)
+    documents(spark, sf).createOrReplaceTempView("_chunked_documents")
+    return spark.sql("""
+        SELECT 'window' AS kind, d.doc_id, CAST(c.chunk_index AS LONG) AS chunk_index, c.text FROM _chunked_documents d, LATERAL window_chunks(d.text, 900, 150) c
+        UNION ALL SELECT 'token', d.doc_id, CAST(c.unit_index AS LONG), c.text FROM _chunked_documents d, LATERAL token_chunks(d.text, 120, 20) c""")
+
+
 @catalog.add("q_segments")
 def q_segments(spark: SparkSession, sf: str) -> DataFrame:
     rows = segmentation.segment_documents(documents(spark, sf), block_pattern="\n")

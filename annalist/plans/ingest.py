@@ -214,6 +214,21 @@ def q_attach_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("unit_id", "fact", F.coalesce("verdict", F.lit("")).alias("verdict"))
 
 
+@catalog.add("q_batch_verdicts", """
+SELECT p_partkey AS unit_id, 0 AS position, p_name AS fact, CASE WHEN p_size % 5 = 0 THEN '' ELSE 'SUPPORTED' END AS verdict FROM part
+UNION ALL SELECT p_partkey, 1, p_type, CASE WHEN p_size % 5 = 0 THEN '' ELSE 'NOT_SUPPORTED' END FROM part
+UNION ALL SELECT p_partkey, 2, 'nothing said of ' || p_brand, CASE WHEN p_size % 5 = 0 THEN '' ELSE 'UNSURE' END FROM part""")
+def q_batch_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers on three facts each, every third one fenced, every fifth cut off, matched to the facts by content or place."""
+    part = load(spark, sf, "part")
+    body = F.concat(F.lit('{"results": [{"fact": "the '), "p_name", F.lit('", "verdict": "Supported."}, {"fact": "'), "p_type", F.lit('", "supported": false}, "odd"]}'))
+    fenced = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("Here: "), body))
+    answers = part.select(F.col("p_partkey").alias("unit_id"), F.when(F.col("p_size") % 5 == 0, F.left(body, F.length(body) - 1)).otherwise(fenced).alias("answer"))
+    listed = part.select(F.col("p_partkey").alias("unit_id"), F.posexplode(F.array("p_name", "p_type", F.concat(F.lit("nothing said of "), "p_brand"))).alias("position", "fact"))
+    rows = facts.attach_verdicts(listed, facts.verdict_rows(answers, "unit_id", "answer"), "unit_id")
+    return rows.select("unit_id", "position", "fact", F.coalesce("verdict", F.lit("")).alias("verdict"))
+
+
 @catalog.add("q_cached_answers", """
 SELECT d.doc_id, EXISTS (SELECT 1 FROM documents c WHERE c.lang = 'en' AND c.text = d.text) AS is_cached FROM documents d""")
 def q_cached_answers(spark: SparkSession, sf: str) -> DataFrame:

@@ -231,6 +231,17 @@ s AS (SELECT user_id, count(*) AS total, count(*) FILTER (verdict = 'SUPPORTED')
       count(*) FILTER (verdict = 'UNSURE') AS unsure, count(*) FILTER (verdict = 'SUPPORTED') / count(*) AS safe_score FROM v GROUP BY 1)"""
 
 
+@catalog.add("q_best_providers", """
+WITH p AS (SELECT user_id, event_type AS dimension, avg(sqrt(value)) AS v FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL
+           UNION ALL SELECT user_id, 'overall', avg(sqrt(value)) FROM events GROUP BY 1)
+SELECT dimension, user_id AS best, round(v, 6) AS value FROM p QUALIFY row_number() OVER (PARTITION BY dimension ORDER BY v DESC, user_id) = 1""")
+def q_best_providers(spark: SparkSession, sf: str) -> DataFrame:
+    """Which user has the highest mean in each kind of event and overall."""
+    scores = load(spark, sf, "events").select("user_id", "event_type", F.sqrt("value").alias("value"))
+    wide = ranking.provider_pivot(scores, "user_id", "event_type", "value", ["click", "view"])
+    return ranking.best_providers(wide, "user_id", ["click", "view"]).withColumn("value", F.round("value", 6))
+
+
 @catalog.add("q_verdict_summary", f"""
 WITH {VERDICTS_SQL}
 SELECT user_id, total, supported, not_supported, unsure, round(safe_score, 6) AS safe_score, round(safe_score - 0.375, 4) AS score_diff,

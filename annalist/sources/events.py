@@ -41,7 +41,8 @@ def _json_files(spark: SparkSession, path: str) -> DataFrame:
 def read_events_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with headers; defaults fill missing columns only, an empty cell stays empty.
 
-    Files may name different columns, or the same ones in another order: those of one header are read together.
+    Files may name different columns, or the same ones in another order: those of one header are read together. Files that
+    are no UTF-8 and rows that have not as many cells as their header add nothing, see ``skipped_csv``.
     """
     parts = [_csv_of_header(spark, files) for files in _files_by_header(spark, path).values()]
     whole = parts[0] if parts else spark.createDataFrame([], EVENT_SCHEMA)
@@ -50,22 +51,53 @@ def read_events_csv(spark: SparkSession, path: str) -> DataFrame:
     return whole
 
 
+def skipped_csv(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, reason)``: files that are no UTF-8, and how many rows of a file had too few or too many cells."""
+    skipped = _not_utf8(spark, path)
+    for files in _files_by_header(spark, path).values():
+        rows = _csv_rows(spark, files)
+        bad = rows.where(F.col(BAD_ROW).isNotNull())
+        bad = bad.groupBy("_file").agg(F.count("*").alias("n"))
+        skipped = skipped.unionByName(bad.select(F.col("_file").alias("file"), F.concat(F.lit("rows with a wrong number of cells: "), F.col("n").cast("string")).alias("reason")))
+    return skipped
+
+
+def _not_utf8(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").load(path)
+    return files.where(~F.is_valid_utf8(F.col("content").cast("string"))).select(F.col("_metadata.file_name").alias("file"), F.lit("invalid utf-8").alias("reason"))
+
+
 def _files_by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """Files by their first line; only the first block of each file is looked at."""
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("line"),
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"),
     )
-    heads = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    heads = lines.where("start = 0").groupBy("file", "name").agg(F.min_by("value", "line").alias("header"))
+    heads = heads.join(_not_utf8(spark, path).select(F.col("file").alias("name")), "name", "left_anti")
     found: dict[str, list[str]] = {}
     for row in heads.orderBy("header", "file").collect():
         found.setdefault(row["header"].strip("\ufeff\r "), []).append(row["file"])
     return found
 
 
-def _csv_of_header(spark: SparkSession, files: list[str]) -> DataFrame:
+#: Where a row of CSV goes that does not fit its header.
+BAD_ROW = "_bad_row"
+
+
+def _csv_rows(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Rows of files with one header, all cells as text, with the file's name; rows that do not fit are marked."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    raw = reader.csv(files)
+    names = reader.csv(files).columns
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, BAD_ROW])
+    rows = reader.schema(schema).option("columnNameOfCorruptRecord", BAD_ROW).option("columnPruning", False).csv(files)
+    # Spark does not read bad rows alone, as a count would: the condition, always true, asks for another column as well.
+    marked = F.when(F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0, F.col(BAD_ROW))
+    return rows.withColumn(BAD_ROW, marked).withColumn("_file", F.col("_metadata.file_name"))
+
+
+def _csv_of_header(spark: SparkSession, files: list[str]) -> DataFrame:
+    raw = _csv_rows(spark, files).where(F.col(BAD_ROW).isNull())
     have = set(raw.columns)
     columns = [
         (F.coalesce(c, F.lit("")) if c in have else F.lit(default)).alias(c) for c, default in lx.EVENT_DEFAULTS.items()
@@ -104,20 +136,29 @@ def events_from_text(df: DataFrame, text: str, carry: tuple[str, ...] = ()) -> D
 
 
 def read_events_txt(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.text(path, wholetext=True)
+    """Marked-up text files. Files that are no UTF-8 add nothing, see ``skipped_txt``."""
+    raw = spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("value")).where(F.is_valid_utf8("value"))
     return events_from_text(raw, "value").select(*FIELDS)
 
 
+def skipped_txt(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, reason)``: files that are no UTF-8, and those in which no event was found."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("file"), F.col("content").cast("string").alias("value"))
+    fine = files.where(F.is_valid_utf8("value"))
+    empty = fine.join(events_from_text(fine, "value", ("file",)).select("file"), "file", "left_anti")
+    return _not_utf8(spark, path).unionByName(empty.select("file", F.lit("no events").alias("reason")))
+
+
 def read_corpus(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
-    """All events of a directory and the side table of skipped files."""
+    """All events of a directory and the side table of what was skipped: ``(file, reason)``."""
     parts, skipped = [], spark.createDataFrame([], "file string, reason string")
-    for pattern, reader in (("*.json", read_events_json), ("*.csv", read_events_csv), ("*.txt", read_events_txt)):
+    readers = (("*.json", read_events_json, skipped_json), ("*.csv", read_events_csv, skipped_csv), ("*.txt", read_events_txt, skipped_txt))
+    for pattern, reader, report in readers:
         path = f"{directory}/{pattern}"
         if not _has_files(spark, path):
             continue
         parts.append(reader(spark, path))
-        if reader is read_events_json:
-            skipped = skipped_json(spark, path)
+        skipped = skipped.unionByName(report(spark, path))
     if not parts:
         return spark.createDataFrame([], EVENT_SCHEMA), skipped
     corpus = parts[0]

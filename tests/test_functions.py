@@ -145,3 +145,27 @@ def test_length_score_bounds(one):
 def test_char_phrases(one):
     phrases = one(terms.char_phrase_candidates("text"), "知青下乡 知青下乡")
     assert phrases.count("知青") == 2 and phrases.count("知青下") == 2
+
+
+def test_batch_verdicts_of_odd_answers(one):
+    from annalist.functions.records import batch_verdicts
+
+    read = lambda text: [(r["position"], r["content"], r["verdict"]) for r in one(batch_verdicts("text"), text)]
+    assert read('```json\n{"results": [{"fact": " a ", "verdict": "Not supported"}]}\n```') == [(0, "a", "Not supported")]
+    assert read('Sure: {"results": [{"fact": "a", "supported": "false"}, 7, {"supported": true}]} done') == [
+        (0, "a", "NOT_SUPPORTED"), (1, "", "UNSURE"), (2, "", "SUPPORTED")]
+    assert read('{"results": {}}') == read('{"other": []}') == read("{broken") == read("") == []
+
+
+def test_table_functions_bound_their_arguments(spark):
+    from annalist.functions import sql
+    from annalist.operators import chunking
+
+    sql.register(spark)
+    texts = spark.createDataFrame([(1, "x" * 950), (2, " y " * 400), (3, ""), (4, "é" * 201), (5, None)], "doc_id long, text string")
+    texts.createOrReplaceTempView("_odd")
+    for size, overlap in ((900, 150), (10, 5), (200, 500), (300, -4)):
+        got = spark.sql(f"SELECT d.doc_id, c.chunk_index, c.text FROM _odd d, LATERAL window_chunks(d.text, {size}, {overlap}) c")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, chunking.window_chunks(texts, size=size, overlap=overlap).collect()))
+    got = spark.sql("SELECT d.doc_id, c.unit_index, c.text FROM _odd d, LATERAL token_chunks(d.text, 120, 20) c")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, chunking.token_chunks(texts, size=120, overlap=20).collect()))

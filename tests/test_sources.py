@@ -25,6 +25,23 @@ def test_corpus_of_three_formats(spark, tmp_path):
     assert [r["file"] for r in skipped.collect()] == ["broken.json"]
 
 
+def test_skipped_files_are_reported_with_reasons(spark, tmp_path):
+    header = "title,date,location,content,keywords"
+    write(tmp_path / "good.csv", header + "\n甲,1990,here,text,\"a,b\"\n")
+    write(tmp_path / "short.csv", header + "\n乙,1990,here,text,a\n丙,1991\n丁,1992,x,y,z,too,many\n")
+    (tmp_path / "bytes.csv").write_bytes(header.encode() + b"\n\xff\xfe,1990,a,b,c\n")
+    write(tmp_path / "other.csv", "content,title\nbody,戊\n")
+    (tmp_path / "bytes.txt").write_bytes(b"\xff\xfe text")
+    write(tmp_path / "blank.txt", "---\n\n---\n")
+    write(tmp_path / "fine.txt", "事件标题：己\n正文")
+    write(tmp_path / "broken.json", "[{")
+    corpus, skipped = events.read_corpus(spark, str(tmp_path))
+    assert sorted(r["title"] for r in corpus.collect()) == sorted("甲乙戊己")
+    assert {(r["file"], r["reason"]) for r in skipped.collect()} == {
+        ("short.csv", "rows with a wrong number of cells: 2"), ("bytes.csv", "invalid utf-8"), ("bytes.txt", "invalid utf-8"),
+        ("blank.txt", "no events"), ("broken.json", "invalid json")}
+
+
 def test_any_encoding(spark, tmp_path):
     for name, encoding in (("a", "utf-8"), ("b", "utf-8-sig"), ("c", "gb18030")):
         write(tmp_path / f"{name}.txt", "中文正文", encoding)
