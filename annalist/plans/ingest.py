@@ -112,6 +112,34 @@ def q_quality_report(spark: SparkSession, sf: str) -> DataFrame:
     return report.select("conv_id", "turn", F.col("metrics")["n_chars"].alias("n_chars"), F.col("metrics")["style"].alias("style"), "total")
 
 
+@catalog.add("q_nested_report", """
+WITH s AS (SELECT conv_id, turn, length(text) AS n, length(text) % 10 AS overall, list_sort(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{5,}'))) AS names FROM conversations),
+p AS (SELECT conv_id, turn // 3 AS part, string_agg(turn || ':' || overall || ':' || n || '/1000:' || (n % 7) || '/7:' || array_to_string(names, ','), '|' ORDER BY turn) AS segments FROM s GROUP BY ALL),
+d AS (SELECT conv_id, count(*) AS segment_count, sum(n)::BIGINT AS total, max(n)::BIGINT AS widest, min(overall) >= 3 AS passed,
+             coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (overall < 3), '') AS chapters FROM s GROUP BY 1)
+SELECT conv_id, part::BIGINT AS part, segment_count, segments, total, widest, passed, chapters FROM p JOIN d USING (conv_id)""")
+def q_nested_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of conversations with three turns a row, read back from their nested form."""
+    n = F.length("text")
+    turns = load(spark, sf, "conversations").withColumn("n", n).withColumn("overall", n % 10)
+    entry = lambda name, value, most: F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"), F.lit(most).cast("double").alias("max_value"))
+    metrics = turns.select("conv_id", "turn", F.inline(F.array(entry("n_chars", n, 1000), entry("style", n % 7, 7))))
+    names = turns.select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), F.lit(0))).alias("name"))
+    per = turns.groupBy("conv_id")
+    document = per.agg(F.lit("total").alias("name"), F.sum("n").cast("double").alias("value"), F.lit(1.0).alias("max_value"))
+    cross = per.agg(F.lit("widest").alias("name"), F.max("n").cast("double").alias("value"), F.lit(1.0).alias("max_value"))
+    gate = per.agg((F.min("overall") >= 3).alias("passed"), F.avg("overall").alias("overall_score"),
+                   F.array_sort(F.collect_list(F.when(F.col("overall") < 3, F.col("turn")))).alias("chapters"))
+    segments = turns.select("conv_id", "turn", "overall", F.lit(None).cast("double").alias("fact_score"))
+    report = sinks.nested_report(segments, metrics, names, document, cross, gate, "conv_id", "turn", 3)
+    shown = lambda e: F.concat_ws("/", e["value"].cast("long").cast("string"), e["max"].cast("long").cast("string"))
+    line = lambda s: F.concat_ws(":", s["segment_index"].cast("string"), s["overall"].cast("string"), shown(s["metrics"]["n_chars"]), shown(s["metrics"]["style"]), F.array_join(s["entities"], ","))
+    return report.select(
+        "conv_id", F.col("part").cast("long").alias("part"), "segment_count", F.array_join(F.transform("segments", line), "|").alias("segments"),
+        F.col("document")["total"]["value"].cast("long").alias("total"), F.col("cross_chapter")["widest"]["value"].cast("long").alias("widest"),
+        "quality_gate.passed", F.array_join("quality_gate.chapters_to_regenerate", ",").alias("chapters"))
+
+
 # --- records -----------------------------------------------------------------
 
 @catalog.add("q_parse_claims", """

@@ -103,5 +103,35 @@ def quality_report(segments: DataFrame, metrics: DataFrame, document: DataFrame,
     return segments.join(mapped, [doc_id, idx], "left").join(document, doc_id, "left")
 
 
+#: Segments that one row of a nested report holds.
+REPORT_SEGMENTS = 1000
+
+
+def nested_report(
+    segments: DataFrame, metrics: DataFrame, entities: DataFrame, document: DataFrame, cross: DataFrame, gate: DataFrame, doc_id: str, idx: str,
+    part_segments: int = REPORT_SEGMENTS,
+) -> DataFrame:
+    """Nested documents ``(doc_id, part, segment_count, segments, document, cross_chapter, quality_gate)``.
+
+    ``segments(doc, idx, overall, fact_score)``, ``metrics(doc, idx, name, value, max_value)``, ``entities(doc, idx, name)``: names in
+    a segment, ``document`` and ``cross(doc, name, value, max_value)``, ``gate(doc, passed, overall_score, chapters)``. A document of
+    more segments than ``part_segments`` has several rows, each with its own run of segments by number and all of the rest,
+    so no row grows with a document; an ordinary one has a single row.
+    """
+    entry = F.struct("name", F.struct("value", F.col("max_value").alias("max")).alias("entry"))
+    by_name = lambda rows, keys, name: rows.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(name))
+    listed = entities.groupBy(doc_id, idx).agg(F.array_sort(F.collect_set("name")).alias("entities"))
+    joined = segments.join(by_name(metrics, [doc_id, idx], "metrics"), [doc_id, idx], "left").join(listed, [doc_id, idx], "left")
+    segment = F.struct(
+        F.col(idx).alias("segment_index"), "overall", "fact_score", "metrics", F.coalesce("entities", F.array().cast("array<string>")).alias("entities"))
+    parts = joined.groupBy(doc_id, F.floor(F.col(idx) / part_segments).cast("int").alias("part")).agg(F.collect_list(segment).alias("segments"))
+    # Segments are put in order by their numbers; maps cannot be compared.
+    parts = parts.withColumn("segments", F.array_sort("segments", lambda a, b: F.signum(a["segment_index"] - b["segment_index"]).cast("int")))
+    counts = segments.groupBy(doc_id).agg(F.count("*").alias("segment_count"))
+    verdict = gate.select(doc_id, F.struct("passed", "overall_score", F.col("chapters").alias("chapters_to_regenerate")).alias("quality_gate"))
+    whole = counts.join(by_name(document, [doc_id], "document"), doc_id, "left").join(by_name(cross, [doc_id], "cross_chapter"), doc_id, "left").join(verdict, doc_id, "left")
+    return parts.join(whole, doc_id).select(doc_id, "part", "segment_count", "segments", "document", "cross_chapter", "quality_gate")
+
+
 def write_quality_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
