@@ -32,11 +32,13 @@ def features(words: set[str]) -> set[str]:
 
 @dataclass
 class OrdinalModel:
-    """Weights of words, the increasing thresholds, and the grade that each step leads to."""
+    """Weights of words, the increasing thresholds, the grade that each step leads to, and from which expected grade on a
+    text is rejected."""
 
     weights: dict[str, float] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=list)
     grades: list[int] = field(default_factory=lambda: [0])
+    rejected_from: float = 0.4
 
     def probabilities(self, text: str | None) -> np.ndarray:
         """P(grade >= g) for every grade but the lowest."""
@@ -84,10 +86,13 @@ def sample_graded(documents: DataFrame, grades: DataFrame, bound: int, id_col: s
 
 def fit(
     documents: DataFrame, grades: DataFrame, bound: int = 8000, id_col: str = "doc_id", text: str = "text",
-    min_documents: int = 5, max_share: float = 1.0, penalty: float = 0.003, rounds: int = 120,
+    min_documents: int = 5, max_share: float = 1.0, penalty: float = 0.003, rounds: int = 120, clean_lost: float = 0.01,
 ) -> OrdinalModel:
     """Fit on at most ``bound`` distinct graded texts, in one task.
 
+    A text is rejected from the lowest expected grade that costs at most ``clean_lost`` of the texts of grade 0, each judged
+    by a model that has not seen it.
+
     Words in fewer than ``min_documents``, in more than ``max_share`` or in all of them are no features; near copies
     may share most of their words, so that by default the penalty decides. Without graded
     documents, or with a single grade, the model says that grade (0 without any) for every text.
@@ -101,9 +106,11 @@ def fit(
             weights += batch["weight"].tolist()
             for words in batch["words"]:
                 sample.add(words)
-        model = fit_sample(sample, np.array(levels, dtype=np.int64), min_documents, max_share, penalty, rounds, np.array(weights))
+        graded, options = np.array(levels, dtype=np.int64), (min_documents, max_share, penalty, rounds)
+        model = fit_sample(sample, graded, *options, np.array(weights))
+        model.rejected_from = lowest_rejection(held_out(sample, graded, np.array(weights), *options), graded, np.array(weights), clean_lost, model.rejected_from)
         yield pd.DataFrame(
-            [("grade", "", float(g)) for g in model.grades] + [("threshold", "", t) for t in model.thresholds]
+            [("grade", "", float(g)) for g in model.grades] + [("threshold", "", t) for t in model.thresholds] + [("rejected", "", model.rejected_from)]
             + [("weight", w, x) for w, x in model.weights.items()], columns=["kind", "name", "value"],
         )
 
@@ -111,7 +118,8 @@ def fit(
     rows = sample.mapInPandas(train, "kind string, name string, value double").collect()
     of = lambda kind: [r["value"] for r in rows if r["kind"] == kind]
     return OrdinalModel(
-        {r["name"]: r["value"] for r in rows if r["kind"] == "weight"}, of("threshold"), [int(g) for g in of("grade")] or [0]
+        {r["name"]: r["value"] for r in rows if r["kind"] == "weight"}, of("threshold"), [int(g) for g in of("grade")] or [0],
+        *of("rejected"),
     )
 
 
@@ -130,6 +138,52 @@ class FeatureRows:
         self.sizes.append(len(found))
 
 
+    def some(self, which: np.ndarray) -> FeatureRows:
+        """The rows that a mask picks, with the same numbers of features."""
+        part, sizes = FeatureRows(), np.array(self.sizes, dtype=np.int32)
+        columns = np.frombuffer(self.columns, dtype=np.int32) if self.columns else np.zeros(0, np.int32)
+        part.number = self.number
+        part.columns, part.sizes = array("i", columns[np.repeat(which, sizes)].tobytes()), array("i", sizes[which].tobytes())
+        return part
+
+    def severity(self, model: OrdinalModel) -> np.ndarray:
+        """Expected grade of every row."""
+        weights = np.zeros(len(self.number))
+        for name, value in model.weights.items():
+            weights[self.number[name]] = value
+        columns = np.frombuffer(self.columns, dtype=np.int32) if self.columns else np.zeros(0, np.int32)
+        latent = np.bincount(np.repeat(np.arange(len(self.sizes)), self.sizes), weights=weights[columns], minlength=len(self.sizes))
+        above = 1.0 / (1.0 + np.exp(np.clip(np.array(model.thresholds)[None, :] - latent[:, None], -60, 60)))
+        return model.grades[0] + above @ np.diff(model.grades)
+
+
+#: Parts of the sample that are judged by models fitted on the others.
+FOLDS = 3
+
+
+def held_out(sample: FeatureRows, grades: np.ndarray, weights: np.ndarray, *options) -> np.ndarray:
+    """Expected grade of every row by a model fitted on the other parts of the sample."""
+    part = np.random.default_rng(0).permutation(len(grades)) % FOLDS
+    expected = np.zeros(len(grades))
+    for p in range(FOLDS):
+        if (part == p).any():
+            model = fit_sample(sample.some(part != p), grades[part != p], *options, weights[part != p])
+            expected[part == p] = sample.some(part == p).severity(model)
+    return expected
+
+
+def lowest_rejection(expected: np.ndarray, grades: np.ndarray, weights: np.ndarray, clean_lost: float, otherwise: float) -> float:
+    """The lowest bound that at most the given share of the weight of grade 0 reaches; ``otherwise`` where one side is missing."""
+    clean = grades == 0
+    if clean.all() or not clean.any():
+        return otherwise
+    order = np.argsort(-expected[clean])
+    values, lost = expected[clean][order], np.cumsum(weights[clean][order]) / weights[clean].sum()
+    first_kept = values[np.searchsorted(lost, clean_lost, side="right")] if lost[-1] > clean_lost else 0.0
+    higher = expected[expected > first_kept]
+    return float((first_kept + higher.min()) / 2) if len(higher) else otherwise
+
+
 def fit_sample(sample: FeatureRows, grades: np.ndarray, min_documents: int = 5, max_share: float = 1.0, penalty: float = 0.003, rounds: int = 120, weights: np.ndarray | None = None) -> OrdinalModel:
     """``weights``: of the documents, 1 by default; thresholds and losses are those of the weighted sample."""
     levels = sorted(set(grades.tolist()))
@@ -209,8 +263,9 @@ def _scorer(model: OrdinalModel):
     return score
 
 
-def score(documents: DataFrame, model: OrdinalModel, text: str = "text", threshold: float = 0.4) -> DataFrame:
-    """All columns and rows, with ``expected_severity``, ``grade`` and ``toxic`` (expected severity reaches the threshold).
+def score(documents: DataFrame, model: OrdinalModel, text: str = "text", threshold: float | None = None) -> DataFrame:
+    """All columns and rows, with ``expected_severity``, ``grade`` and ``toxic`` (expected severity reaches the threshold, by
+    default the model's).
 
     Columns of these names are replaced.
     """
@@ -218,5 +273,5 @@ def score(documents: DataFrame, model: OrdinalModel, text: str = "text", thresho
     scored = documents.withColumn("_severity", severity(model, F.col(text)))
     return scored.withColumns({
         "expected_severity": F.col("_severity.expected_severity"), "grade": F.col("_severity.grade"),
-        "toxic": F.col("_severity.expected_severity") >= threshold,
+        "toxic": F.col("_severity.expected_severity") >= (model.rejected_from if threshold is None else threshold),
     }).drop("_severity")

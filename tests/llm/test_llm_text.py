@@ -61,6 +61,37 @@ def test_toxic_copies_do_not_hide_their_words(spark):
     assert sorted((r["grade"], r["count(_id)"], round(r["sum(weight)"])) for r in sample) == [(0, 66, 360), (1, 54, 54)]
 
 
+def test_rejection_costs_few_clean_texts_that_the_model_has_not_seen():
+    expected, weights = np.array([0.9, 0.6, 0.3, 0.1, 0.1, 0.05, 0.05, 0.05, 0.8, 0.2]), np.ones(10)
+    grades = np.array([1, 1, 1, 0, 0, 0, 0, 0, 0, 0])
+    for share in (0.0, 0.15, 0.3, 0.5, 0.6, 1.0):
+        bound = toxicity.lowest_rejection(expected, grades, weights, share, 0.4)
+        rejected = expected >= bound
+        assert rejected[grades == 0].mean() <= share
+        # Any lower bound that rejects more would cost too much.
+        lower = expected[~rejected].max(initial=0)
+        assert lower == 0 or (expected[grades == 0] >= lower).mean() > share
+    assert toxicity.lowest_rejection(expected, np.zeros(10), weights, 0.1, 0.4) == 0.4
+    assert toxicity.lowest_rejection(expected, np.ones(10), weights, 0.1, 0.4) == 0.4
+    heavy = np.where(expected == 0.8, 30.0, 1.0)
+    assert toxicity.lowest_rejection(expected, grades, heavy, 0.5, 0.4) > 0.8
+
+
+def test_held_out_rows_are_judged_by_others():
+    rng = np.random.default_rng(4)
+    grades = rng.integers(0, 2, 300)
+    sample = toxicity.FeatureRows([[f"w{rng.integers(0, 40)}" for _ in range(12)] + (["vile"] if g else ["nice"]) + [f"only{i}"] for i, g in enumerate(grades)])
+    expected = toxicity.held_out(sample, grades, np.ones(300), 5, 1.0, 0.003, 60)
+    assert expected[grades == 1].min() > expected[grades == 0].max()
+    part = sample.some(grades == 1)
+    assert len(part.sizes) == grades.sum() and sum(part.sizes) == len(part.columns)
+    model = toxicity.fit_sample(sample, grades)
+    alone = toxicity.FeatureRows()
+    alone.number = sample.number
+    alone.add(["vile", "nice"])
+    assert abs(alone.severity(model)[0] - model.severity("vile nice")[0]) < 1e-9
+
+
 def test_toxicity_without_labels(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, grade int")
