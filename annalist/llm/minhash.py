@@ -1,7 +1,7 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit MinHash signatures.
 
-A signature has ``SLOTS`` symbols of 16 bits, cut into chunks. Two signatures that differ in at most
-``MAX_DISTANCE`` slots agree in some chunk up to ``CHUNK_ERRORS`` symbols (pigeonhole), so each document is filed
+A signature has so many symbols of 16 bits as the similarity asks for, cut into chunks. Two signatures that differ in at
+most ``distance`` slots agree in some chunk up to ``errors`` symbols (pigeonhole), so each document is filed
 under every chunk with every allowed choice of ignored symbols, and every pair within the distance meets in a
 bucket. Inside buckets signatures are compared, and the documents found close form coarse clusters; links are
 confirmed on full shingle sets inside these. Tasks emit spanning forests, never all pairs, and documents with equal
@@ -11,6 +11,7 @@ sets are represented by one of them. Large buckets and clusters are cut into blo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 
@@ -24,10 +25,40 @@ from ..session import cut_lineage
 from .common import prepare, shared_folder, words_of
 
 WIDTH = 5
-SLOTS, CHUNK_SLOTS = 44, 4
+CHUNK_SLOTS = 4
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Length of signatures and the distance up to which they meet."""
+
+    slots: int
+    distance: int
+
+    @property
+    def errors(self) -> int:
+        """Symbols of a chunk that may differ."""
+        return self.distance // (self.slots // CHUNK_SLOTS)
+
+    def agreeing(self) -> list[list[int]]:
+        """For each key, the slots that have to agree."""
+        return [
+            [first + i for i in range(CHUNK_SLOTS) if i not in ignored]
+            for first in range(0, self.slots, CHUNK_SLOTS) for ignored in combinations(range(CHUNK_SLOTS), self.errors)
+        ]
+
+
+#: At a similarity of 0.85 more slots differ in about one pair of 70 000.
+CLOSE = Layout(28, 13)
 #: At a similarity of 0.80 more slots differ in about one pair of 118 000.
-MAX_DISTANCE = 21
-CHUNK_ERRORS = MAX_DISTANCE // (SLOTS // CHUNK_SLOTS)
+WIDE = Layout(44, 21)
+
+
+def layout_of(percent: int) -> Layout:
+    """The shortest signature that is laid out for a similarity."""
+    return CLOSE if percent >= 85 else WIDE
+
+
 #: Rows of a block of a bucket, and of a cluster.
 BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 512
 #: Tables of at most so many rows of three numbers are sent to every task; larger ones are shuffled.
@@ -78,30 +109,23 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(mix(rolled))
 
 
-_FACTORS = mix(np.arange(1, SLOTS + 1, dtype=np.uint64)) | np.uint64(1)
-_SHIFTS = mix(np.arange(101, SLOTS + 101, dtype=np.uint64))
+_FACTORS = mix(np.arange(1, WIDE.slots + 1, dtype=np.uint64)) | np.uint64(1)
+_SHIFTS = mix(np.arange(101, WIDE.slots + 101, dtype=np.uint64))
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, slots: int) -> np.ndarray:
     """16 bits of the smallest of the hashes under each of the linear maps; the hashes are scrambled already."""
-    out = np.empty(SLOTS, dtype=np.uint16)
-    for slot in range(SLOTS):
+    out = np.empty(slots, dtype=np.uint16)
+    for slot in range(slots):
         out[slot] = int((hashes * _FACTORS[slot] + _SHIFTS[slot]).min()) >> 20 & 0xFFFF
     return out
 
 
-#: For each key, the slots that have to agree.
-AGREEING = [
-    [first + i for i in range(CHUNK_SLOTS) if i not in ignored]
-    for first in range(0, SLOTS, CHUNK_SLOTS) for ignored in combinations(range(CHUNK_SLOTS), CHUNK_ERRORS)
-]
-
-
-def bucket_keys(signatures: np.ndarray) -> np.ndarray:
-    """One key per row of signatures and entry of ``AGREEING``; equal keys of two documents mean equal slots."""
+def bucket_keys(signatures: np.ndarray, layout: Layout) -> np.ndarray:
+    """One key per row of signatures and choice of agreeing slots; equal keys of two documents mean equal slots."""
     with np.errstate(over="ignore"):
         out = []
-        for number, slots in enumerate(AGREEING):
+        for number, slots in enumerate(layout.agreeing()):
             key = np.full(len(signatures), number + 1, dtype=np.uint64)
             for slot in slots:
                 key = mix(key) + signatures[:, slot].astype(np.uint64)
@@ -109,7 +133,7 @@ def bucket_keys(signatures: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64)
 
 
-def sign(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sign(documents: DataFrame, layout: Layout, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: size and digest of its shingle set, its signature and bucket keys (none for empty sets)."""
     prepare(documents.sparkSession)
 
@@ -123,10 +147,10 @@ def sign(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
                     continue
                 digest = xxhash.xxh3_128_intdigest(found.tobytes())
                 a, b = np.array([digest >> 64, digest & (1 << 64) - 1], dtype=np.uint64).view(np.int64).tolist()
-                rows.append((key, len(found), a, b, signature(found), None))
+                rows.append((key, len(found), a, b, signature(found, layout.slots), None))
             signed = [i for i, r in enumerate(rows) if r[4] is not None]
             if signed:
-                for i, keys in zip(signed, bucket_keys(np.stack([rows[i][4] for i in signed]))):
+                for i, keys in zip(signed, bucket_keys(np.stack([rows[i][4] for i in signed]), layout)):
                     rows[i] = (*rows[i][:4], rows[i][4].tobytes(), keys.tolist())
             yield _batch(rows, _SIGNED)
 
@@ -134,14 +158,14 @@ def sign(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return rows.mapInArrow(run, SIGNED)
 
 
-def close_pairs(buckets: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(buckets: np.ndarray, signatures: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all pairs of one bucket within the distance; ``buckets`` is sorted."""
     left, right = [], []
     rows, lag = np.arange(len(buckets)), 1
     while len(rows):
         rows = rows[rows + lag < len(buckets)]
         rows = rows[buckets[rows] == buckets[rows + lag]]
-        near = np.count_nonzero(signatures[rows] != signatures[rows + lag], axis=1) <= MAX_DISTANCE
+        near = np.count_nonzero(signatures[rows] != signatures[rows + lag], axis=1) <= distance
         left.append(rows[near])
         right.append(rows[near] + lag)
         lag += 1
@@ -162,7 +186,7 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         label = new
 
 
-def coarse_links(signed: DataFrame) -> DataFrame:
+def coarse_links(signed: DataFrame, layout: Layout) -> DataFrame:
     """Spanning links ``(source, target)`` of the documents whose signatures are within the distance.
 
     ``signed(doc_id, signature, keys)``: one row per different set.
@@ -180,19 +204,19 @@ def coarse_links(signed: DataFrame) -> DataFrame:
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
 
     def link(buckets: np.ndarray, docs: np.ndarray, signatures: np.ndarray) -> pa.RecordBatch:
-        root = forest(len(docs), *close_pairs(buckets, signatures))
+        root = forest(len(docs), *close_pairs(buckets, signatures, layout.distance))
         moved = np.flatnonzero(root != np.arange(len(docs)))
         links = np.unique(np.stack([docs[root[moved]], docs[moved]], axis=1), axis=0) if len(moved) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(links[:, 0], pa.int64()), pa.array(links[:, 1], pa.int64())], schema=_LINK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SLOTS), np.uint16))
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, layout.slots), np.uint16))
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = (
                 batch.column("bucket").to_numpy(), batch.column("doc_id").to_numpy(),
-                np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint16).reshape(-1, SLOTS),
+                np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint16).reshape(-1, layout.slots),
             )
             held = tuple(np.concatenate(both) for both in zip(held, new))
             whole = int(np.searchsorted(held[0], held[0][-1], side="left"))  # the last bucket may go on
@@ -273,19 +297,20 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """``(doc_id, n_shingles, component_id, kept)``, one row per row.
 
     Documents are linked if 100 * |intersection| >= percent * |union| of their sets of ``WIDTH``-word shingles; signatures
-    and distance are laid out for 80 percent and more. Texts without words (and null texts) are linked with nothing.
+    and distance follow from that and are laid out for 80 percent and more. Texts without words (and null texts) are linked with nothing.
     ``component_id`` is the smallest id reachable. Rows with the same id count as one document; a row without an
     id has neither component nor verdict. Other columns are ignored.
     """
     spark = documents.sparkSession
     folder = shared_folder(spark, "signatures")
-    sign(documents, doc_id, text).write.option("compression", "zstd").parquet(folder)
+    layout = layout_of(percent)
+    sign(documents, layout, doc_id, text).write.option("compression", "zstd").parquet(folder)
     signed = spark.read.schema(SIGNED).parquet(folder)
     real = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     digest = ["digest_a", "digest_b"]
     classes = cut_lineage(real.groupBy(*digest).agg(F.min("doc_id").alias("first")))
     firsts = real.join(classes, digest).where(F.col("doc_id") == F.col("first")).dropDuplicates(["doc_id", *digest])
-    coarse = cut_lineage(connected_components(coarse_links(firsts)))
+    coarse = cut_lineage(connected_components(coarse_links(firsts, layout)))
     sizes = coarse.groupBy("component").agg(F.count("*").alias("n"))
     placed = cut_lineage(coarse.join(sizes, "component").select(
         F.col("node").alias("doc_id"), "component", F.ceil(F.col("n") / CLUSTER_BLOCK).cast("int").alias("blocks")

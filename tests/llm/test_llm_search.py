@@ -168,13 +168,14 @@ def test_minhash_of_nothing(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_every_close_pair_shares_a_bucket():
+@pytest.mark.parametrize("layout", [minhash.CLOSE, minhash.WIDE])
+def test_every_close_pair_shares_a_bucket(layout):
     random = np.random.default_rng(1)
     for _ in range(200):
-        a = random.integers(0, 1 << 16, minhash.SLOTS, dtype=np.uint16)
+        a = random.integers(0, 1 << 16, layout.slots, dtype=np.uint16)
         b = a.copy()
-        b[random.permutation(minhash.SLOTS)[: minhash.MAX_DISTANCE]] ^= 1
-        keys = minhash.bucket_keys(np.stack([a, b]))
+        b[random.permutation(layout.slots)[: layout.distance]] ^= 1
+        keys = minhash.bucket_keys(np.stack([a, b]), layout)
         assert (keys[0] == keys[1]).any()
 
 
