@@ -164,3 +164,20 @@ def test_csv_files_with_their_own_headers(spark, tmp_path):
     rows = {r["title"]: r for r in events.read_events_csv(spark, f"{tmp_path}/*.csv").collect()}
     assert (rows["A"]["date"], rows["A"]["content"], rows["A"]["keywords"]) == ("1980年", "x", None)
     assert (rows["B"]["date"], rows["B"]["content"], rows["B"]["keywords"]) == ("1990年", "y, z", ["k", "l"])
+
+
+def test_nested_reports_hold_bounded_parts(spark):
+    segments = spark.createDataFrame([("d", i, float(i), None) for i in range(7)] + [("e", 0, 1.0, 0.5)], "doc string, idx int, overall double, fact_score double")
+    metrics = spark.createDataFrame([("d", i, "m", float(i), 1.0) for i in range(6)] + [("e", 0, "m", 2.0, 4.0), ("e", 0, "a", 1.0, 1.0)],
+                                    "doc string, idx int, name string, value double, max_value double")
+    names = spark.createDataFrame([("e", 0, "x"), ("e", 0, "b"), ("e", 0, "x")], "doc string, idx int, name string")
+    whole = spark.createDataFrame([("d", "total", 9.0, 10.0)], "doc string, name string, value double, max_value double")
+    gate = spark.createDataFrame([("d", False, 3.0, [2])], "doc string, passed boolean, overall_score double, chapters array<int>")
+    report = sinks.nested_report(segments, metrics, names, whole, whole.limit(0), gate, "doc", "idx", 3)
+    rows = {(r["doc"], r["part"]): r for r in report.collect()}
+    assert set(rows) == {("d", 0), ("d", 1), ("d", 2), ("e", 0)}
+    assert [[s["segment_index"] for s in rows["d", p]["segments"]] for p in range(3)] == [[0, 1, 2], [3, 4, 5], [6]]
+    assert rows["d", 1]["segment_count"] == 7 and rows["d", 2]["segments"][0]["metrics"] is None
+    assert rows["e", 0]["segments"][0]["entities"] == ["b", "x"] and rows["e", 0]["segments"][0]["metrics"]["m"]["max"] == 4.0
+    assert rows["d", 0]["document"]["total"]["value"] == 9.0 and rows["d", 0]["quality_gate"]["chapters_to_regenerate"] == [2]
+    assert rows["e", 0]["quality_gate"] is None and rows["e", 0]["cross_chapter"] is None
