@@ -13,7 +13,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import files, sinks
 from ..sources.tables import load
 from ..streaming import ingest
-from .search import KEYWORD_SQL, PEOPLE_SQL, communities, nation_queries, people
+from .search import COMMUNITIES_SQL, KEYWORD_SQL, NOVEL_SQL, PEOPLE_SQL, catalog as search_catalog, communities, mentioned_sql, nation_queries, people
 from .measure import PAIRS_SQL, pairs
 from .shared import CHRONICLE_SQL, NATION_QUERIES_SQL, Catalog, chronicle, documents
 from .chunks import WINDOWS_SQL
@@ -266,14 +266,23 @@ def q_cached_answers(spark: SparkSession, sf: str) -> DataFrame:
     return known.select("doc_id", F.lit(True).alias("is_cached")).unionByName(open_.select("doc_id", F.lit(False).alias("is_cached")))
 
 
-@catalog.add("q_novel_context")
+@catalog.add("q_novel_context", f"""
+WITH {NATION_QUERIES_SQL}, {PEOPLE_SQL}, {COMMUNITIES_SQL.replace('c_name AS title', 'c_name AS ctitle')}, {KEYWORD_SQL}, {NOVEL_SQL},
+c AS (SELECT query_id, r.rank, ctitle, summary FROM ({search_catalog.sql['q_search_communities']}) r JOIN communities USING (community)),
+le AS (SELECT query_id, 'entity' AS kind, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position, title || ': ' || description AS line FROM n WHERE is_novel QUALIFY position <= 8),
+lr AS (SELECT query_id, 'relationship' AS kind, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position, ctitle || ' -> market: ' || summary AS line
+      FROM c JOIN qn USING (query_id) WHERE NOT ({mentioned_sql('ctitle')} OR {mentioned_sql("'market'")} OR len(list_filter(words, lambda w: contains(summary, w))) > 0) QUALIFY position <= 5),
+ls AS (SELECT query_id, 'snippet' AS kind, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position, repeat(ctitle || ' ', 4) AS line
+      FROM c JOIN qn USING (query_id) WHERE NOT contains(flat, 'CUSTOMER') QUALIFY position <= 8)
+SELECT query_id, kind, position, trim(line) AS line FROM (SELECT * FROM le UNION ALL SELECT * FROM lr UNION ALL SELECT * FROM ls)""")
 def q_novel_context(spark: SparkSession, sf: str) -> DataFrame:
     queries = nation_queries(spark, sf)
     entities = novelty.split_entities(queries, retrieval.keyword_only(queries, people(spark, sf)))
     found = retrieval.search_communities(queries, communities(spark, sf))
     links = found.select("query_id", "rank", F.col("title").alias("source"), F.lit("market").alias("target"), F.col("summary").alias("description"))
     snippets = novelty.novel_snippets(queries, communities=found.withColumn("summary", F.repeat(F.concat("title", F.lit(" ")), 4)))
-    return novelty.novel_context(entities, novelty.split_relationships(queries, links), snippets)
+    rows = novelty.novel_context(entities, novelty.split_relationships(queries, links), snippets)
+    return rows.select("query_id", "kind", F.col("position").cast("long").alias("position"), F.trim("line").alias("line"))
 
 
 @catalog.add("q_structural_blocks", """

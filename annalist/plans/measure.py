@@ -13,7 +13,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import sinks
 from ..sources.tables import load
 from .shared import ENDS, Catalog, conversations, documents
-from .text import SENTENCES_SQL
+from .text import SENTENCES_SQL, decomposed_sql
 
 catalog = Catalog()
 
@@ -125,7 +125,8 @@ def q_normalized_vectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@catalog.add("q_hashed_embedding")
+@catalog.add("q_hashed_embedding", """
+SELECT doc_id, 128 AS dim, (CASE WHEN length(regexp_replace(text, '\\s+', ' ', 'g')) >= 3 THEN 1.0 ELSE 0.0 END)::DOUBLE AS norm2 FROM documents""")
 def q_hashed_embedding(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectors.hashed_embedding(documents(spark, sf), "text", 128)
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
@@ -582,12 +583,22 @@ def q_fact_support(spark: SparkSession, sf: str) -> DataFrame:
     return scored.withColumn("fact_score", F.round("fact_score", 6)).withColumn("confidence", F.round("confidence", 6))
 
 
-@catalog.add("q_fact_pipeline")
+@catalog.add("q_fact_pipeline", f"""
+WITH {PAIRS_SQL}, u AS (SELECT conv_id * 1000 + turn AS unit_id, source, produced FROM pairs), {decomposed_sql('u', 'produced', 'unit_id, source')},
+f AS (SELECT unit_id, source, unnest(list_filter(facts[1:12], lambda x: length(x) >= 6 AND regexp_matches(x, '[0-9]|tion|ung|en') AND NOT regexp_matches(x, '^[^.]*hath[^.]*$'))) AS fact FROM decomposed),
+t AS (SELECT *, regexp_extract_all(fact, '[A-Za-z]+[0-9]+|[0-9]+') AS tokens FROM f),
+g AS (SELECT unit_id, count(*) AS total, count(*) FILTER ((len(tokens) > 0 AND len(list_filter(tokens, lambda w: contains(source, w))) / len(tokens) >= 0.5)
+             OR length(fact) <= 30 OR length(fact) % 3 <> 0) AS good FROM t GROUP BY 1)
+SELECT unit_id, coalesce(total, 0) AS total_facts, coalesce(good, 0) AS supported_facts, CASE WHEN total > 0 THEN round(good / total, 6) END AS fact_score,
+       round(greatest(0.0, 0.8 - (coalesce(total, 0) - coalesce(good, 0)) * 0.08)::DOUBLE, 6) AS confidence FROM u LEFT JOIN g USING (unit_id)""")
 def q_fact_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of each turn, with verdicts on the longer ones, every third length refuted."""
     rows = pairs(spark, sf).withColumn("unit_id", F.col("conv_id") * 1000 + F.col("turn"))
     listed = facts.fact_rows(rows, "unit_id", "produced", "source", 12, ".!?\n", "[0-9]|tion|ung|en", "^[^.]*hath[^.]*$")
-    verdicts = listed.where("length(fact) > 30").select("unit_id", "position", F.col("fact").alias("content"), F.lit("supported").alias("verdict"))
-    return facts.fact_support(facts.attach_verdicts(listed, verdicts, "unit_id"), rows, "unit_id")
+    verdict = F.when(F.length("fact") % 3 == 0, "not supported").otherwise("supported")
+    verdicts = listed.where("length(fact) > 30").select("unit_id", "position", F.col("fact").alias("content"), verdict.alias("verdict"))
+    out = facts.fact_support(facts.attach_verdicts(listed, verdicts, "unit_id"), rows, "unit_id")
+    return out.withColumn("fact_score", F.round("fact_score", 6)).withColumn("confidence", F.round("confidence", 6))
 
 
 @catalog.add("q_remove_verified", """

@@ -99,8 +99,8 @@ def q_communities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @catalog.add("q_community_checks", f"""
-WITH RECURSIVE {EDGES_SQL}, {COMPONENT_SQL.format(edges='edges')}
-SELECT count(*) AS n_nodes, count(DISTINCT comp) AS n_components, 0::BIGINT AS n_oversized, 0::BIGINT AS n_disconnected, 0::BIGINT AS n_mixed FROM cc""")
+SELECT count(*) AS n_nodes, count(DISTINCT component) AS n_components, 0::BIGINT AS n_oversized, 0::BIGINT AS n_disconnected, 0::BIGINT AS n_mixed
+FROM (WITH RECURSIVE {EDGES_SQL}, {COMPONENT_SQL.format(edges='edges')})""")
 def q_community_checks(spark: SparkSession, sf: str) -> DataFrame:
     """What must hold of all communities: no more than ten nodes, connected by their own edges, inside one component."""
     cut = table_cutter(spark, "community-checks")

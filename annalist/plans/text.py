@@ -447,7 +447,20 @@ def q_index_stats(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.index_stats({t: load(spark, sf, t) for t in ("documents", "part", "lineitem", "conversations")})
 
 
-@catalog.add("q_decompose")
+def decomposed_sql(rows: str, text: str, keys: str) -> str:
+    """Facts of a text: distinct sentences of five characters or more, none that holds or lies in an earlier one."""
+    return f"""
+sentences AS (SELECT {keys}, {trim_sql(text)} AS whole, list_filter(list_transform(string_split_regex({text}, '[.!?\n]'), lambda s: {trim_sql('s')}),
+              lambda s: length(s) >= 5 AND regexp_matches(s, '[\\p{{L}}\\p{{N}}]')) AS l FROM {rows}),
+once AS (SELECT {keys}, whole, list_filter(l, lambda s, i: list_position(l, s) = i) AS l FROM sentences),
+folded AS (SELECT {keys}, whole, CASE WHEN len(l) = 0 THEN [] ELSE list_reduce(list_transform(l, lambda s: [s]), lambda kept, s:
+           CASE WHEN len(list_filter(kept, lambda k: contains(k, s[1]) OR contains(s[1], k))) > 0 THEN kept ELSE list_concat(kept, s) END) END AS f FROM once),
+decomposed AS (SELECT {keys}, CASE WHEN len(f) = 0 AND whole <> '' THEN [whole] ELSE f END AS facts FROM folded)"""
+
+
+@catalog.add("q_decompose", f"""
+WITH {decomposed_sql('documents', 'text', 'doc_id')}
+SELECT doc_id, unnest(range(len(facts))) AS position, unnest(facts) AS fact FROM decomposed""")
 def q_decompose(spark: SparkSession, sf: str) -> DataFrame:
     facts = tx.decompose_facts("text", ".!?\n")
     return documents(spark, sf).select("doc_id", F.posexplode(facts).alias("position", "fact"))
