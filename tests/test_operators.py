@@ -82,7 +82,7 @@ def test_components_of_random_graph_chain_and_star(spark):
     assert got == roots(edges)
 
 
-def quality(edges, group):
+def worth(edges, group):
     """Modularity, and the best gain that a merge of two groups or the move of one node would still bring, sizes kept."""
     weight, total = {}, 0.0
     for a, b, w in edges:
@@ -145,8 +145,8 @@ def test_communities_are_small_connected_and_cannot_be_improved(spark):
     inner = [(a, b) for a, b, _ in edges if a != b and group[a] == group[b]]
     lowest = roots(inner + [(n, n) for n in rows.node])
     assert all(len({lowest[n] for n in members}) == 1 for members in rows.groupby("community").node.apply(list))
-    value, gain = quality(edges, group)
-    assert gain < 1e-9 and value >= quality(edges, strongest_merges(edges, 10))[0] - 1e-9
+    value, gain = worth(edges, group)
+    assert gain < 1e-9 and value >= worth(edges, strongest_merges(edges, 10))[0] - 1e-9
     members = spark.createDataFrame(rows[["node", "community"]])
     assert abs(community.modularity(df, members).first()[0] - value) < 1e-9
     again = community.communities(df.repartition(3), 10).toPandas()

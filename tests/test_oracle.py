@@ -18,9 +18,15 @@ def test_matches_sql(spark, sf, con, name):
     assert compare(QUERIES[name](spark, sf), con, SQL[name]) is None
 
 
+#: The smallest documents hold nothing like a secret, so that the scan rightly gives no row; those ten times as many do.
+LARGER = {"op5_secrets": "/root/testdata/sf0.01"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() > 0
+    if name in LARGER:
+        assert QUERIES[name](spark, sf).count() == 0
+    assert QUERIES[name](spark, LARGER.get(name, sf)).count() > 0
 
 
 def test_every_sql_has_a_query():
