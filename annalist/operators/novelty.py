@@ -157,12 +157,16 @@ def fact_grounding(
     facts: Column | str, source: Column | str, evidence: Column | str, available: Column | str,
     spellings: dict[str, list[str]] | None = None,
 ) -> Column:
-    """``struct<grounded, unsupported>`` lists: matched by name or evidence; in neither nor the source."""
+    """``struct<grounded, unsupported>`` lists: matched by name or evidence; in neither nor the source.
+
+    A number is in the source if it stands there by itself, not as part of a longer one, as ``new_facts`` reads years.
+    """
     facts, source, evidence, available = (as_col(c) for c in (facts, source, evidence, available))
 
     def supported(f: Column, parts: Column) -> Column:
         return F.exists(available, lambda n: names_match(f, n, spellings)) | grounded(f, evidence, parts=parts)
 
     ok = let(evidence_parts(evidence), lambda parts: F.filter(facts, lambda f: supported(f, parts)))
-    bad = lambda kept: F.filter(F.array_except(facts, kept), lambda f: ~source.contains(f))
+    told = lambda f, numbers: F.when(f.rlike("^[0-9]+$"), F.array_contains(numbers, f)).otherwise(source.contains(f))
+    bad = lambda kept: let(all_matches(source, "[0-9]+"), lambda numbers: F.filter(F.array_except(facts, kept), lambda f: ~told(f, numbers)))
     return let(ok, lambda kept: F.struct(kept.alias("grounded"), bad(kept).alias("unsupported")))

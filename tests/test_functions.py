@@ -169,3 +169,12 @@ def test_table_functions_bound_their_arguments(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, chunking.window_chunks(texts, size=size, overlap=overlap).collect()))
     got = spark.sql("SELECT d.doc_id, c.unit_index, c.text FROM _odd d, LATERAL token_chunks(d.text, 120, 20) c")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, chunking.token_chunks(texts, size=120, overlap=20).collect()))
+
+
+def test_a_number_inside_a_longer_one_is_not_in_the_source(one):
+    from annalist.functions.columns import text_array
+    from annalist.operators.novelty import fact_grounding
+
+    checked = lambda source: fact_grounding(text_array(["1987", "特区"]), F.lit(source), F.lit("无"), text_array([]), {})["unsupported"]
+    assert one(checked("Customer#000001987在特区")) == ["1987"]
+    assert one(checked("1987年，经济特区")) == []
