@@ -58,7 +58,7 @@ def q_vector_l2_of_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def nearest(spark: SparkSession, sf: str) -> DataFrame:
     table = embeddings(spark, sf)
-    rows = vectors.vector_topk(queries_of(table), table, 10, skip_same_id=True)
+    rows = vectors.vector_topk(queries_of(table), table, 10, skip_same_id=True, digits=6)
     return rows.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -68,7 +68,7 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(range(1, 65
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 6), vec_id) AS rank, vec_id, round(d, 5) AS score FROM s QUALIFY rank <= 5""")
 def q_vector_l2(spark: SparkSession, sf: str) -> DataFrame:
     table = embeddings(spark, sf)
-    rows = vectors.vector_topk(queries_of(table), table, 5, metric="l2")
+    rows = vectors.vector_topk(queries_of(table), table, 5, metric="l2", digits=6)
     return rows.withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 5))
 
 

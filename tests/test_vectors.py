@@ -61,3 +61,27 @@ def test_tables_of_nothing(spark, tmp_path):
     store = cells.store_cells(none, str(tmp_path / "t"))
     asked = spark.createDataFrame([(1, [1.0])], "query_id long, query_vector array<double>")
     assert cells.search_cells(asked, store, 3).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize("digits", [None, 6])
+def test_ties_of_copies_go_to_the_smaller_id(spark, metric, digits, monkeypatch):
+    """Groups of equal vectors far larger than k, in several blocks, against a scan in the order of the components."""
+    from annalist.operators import vectors
+
+    monkeypatch.setattr(vectors, "GROUP_ROWS", 300)
+    points = RNG.standard_normal((1500, 9)).astype(np.float32)
+    points[200:700] = points[5]
+    points[700:1100] = np.float32(1 + 1e-7) * points[5]  # equal after six decimals only
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)] + [(5000, None), (5001, [float("nan")] * 9)], "vec_id long, embedding array<float>").repartition(5)
+    asked = df.where("vec_id < 30 OR vec_id IN (250, 650, 5001)").selectExpr("vec_id AS query_id", "embedding AS query_vector")
+    got = {}
+    for r in vectors.vector_topk(asked, df, 7, metric, skip_same_id=True, digits=digits, query_block=20, vector_block=150).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    wide, want = points.astype(np.float64), {}
+    for i in [*range(30), 250, 650]:
+        score = vectors._exact(np.repeat(wide[i:i + 1], len(wide), 0), wide, metric)
+        score = score if digits is None else np.round(score, digits)
+        score[i] = -np.inf
+        want[i] = np.lexsort((np.arange(len(wide)), -score))[:7].tolist()
+    assert got == want
