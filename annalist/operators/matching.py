@@ -4,13 +4,14 @@
 one anchor, that of its grams which the texts hold least often, and any text that contains the term holds the anchor,
 too. Texts are cut into the grams at all their places, met with the anchors, and the candidates verified. Terms
 are tiered by length. The anchors are broadcast while their size, which is
-measured, allows it, and shuffled beyond; there is no other difference.
+measured, allows it, and shuffled beyond; there is no other difference. A few terms are looked for one by one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.columns import let
 from ..session import cut_lineage
 
 #: Length of a term from which on it uses grams of a length, longest first. Fewer lengths mean fewer places to look at.
@@ -21,6 +22,8 @@ MARGIN = 24
 WORDS = 0
 #: Beyond this many bytes of terms the anchors are shuffled instead of broadcast.
 MAX_BROADCAST_BYTES = 32 << 20
+#: Up to so many terms, and bytes of them, are looked for one by one in each text, which costs less than its grams.
+FEW_TERMS, FEW_BYTES = 100, 16 << 10
 #: Share of texts read to find out which grams are common.
 STATISTICS_FRACTION = 0.02
 #: Characters of the pieces that places are counted in: finding a character walks from the start of its piece.
@@ -67,6 +70,19 @@ def anchor_places(texts: DataFrame, lengths: list[int], keep: list[str]) -> Data
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def few_terms(terms: DataFrame, term_col: str) -> list[str] | None:
+    """The distinct non-empty terms, if they are few."""
+    listed = [r[0] for r in terms.where(F.length(term_col) > 0).select(term_col).distinct().limit(FEW_TERMS + 1).collect()]
+    return sorted(listed) if len(listed) <= FEW_TERMS and sum(len(t.encode()) for t in listed) <= FEW_BYTES else None
+
+
+def found_terms(text: Column, terms: list[str]) -> Column:
+    """Those of a few terms that a text contains, as an array."""
+    if not terms:
+        return F.array().cast("array<string>")
+    return let(text, lambda bound: F.array_compact(F.array(*[F.when(bound.contains(F.lit(t)), F.lit(t)) for t in terms])))
+
+
 def contains_join(
     texts: DataFrame, terms: DataFrame, text_id: str, text_col: str, term_col: str, max_broadcast: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
@@ -75,6 +91,10 @@ def contains_join(
     ``text_id`` must be unique. Every pair is found, whatever the number of terms and
     however common they are.
     """
+    few = few_terms(terms, term_col)
+    if few is not None:
+        # An inner explode would look for the terms once more, to drop rows without any.
+        return texts.select(text_id, F.explode_outer(found_terms(F.col(text_col), few)).alias(term_col)).where(F.col(term_col).isNotNull())
     length = F.length("_term")
     tier = F.lit(None).cast("int")
     for least, n in reversed(TIERS.items()):

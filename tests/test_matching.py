@@ -74,3 +74,20 @@ def test_packs_hold_entities_and_inner_relationships_in_turns(spark):
     assert short == {"x": "two\none\n2-3", "y": "four"}
     alone = {r["community"]: r["n_lines"] for r in graph.community_pack(members, entities).collect()}
     assert alone == {"x": 3, "y": 1}
+
+
+@pytest.mark.parametrize("must", [None, "year"])
+def test_few_terms_score_as_many_do(spark, monkeypatch, must):
+    """Rows scored where they are read get what the join on grams gives, repeated and empty terms included."""
+    from annalist.operators import retrieval
+
+    rows = spark.createDataFrame([(1, "1995 NATION_1 asia"), (2, "1996 Nation_12 ASIA"), (3, ""), (4, None), (5, "19951996")], "id long, text string")
+    terms = spark.createDataFrame(
+        [(1, "1995", 30, "year"), (1, "1996", 10, "near_year"), (1, "nation_1", 20, "place"), (1, "asia", 15, "topic"), (1, "asia", 15, "topic"),
+         (2, "1996", 30, "year"), (2, "1995", 30, "year"), (2, "", 5, "topic"), (2, None, 5, "topic"), (3, "1997", 30, "year")],
+        "query_id long, term string, weight int, kind string")
+    score = lambda: sorted(map(tuple, retrieval.score_rows(rows, "id", F.col("text"), terms, upper=True, must=must).collect()))
+    few = score()
+    assert not [n for n in ("Python", "NestedLoop") if n in retrieval.score_rows(rows, "id", F.col("text"), terms, True, must)._jdf.queryExecution().toString()]
+    monkeypatch.setattr(matching, "FEW_TERMS", -1)
+    assert few == score() and len(few) == (6 if must is None else 5)
