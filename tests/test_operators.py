@@ -134,6 +134,23 @@ def strongest_merges(edges, size):
         group = {n: merges.get(g, g) for n, g in group.items()}
 
 
+def test_later_rounds_of_moves_read_only_ties_of_changed_groups(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"{c}-{a}", f"{c}-{b}", float(rng.integers(1, 6))) for c in range(12) for a in range(9) for b in range(a) if rng.random() < 0.5]
+    df = spark.createDataFrame(rows, "source string, target string, weight double")
+    read, named = [], community._named
+
+    def counted(ties, groups):
+        result = named(ties, groups)
+        read.append(result.count())
+        return result
+
+    monkeypatch.setattr(community, "_named", counted)
+    members = community.communities(df, 6)
+    assert members.count() == len({n for a, b, _ in rows for n in (a, b)})
+    assert read[:2] == [len(rows)] * 2 and 0 < min(read) < len(rows) / 2
+
+
 def test_communities_are_small_connected_and_cannot_be_improved(spark):
     edges = [(f"n{RNG.randint(0, 40)}", f"n{RNG.randint(0, 40)}", RNG.randint(1, 5)) for _ in range(120)]
     edges += [("loop", "loop", 3), ("p1", "p2", 2), ("p2", "p1", 2)]
