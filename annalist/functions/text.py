@@ -62,20 +62,21 @@ def rule_entities(
     lexicon: Sequence[str] = tuple(lx.FIGURES + lx.RULE_PLACES + lx.RULE_ORGANISATIONS),
 ) -> Column:
     """People, places and organisations named by four groups of rules."""
-    text = as_col(text)
-    groups = [
-        all_matches(text, f"老[{surnames}]"),
-        all_matches(text, f"(?U)[{surnames}]\\w{{0,2}}(?:{titles})"),
-    ]
-    for name in given_names:
-        full = all_matches(text, f"[{surnames}]{name}")
-        groups.append(
-            F.when(~text.contains(F.lit(name)), text_array([]))
-            .when(F.size(full) > 0, full)
-            .otherwise(text_array([name]))
-        )
-    groups.append(lexicon_hits(text, lexicon))
-    return F.array_distinct(F.concat(*groups))
+
+    def found_in(text: Column) -> Column:
+        # The looks ahead change no match: they spare most places the long class of surnames.
+        groups = [
+            all_matches(text, f"老[{surnames}]"),
+            all_matches(text, f"(?U)(?=.{{1,3}}(?:{titles}))[{surnames}]\\w{{0,2}}(?:{titles})"),
+        ]
+        for name in given_names:
+            alone = text_array([name])
+            full = let(all_matches(text, f"(?=.{name})[{surnames}]{name}"), lambda found: F.when(F.size(found) > 0, found).otherwise(alone))
+            groups.append(F.when(text.contains(F.lit(name)), full).otherwise(text_array([])))
+        groups.append(lexicon_hits(text, lexicon))
+        return F.array_distinct(F.concat(*groups))
+
+    return let(as_col(text), found_in)
 
 
 def stringify(value: Column | str, kind: str = "string") -> Column:
