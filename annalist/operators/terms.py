@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -16,14 +18,40 @@ WORD_PATTERN = "[A-Za-zÀ-ÖØ-öø-ÿ]+|[一-龥]+"
 
 def tokens(text: Column | str, pattern: str = WORD_PATTERN, min_len: int = 2, stop: Sequence[str] = ()) -> Column:
     """Lower-cased words in order, short ones and stop words removed."""
-    words = all_matches(F.lower(as_col(text)), pattern)
-    kept = F.filter(words, lambda w: F.length(w) >= min_len)
+    if re.fullmatch(r"\[[^\]\[]+\]\+", pattern) and min_len > 0:
+        # Runs of one class: the pattern itself leaves out the short ones.
+        kept = all_matches(F.lower(as_col(text)), f"{pattern[:-1]}{{{min_len},}}")
+    else:
+        kept = F.filter(all_matches(F.lower(as_col(text)), pattern), lambda w: F.length(w) >= min_len)
     if not stop:
         return kept
     stops = text_array(stop)
     return F.filter(kept, lambda w: ~F.array_contains(stops, w))
 
 
+def counted(values: Column) -> Column:
+    """Distinct values of an array with their number and first place: ``array<struct<value, count, first>>``."""
+
+    def runs(ordered: Column) -> Column:
+        at = F.filter(
+            F.sequence(F.lit(0), F.greatest(F.size(ordered), F.lit(1)) - 1),
+            lambda i: (i < F.size(ordered)) & ((i == 0) | (F.get(ordered, i)["value"] != F.get(ordered, i - 1)["value"])))
+        return let(at, lambda starts: F.transform(starts, lambda i, j: F.struct(
+            F.get(ordered, i)["value"].alias("value"), (F.coalesce(F.get(starts, j + 1), F.size(ordered)) - i).cast("long").alias("count"),
+            F.get(ordered, i)["first"].alias("first"))))
+
+    return let(F.sort_array(F.transform(values, lambda v, i: F.struct(v.alias("value"), i.alias("first")))), runs)
+
+
+def by_repeat(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose keys no other row has, and the others, None if there are none."""
+    repeated = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    if repeated.isEmpty():
+        return df, None
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return df.join(repeated, same, "left_anti"), df.join(repeated, same, "left_semi")
+
+
 def term_counts(df: DataFrame, doc_id: str, words: Column) -> DataFrame:
     """``(doc_id, term, tf)``; counts combine before the shuffle."""
     return (
@@ -54,13 +82,21 @@ def tfidf(df: DataFrame, doc_id: str, words: Column, n_documents: Column | int,
     """
     n_documents = F.lit(n_documents) if isinstance(n_documents, int) else n_documents
     # The outer form keeps the optimizer from repeating the word split in a size filter.
-    exploded = (
-        df.select(doc_id, words.alias("_w"))
-        .select(doc_id, F.size("_w").alias("_len"), F.explode_outer("_w").alias("term"))
-        .where(F.col("term").isNotNull())
+    single, repeated = by_repeat(df, [doc_id])
+    counts = (
+        single.select(doc_id, words.alias("_w"))
+        .select(doc_id, F.size("_w").alias("_len"), F.explode_outer(counted(F.col("_w"))).alias("_c"))
+        .where(F.col("_c").isNotNull())
+        .select(doc_id, F.col("_c.value").alias("term"), "_len", F.col("_c.count").alias("tf"))
     )
-    # The length depends on the document alone; as a key it needs neither a join nor a merge.
-    counts = exploded.groupBy(doc_id, "term", "_len").agg(F.count("*").alias("tf"))
+    if repeated is not None:
+        exploded = (
+            repeated.select(doc_id, words.alias("_w"))
+            .select(doc_id, F.size("_w").alias("_len"), F.explode_outer("_w").alias("term"))
+            .where(F.col("term").isNotNull())
+        )
+        # The length depends on the document alone; as a key it needs neither a join nor a merge.
+        counts = counts.unionByName(exploded.groupBy(doc_id, "term", "_len").agg(F.count("*").alias("tf")))
     if frequencies is None:
         joined = counts.join(document_frequencies(df, words), "term")
     else:
@@ -87,8 +123,9 @@ def keywords(
         .agg(F.array_sort(F.collect_list(F.struct("rank", "term")))["term"].alias("_ranked"))
     )
     allowed = [e for e in events if e not in set(stop)]
-    merged = F.concat(F.coalesce("_ranked", text_array([])), lexicon_hits(text, allowed))
-    return df.join(ranked, doc_id, "left").select(
+    # Looked for before the join, the text is not shuffled unless it is asked for.
+    merged = F.concat(F.coalesce("_ranked", text_array([])), F.col("_hits"))
+    return df.withColumn("_hits", lexicon_hits(text, allowed)).join(ranked, doc_id, "left").select(
         *df.columns, F.slice(F.array_distinct(merged), 1, k).alias("keywords")
     )
 
@@ -122,9 +159,19 @@ def char_phrase_candidates(text: Column | str) -> Column:
 def key_phrases(df: DataFrame, keys: Sequence[str], candidates: Column, n: int = 8, min_count: int = 2) -> DataFrame:
     """Most frequent repeated phrases per row key: ``(*keys, rank, phrase, count)``.
 
-    Equal counts are ordered by first appearance.
+    Equal counts are ordered by first appearance. Rows whose keys are their own are counted in place, others by a shuffle.
     """
     keys = list(keys)
+    single, repeated = by_repeat(df, keys)
+    often = F.transform(
+        F.filter(counted(candidates), lambda c: c["count"] >= min_count),
+        lambda c: F.struct((-c["count"]).alias("loss"), c["first"].alias("first"), c["value"].alias("phrase")))
+    top = single.select(*keys, F.posexplode(F.slice(F.sort_array(often), 1, n)).alias("_at", "_c")).select(
+        *keys, (F.col("_at") + 1).alias("rank"), F.col("_c.phrase").alias("phrase"), (-F.col("_c.loss")).alias("count"))
+    return top if repeated is None else top.unionByName(_shuffled_phrases(repeated, keys, candidates, n, min_count))
+
+
+def _shuffled_phrases(df: DataFrame, keys: list[str], candidates: Column, n: int, min_count: int) -> DataFrame:
     exploded = df.select(*keys, F.posexplode(candidates).alias("_pos", "phrase"))
     counted = exploded.groupBy(*keys, "phrase").agg(F.count("*").alias("count"), F.min("_pos").alias("_first"))
     order = Window.partitionBy(*keys).orderBy(F.desc("count"), "_first")

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from annalist.functions import text as tx
+from annalist.operators import terms
 
 
 def plan(df):
@@ -17,3 +18,21 @@ def test_rule_entities_mention_the_text_once(spark):
     df = spark.createDataFrame([("王a师傅\n张\n队长李队长，孙小军",), ("小军德明",), ("老\n王老王",), (None,)], "text string")
     assert [r[0] for r in df.select(tx.rule_entities("text")).collect()] == [
         ["王a师傅", "李队长", "孙小军"], ["德明", "小军"], ["老王"], None]
+
+
+def test_key_phrases_of_own_keys_need_no_shuffle_and_others_are_counted_together(spark):
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.randint(0, 40)))) for k in [*range(30), 3, 3, 7, None, None, 99]]
+    rows.append((100, None))
+    df = spark.createDataFrame(rows, "k long, text string")
+    words = terms.phrase_candidates(terms.tokens("text"), " ")
+    assert sorted(terms.key_phrases(df, ["k"], words, 5).collect(), key=str) == sorted(terms._shuffled_phrases(df, ["k"], words, 5, 2).collect(), key=str)
+    assert "Exchange" not in plan(terms.key_phrases(df.where("k BETWEEN 10 AND 20"), ["k"], words))
+
+
+def test_terms_are_counted_in_their_rows(spark):
+    df = spark.createDataFrame([(1, "bb aa bb"), (2, "aa cc dd"), (2, "aa ee"), (None, "aa"), (3, ""), (4, None)], "k long, text string")
+    rows = terms.tfidf(df, "k", terms.tokens("text"), 6)
+    got = {(r.k, r.term): (r.tf, r.df) for r in rows.collect()}
+    assert got == {(1, "bb"): (2, 1), (1, "aa"): (1, 4), (2, "aa"): (1, 4), (2, "cc"): (1, 1), (2, "dd"): (1, 1), (2, "ee"): (1, 1), (None, "aa"): (1, 4)}
+    assert "_len" not in "".join(line for line in plan(terms.tfidf(df.where("k = 1"), "k", terms.tokens("text"), 6)).splitlines() if "hashpartitioning" in line)
