@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lexicons as lx
@@ -12,6 +16,9 @@ from .chunking import token_chunks
 from .retrieval import top_k
 from .running import leading_rows, within_budget
 
+#: Edges of a block that a task reduces to a forest.
+BLOCK_EDGES = 500_000
+
 
 def text_units(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 1200, overlap: int = 100) -> DataFrame:
     """Token windows with a stable id and their document: ``(id, document_id, unit_index, text)``."""
@@ -56,6 +63,53 @@ def cooccurrence(units: DataFrame, names: Column) -> DataFrame:
     )
 
 
+def name_links(units: DataFrame, names: Column) -> DataFrame:
+    """Links ``(source, target)`` between neighbours in the order of one unit's distinct names.
+
+    They hold together what all pairs of the unit hold together, in a number that grows with the names, not with their square.
+    """
+    linked = let(F.array_sort(F.array_distinct(names)), lambda ordered: F.transform(
+        F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(1))), lambda b, i: F.struct(F.get(ordered, i).alias("source"), b.alias("target"))))
+    return units.select(F.inline(linked))
+
+
+def spanning_links(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """Fewer links ``(source, target)`` with the same nodes and components: of every block of edges that a task reads, one for
+    each node, to the smallest node that the block connects it with."""
+    kind = edges.schema[source].dataType.simpleString()
+
+    def span(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= BLOCK_EDGES:
+                yield _block_links(pd.concat(held))
+                held, rows = [], 0
+        if rows:
+            yield _block_links(pd.concat(held))
+
+    whole = edges.select(F.col(source).alias("source"), F.col(target).alias("target"))
+    known = F.col("source").isNotNull() & F.col("target").isNotNull()
+    return whole.where(known).mapInPandas(span, f"source {kind}, target {kind}").unionByName(whole.where(~known))
+
+
+def _block_links(edges: pd.DataFrame) -> pd.DataFrame:
+    codes, nodes = pd.factorize(pd.concat([edges["source"], edges["target"]], ignore_index=True), sort=True)
+    a, b = np.split(codes, 2)
+    lowest = np.arange(len(nodes))
+    while True:
+        low = np.minimum(lowest[a], lowest[b])
+        now = lowest.copy()
+        for ends in (lowest[a], lowest[b], a, b):
+            np.minimum.at(now, ends, low)
+        while (now[now] != now).any():
+            now = now[now]
+        if (now == lowest).all():
+            return pd.DataFrame({"source": nodes, "target": nodes[lowest]})
+        lowest = now
+
+
 def merge_entities(rows: DataFrame, max_chars: int = 500) -> DataFrame:
     """One row per (title, type): mention count and distinct descriptions within a length.
 

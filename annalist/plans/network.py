@@ -85,12 +85,12 @@ SELECT node, comp AS component FROM cc"""
 
 @catalog.add("q_components", f"WITH RECURSIVE {EDGES_SQL}, {COMPONENT_SQL.format(edges='edges')}")
 def q_components(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.connected_components(edges(spark, sf))
+    return graph.connected_components(graph.spanning_links(graph.name_links(units(spark, sf), names())))
 
 
 @catalog.add("q_sales_components", f"WITH RECURSIVE {SALES_SQL}, {COMPONENT_SQL.format(edges='sales')}")
 def q_sales_components(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.connected_components(sales(spark, sf))
+    return graph.connected_components(graph.spanning_links(sales(spark, sf)))
 
 
 @catalog.add("q_communities")

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from annalist.functions import text as tx
-from annalist.operators import terms
+from annalist.operators import graph, terms
 
 
 def plan(df):
@@ -36,3 +36,18 @@ def test_terms_are_counted_in_their_rows(spark):
     got = {(r.k, r.term): (r.tf, r.df) for r in rows.collect()}
     assert got == {(1, "bb"): (2, 1), (1, "aa"): (1, 4), (2, "aa"): (1, 4), (2, "cc"): (1, 1), (2, "dd"): (1, 1), (2, "ee"): (1, 1), (None, "aa"): (1, 4)}
     assert "_len" not in "".join(line for line in plan(terms.tfidf(df.where("k = 1"), "k", terms.tokens("text"), 6)).splitlines() if "hashpartitioning" in line)
+
+
+def test_links_of_names_grow_with_the_names(spark):
+    units = spark.createDataFrame([(["b", "a", "b", "c"],), (["d"],), (["e", "c"],), ([],), (None,)], "names array<string>")
+    assert sorted(map(tuple, graph.name_links(units, F.col("names")).collect())) == [("a", "b"), ("b", "c"), ("c", "e")]
+
+
+def test_spanning_links_keep_nodes_and_components(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = [(f"n{rng.randint(0, 400)}", f"n{rng.randint(0, 400)}") for _ in range(260)] + [("x", "x"), ("y", None), (None, None)]
+    df = spark.createDataFrame(edges, "source string, target string").coalesce(1)
+    whole = graph.connected_components(df).collect()
+    assert graph.spanning_links(df.union(df).union(df)).count() < len(edges) * 3
+    monkeypatch.setattr(graph, "BLOCK_EDGES", 100)
+    assert sorted(map(str, graph.connected_components(graph.spanning_links(df)).collect())) == sorted(map(str, whole))
