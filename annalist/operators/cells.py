@@ -21,6 +21,8 @@ from .retrieval import top_k
 CENTROID_BYTES = 64 << 20
 #: Rows of a cell that are compared in one task.
 PART_ROWS = 16_384
+#: Rows of a frame of cells to read, about, and queries that are compared with a part of a cell at once, about.
+FRAME_ROWS, SLICE_QUERIES = 20_000, 4_096
 #: Share by which bounds are loosened, for rounding.
 SLACK = 1e-9
 
@@ -104,10 +106,13 @@ def cells_to_read(queries: DataFrame, store: CellStore, k: int, later: bool) ->
     shared = spark.sparkContext.broadcast((
         np.stack(known["centroid"].to_numpy()) if len(known) else np.zeros((0, 0)), *(known[c].to_numpy() for c in ("cell", "radius", "n", "parts"))))
 
+    columns = ["query_id", "query_vector", "to_cell", "limit", "cell", "part"]
+
     def choose(batches):
         centroids, cell, radius, n, parts = shared.value
         for batch in batches:
             rows = []
+            # Frames of bounded size, however many cells a query reads.
             for query, vector, limit in zip(batch["query_id"], batch["query_vector"], batch["limit"]):
                 if not len(cell):
                     break
@@ -117,7 +122,10 @@ def cells_to_read(queries: DataFrame, store: CellStore, k: int, later: bool) ->
                 before = np.cumsum(n[order]) - n[order]
                 which = order[(before >= k) & (bound[order] <= limit)] if later else order[before < k]
                 rows += [(query, vector, away[c], limit, cell[c], part) for c in which for part in range(parts[c])]
-            yield pd.DataFrame(rows, columns=["query_id", "query_vector", "to_cell", "limit", "cell", "part"])
+                if len(rows) >= FRAME_ROWS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     kind = queries.schema["query_id"].dataType.simpleString()
     asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"), "limit")
@@ -157,11 +165,18 @@ def _compare(asked: DataFrame, store: CellStore, k: int) -> DataFrame:
                 near = np.abs(away - to_cell) - SLACK * (1 + to_cell) <= limit
                 distance = ((points[near] - np.asarray(vector)) ** 2).sum(1)
                 order = np.lexsort((place[near], distance))[:k]
-                found.append(pd.DataFrame({"query_id": query, "id": ids[near][order], "distance": distance[order]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": q["query_id"].iloc[:0], "id": v["id"].iloc[:0], "distance": pd.Series(dtype="float64")})
+                found.append((len(order), query, ids[near][order], distance[order]))
+        if found:
+            counts, asking, which, distances = zip(*found)
+            return pd.DataFrame({"query_id": pd.Series(asking).repeat(counts).to_numpy(), "id": np.concatenate(which), "distance": np.concatenate(distances)})
+        return pd.DataFrame({"query_id": q["query_id"].iloc[:0], "id": v["id"].iloc[:0], "distance": pd.Series(dtype="float64")})
 
     held = rows.join(F.broadcast(wanted.select("cell").distinct()), "cell", "left_semi")
-    cells = asked.groupBy("cell", "part").cogroup(held.groupBy("cell", "part"))
+    most = asked.groupBy("cell", "part").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    slices = -(-most // SLICE_QUERIES) or 1
+    asked = asked.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
+    held = held.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    cells = asked.groupBy("cell", "part", "slice").cogroup(held.groupBy("cell", "part", "slice"))
     return cells.applyInPandas(nearest, f"query_id {names['query_id']}, id {names['id']}, distance double")
 
 

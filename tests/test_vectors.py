@@ -85,3 +85,16 @@ def test_ties_of_copies_go_to_the_smaller_id(spark, metric, digits, monkeypatch)
         score[i] = -np.inf
         want[i] = np.lexsort((np.arange(len(wide)), -score))[:7].tolist()
     assert got == want
+
+
+def test_many_queries_and_cells_are_met_in_bounded_pieces(spark, table, tmp_path, monkeypatch):
+    points, vectors = table
+    monkeypatch.setattr(cells, "FRAME_ROWS", 7)
+    monkeypatch.setattr(cells, "SLICE_QUERIES", 5)
+    store = cells.store_cells(vectors, str(tmp_path / "v"), n_cells=20)
+    asked = RNG.integers(0, len(points), 40)
+    queries = spark.createDataFrame([(n, points[i].tolist()) for n, i in enumerate(asked)], "query_id long, query_vector array<double>")
+    found = {}
+    for r in cells.search_cells(queries, store, 5).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["id"], round(r["distance"], 9)))
+    assert found == {n: scan(points, points[i], 5) for n, i in enumerate(asked)}
