@@ -21,6 +21,8 @@ from .common import prepare
 
 #: Words that one worker process remembers; a full table is emptied, which only costs time.
 REMEMBERED = 1_000_000
+#: Words that are encoded in one string.
+STRING_WORDS = 500
 
 #: The marker that stands for a blank.
 MARK = "▁"
@@ -164,6 +166,8 @@ class Codec:
             self.tokenizer.pre_tokenizer is not None and self.model.add_dummy_prefix and not self.model.charsmap
             and not self.model.remove_extra_whitespaces and all(kind != USER_DEFINED for *_, kind in self.model.pieces)
         )
+        # Ids of pieces that begin with a marker: in words without one, only the first piece does.
+        self.starts = np.array([p.startswith(MARK) for p, *_ in self.model.pieces])
         self.known: dict[str, bytes] = {}
         self.lossy: set[str] = set()  # known words that decoding does not give back
 
@@ -181,17 +185,39 @@ class Codec:
         if len(missing) + len(self.known) > REMEMBERED:
             self.known.clear()
             missing = every
-        fresh = sorted(missing)
-        coded = self._whole(fresh)
-        self.known.update(zip(fresh, (ids.tobytes() for ids in coded)))
-        back = self.decode(coded)
-        self.lossy -= set(fresh)
-        self.lossy |= {w for w, b in zip(fresh, back) if w != b}
+        self.lossy.update(self._learn([w for w in missing if MARK not in w]))
+        marked = [w for w in missing if MARK in w]
+        coded = self._whole(marked)
+        self.known.update(zip(marked, (ids.tobytes() for ids in coded)))
+        self.lossy |= {w for w, b in zip(marked, self.decode(coded)) if w != b}
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), dtype=np.int32) if "" not in ws else None for ws in words]
         for i, ids in zip(direct, self._whole([texts[i] for i in direct])):
             out[i] = ids
         return out
 
+    def _learn(self, words: list[str]) -> list[str]:
+        """Remember the ids of words without markers; returns the words that decoding does not give back.
+
+        Many words are encoded and decoded in one string, whose ids are cut before each piece that begins with a marker:
+        every word begins with one. If the pieces of a string are not as many as its words, these are encoded one by one.
+        """
+        groups = [words[i:i + STRING_WORDS] for i in range(0, len(words), STRING_WORDS)]
+        strings = [" ".join(g) for g in groups]
+        coded = self._whole(strings)
+        lossy = []
+        for group, string, ids, back in zip(groups, strings, coded, self.decode(coded)):
+            at = np.flatnonzero(self.starts[ids])
+            if len(at) == len(group) and at[0] == 0:
+                data, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+                own = [data[a:b] for a, b in zip(ends, ends[1:])]
+            else:
+                own, back = [i.tobytes() for i in self._whole(group)], None
+            self.known.update(zip(group, own))
+            if back != string:
+                again = self.decode([np.frombuffer(i, dtype=np.int32) for i in own])
+                lossy += [w for w, b in zip(group, again) if w != b]
+        return lossy
+
     def round_trips(self, texts: list[str], ids: list) -> list[bool]:
         """Whether decoding the ids of each text gives it back.
 

@@ -206,6 +206,17 @@ def test_sentencepiece_parity_and_decoding(documents):
     assert sentencepiece_codec.encode(df.limit(0), path).count() == 0
 
 
+def test_sentencepiece_words_are_encoded_many_to_a_string():
+    codec = sentencepiece_codec.Codec(vocabulary("piece_bpe_32k.model"), 1)
+    texts = [" ".join(f"w{i}é{j}\n<s>" for j in range(300)) for i in range(8)] + ["a▁b ▁", "", "two  blanks", "\u0000 <unk> ▁▁x 中😀"]
+    seen, whole = [], codec._whole
+    codec._whole = lambda strings: seen.extend(strings) or whole(strings)
+    got = codec.encode(texts)
+    assert len(seen) < 30
+    assert [i.tolist() for i in got] == [i.tolist() for i in whole(texts)]
+    assert codec.round_trips(texts, got) == [a == b for a, b in zip(codec.decode(got), texts)]
+
+
 def test_sentencepiece_pipelines():
     codec = sentencepiece_codec.Codec(vocabulary("piece_bpe_32k.model"), 1)
     texts = ["", " ", "  a  b ", "<s> </s> <unk> <0x41>", "日本語 😀 é é", "a\x00b", "\n\n\t", "▁x ▁ y", "aaa" * 900]
