@@ -44,17 +44,18 @@ def places(texts: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
     """``(*keep, _piece, _gram)`` for every place of ``_text`` and every length, compiled into one pass; ``_piece`` is what
     surrounds the place.
 
-    Texts are cut into pieces in two steps, so that the work stays in proportion to the text.
+    Texts are cut into pieces in two steps, so that the work stays in proportion to the text. An inner explode would make
+    each list of places once more, to drop rows without any.
     """
     cut = texts.select(*keep, F.col("_text").alias("_piece"), F.lit(0).alias("_skip"), F.length("_text").alias("_own"))
     for size in (LONG_PIECE, PIECE):
         starts = F.sequence(F.lit(1), F.greatest(F.col("_own"), F.lit(1)), F.lit(size))
-        cut = cut.select(*keep, "_piece", "_skip", "_own", F.explode(starts).alias("_at"))
+        cut = cut.select(*keep, "_piece", "_skip", "_own", F.explode_outer(starts).alias("_at"))
         begin = F.greatest(F.col("_skip") + F.col("_at") - MARGIN, F.lit(1))
         cut = cut.select(
             *keep, F.substring(F.col("_piece"), begin, F.lit(size + 2 * MARGIN)).alias("_piece"),
             (F.col("_skip") + F.col("_at") - begin).alias("_skip"), F.least(F.col("_own") - F.col("_at") + 1, F.lit(size)).alias("_own"))
-    cut = cut.select(*keep, "_piece", F.explode(F.sequence(F.col("_skip") + 1, F.col("_skip") + F.greatest(F.col("_own"), F.lit(1)))).alias("_at"))
+    cut = cut.select(*keep, "_piece", F.explode_outer(F.sequence(F.col("_skip") + 1, F.col("_skip") + F.greatest(F.col("_own"), F.lit(1)))).alias("_at"))
     found = [F.substring(F.col("_piece"), F.col("_at"), F.lit(n)) for n in lengths]
     return cut.select(*keep, "_piece", (F.explode(F.array(*found)) if len(found) > 1 else found[0]).alias("_gram"))
 
@@ -70,7 +71,7 @@ def anchor_places(texts: DataFrame, lengths: list[int], keep: list[str]) -> Data
     chars = [n for n in lengths if n != WORDS]
     parts = [places(texts, chars, keep)] if chars else []
     if WORDS in lengths:
-        parts.append(texts.select(*keep, F.lit("").alias("_piece"), F.explode(F.split("_text", " ")).alias("_gram")))
+        parts.append(texts.select(*keep, F.lit("").alias("_piece"), F.explode_outer(F.split("_text", " ")).alias("_gram")).where(F.col("_gram").isNotNull()))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
@@ -107,13 +108,19 @@ def contains_join(
         tier = F.when(length >= least, F.lit(n)).otherwise(tier)
     tier = F.when((length > MARGIN) & (F.size(inner_words(F.col("_term"))) > 0), F.lit(WORDS)).otherwise(tier)
     tiered = listed.withColumn("_n", tier)
-    sizes = tiered.groupBy("_n").agg(F.sum(F.octet_length("_term") + 64).alias("bytes")).collect()
+    inner = ~F.contains("_term", F.lit(" "))
+    sizes = tiered.groupBy("_n", inner.alias("_inner")).agg(F.sum(F.octet_length("_term") + 64).alias("bytes")).collect()
     narrow = texts.select(F.col(text_id).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
-    lengths = sorted(r["_n"] for r in sizes)
+    lengths = sorted({r["_n"] for r in sizes})
     if not sizes:
         matched = narrow.where(F.lit(False)).select("_id", F.lit("").alias("_term"))
     elif sum(r["bytes"] for r in sizes) <= max_broadcast:
-        matched = _match_in_place(narrow, choose_anchors(narrow, tiered, lengths), lengths)
+        parts = []
+        for match, holds, flag in ((_match_in_words, inner, True), (_match_in_place, ~inner, False)):
+            own = sorted(r["_n"] for r in sizes if r["_inner"] == flag)
+            if own:
+                parts.append(match(narrow, tiered.where(holds), own))
+        matched = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     else:
         matched = _match_by_shuffle(narrow, choose_anchors(narrow, tiered, lengths), lengths, MAX_BROADCAST_BYTES)
     return matched.select(F.col("_id").alias(text_id), F.col("_term").alias(term_col))
@@ -142,8 +149,18 @@ def choose_anchors(texts: DataFrame, terms: DataFrame, lengths: list[int]) -> Da
     return ranked.groupBy("_term").agg(F.min("_rank")["gram"].alias("_gram"))
 
 
-def _match_in_place(texts: DataFrame, anchors: DataFrame, lengths: list[int]) -> DataFrame:
+def _match_in_words(texts: DataFrame, terms: DataFrame, lengths: list[int]) -> DataFrame:
+    """Terms without a blank lie within a word: each distinct word is looked at once, then texts meet the words that hold terms."""
+    words = texts.select("_id", F.explode_outer(F.array_distinct(F.split("_text", " "))).alias("_word")).where(F.length("_word") > 0)
+    distinct = cut_lineage(words.select("_word").distinct()).select(F.col("_word").alias("_id"), F.col("_word").alias("_text"))
+    held = cut_lineage(_match_in_place(distinct, terms, lengths).withColumnRenamed("_id", "_word"))
+    size = held.agg(F.sum(F.octet_length("_word") + F.octet_length("_term") + 64)).first()[0] or 0
+    return words.join(F.broadcast(held) if size <= MAX_BROADCAST_BYTES else held, "_word").select("_id", "_term").distinct()
+
+
+def _match_in_place(texts: DataFrame, terms: DataFrame, lengths: list[int]) -> DataFrame:
     """Probe a broadcast anchor table at every place of the texts; only what is found is shuffled."""
+    anchors = choose_anchors(texts, terms, lengths)
     met = anchor_places(texts.withColumn("_whole", F.col("_text")), lengths, ["_id", "_whole"]).join(F.broadcast(anchors), "_gram")
     near = F.length("_term") <= MARGIN
     return met.where((near & F.contains("_piece", "_term")) | (~near & F.contains("_whole", "_term"))).select("_id", "_term").distinct()

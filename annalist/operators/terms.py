@@ -67,7 +67,8 @@ def document_frequencies(df: DataFrame, words: Column, vocabulary: DataFrame | N
     Words are made distinct inside the row, so only one combined count per term is
     shuffled. A ``vocabulary(term)`` restricts the count to the terms that are asked for.
     """
-    rows = df.select(F.explode(F.array_distinct(words)).alias("term"))
+    # The outer form keeps the optimizer from repeating the word split in a size filter.
+    rows = df.select(F.explode_outer(F.array_distinct(words)).alias("term")).where(F.col("term").isNotNull())
     if vocabulary is not None:
         rows = rows.join(vocabulary.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("term").agg(F.count("*").alias("df"))

@@ -91,3 +91,15 @@ def test_few_terms_score_as_many_do(spark, monkeypatch, must):
     assert not [n for n in ("Python", "NestedLoop") if n in retrieval.score_rows(rows, "id", F.col("text"), terms, True, must)._jdf.queryExecution().toString()]
     monkeypatch.setattr(matching, "FEW_TERMS", -1)
     assert few == score() and len(few) == (6 if must is None else 5)
+
+
+def test_terms_without_blanks_are_looked_for_in_distinct_words(spark, monkeypatch):
+    monkeypatch.setattr(matching, "FEW_TERMS", -1)
+    texts = spark.createDataFrame([(i, "abcd xabcdx  é北京市 x y" if i % 2 else "\tabcd\nab cd") for i in range(200)] + [(900, ""), (901, None)], "id long, text string")
+    terms = spark.createDataFrame([(t,) for t in ("abcd", "bc", "北京", "d\nab", "b c", "x y", "none")], "term string")
+    seen, inside = [], matching._match_in_place
+    monkeypatch.setattr(matching, "_match_in_place", lambda texts, *a: seen.append(texts.count()) or inside(texts, *a))
+    got = {(r["id"], r["term"]) for r in matching.contains_join(texts, terms, "id", "text", "term").collect()}
+    odd, even = {"abcd", "bc", "北京", "x y"}, {"abcd", "bc", "d\nab", "b c"}
+    assert got == {(i, t) for i in range(200) for t in (odd if i % 2 else even)}
+    assert seen == [7, 201]
