@@ -9,8 +9,6 @@ texts are cut into overlapping windows, in which each subword is scored once, wi
 
 from __future__ import annotations
 
-import pickle
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,17 +16,18 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import prepare, shared_folder, words_of
-from .subwords import coder, pieces_of
+from .common import prepare, shared_folder
+from .subwords import coder, id_type, pieces_of
 
 #: Frequent words that every task knows, at most.
 FREQUENT = 100_000
-#: Words that a task counts before it hands them on.
-COUNTED = 400_000
+#: Words that a task gathers before it counts them and hands the counts on, and words encoded in one string.
+COUNTED, STRING_WORDS = 4_000_000, 500
 #: Steps of the attention model, at least (small tables are passed several times), and windows of each of its steps.
 STEPS, STEP_WINDOWS = 400, 96
 #: Windows that a task trains on between two averages, about, and averages of one pass, at most.
@@ -48,25 +47,33 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in one row, as ``words_of`` gives them, and where those of each text end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # blanks at either end leave an empty one
+    offsets = lists.offsets.to_numpy()
+    ends = np.append(0, np.cumsum(real, dtype=np.int64))[offsets[1:] - offsets[0]]
+    return words.filter(pa.array(real, pa.bool_())).cast(pa.binary()), ends
+
+
 def word_counts(documents: DataFrame) -> DataFrame:
     """``(word binary, c)`` over ``documents(text)``; texts are split where they lie and counted before the shuffle."""
     prepare(documents.sparkSession)
     schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def handed() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=schema)
-            counts.clear()
-            return batch
+    def counted(held: list[pa.Array]) -> pa.RecordBatch:
+        found = pa.chunked_array(held, pa.binary()).combine_chunks().value_counts()
+        return pa.RecordBatch.from_arrays([found.field(0), found.field(1)], schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Array] = []
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(words_of(text or ""))
-            if len(counts) > COUNTED:
-                yield handed()
-        yield handed()
+            held.append(split_words(batch.column("text"))[0])
+            if sum(map(len, held)) > COUNTED:
+                yield counted(held)
+                held = []
+        yield counted(held)
 
     return documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -76,19 +83,43 @@ def model_text(words: list[bytes]) -> str:
     return (b" " + b" ".join(words)).decode("utf-8", "surrogatepass") if words else ""
 
 
+def encode_words(words: list[bytes], tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
+    """Subword ids of words, each by itself, in one row, and how many each word has.
+
+    Many words are encoded in one string: no piece crosses the blank before a word. Words that hold other blanks go alone.
+    """
+    code, starts = coder(tokenizer), begins_of(tokenizer)
+    texts = []
+    for at in range(0, len(words), STRING_WORDS):
+        some = words[at : at + STRING_WORDS]
+        text = model_text(some)
+        texts += [text] if len(text.split()) == len(some) else [model_text([w]) for w in some]
+    if not texts:
+        return np.zeros(0, dtype=code.dtype), np.zeros(0, dtype=np.int64)
+    ids = np.concatenate(code.encode(texts))
+    first = np.flatnonzero(starts[ids])
+    if len(first) != len(words) or first[0] != 0:
+        raise ValueError("a word without a beginning")
+    return ids, np.diff(first, append=len(ids))
+
+
+@lru_cache(maxsize=2)
+def begins_of(tokenizer: str) -> np.ndarray:
+    """Whether a subword id, or the end after the last id, begins a word."""
+    return np.array([p.startswith("Ġ") for p in pieces_of(tokenizer)] + [True])
+
+
 def subword_counts(words: DataFrame, tokenizer: str) -> np.ndarray:
     """Counts of subword ids over all training documents, from the word counts; one row per id reaches the driver."""
     prepare(words.sparkSession, 10_000)
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(tokenizer)
-        total = np.zeros(code.size, dtype=np.int64)
+        total = np.zeros(len(pieces_of(tokenizer)), dtype=np.int64)
         for batch in batches:
-            ids = code.encode([model_text([w]) for w in batch.column("word").to_pylist()])
-            if ids:
-                weights = np.repeat(batch.column("c").to_numpy(), [len(i) for i in ids])
-                total += np.bincount(np.concatenate(ids), weights=weights, minlength=code.size).astype(np.int64)
+            ids, lengths = encode_words(batch.column("word").to_pylist(), tokenizer)
+            weights = np.repeat(batch.column("c").to_numpy(), lengths)
+            total += np.bincount(ids, weights=weights, minlength=len(total)).astype(np.int64)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], schema=schema)
 
@@ -98,6 +129,74 @@ def subword_counts(words: DataFrame, tokenizer: str) -> np.ndarray:
     return counts
 
 
+@lru_cache(maxsize=1)
+def _lexicon(frequent: tuple[bytes, ...], tokenizer: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The frequent words, their subword ids in one row, and how many each has; once per worker."""
+    return pa.array(frequent, pa.binary()), *encode_words(list(frequent), tokenizer)
+
+
+_ENCODED = pa.schema([
+    ("doc_id", pa.int64()), ("key", pa.int64()), ("n_ids", pa.int64()), ("words", pa.binary()), ("rare", pa.list_(pa.binary())), ("rare_ids", pa.binary()),
+])
+ENCODED = "doc_id long, key long, n_ids long, words binary, rare array<binary>, rare_ids binary"
+
+
+def encode_documents(documents: DataFrame, tokenizer: str, frequent: tuple[bytes, ...] = ()) -> DataFrame:
+    """``(doc_id, key, n_ids, words, rare, rare_ids)`` of ``documents(doc_id, text)``, written once for training and scoring.
+
+    ``words``: the place of each word in ``frequent``, four bytes, -1 for the words listed in ``rare``, whose subword ids
+    follow each other in ``rare_ids``. ``n_ids`` counts the ids of all words. Frequent words are looked up; of the others,
+    each distinct one is encoded once a batch.
+    """
+    spark = documents.sparkSession
+    prepare(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, _, known_lengths = _lexicon(frequent, tokenizer)
+        for batch in batches:
+            words, ends = split_words(batch.column("text"))
+            place = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int32)
+            others = np.flatnonzero(place < 0)
+            rare = words.take(pa.array(others))
+            distinct = rare.dictionary_encode()
+            ids, lengths = encode_words(distinct.dictionary.to_pylist(), tokenizer)
+            spot = distinct.indices.to_numpy()
+            size = np.append(known_lengths, 0)[place]
+            size[others] = lengths[spot]
+            rare_ends = np.append(0, np.searchsorted(others, ends))
+            id_ends = np.append(0, np.cumsum(lengths[spot]))[rare_ends[1:]]
+            cut = lambda row, ends: pa.array([row[a:b].tobytes() for a, b in zip([0, *ends.tolist()], ends.tolist())], pa.binary())
+            columns = [
+                batch.column("doc_id"), batch.column("key"), pa.array(np.diff(np.append(0, np.cumsum(size))[ends], prepend=0), pa.int64()),
+                cut(place, ends), pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), rare), cut(_gather(ids, lengths, spot), id_ends),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=_ENCODED)
+
+    folder = shared_folder(spark, "encoded")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    rows.mapInArrow(run, ENCODED).write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(ENCODED).parquet(folder)
+
+
+def _gather(ids: np.ndarray, lengths: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    """The ids of the words at the given spots, in one row."""
+    size = lengths[spot]
+    ends = np.cumsum(size)
+    return ids[np.repeat((np.cumsum(lengths) - lengths)[spot] - ends + size, size) + np.arange(size.sum())]
+
+
+def ids_of(batch: pa.RecordBatch, frequent: tuple[bytes, ...], tokenizer: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each encoded document, its subword ids and the places of its words."""
+    _, known_ids, known_lengths = _lexicon(frequent, tokenizer)
+    places = [np.frombuffer(x, dtype=np.int32) for x in batch.column("words").to_pylist()]
+    ids = np.frombuffer(b"".join(batch.column("rare_ids").to_pylist()), dtype=id_type(tokenizer))
+    lengths = np.diff(np.flatnonzero(begins_of(tokenizer)[ids]), append=len(ids))
+    spot = np.concatenate(places).astype(np.int64) if places else np.zeros(0, dtype=np.int64)
+    spot[spot < 0] = len(known_lengths) + np.arange(len(lengths))
+    ids = _gather(np.concatenate([known_ids, ids]), np.concatenate([known_lengths, lengths]), spot)
+    return np.split(ids, np.cumsum(batch.column("n_ids").to_numpy())[:-1]), places
+
+
 @dataclass
 class Classes:
     """The class of each subword id (the last id is the end of a text), its log share of its class, and whether it
@@ -138,6 +237,8 @@ def _mask(n: int, first: int) -> np.ndarray:
     return np.where(later, np.float32(-1e9), np.float32(0)).astype(np.float32)
 
 
+#: Windows whose weights of attention are worked on at a time.
+CACHED_WINDOWS = 32
 #: Scores of attention are cut here, so that their exponentials stay finite.
 LARGEST = np.float32(40)
 #: Parts of the model that are trained.
@@ -175,103 +276,157 @@ class Attention:
                    w(WIDTH, HIDDEN), w(HIDDEN, WIDTH) * 0.5, w(WIDTH, GROUPS) * 0.1, w(GROUPS, WIDTH, MEMBERS) * 0.1,
                    np.log(joint.sum(axis=2)).astype(np.float32), np.log(joint).astype(np.float32))
 
-    def hidden(self, x: np.ndarray, first: int = 0, train: bool = False) -> dict[str, np.ndarray]:
-        """States after each position from ``first`` on; ``x``: classes, one row per window."""
-        a = self.e[x] + self.p[: x.shape[1]]
-        tail = a[:, first:]
-        q, k, v = tail @ (self.q * np.float32(1 / np.sqrt(WIDTH))), a @ self.k, a @ self.v
-        s = q @ k.transpose(0, 2, 1)
-        if np.einsum("nti,nti->nt", q, q).max() * np.einsum("nti,nti->nt", k, k).max() > LARGEST**2:
-            np.minimum(s, LARGEST, out=s)
-        s += _mask(x.shape[1], first)
-        np.exp(s, out=s)
-        if train:
-            s /= s.sum(axis=2, keepdims=True)
-            c = s @ v
-        else:  # dividing the few sums of values is cheaper than dividing the many weights
-            c = s @ v
-            c /= s.sum(axis=2, keepdims=True)
-        r = tail + c @ self.o
-        z = np.maximum(r @ self.h, 0)
-        return dict(a=a, q=q, k=k, v=v, s=s, c=c, r=r, z=z, y=(r + z @ self.g).reshape(-1, WIDTH))
+    def attend(self, a: np.ndarray, first: int, keep: bool = False) -> tuple:
+        """What the positions from ``first`` on gather from those up to themselves; ``a``: one window per row.
+
+        The values end in a one, so that a product with the weights gives their sum, too. Queries are taken in two halves,
+        the first of which meets no later keys, and few windows at a time, whose weights stay in the cache.
+        """
+        n, t, _ = a.shape
+        qkv = np.ones((n, t, 3 * WIDTH + 1), dtype=a.dtype)
+        into = np.concatenate([self.q * a.dtype.type(1 / np.sqrt(WIDTH)), self.k, self.v], axis=1)
+        np.matmul(a.reshape(-1, WIDTH), into, out=qkv.reshape(-1, 3 * WIDTH + 1)[:, : 3 * WIDTH])
+        q, k, v = qkv[:, first:, :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
+        large = np.einsum("nti,nti->nt", q, q).max() * np.einsum("nti,nti->nt", k, k).max() > LARGEST**2
+        sums, kept = np.empty((n, t - first, WIDTH + 1), dtype=a.dtype), []
+        middle = (first + t) // 2
+        for low, high in ((first, middle), (middle, t)):
+            at = slice(low - first, high - first)
+            for some in (slice(i, i + CACHED_WINDOWS) for i in range(0, n, CACHED_WINDOWS) if low < high):
+                s = q[some, at] @ k[some, :high].transpose(0, 2, 1)
+                if large:
+                    np.minimum(s, LARGEST, out=s)
+                s += _mask(high, low)
+                np.exp(s, out=s)
+                np.matmul(s, v[some, :high], out=sums[some, at])
+                if keep:
+                    kept.append((some, low, high, s))
+        inverse = 1 / sums[..., WIDTH:]
+        return into, q, k, v, kept, inverse, sums[..., :WIDTH] * inverse
 
     def gradients(self, x: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the real positions, and its gradients."""
-        f = self.hidden(x, train=True)
         n, t = x.shape
-        y, before, wanted = f["y"], x.ravel(), target.ravel()
-        weight = (real.ravel() / max(1, real.sum())).astype(np.float32)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-
-        def choice(logits: np.ndarray, hit: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
-            prob = np.exp(logits - logits.max(axis=1, keepdims=True))
-            prob /= prob.sum(axis=1, keepdims=True)
-            rows = np.arange(len(hit))
-            loss = float(-(np.log(prob[rows, hit] + 1e-12) * weight).sum())
-            prob[rows, hit] -= 1
-            return loss, prob * weight[:, None]
+        before, wanted = x.ravel(), target.ravel()
+        rows = np.arange(len(before))
+        weight = (real.ravel() / max(1, real.sum())).astype(self.e.dtype)
+        a = np.take(self.e, x, axis=0)
+        a += self.p[:t]
+        into, q, k, v, kept, inverse, c = self.attend(a, 0, keep=True)
+        a, c = a.reshape(-1, WIDTH), c.reshape(-1, WIDTH)
+        r = a + c @ self.o
+        z = r @ self.h
+        np.maximum(z, 0, out=z)
+        y = r + z @ self.g
+
+        def choice(logits: np.ndarray, hit: np.ndarray, weight: np.ndarray) -> float:
+            """The loss; the logits become its gradient."""
+            _exponentials(logits)
+            total = logits @ np.ones(logits.shape[1], dtype=logits.dtype)
+            flat, hit = logits.reshape(-1), rows * logits.shape[1] + hit
+            loss = -float(np.log(flat[hit] / total + 1e-12) @ weight)
+            logits *= (weight / total)[:, None]
+            flat[hit] -= weight
+            return loss
 
         group, member = wanted // MEMBERS, wanted % MEMBERS
-        loss, d = choice(y @ self.u + self.bu[before], group, weight)
-        out = {"u": y.T @ d, "m": np.zeros_like(self.m)}
+        d = y @ self.u
+        d += np.take(self.bu, before, axis=0)
+        loss = choice(d, group, weight)
+        out = {"u": y.T @ d, "m": np.empty_like(self.m)}
         dy = d @ self.u.T
-        for i in np.unique(group):
-            rows = np.flatnonzero(group == i)
-            part, d = choice(y[rows] @ self.m[i] + self.bm[before[rows], i], member[rows], weight[rows])
-            loss += part
-            out["m"][i] = y[rows].T @ d
-            dy[rows] += d @ self.m[i].T
-        dy = dy.reshape(n, t, WIDTH)
-        out["g"] = flat(f["z"]).T @ flat(dy)
-        dz = (dy @ self.g.T) * (f["z"] > 0)
-        out["h"] = flat(f["r"]).T @ flat(dz)
+        # Members: rows in the order of their groups, so that a group is one product.
+        order, edges = _by_group(group)
+        y = np.take(y, order, axis=0)
+        d = np.take(self.bm.reshape(-1, MEMBERS), (before * GROUPS + group)[order], axis=0)
+        for i, part in enumerate(edges):
+            d[part] += y[part] @ self.m[i]
+        loss += choice(d, member[order], weight[order])
+        more = np.empty_like(dy)
+        for i, part in enumerate(edges):
+            np.matmul(y[part].T, d[part], out=out["m"][i])
+            np.matmul(d[part], self.m[i].T, out=more[part])
+        dy[order] += more
+        out["g"] = z.T @ dy
+        dz = dy @ self.g.T
+        dz *= z > 0
+        out["h"] = r.T @ dz
         dr = dy + dz @ self.h.T
-        out["o"] = flat(f["c"]).T @ flat(dr)
-        dc = dr @ self.o.T
-        ds = dc @ f["v"].transpose(0, 2, 1)
-        dv = f["s"].transpose(0, 2, 1) @ dc
-        ds = f["s"] * (ds - (ds * f["s"]).sum(axis=2, keepdims=True))
-        dq, dk = ds @ f["k"] * np.float32(1 / np.sqrt(WIDTH)), ds.transpose(0, 2, 1) @ f["q"]
-        for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            out[name] = flat(f["a"]).T @ flat(d)
-        da = dr + dq @ self.q.T + dk @ self.k.T + dv @ self.v.T
+        out["o"] = c.T @ dr
+        # Attention: the gradient of a weight is its product with the value, less the mean of these products.
+        dc = np.empty((n, t, WIDTH + 1), dtype=a.dtype)
+        np.multiply((dr @ self.o.T).reshape(n, t, WIDTH), inverse, out=dc[..., :WIDTH])
+        np.negative(np.einsum("nti,nti->nt", dc[..., :WIDTH], c.reshape(n, t, WIDTH)), out=dc[..., WIDTH])
+        dqkv = np.zeros((n, t, 3 * WIDTH), dtype=a.dtype)
+        dq, dk, dv = dqkv[..., :WIDTH], dqkv[..., WIDTH : 2 * WIDTH], dqkv[..., 2 * WIDTH :]
+        for some, low, high, s in kept:
+            dv[some, :high] += s.transpose(0, 2, 1) @ dc[some, low:high, :WIDTH]
+            s *= dc[some, low:high] @ v[some, :high].transpose(0, 2, 1)
+            np.matmul(s, k[some, :high], out=dq[some, low:high])
+            dk[some, :high] += s.transpose(0, 2, 1) @ q[some, low:high]
+        dqkv = dqkv.reshape(-1, 3 * WIDTH)
+        for name, d in zip("qkv", np.split(a.T @ dqkv, 3, axis=1)):
+            out[name] = d
+        out["q"] = out["q"] * a.dtype.type(1 / np.sqrt(WIDTH))
+        da = dqkv @ into.T
+        da += dr
         out["p"] = np.zeros_like(self.p)
-        out["p"][:t] = da.sum(axis=0)
+        out["p"][:t] = da.reshape(n, t, WIDTH).sum(axis=0)
+        order = np.argsort(before.astype(np.int16), kind="stable")
+        at = before[order]
+        starts = np.flatnonzero(np.diff(at, prepend=-1))
         out["e"] = np.zeros_like(self.e)
-        np.add.at(out["e"], before, flat(da))
+        out["e"][at[starts]] = np.add.reduceat(np.take(da, order, axis=0), starts, axis=0)
         return loss, out
 
     def logs(self, x: np.ndarray, target: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         """For the positions from ``first`` on, in one row: log probability of the target class, and of any class that
         begins a word.
         """
-        y, before = self.hidden(x, first)["y"], x[:, first:].ravel()
-        group, member = np.divmod(target[:, first:].ravel(), MEMBERS)
+        a = np.take(self.e, x, axis=0)
+        a += self.p[: x.shape[1]]
+        y = np.ascontiguousarray(a[:, first:]).reshape(-1, WIDTH)
+        y += self.attend(a, first)[-1].reshape(-1, WIDTH) @ self.o
+        z = y @ self.h
+        np.maximum(z, 0, out=z)
+        y += z @ self.g
+        before, wanted = x[:, first:].ravel(), target[:, first:].ravel()
+        group, member = wanted // MEMBERS, wanted % MEMBERS
         at = np.arange(len(before))
         logits = y @ self.u
-        logits += self.bu[before]
-        gain = logits[at, group]
-        top = logits.max()
-        gain -= top
-        logits -= top
-        np.exp(logits, out=logits)
+        logits += np.take(self.bu, before, axis=0)
+        gain = logits.reshape(-1)[at * GROUPS + group]
+        gain -= _exponentials(logits)
         halves = logits @ np.repeat(np.eye(2, dtype=y.dtype), GROUPS // 2, axis=0)
-        some, every = halves[:, 0], np.log(halves.sum(axis=1))
+        every = np.log(halves.sum(axis=1))
         gain -= every
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        sorted_y = y[order]
-        logits = np.empty((len(order), MEMBERS), dtype=y.dtype)
-        for i in range(GROUPS):
-            part = slice(edges[i], edges[i + 1])
-            np.matmul(sorted_y[part], self.m[i], out=logits[part])
-        logits += self.bm.reshape(-1, MEMBERS)[(before * GROUPS + group)[order]]
-        hit = logits[at, member[order]]
-        top = logits.max()
-        logits -= top
-        np.exp(logits, out=logits)
-        gain[order] += hit - top - np.log(logits @ np.ones(MEMBERS, dtype=y.dtype))
-        return gain, np.log(some) - every
+        order, edges = _by_group(group)
+        y = np.take(y, order, axis=0)
+        logits = np.take(self.bm.reshape(-1, MEMBERS), (before * GROUPS + group)[order], axis=0)
+        for i, part in enumerate(edges):
+            logits[part] += y[part] @ self.m[i]
+        hit = logits.reshape(-1)[at * MEMBERS + member[order]]
+        hit -= _exponentials(logits)
+        hit -= np.log(logits @ np.ones(MEMBERS, dtype=y.dtype))
+        gain[order] += hit
+        return gain, np.log(halves[:, 0]) - every
+
+
+def _exponentials(logits: np.ndarray) -> np.ndarray | float:
+    """Exponentials in place, and what was taken from each row before so that they are finite: nothing, mostly."""
+    top = 0.0
+    if max(logits.max(), -logits.min()) > 80:
+        top = logits.max(axis=1)
+        logits -= top[:, None]
+    np.exp(logits, out=logits)
+    return top
+
+
+def _by_group(group: np.ndarray) -> tuple[np.ndarray, list[slice]]:
+    """An order of rows by their groups, and the part of it that each group is."""
+    order = np.argsort(group.astype(np.int8), kind="stable")
+    edges = np.append(0, np.cumsum(np.bincount(group, minlength=GROUPS))).tolist()
+    return order, [slice(a, b) for a, b in zip(edges, edges[1:])]
 
 
 def windows(n: int) -> list[tuple[int, int]]:
@@ -306,7 +461,14 @@ def improve(model: Attention, streams: list[np.ndarray], steps: int, begin: floa
     for row, c in zip(table, cut):
         row[: len(c)] = c
     random = np.random.default_rng(seed)
-    moments = {k: [np.zeros_like(getattr(model, k)) for _ in range(2)] for k in TRAINED}
+    # All weights in one row: a step is a few operations on it.
+    weights = np.concatenate([getattr(model, k).ravel() for k in TRAINED])
+    at = 0
+    for k in TRAINED:
+        part = getattr(model, k)
+        setattr(model, k, weights[at : at + part.size].reshape(part.shape))
+        at += part.size
+    m, s = np.zeros_like(weights), np.zeros_like(weights)
     order = np.zeros(0, dtype=np.int64)
     for step in range(1, steps + 1):
         while len(order) < STEP_WINDOWS:
@@ -317,11 +479,10 @@ def improve(model: Attention, streams: list[np.ndarray], steps: int, begin: floa
         real = np.arange(width) < sizes[chosen][:, None]
         _, gradients = model.gradients(both[:, :-1], both[:, 1:], real)
         pace = 0.01 * min(1.0, step / 20) * (1 - 0.9 * (begin + (end - begin) * step / steps))
-        for k, d in gradients.items():
-            m, s = moments[k]
-            m += 0.1 * (d - m)
-            s += 0.01 * (d * d - s)
-            getattr(model, k)[...] -= pace * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+        d = np.concatenate([gradients[k].ravel() for k in TRAINED])
+        m += 0.1 * (d - m)
+        s += 0.01 * (d * d - s)
+        weights -= pace * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
 
 
 #: Windows of one matrix product, and the weight of the word counts in the mixture.
@@ -391,26 +552,25 @@ def _attention_logs(model, classes: Classes, source, target, ends, sizes) -> tup
     return gain, begins
 
 
-def class_streams(training: DataFrame, classes: Classes, tokenizer: str) -> DataFrame:
+def class_streams(encoded: DataFrame, classes: Classes, tokenizer: str, frequent: tuple[bytes, ...] = ()) -> DataFrame:
     """``(key long, piece long, stream binary)``: the classes of each text between two ends, two bytes each.
 
     The pieces of a text overlap in one class, so that each pair of neighbours lies in one piece.
     """
-    prepare(training.sparkSession)
+    prepare(encoded.sparkSession)
     schema = pa.schema([("key", pa.int64()), ("piece", pa.int64()), ("stream", pa.binary())])
-    step = PIECE_WINDOWS * WINDOW
+    step, of = PIECE_WINDOWS * WINDOW, classes.of.astype(np.int16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            ids = coder(tokenizer).encode([model_text(words_of(t or "")) for t in batch.column("text").to_pylist()])
-            for key, found in zip(batch.column("key").to_pylist(), ids):
-                stream = classes.of[np.concatenate([[classes.end], found, [classes.end]]).astype(np.int64)].astype(np.int16)
+            for key, ids in zip(batch.column("key").to_pylist(), ids_of(batch, frequent, tokenizer)[0]):
+                stream = np.concatenate([of[-1:], of[ids], of[-1:]])
                 rows += [(key, at // step, stream[at : at + step + 1].tobytes()) for at in range(0, len(stream) - 1, step)]
             columns = list(zip(*rows)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return training.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(run, "key long, piece long, stream binary")
+    return encoded.select("key", "n_ids", "words", "rare_ids").mapInArrow(run, "key long, piece long, stream binary")
 
 
 def class_pairs(streams: DataFrame) -> np.ndarray:
@@ -482,29 +642,30 @@ def train_round(streams: DataFrame, model: Attention, shards: int, passes: int,
     return model
 
 
-def fit_attention(training: DataFrame, counts: np.ndarray, tokenizer: str) -> tuple[Attention, Classes]:
-    """The model after all documents ``(doc_id, text)``.
+def fit_attention(training: DataFrame, counts: np.ndarray, tokenizer: str, frequent: tuple[bytes, ...] = ()) -> tuple[Attention, Classes]:
+    """The model after all documents ``(doc_id, text)``, or after what ``encode_documents`` gives of them and ``frequent``.
 
     One pass over all windows, more while that makes fewer than ``STEPS`` steps. Rounds and shards are dealt by
-    hashes of ids and texts; the number of shards grows with the windows.
+    hashes of ids and texts; the number of shards grows with the windows. Each round reads its own streams only.
     """
     spark = training.sparkSession
     classes = make_classes(counts, pieces_of(tokenizer))
-    folder = shared_folder(spark, "streams")
-    class_streams(training, classes, tokenizer).write.option("compression", "zstd").parquet(folder)
-    streams = spark.read.schema("key long, piece long, stream binary").parquet(folder)
-    model = Attention.fresh(class_pairs(streams))
-    n = streams.agg(F.coalesce(F.sum(F.ceil((F.length("stream") / 2 - 1) / WINDOW)), F.lit(0)).cast("long")).first()[0]
+    encoded = training if "rare_ids" in training.columns else encode_documents(training, tokenizer, frequent)
+    n = encoded.agg(F.coalesce(F.sum(F.ceil((F.col("n_ids") + 1) / WINDOW)), F.lit(0)).cast("long")).first()[0]
     if not n:
-        return model, classes
+        return Attention.fresh(np.zeros((CLASSES, CLASSES))), classes
     cells = -(-n // SHARD_WINDOWS)
     rounds = min(ROUNDS, cells)
     shards = -(-cells // rounds)
     passes = -(-STEPS * STEP_WINDOWS // n)
+    folder = shared_folder(spark, "streams")
     cell = F.pmod(F.xxhash64("key", "piece"), F.lit(rounds * shards))
+    dealt = class_streams(encoded, classes, tokenizer, frequent).withColumn("shard", F.pmod(cell, F.lit(shards))).withColumn("round", (cell / shards).cast("int"))
+    dealt.write.option("compression", "zstd").partitionBy("round").parquet(folder)
+    streams = spark.read.schema("key long, piece long, stream binary, shard long, round int").parquet(folder)
+    model = Attention.fresh(class_pairs(streams))
     for i in range(rounds):
-        mine = streams.withColumn("shard", cell - i * shards).where(F.col("shard").between(0, shards - 1))
-        model = train_round(mine, model, shards, passes, i / rounds, (i + 1) / rounds)
+        model = train_round(streams.where(F.col("round") == i), model, shards, passes, i / rounds, (i + 1) / rounds)
     return model, classes
 
 
@@ -515,6 +676,19 @@ _SCORED = pa.schema([
 SCORED = "row long, doc_id long, n_tokens long, known long, base double, score double, rare array<struct<word:binary,spelled:array<double>>>"
 
 
+def _by_document(rare: pa.ListArray, spelled: np.ndarray) -> pa.Array:
+    """For each document, each of its rare words once, with what the model gives at each of its places."""
+    words, offsets = rare.flatten(), rare.offsets.to_numpy()
+    document = np.repeat(np.arange(len(rare)), np.diff(offsets))
+    word = words.dictionary_encode().indices.to_numpy()
+    order = np.lexsort((word, document))
+    document, word = document[order], word[order]
+    first = np.flatnonzero((np.diff(document, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
+    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(spelled[order], pa.float64()))
+    entries = pa.StructArray.from_arrays([words.take(pa.array(order[first])), places], fields=list(_SCORED.field("rare").type.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(document[first], np.arange(len(rare) + 1)), pa.int32()), entries)
+
+
 def score(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per row.
 
@@ -532,43 +706,40 @@ def score(documents: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: st
     below = np.log10(n + SMOOTHING * (v + 1))
     # The most frequent words, a bounded number.
     frequent = counted.orderBy(F.desc("c"), "word").limit(FREQUENT).toPandas()
-    model, classes = fit_attention(training, subword_counts(counted, tokenizer), tokenizer)
-    logs = dict(zip(map(bytes, frequent["word"]), (np.log10(frequent["c"].to_numpy(dtype=np.float64) + SMOOTHING) - below).tolist()))
+    words = tuple(map(bytes, frequent["word"]))
+    encoded = encode_documents(rows, tokenizer, words)
+    learnt = encoded.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    model, classes = fit_attention(learnt, subword_counts(counted, tokenizer), tokenizer, words)
+    # Rare words, at place -1, have none yet.
+    logs = np.append(np.log10(frequent["c"].to_numpy(dtype=np.float64) + SMOOTHING) - below, np.nan)
     end_log = float(np.log10(n_ends + SMOOTHING) - below)
     prepare(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
-        code = coder(tokenizer)
         for batch in batches:
-            bodies = [words_of(t or "") for t in batch.column("text").to_pylist()]
-            if not bodies:
+            if not batch.num_rows:
                 continue
-            out = []
-            spelled, first_word = spell_texts(model, classes, code.encode([model_text(words) for words in bodies]))
-            if len(spelled) != sum(map(len, bodies)) + len(bodies):
+            ids, places = ids_of(batch, words, tokenizer)
+            spelled, first_word = spell_texts(model, classes, ids)
+            sizes = np.array([len(x) + 1 for x in places])
+            if len(spelled) != sizes.sum():
                 raise ValueError("a word without a beginning")
-            for key, words, at in zip(batch.column("doc_id").to_pylist(), bodies, first_word.tolist()):
-                found = [*map(logs.get, words), end_log]
-                mine = spelled[at : at + len(found)]
-                rare: dict[bytes, list[float]] = {}
-                if None in found:
-                    for w, x, y in zip(words, found, mine.tolist()):
-                        if x is None:
-                            rare.setdefault(w, []).append(y)
-                    counted = np.array(found, dtype=np.float64)  # None becomes NaN
-                    met = ~np.isnan(counted)
-                    counted, mine = counted[met], mine[met]
-                else:
-                    counted = np.array(found)
-                score = float(mixture(counted * np.log(10), mine).sum() / np.log(10))
-                out.append([number, key, len(found), len(counted) - 1 + (n_ends > 0), float(counted.sum()), score, [{"word": w, "spelled": x} for w, x in rare.items()]])
-                number += 1
-            columns = list(zip(*out)) or [()] * len(_SCORED)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCORED)], schema=_SCORED)
+            counted = np.concatenate([x for p in places for x in (logs[p], [end_log])])
+            met = ~np.isnan(counted)
+            others = spelled[~met]
+            counted[~met] = 0
+            both = mixture(counted * np.log(10), spelled) / np.log(10)
+            both[~met] = 0
+            rare = _by_document(batch.column("rare"), others)
+            total = lambda values: np.add.reduceat(values, first_word)
+            known = total(met.astype(np.int64)) - 1 + (n_ends > 0)
+            columns = [np.arange(number, number + len(sizes)), batch.column("doc_id"), sizes, known, total(counted), total(both), rare]
+            number += len(sizes)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _SCORED)], schema=_SCORED)
 
     folder = shared_folder(spark, "scored")
-    rows.mapInArrow(run, SCORED).write.option("compression", "zstd").parquet(folder)
+    encoded.select("doc_id", "n_ids", "words", "rare", "rare_ids").mapInArrow(run, SCORED).write.option("compression", "zstd").parquet(folder)
     scored = spark.read.schema(SCORED).parquet(folder)
     rare = scored.select("row", F.inline("rare")).join(counted, "word", "left")
     c, n_met = F.coalesce("c", F.lit(0)), F.size("spelled")

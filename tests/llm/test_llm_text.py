@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from annalist.llm import lm, packing, secret_scan, sentencepiece_codec, toxicity
@@ -376,3 +377,46 @@ def test_lm_rare_words_have_their_share(documents, monkeypatch):
 
 def test_lm_windows_keep_their_context():
     assert lm.WINDOW >= 64 and lm.OVERLAP >= 16
+
+
+def test_lm_splits_words_as_defined():
+    texts = ["", None, " a  B\tÉé\x0bx\x0c\r\ny ", "".join(chr(i) + "Q" for i in range(300)), "   ", "  　Z z", "one"]
+    words, ends = lm.split_words(pa.array(texts, pa.string()).slice(1))
+    expected = [words_of(t or "") for t in texts[1:]]
+    assert words.to_pylist() == [w for b in expected for w in b]
+    assert ends.tolist() == np.cumsum([len(b) for b in expected]).tolist()
+
+
+def test_lm_encodes_documents_once(spark):
+    path = vocabulary("byte_bpe_50k.json")
+    texts = ["The cat, the CAT", None, "", "it's a 　wörd zq zq", "zq " * 700 + "x" * 500, "  　a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    known = (b"the", b"cat", b"zq")
+    table = lm.encode_documents(df, path, known).orderBy("doc_id").toArrow().cast(lm._ENCODED)
+    rows, coder = table.to_pylist(), SubwordCoder(path)
+    found, places = lm.ids_of(table.combine_chunks().to_batches()[0], known, path)
+    for i, t in enumerate(texts):
+        words, ids = words_of(t or ""), found[i]
+        assert ids.tolist() == [x for w in words for x in coder.encode([lm.model_text([w])])[0].tolist()]
+        assert rows[i]["n_ids"] == len(ids)
+        if i != 5:  # blanks beyond ASCII on both sides of a blank
+            assert ids.tolist() == coder.encode([lm.model_text(words)])[0].tolist()
+        assert places[i].tolist() == [known.index(w) if w in known else -1 for w in words]
+        assert rows[i]["rare"] == [w for w in words if w not in known]
+
+
+def test_lm_steps_do_not_depend_on_how_windows_are_dealt(small_model, monkeypatch):
+    _, classes, ids, model = small_model
+    stream = classes.of[ids[0]]
+    table = np.stack([stream[i : i + 65] for i in range(0, 300, 7)])
+    x, y, real = table[:, :-1], table[:, 1:], np.ones((len(table), 64), dtype=bool)
+    loss, expected = model.gradients(x, y, real)
+    for windows in (1, 5):
+        monkeypatch.setattr(lm, "CACHED_WINDOWS", windows)
+        again, found = model.gradients(x, y, real)
+        assert again == pytest.approx(loss, rel=1e-5)
+        assert all(np.allclose(found[k], expected[k], atol=1e-5) for k in lm.TRAINED)
+    # Far apart logits stay finite.
+    logits = np.array([[300.0, 0.0], [-300.0, -301.0]], dtype=np.float32)
+    top = lm._exponentials(logits)
+    assert np.allclose(top, [300, -300]) and np.allclose(logits, [[1, 0], [1, np.exp(-1)]])
