@@ -15,9 +15,9 @@ def window_bounds(size: int, overlap: int) -> tuple[int, int]:
 
 
 def window_starts(length: Column, size: int, step: int) -> Column:
-    """Zero-based starts; the first window reaching the end is the last."""
+    """Zero-based starts; the first window reaching the end is the last. Null without a length."""
     last = F.greatest(F.lit(0), F.ceil((length - size) / step)).cast("int") * step
-    return F.sequence(F.lit(0), last, F.lit(step))
+    return F.when(length.isNotNull(), F.sequence(F.lit(0), last, F.lit(step)))
 
 
 def window_texts(text: Column, size: int = 900, overlap: int = 150) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,19 +27,21 @@ def first_arrivals(rows: DataFrame, keys: list[str], ts: str | None = None, late
 
 
 def ingest_chunks(
-    documents: DataFrame, out: str, checkpoint: str, doc_id: str = "doc_id", ts: str | None = None, late: str = "1 day", **options,
+    documents: DataFrame, out: str, checkpoint: str, doc_id: str = "doc_id", ts: str | None = None, late: str = "1 day",
+    once: bool = True, cut: Callable[..., DataFrame] = paragraph_chunks, **options,
 ) -> StreamingQuery:
     """Chunk each new document once and append to a parquet table.
 
     Which documents are new is kept as state of the stream; no batch reads the table it appends to. The batch number is a
     partition that is overwritten whole: a batch repeated after a failure gets the same rows from the same version of
-    the state and replaces its own earlier output.
+    the state and replaces its own earlier output. Without ``once`` every row is a document of its own, be its id null or
+    known; the source's log alone sees to it that no file is read twice, and no text is shuffled.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        paragraph_chunks(batch, doc_id, **options).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        cut(batch, doc_id, **options).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    fresh = first_arrivals(documents, [doc_id], ts, late)
+    fresh = first_arrivals(documents, [doc_id], ts, late) if once else documents
     return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

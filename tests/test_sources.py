@@ -194,3 +194,16 @@ def test_a_stream_reads_a_table_of_one_file_or_of_a_folder(spark, tmp_path):
         out = f"{tmp_path}/{number}"
         ingest.ingest_chunks(stream_table(spark, str(tmp_path / "in"), name), f"{out}/table", f"{out}/state", minimum=0).awaitTermination()
         assert spark.read.parquet(f"{out}/table").select("doc_id").distinct().count() == 19
+
+
+def test_stream_ingest_of_all_rows_equals_its_sql_on_odd_documents(spark, tmp_path):
+    import __spark_entry__ as entry
+    from oracle import compare
+    import duckdb
+
+    texts = ["x" * 901, "", " \r\n ", "a\r\n" * 301, "a\u0001b", " " * 5 + "y" * 900, None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, "z" * 901), (0, "x" * 901), (None, "n"), (None, "m" * 1000)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert compare(entry.queries()["q_stream_ingest"](spark, str(tmp_path)), con, entry.oracle_sql()["q_stream_ingest"]) is None
