@@ -5,6 +5,9 @@ bounded size near a few pivots; each block becomes a cover tree: nested centres,
 level, and at every node the true covering radius. Pairs of blocks are traversed together: a pair of nodes that lies too
 far apart for its radii is dropped, one that lies close enough is taken whole, others are opened, and leaves are
 compared exactly. Tasks emit counts and spanning links, so a group of n copies costs n rows and not n * n.
+
+Copies are told by a digest, and a vector is shuffled twice, as it was given, whatever the number of blocks. Trees are
+not shuffled: each stays in its partition and meets the others in slices of bounded size, one broadcast after another.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from .minhash import forest
 BLOCK, LEAF, PIVOTS, SAMPLE = 4096, 256, 128, 4096
 #: Centres that a level may try before what is left becomes leaves.
 CENTRES = 256
+#: Bytes of trees that are broadcast at once.
+SLICE_BYTES = 8 << 20
 #: Slack of distance bounds against rounding.
 SLACK = 1e-9
 
@@ -39,7 +44,7 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 @dataclass
 class CoverTree:
-    """Points in tree order and nodes as arrays; the points of a node are ``start[i]:end[i]``."""
+    """Points in tree order and nodes as arrays; the points of a node are ``start[i]:end[i]``, its centre is at ``place[i]``."""
 
     ids: np.ndarray
     weights: np.ndarray
@@ -51,6 +56,7 @@ class CoverTree:
     first_child: np.ndarray
     n_children: np.ndarray
     total: np.ndarray
+    place: np.ndarray
 
 
 def build(ids: np.ndarray, weights: np.ndarray, points: np.ndarray) -> CoverTree:
@@ -105,9 +111,11 @@ def build(ids: np.ndarray, weights: np.ndarray, points: np.ndarray) -> CoverTree
     ordered = weights[order]
     sums = np.concatenate([[0], np.cumsum(ordered)])
     start, end = columns[2].astype(np.int64), columns[3].astype(np.int64)
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
     return CoverTree(
         ids[order], ordered, points[order], points[columns[0].astype(np.int64)], columns[1].astype(np.float64), start, end,
-        columns[4].astype(np.int64), columns[5].astype(np.int64), sums[end] - sums[start],
+        columns[4].astype(np.int64), columns[5].astype(np.int64), sums[end] - sums[start], at[columns[0].astype(np.int64)],
     )
 
 
@@ -211,17 +219,21 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     """
     spark = vectors.sparkSession
     prepare(spark, 4096)
-    given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
-    usable = given.where(F.col("vec_id").isNotNull() & finite_vector(F.col("v")) & F.exists("v", lambda x: x != 0)).distinct()
-    classes = cut_lineage(usable.groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")))
-    n = classes.count()
-    found = _pairs_of_blocks(classes, n, cosine, block) if n else spark.createDataFrame([], "vec_id long, n long, other long")
-    found = cut_lineage(found)
+    native = vectors.schema[vector].dataType.simpleString() in ("array<float>", "array<double>")
+    given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.col(vector).alias("given"))
+    usable = given.where(F.col("vec_id").isNotNull() & finite_vector(F.col("v")) & F.exists("v", lambda x: x != 0))
+    usable = usable.select("vec_id", F.unhex(F.sha2(F.col("v").cast("string"), 256)).alias("digest"), F.col("given" if native else "v").alias("v"))
+    # Pivots come from a sample of bounded size; they only decide which vectors share a block.
+    sample = [r["v"] for r in usable.orderBy(F.xxhash64("vec_id"), "vec_id", "digest").limit(SAMPLE).select("v").collect()]
+    placed = cut_lineage(_placed(usable, _pivots(sample)))
+    rows = placed.distinct()
+    classes = cut_lineage(rows.groupBy("digest", "size", "pivot").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")))
+    found = _pairs_of_blocks(usable, classes, cosine, block) if sample else spark.createDataFrame([], "vec_id long, n long, other long")
     counts = found.where("n >= 0").groupBy(F.col("vec_id").alias("first")).agg(F.sum("n").alias("n"))
     edges = found.where("n < 0").select(F.col("vec_id").alias("source"), F.col("other").alias("target")).distinct()
     components = connected_components(edges).select(F.col("node").alias("first"), "component")
-    named = classes.join(counts, "first", "left").join(components, "first", "left")
-    labels = usable.join(named, "v").groupBy("vec_id").agg(
+    named = classes.select("digest", "first", "weight").join(counts, "first", "left").join(components, "first", "left")
+    labels = rows.select("vec_id", "digest").join(named, "digest").groupBy("vec_id").agg(
         F.sum(F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.min(F.coalesce("component", "first")).alias("component")
     )
     component = F.coalesce("component", "vec_id")
@@ -231,11 +243,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     )
 
 
-def _pairs_of_blocks(classes: DataFrame, n: int, cosine: float, block: int) -> DataFrame:
-    spark = classes.sparkSession
-    # Pivots come from a sample of bounded size; they only decide which vectors share a block.
-    sample = [r["v"] for r in classes.orderBy(F.xxhash64("first"), "first").limit(SAMPLE).select("v").collect()]
-    pivots = _pivots(sample)
+def _placed(usable: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """``(vec_id, digest, size, pivot)``: the length of each vector and the nearest pivot of that length."""
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,12 +257,16 @@ def _pairs_of_blocks(classes: DataFrame, n: int, cosine: float, block: int) -> D
                     for i, k in zip(mine, best.tolist()):
                         at[i] = k
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("first", "weight", "v")] + [pa.array([len(r) for r in rows], pa.int32()), pa.array(at, pa.int32())],
-                names=["first", "weight", "v", "size", "pivot"])
+                [batch.column(c) for c in ("vec_id", "digest")] + [pa.array([len(r) for r in rows], pa.int32()), pa.array(at, pa.int32())],
+                names=["vec_id", "digest", "size", "pivot"])
 
-    placed = cut_lineage(classes.select("first", "weight", "v").mapInArrow(nearest, "first long, weight long, v array<double>, size int, pivot int"))
+    return usable.mapInArrow(nearest, "vec_id long, digest binary, size int, pivot int")
+
+
+def _pairs_of_blocks(usable: DataFrame, classes: DataFrame, cosine: float, block: int) -> DataFrame:
+    spark = classes.sparkSession
     # Cells in order of their pivots fill blocks; a cell of more than a block is dealt out by a hash.
-    cells = placed.groupBy("size", "pivot").agg(F.count("*").alias("n")).orderBy("size", "pivot").collect()
+    cells = classes.groupBy("size", "pivot").agg(F.count("*").alias("n")).orderBy("size", "pivot").collect()
     layout, number, room = [], -1, 0
     last = None
     for cell in cells:
@@ -263,41 +276,70 @@ def _pairs_of_blocks(classes: DataFrame, n: int, cosine: float, block: int) -> D
         layout.append((cell["size"], cell["pivot"], number, parts))
         number, room = number + parts - 1, (room - cell["n"] if parts == 1 else 0)
         last = cell["size"]
-    blocks = number + 1
     # One row per cell: at most as many as there are pivots of each vector length.
     table = spark.createDataFrame(layout, "size int, pivot int, base int, parts int")
     where = F.col("base") + F.pmod(F.xxhash64("first"), F.col("parts")).cast("int")
-    dealt = placed.join(F.broadcast(table), ["size", "pivot"]).withColumn("block", where)
+    dealt = classes.join(F.broadcast(table), ["size", "pivot"]).select("digest", "first", "weight", "size", "pivot", where.alias("block"))
+    dealt = usable.withColumnRenamed("vec_id", "first").join(dealt, ["first", "digest"])
 
     def tree(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["pivot", "first"], kind="stable")
-        built = build(rows["first"].to_numpy(), rows["weight"].to_numpy(np.float64), unit(np.stack(list(rows["v"]))))
-        return pd.DataFrame({"block": [int(key[0])], "size": [int(rows["size"].iloc[0])], "tree": [pickle.dumps(tuple(vars(built).values()))]})
+        rows = rows.sort_values(["pivot", "first", "digest"], kind="stable").drop_duplicates(["first", "digest"])
+        raw = np.stack(list(rows["v"]))
+        packed = pickle.dumps(_packed(rows["first"].to_numpy(), rows["weight"].to_numpy(np.float64), raw))
+        return pd.DataFrame({"block": [int(key[0])], "tree": [packed]})
 
-    trees = cut_lineage(dealt.groupBy("block").applyInPandas(tree, "block int, size int, tree binary"))
-    partner = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    trees = cut_lineage(dealt.groupBy("block").applyInPandas(tree, "block int, tree binary"))
     prepare(spark, 8)
-    pairs = trees.withColumn("other", partner).select(
-        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "tree"
-    ).repartition("low", "high").sortWithinPartitions("low", "high", "block")
+    slices, held = [[]], 0
+    for number, size in sorted((r["block"], r["size"]) for r in trees.select("block", F.length("tree").alias("size")).collect()):
+        if held and held + size > SLICE_BYTES:
+            slices, held = [*slices, []], 0
+        slices[-1].append(number)
+        held += size
+    parts = [_slice_pairs(trees, numbers, cosine) for numbers in slices]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def _slice_pairs(trees: DataFrame, numbers: list[int], cosine: float) -> DataFrame:
+    """Counts and links of all trees with those of some blocks; of two blocks the pair is met from one side only."""
+    context = trees.sparkSession.sparkContext
+    few = context.broadcast([(r["block"], bytes(r["tree"])) for r in trees.where(F.col("block").isin(numbers)).collect()])
     schema = pa.schema([("vec_id", pa.int64()), ("n", pa.int64()), ("other", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = None
+        others = [(number, _unpacked(data)) for number, data in few.value]
         for batch in batches:
-            for low, high, number, data in zip(*(batch.column(c).to_pylist() for c in ("low", "high", "block", "tree"))):
-                tree = CoverTree(*pickle.loads(data))
-                rows = []
-                if low == high:
-                    rows = pair_rows(tree, None, cosine)
-                elif number == low:
-                    waiting = tree
-                elif waiting.points.shape[1] == tree.points.shape[1]:
-                    rows = pair_rows(waiting, tree, cosine)
-                columns = list(zip(*rows)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
-
-    return pairs.mapInArrow(run, "vec_id long, n long, other long")
+            for number, data in zip(batch.column("block").to_pylist(), batch.column("tree").to_pylist()):
+                mine = _unpacked(data)
+                for other, tree in others:
+                    if number == other:
+                        rows = pair_rows(mine, None, cosine)
+                    elif (number < other) == ((number + other) % 2 == 1) and mine.points.shape[1] == tree.points.shape[1]:
+                        rows = pair_rows(mine, tree, cosine)
+                    else:
+                        continue
+                    columns = list(zip(*rows)) or [(), (), ()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
+    pairs = cut_lineage(trees.mapInArrow(run, "vec_id long, n long, other long"))
+    few.destroy()
+    return pairs
+
+
+def _packed(ids: np.ndarray, weights: np.ndarray, raw: np.ndarray) -> tuple:
+    """A tree as its vectors as given, in tree order, and its nodes, whose centres are places of points."""
+    built = build(np.arange(len(ids)), weights, unit(raw))
+    order = built.ids
+    return (ids[order], built.weights, raw[order], built.place, *(getattr(built, c) for c in ("radius", "start", "end", "first_child", "n_children", "total")))
+
+
+def _unpacked(data: bytes) -> CoverTree:
+    ids, weights, raw, place, *nodes = pickle.loads(data)
+    points = unit(raw)
+    return CoverTree(ids, weights, points, points[place], *nodes, place)
 
 
 def _pivots(sample: list[list[float]]) -> dict[int, np.ndarray]:

@@ -183,3 +183,20 @@ def test_a_very_long_text(spark):
     text = " ".join(f"w{i % 30_000}" for i in range(200_000))
     df = spark.createDataFrame([(1, text), (2, text + " end")], "doc_id long, text string")
     assert {r["component_id"] for r in minhash.near_duplicates(df).collect()} == {1}
+
+
+def test_trees_meet_in_slices_without_a_shuffle(spark, vectors, monkeypatch):
+    df, rows = vectors
+    key = lambda found: sorted((tuple(r) for r in found.collect()), key=repr)
+    whole = key(cover_tree.near_vectors(df, 0.9))
+    plans, cut = [], cover_tree.cut_lineage
+
+    def seen(table):
+        if table.columns == ["vec_id", "n", "other"]:
+            plans.append(table._jdf.queryExecution().executedPlan().toString())
+        return cut(table)
+
+    monkeypatch.setattr(cover_tree, "cut_lineage", seen)
+    monkeypatch.setattr(cover_tree, "SLICE_BYTES", 1, raising=False)
+    assert key(cover_tree.near_vectors(df, 0.9, block=16)) == whole
+    assert len(plans) > 1 and not any("Exchange" in plan for plan in plans)
