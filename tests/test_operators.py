@@ -193,6 +193,29 @@ def test_planted_groups_are_found_and_rounds_stay_short(spark, monkeypatch):
     assert max(times) < 30
 
 
+@pytest.mark.parametrize("block_ties", [1_500_000, 60])
+def test_blocks_of_groups_change_many_times_in_one_round(spark, monkeypatch, block_ties):
+    """Tables written do not grow with the changes that a group goes through, and blocks of few ties end as well as one of all."""
+    rng = np.random.default_rng(11)
+    ends = [tuple(map(int, rng.integers(0, 60, 2))) for _ in range(240)]
+    edges = [(a, b, int(rng.integers(1, 6))) for a, b in ends]
+    written = []
+
+    def counted(session, name):
+        cut = table_cutter(session, name)
+        return lambda df: written.append(name) or cut(df)
+
+    monkeypatch.setattr(community, "table_cutter", counted)
+    monkeypatch.setattr(community, "BLOCK_TIES", block_ties, raising=False)
+    rows = community.communities(spark.createDataFrame(edges, "source long, target long, weight int"), 10).toPandas()
+    group = dict(zip(rows.node, rows.community))
+    lowest = roots([(a, b) for a, b, _ in edges if group[a] == group[b]] + [(n, n) for n in rows.node])
+    assert all(len({lowest[n] for n in members}) == 1 for members in rows.groupby("community").node.apply(list))
+    assert rows.groupby("community").size().max() <= 10 and worth(edges, group)[1] < 1e-9
+    if block_ties > len(edges):
+        assert len(written) < 60, len(written)
+
+
 def test_communities_of_nothing(spark):
     assert community.communities(spark.createDataFrame([], "source string, target string, weight double")).count() == 0
 
